@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from askwright.llm import chat_format, exact_dedup
+from askwright.llm import chat_format, exact_dedup, simhash
 from askwright.llm.common import table
 
 
+def op1_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -16,6 +20,7 @@ def op10_chat_format(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_chat_format": op10_chat_format,
 }
