@@ -31,11 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors.
+
+    rows_a_file bounds what a reader's batch holds where rows are large.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/askwright/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from askwright.llm import chat_format, exact_dedup, simhash
+from askwright.llm import bpe, chat_format, exact_dedup, simhash
 from askwright.llm.common import table
 
 
@@ -10,6 +10,17 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op5_bpe(spark, sf_dir):
+    path = ranks_path()
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -21,6 +32,7 @@ def op10_chat_format(spark, sf_dir):
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op5_bpe": op5_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_chat_format": op10_chat_format,
 }
