@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from askwright.llm import bpe, chat_format, exact_dedup, simhash
+from askwright.llm import bpe, chat_format, exact_dedup, language_id, simhash
 from askwright.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark, sf_dir):
+    return language_id.learn_and_identify(table(spark, sf_dir, "documents"))
+
+
 def ranks_path() -> str:
     import public_tokenizers
 
@@ -32,6 +36,7 @@ def op10_chat_format(spark, sf_dir):
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_language_id": op3_language_id,
     "op5_bpe": op5_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_chat_format": op10_chat_format,
