@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from askwright.llm import bpe, chat_format, exact_dedup, language_id, simhash
+from askwright.llm import bpe, chat_format, exact_dedup, language_id, secrets, simhash
 from askwright.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op5_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
 
 
+def op6_secrets(spark, sf_dir):
+    return secrets.report(secrets.scan_documents(table(spark, sf_dir, "documents")))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_language_id": op3_language_id,
     "op5_bpe": op5_bpe,
+    "op6_secrets": op6_secrets,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_chat_format": op10_chat_format,
 }
