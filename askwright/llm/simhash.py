@@ -23,7 +23,7 @@ from askwright.llm.common import materialize, slices
 LIMIT = 4
 SHINGLE = 4
 SEED = 42
-SHARD_POINTS = 16384  # home points of a shard, about
+SHARD_POINTS = 65536  # home points of a shard, about: a shard stays within a few MB, and fewer shards mean fewer visits
 LEAF_POINTS = 96  # below this a tree node is compared point by point
 BLOCK = 1 << 21  # distances held at once
 
@@ -115,8 +115,9 @@ def visits(tree, points: np.ndarray, limit: int):
         v, radius, near, far = node
         d = distance(points[idx], v).astype(np.int64)
         inside = d <= radius
+        # of two home points on either side of the boundary, the far one visits: one visit finds the pair
         a = d - limit <= radius
-        b = d + limit > radius
+        b = ~inside | (~home & (d + limit > radius))
         stack.append((near, idx[a], home[a] & inside[a]))
         stack.append((far, idx[b], home[b] & ~inside[b]))
 
@@ -141,15 +142,22 @@ class Forest:
 
 
 def search(points: np.ndarray, members: np.ndarray, limit: int, forest: Forest) -> None:
-    """Link every point with every member (positions in points) within the limit."""
+    """Link every point with every member (positions in points) within the limit.
+
+    A node holds members and visitors.  Of two members on either side of its boundary the far one visits the near side;
+    visitors go to each side that their distance allows.
+    """
     rng = np.random.default_rng(11)
-    stack = [(members, np.arange(len(points)))]
+    visitors = np.ones(len(points), bool)
+    visitors[members] = False
+    stack = [(members, np.flatnonzero(visitors))]
     while stack:
         m, q = stack.pop()
-        if not len(m) or not len(q):
+        if not len(m):
             continue
         cut = split(points[m], rng) if len(m) > LEAF_POINTS else None
         if cut is None:
+            q = np.concatenate([m, q])
             step = max(1, BLOCK // len(m))
             for at in range(0, len(q), step):
                 some = q[at : at + step]
@@ -159,10 +167,11 @@ def search(points: np.ndarray, members: np.ndarray, limit: int, forest: Forest)
                 forest.link(a[keep], b[keep])
             continue
         v, radius = cut
-        near = distance(points[m], v) <= radius
-        d = distance(points[q], v).astype(np.int64)
-        stack.append((m[near], q[d - limit <= radius]))
-        stack.append((m[~near], q[d + limit > radius]))
+        of_m = distance(points[m], v).astype(np.int64)
+        near = of_m <= radius
+        of_q = distance(points[q], v).astype(np.int64)
+        stack.append((m[near], np.concatenate([q[of_q - limit <= radius], m[~near & (of_m - limit <= radius)]])))
+        stack.append((m[~near], q[of_q + limit > radius]))
 
 
 def shard_edges(rows: pd.DataFrame, limit: int = LIMIT) -> pd.DataFrame:
