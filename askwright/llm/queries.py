@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from askwright.llm import bpe, chat_format, exact_dedup, language_id, secrets, simhash
+from askwright.llm import bpe, chat_format, exact_dedup, language_id, secrets, simhash, toxicity
 from askwright.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_chat_format(spark, sf_dir):
     rows = chat_format.with_probe(table(spark, sf_dir, "conversations"))
     return chat_format.read_back(chat_format.prefix_target_examples(rows))
@@ -44,6 +48,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_secrets": op6_secrets,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
 }
 
