@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwright.llm.common import materialize, partitions, slices
+from askwright.llm.common import materialize_bucketed, partitions, slices
 
 CHUNK_BYTES = 16 << 20
 #: Fixed value: the characters with the property White_Space.
@@ -247,7 +247,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     held = _broadcast(docs.sparkSession, read_ranks(ranks_path))
     buckets = min(max(16, partitions(docs)), 2048)
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    packed = materialize(rows.mapInArrow(lambda it: _chunks(it, buckets, chunk_bytes), PACKED), "pretokens", rows_a_file=16)
+    packed = materialize_bucketed(rows.mapInArrow(lambda it: _chunks(it, buckets, chunk_bytes), PACKED), "pretokens", "chunk", rows_a_file=16)
     words = packed.select("chunk", F.explode("words").alias("w")).select("chunk", "w.bucket", "w.lengths", "w.content")
     ids = words.groupBy("bucket").applyInArrow(lambda t: _encode_bucket(t, held.value), "chunk string, bucket int, counts binary, ids binary")
     return (

@@ -42,6 +42,16 @@ def materialize(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, name: str, key: str, rows_a_file: int = 0) -> DataFrame:
+    """materialize() as a table bucketed by key, one bucket for each shuffle partition: joins and groups by the key read it
+    where it lies, without a shuffle."""
+    spark = df.sparkSession
+    made = f"askwright_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/askwright/{made}"
+    df.write.option("maxRecordsPerFile", rows_a_file).option("path", path).bucketBy(partitions(df), key).saveAsTable(made, format="parquet")
+    return spark.table(made)
+
+
 def slices(batch, text_index: int, most_bytes: int = 4 << 20):
     """Cut an Arrow batch into runs of rows holding about most_bytes of text each (one row at least)."""
     lengths = batch.column(text_index).nbytes
