@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from askwright.llm import bpe, chat_format, exact_dedup, language_id, secrets, simhash, toxicity
+from askwright.llm import bpe, chat_format, exact_dedup, language_id, licenses, secrets, simhash, toxicity
 from askwright.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark, sf_dir):
+    return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op3_language_id(spark, sf_dir):
     return language_id.learn_and_identify(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_chat_format(spark, sf_dir):
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_licenses": op2_licenses,
     "op3_language_id": op3_language_id,
     "op5_bpe": op5_bpe,
     "op6_secrets": op6_secrets,
