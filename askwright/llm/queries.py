@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from askwright.llm import bpe, chat_format, exact_dedup, language_id, licenses, secrets, simhash, toxicity
+from askwright.llm import bpe, chat_format, decontamination, exact_dedup, language_id, licenses, secrets, simhash, toxicity
 from askwright.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark, sf_dir):
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_secrets": op6_secrets,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
 }
