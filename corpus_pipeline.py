@@ -1,13 +1,64 @@
-"""Corpus pipeline: the stages that turn documents into token ids (filled in as the operators land)."""
+"""Corpus pipeline: from documents to token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the columns
+of documents.  The language stage drops texts that hold no letter of any language (null texts, too); exact and near
+duplicates leave one row a group; leaking documents go; the last stage encodes what is left.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import uuid
+
+from askwright.llm import bpe, decontamination, exact_dedup, language_id, simhash
+from askwright.llm.common import shared_dir, table
+from askwright.llm.queries import ranks_path
+
+
+def identify_language(spark, docs, sf_dir):
+    """Rows whose language is identified; the model learns from the rows of docs that are not held out.
+
+    Verdicts go by doc_id: a row with a null id stays unless its text is null.
+    """
+    model = language_id.train(docs.where(~language_id.held_out()))
+    found = language_id.identify(docs, model).where("lang_pred = 'und'").select("doc_id").distinct()
+    return docs.where("text is not null").join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_exact_duplicates(spark, docs, sf_dir):
+    return exact_dedup.drop_duplicates(docs)
+
+
+def drop_near_duplicates(spark, docs, sf_dir):
+    return simhash.one_of_each(docs)
+
+
+def drop_contaminated(spark, docs, sf_dir):
+    return decontamination.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark, docs, sf_dir):
+    """doc_id, ids and their digests: what decodes to the text again."""
+    path = ranks_path()
+    return bpe.digests(bpe.encode(docs, path), path)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_duplicates),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
+
+#: The stages learn models and hash: SQL cannot express them.  tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages one after another; what each keeps is written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_dir(spark)}/askwright/stage-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
