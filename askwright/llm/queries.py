@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from askwright.llm import bpe, chat_format, decontamination, exact_dedup, language_id, licenses, secrets, simhash, toxicity
+from askwright.llm import bpe, chat_format, decontamination, exact_dedup, language_id, licenses, secrets, simhash, suffix_dedup, toxicity
 from askwright.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_language_id(spark, sf_dir):
     return language_id.learn_and_identify(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def ranks_path() -> str:
     import public_tokenizers
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
     "op3_language_id": op3_language_id,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_bpe": op5_bpe,
     "op6_secrets": op6_secrets,
     "op7_exact_dedup": op7_exact_dedup,
