@@ -23,7 +23,7 @@ from askwright.llm.common import slices
 
 BITS = 20  # hashed features
 PREFIXES = (4, 5, 6, 7, 8)  # a word counts as itself and as its beginnings
-MOST_POSITIVE, MOST_UNLABELLED = 12_000, 24_000  # bounds of the training sample, taken by a hash of the id
+MOST_POSITIVE, MOST_UNLABELLED = 4_000, 8_000  # bounds of the training sample, taken by a hash of the id
 LEAST_TEXTS = 3  # features in fewer texts of the sample are not learned
 LEAST_ODDS = 0.7  # features whose log odds, positive against unlabelled, are nearer to 0 are not learned
 START = 0.5  # of the log odds, in the weights that learning starts from
@@ -159,13 +159,12 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     told = labels.where(learnable()).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     toxic, all_ = told.agg(F.sum((F.col("toxic") == 1).cast("long")), F.count(F.lit(1))).first()
     prior = min(0.5, max(0.001, (toxic or 0) / all_)) if all_ else 0.001
-    first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "text").limit(n)
-    ids = first(told.where("toxic = 1").select("doc_id", F.lit("").alias("text")), most_positive).select("doc_id")
-    positive = rows.join(ids, "doc_id").select(F.lit(1).alias("known"), "text")
-    # ids alone are ordered and joined, so that texts outside the sample are never shuffled
+    # ids are ordered and cut first; what is broadcast are these few ids, and texts outside the sample are never shuffled
+    first = lambda ids, n: F.broadcast(ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n))
+    texts = lambda ids, known: rows.join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select(F.lit(known).alias("known"), "text")
+    positive = texts(first(told.where("toxic = 1"), most_positive), 1)
     free = rows.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti")
-    chosen = free.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(most_unlabelled)
-    unlabelled = rows.join(chosen, "doc_id").select(F.lit(0).alias("known"), "text")
+    unlabelled = texts(first(free, most_unlabelled), 0)
 
     def fit(sample: pd.DataFrame) -> pd.DataFrame:
         sample = sample.sort_values(["known", "text"], kind="stable")
