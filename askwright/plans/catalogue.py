@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from askwright.plans import corpus, decide, graph, itsm, measure, rank, retrieve, route, sources, stream, texts  # noqa: F401  (they register)
+from askwright.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
