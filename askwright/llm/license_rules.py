@@ -1,7 +1,8 @@
 """Signature rules of the licence scan.
 
 A rule is (label, priority, keyword, pattern).  Patterns are matched on a text's words, lower-cased and joined by single
-spaces, from word start to word end; the keyword, which each match contains, decides whether the pattern is tried.
+spaces, from word start to word end; the keyword, which each match contains at a word's start, decides whether the
+pattern is tried.
 Priority 1: an exact licence with its version; 2: a licence by name; 3: a hint (notices and references).
 """
 
@@ -110,7 +111,8 @@ SIGNATURES = [
     ("bsd-2-clause", 1, "bsd", "(?:2|two) clause bsd(?: licen[cs]e)?|bsd (?:2|two) clause(?: licen[cs]e)?|simplified bsd licen[cs]e|freebsd licen[cs]e"),
     ("bsd-3-clause", 1, "bsd", "(?:3|three) clause bsd(?: licen[cs]e)?|bsd (?:3|three) clause(?: licen[cs]e)?|(?:new|modified|revised) bsd licen[cs]e"),
     ("bsd-4-clause", 1, "bsd", "(?:4|four) clause bsd(?: licen[cs]e)?|bsd (?:4|four) clause(?: licen[cs]e)?|original bsd licen[cs]e"),
-    ("0bsd", 1, "bsd", "(?:0|zero) clause bsd(?: licen[cs]e)?|bsd (?:0|zero) clause(?: licen[cs]e)?|0bsd"),
+    ("0bsd", 1, "bsd", "(?:0|zero) clause bsd(?: licen[cs]e)?|bsd (?:0|zero) clause(?: licen[cs]e)?"),
+    ("0bsd", 1, "0bsd", "0bsd"),
     ("bsd", 2, "bsd", "bsd (?:style )?licen[cs]e"),
     ("bsd", 1, "redistribution and use in source", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", 1, "endorse or promote", r"neither the names? of (?:\S+ ){1,12}may be used to endorse or promote products"),
@@ -137,8 +139,10 @@ SIGNATURES = [
     ("mulan", 1, "mulan", "mulan (?:psl|permissive software licen[cs]e)(?: v?[12])?"),
     ("blueoak-1.0.0", 1, "blue oak", "blue oak model licen[cs]e(?: 1(?: 0 0)?)?"),
     ("x11", 2, "x11", "x11 licen[cs]e"),
-    ("ms-pl", 1, "microsoft", "microsoft public licen[cs]e|ms pl"),
-    ("ms-rl", 1, "microsoft", "microsoft reciprocal licen[cs]e|ms rl"),
+    ("ms-pl", 1, "microsoft", "microsoft public licen[cs]e"),
+    ("ms-pl", 1, "ms pl", "ms pl"),
+    ("ms-rl", 1, "microsoft", "microsoft reciprocal licen[cs]e"),
+    ("ms-rl", 1, "ms rl", "ms rl"),
     ("apache-2.0", 1, "apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance"),
     ("apache-2.0", 1, "apache org licenses", "(?:www )?apache org licenses license 2 0"),
     ("gpl", 1, "free software you can redistribute", r"free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),

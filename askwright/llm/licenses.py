@@ -72,11 +72,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ends count words.  Null text is empty: no words, no detections.  One row per input row; other columns are ignored.
     """
     table = rules()
-    keywords = sorted({k for _, _, k, _ in table})
+    keywords = sorted({k for _, _, k, _ in table})  # at a word's start: as mere substrings the short ones are everywhere
     rows = docs.select(F.col(id_col).alias("__id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("__low"))
     # a generator between the projections: the joined text is made once a row, whatever refers to it
     joined = rows.select("__id", F.explode(F.array(F.concat(F.lit(" "), F.trim(F.regexp_replace("__low", SEPARATORS, " ")), F.lit(" ")))).alias("__joined"))
-    hits = F.array_compact(F.array(*[F.when(F.contains("__joined", F.lit(k)), F.lit(k)) for k in keywords]))
+    hits = F.array_compact(F.array(*[F.when(F.contains("__joined", F.lit(" " + k)), F.lit(k)) for k in keywords]))
     gated = joined.select("__id", "__joined", F.explode(F.array(hits)).alias("__hits"))
     rule_array = F.from_json(
         F.lit(json.dumps([{"rule": i, "label": a, "priority": p, "keyword": k, "pattern": x} for i, (a, p, k, x) in enumerate(table)], ensure_ascii=False)),

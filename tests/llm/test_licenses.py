@@ -14,7 +14,7 @@ def brute(text):
     joined = f" {' '.join(words)} "
     found = []
     for n, (label, priority, keyword, pattern) in enumerate(rules()):
-        if keyword not in joined:
+        if f" {keyword}" not in joined:
             continue
         for m in re.finditer(f"(?<= )(?:{pattern})(?= )", joined):
             start = joined.count(" ", 0, m.start()) - 1
@@ -46,6 +46,14 @@ def test_rules_are_many_and_carry_their_keywords():
         assert priority in licenses.CONFIDENCE and keyword
 
 
+def test_keywords_hide_no_match():
+    """A pattern matches nothing that its keyword would have gated away."""
+    joined = [f" {' '.join(re.findall(licenses.SEPARATORS.replace('[', '[^', 1), (t or '').lower()))} " for t in TEXTS]
+    for _, _, keyword, pattern in rules():
+        for text in joined:
+            assert f" {keyword}" in text or not re.search(f"(?<= )(?:{pattern})(?= )", text), (keyword, pattern)
+
+
 def test_equals_brute_force(spark):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)] + [(None, TEXTS[0], 1), (3, TEXTS[3], 1)], "doc_id long, text string, labels int")
     found = licenses.report(licenses.scan(docs)).collect()
