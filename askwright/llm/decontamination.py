@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,33 +31,55 @@ BLOCK = 1024
 COSINE = 0.4
 LCS = 0.6
 ANSWER = 0.6
-TELLING = 0.5  # words of this share of the item's highest inverse frequency tell it, its answer, apart
+TELLING = 0.25  # words of this share of the item's highest weight tell it, its answer, apart
+NEAR = 0.2  # share of the telling words that a candidate passage itself holds
 SHORT = 8  # an item of fewer words leaks only as a whole
 WORD = re.compile(r"[^\W_]+")
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        found = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-        return found
-
-
-_hashes = _Hashes()
+_rng = np.random.default_rng(1234)
+_PLACES = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)  # a factor for each place in a word
+_LETTER = np.zeros(256, bool)
+_LETTER[list(b"0123456789abcdefghijklmnopqrstuvwxyz") + list(range(0x80, 0x100))] = True
+
+
+def hash_words(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts, and how many each text has.
+
+    A word is a run of ASCII letters and digits and other characters from U+00C0 on, but general punctuation."""
+    raw = b"\0".join([(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]) + b"\0\0\0"
+    b = np.frombuffer(raw, np.uint8)
+    letter = _LETTER[b]
+    sign = np.flatnonzero((b[:-1] == 0xC2) & (b[1:] >= 0xA0) & (b[1:] < 0xC0))
+    letter[sign] = letter[sign + 1] = False
+    sign = np.flatnonzero((b[:-2] == 0xE2) & ((b[1:-1] == 0x80) | (b[1:-1] == 0x81)))
+    letter[sign] = letter[sign + 1] = letter[sign + 2] = False
+    edge = np.diff(letter.view(np.int8), prepend=np.int8(0))
+    begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    borders = np.flatnonzero(b == 0)[: len(texts)] if texts else np.empty(0, np.int64)
+    counts = np.diff(np.searchsorted(begins, borders), prepend=0)
+    if not len(begins):
+        return np.empty(0, np.uint32), counts
+    at = np.flatnonzero(letter)
+    first = np.cumsum(ends - begins) - (ends - begins)
+    place = np.arange(len(at)) - np.repeat(first, ends - begins)
+    sums = np.add.reduceat(b[at].astype(np.uint64) * _PLACES[place & 255], first)
+    sums = (sums ^ (ends - begins).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return (sums >> np.uint64(32)).astype(np.uint32), counts
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    if len(_hashes) > 1_000_000:
-        _hashes.clear()
-    return np.fromiter(map(_hashes.__getitem__, WORD.findall((text or "").lower())), np.uint32)
+    return hash_words([(text or "").replace("\0", " ")])[0]
 
 
 def words_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([word_hashes(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["id", "words"]
-                )
+                flat, counts = hash_words([t.replace("\0", " ") if t and "\0" in t else t for t in part.column(1).to_pylist()])
+                held, ends = flat.tobytes(), (np.cumsum(counts) * 4).tolist()
+                rows = [held[a:b] for a, b in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["id", "words"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return materialize(rows.mapInArrow(run, "id bigint, words binary"), "words")
@@ -153,6 +174,8 @@ class Item:
 class Space:
     terms: np.ndarray  # CELLS x rank, idf times the right singular vectors
     items: np.ndarray  # items x rank, unit rows
+    telling: np.ndarray  # items x CELLS: cells of the telling words
+    need: np.ndarray  # of them, how many a candidate passage holds at least
     known: list[Item]
 
 
@@ -177,7 +200,11 @@ def build_space(items: list[tuple[int, np.ndarray]], sketched: np.ndarray, idf:
     v = rows.T @ vectors[:, keep] / np.sqrt(values[keep])
     latent = q @ v
     latent /= np.maximum(1e-12, np.linalg.norm(latent, axis=1, keepdims=True))
-    return Space((idf[:, None] * v).astype(np.float32), latent.astype(np.float32), known)
+    telling = np.zeros((len(items), CELLS), bool)
+    for i, item in enumerate(known):
+        telling[i, np.fromiter(item.telling, np.int64, len(item.telling)) & (CELLS - 1)] = True
+    need = np.maximum(1, np.ceil(NEAR * np.array([len(x.telling) for x in known]))).astype(np.int64)
+    return Space((idf[:, None] * v).astype(np.float32), latent.astype(np.float32), telling, need, known)
 
 
 def lcs(masks: dict[int, int], size: int, words: list[int]) -> int:
@@ -207,17 +234,19 @@ def verify(item: Item, words: np.ndarray, near: int) -> tuple[float, float] | No
 
 
 def candidates(flat: np.ndarray, counts: np.ndarray, space: Space, cosine: float):
-    """Yield (document, its block, item, cosine) of a slice."""
+    """Yield (document, its block, item, cosine) of a slice: passages near to an item that hold some of its telling words."""
     if not len(flat):
         return
     block, doc, _ = _blocks(counts)
+    cells = (flat & (CELLS - 1)).astype(np.int64)
+    ends_of_doc = np.cumsum(counts)
     sums = np.empty((len(doc), space.terms.shape[1]), np.float32)
     heads = np.flatnonzero(np.diff(block, prepend=-1))
     step = 1 << 13  # blocks at a time: their words' rows are held at once
     ends = np.append(heads[1:], len(flat))
     for at in range(0, len(heads), step):
         lo, hi = heads[at], ends[min(at + step, len(heads)) - 1]
-        sums[at : at + step] = np.add.reduceat(space.terms[flat[lo:hi] & (CELLS - 1)], heads[at : at + step] - lo, axis=0)
+        sums[at : at + step] = np.add.reduceat(space.terms[cells[lo:hi]], heads[at : at + step] - lo, axis=0)
     first = np.concatenate([[True], doc[1:] != doc[:-1]])
     last = np.concatenate([first[1:], [True]])
     paired = sums.copy()
@@ -230,7 +259,14 @@ def candidates(flat: np.ndarray, counts: np.ndarray, space: Space, cosine: float
         p /= np.maximum(1e-12, np.linalg.norm(p, axis=1, keepdims=True))
         close = p @ space.items.T
         i, j = np.nonzero(close >= cosine)
-        yield from zip(doc[some[i]].tolist(), number[some[i]].tolist(), j.tolist(), close[i, j].tolist())
+        for lo in range(0, len(i), step):
+            x, y = some[i[lo : lo + step]], j[lo : lo + step]
+            at_word = heads[x][:, None] + np.arange(2 * STRIDE)
+            inside = at_word < ends_of_doc[doc[x]][:, None]
+            hits = (space.telling[y[:, None], cells[np.minimum(at_word, len(flat) - 1)]] & inside).sum(axis=1)
+            good = hits >= space.need[y]
+            x, y = x[good], y[good]
+            yield from zip(doc[x].tolist(), number[x].tolist(), y.tolist(), close[i[lo : lo + step][good], y].tolist())
 
 
 def find_leaks(words: DataFrame, space: Space, cosine: float = COSINE) -> DataFrame:
@@ -268,7 +304,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     words = words_table(docs, id_col, text_col)
     df, n = document_frequency(words)
-    idf = np.log1p((n + 1) / (df + 1))
+    idf = np.log1p((n + 1) / (df + 1)) ** 2  # squared: in passages of common words the rare ones decide
     sketched = sketch(words, idf)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
     total = items.count()

@@ -55,3 +55,10 @@ def test_corpus_against_brute_force(spark):
     want = {(r.doc_id, i) for r in frame.collect() for i, t in items if t in flat(r.text)}
     found = {(r.doc_id, r.item_id) for r in dc.contamination(frame, bench).collect()}
     assert want and want <= found and len(found) <= 1.5 * len(want) + 3
+
+
+def test_hashes_follow_the_words():
+    texts = ["Été à l'École — fin…", None, "", "a b  A", "«mot» mot\0mot", "x" * 1000 + " y"]
+    flat, counts = dc.hash_words([t.replace("\0", " ") if t else t for t in texts])
+    assert counts.tolist() == [5, 0, 0, 3, 3, 2] and flat[5] == flat[7] and len({*flat[8:11].tolist()}) == 1
+    assert dc.word_hashes("école")[0] == flat[3]
