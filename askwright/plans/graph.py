@@ -1 +1,96 @@
-"""Queries (to be filled)."""
+"""Queries on near duplicates, groups and references."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from askwright.operators import graph as g
+from askwright.plans.base import query, table, values
+from askwright.plans.rank import tokens
+
+SETS = f"""tk AS (SELECT doc_id, {tokens('text')} AS t FROM documents),
+sh AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(t) <= 5 THEN [array_to_string(t, ' ')] ELSE list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' ')) END)) AS s FROM tk WHERE len(t) > 0),
+mem AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS rep FROM sh),
+reps AS (SELECT sh.doc_id, s FROM sh JOIN mem USING (doc_id) WHERE sh.doc_id = rep),
+x AS (SELECT doc_id, unnest(s) AS g FROM reps),
+co AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM x p JOIN x q ON p.g = q.g AND p.doc_id < q.doc_id GROUP BY 1, 2),
+pairs AS (SELECT a, b, c / (len(ra.s) + len(rb.s) - c) AS jaccard FROM co JOIN reps ra ON ra.doc_id = a JOIN reps rb ON rb.doc_id = b WHERE c / (len(ra.s) + len(rb.s) - c) >= 0.8)"""
+
+
+@query(f"WITH {SETS} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs")
+def shingle_jaccard(spark, d):
+    pairs, _ = g.similar_pairs(table(spark, d, "documents"), "doc_id", F.col("text"))
+    return pairs.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+COMP = f"""{SETS}, und AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+walk AS (SELECT DISTINCT a AS n, a AS r FROM und UNION SELECT und.b, walk.r FROM walk JOIN und ON und.a = walk.n),
+roots AS (SELECT n, min(r) AS root FROM walk GROUP BY n)"""
+
+
+@query(f"WITH RECURSIVE {COMP} SELECT doc_id AS doc, coalesce(root, rep) AS component FROM mem LEFT JOIN roots ON roots.n = mem.rep")
+def dup_components(spark, d):
+    pairs, members = g.similar_pairs(table(spark, d, "documents"), "doc_id", F.col("text"))
+    roots = g.components(pairs)
+    return members.join(roots, members["rep"] == roots["node"], "left").select("doc", F.coalesce("root", "rep").alias("component"))
+
+
+@query(f"""WITH RECURSIVE {COMP}, c AS (SELECT doc_id, coalesce(root, rep) AS grp FROM mem LEFT JOIN roots ON roots.n = mem.rep)
+SELECT grp, doc_id AS canonical FROM c JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, n_chars DESC, (doc_id % 2) DESC, doc_id) = 1""")
+def canonical_pick(spark, d):
+    docs = table(spark, d, "documents")
+    groups = dup_components(spark, d)
+    status = F.when(F.col("doc_id") % 3 == 0, "guided").when(F.col("doc_id") % 3 == 1, "citable").otherwise("info_only")
+    members = groups.join(docs, groups["doc"] == docs["doc_id"]).select(F.col("component").alias("grp"), F.col("doc_id").alias("fiche_id"), status.alias("status"), F.col("n_chars").alias("n_steps"), (F.col("doc_id") % 2).alias("numbered"))
+    return g.canonical_pick(members)
+
+
+FICHES = [
+    ("KB0001 - A", "KB0001 - A", 1, "Voir KB0002 et KB 77. Cet article annule et remplace KB0003.", "Lire KB0002 avant."),
+    ("KB0002 - B", "KB0002 - B", 2, "Remplacé par KB0004. kb-1 en détail.", ""),
+    ("KB0003 - C", "KB0003 - C", 3, "Rien.", ""),
+    ("KB0004 - D", "KB0004 - D", 4, "Citer KB0004 soi-même, KB0099 et KB0099.", "KB0099"),
+    ("KB0004 bis", "KB0004 bis", 4, "See KB0001.", ""),
+    ("sans numéro", "sans numéro", None, "KB0002 superseded by KB0001", "KB0002"),
+]
+SCHEMA = "fiche_id string, canonical string, number long, text string, prerequisite_text string"
+NUM = r"(?i)\bKB\s?[-_]?0*(\d{1,7})\b"
+CITED = f"""f AS (SELECT * FROM {values(FICHES, SCHEMA)}), h AS (SELECT DISTINCT number, canonical AS target FROM f WHERE number IS NOT NULL),
+c AS (SELECT DISTINCT fiche_id, canonical, number AS own, prerequisite_text, CAST(unnest(regexp_extract_all(text, '{NUM}', 1)) AS BIGINT) AS n FROM f)"""
+
+
+@query(f"SELECT fiche_id, CAST(coalesce(nullif(regexp_extract(fiche_id, '{NUM}', 1), ''), nullif(regexp_extract(canonical, '{NUM}', 1), '')) AS BIGINT) AS number FROM {values(FICHES, SCHEMA)}")
+def own_numbers(spark, d):
+    return spark.createDataFrame(FICHES, SCHEMA).select("fiche_id", g.own_numbers(F.col("fiche_id"), F.col("canonical")).alias("number"))
+
+
+@query(f"WITH {CITED} SELECT number, array_to_string(list_sort(list(DISTINCT canonical)), '|') AS holders FROM f WHERE number IS NOT NULL GROUP BY number HAVING count(DISTINCT canonical) > 1")
+def number_conflicts(spark, d):
+    return g.number_conflicts(spark.createDataFrame(FICHES, SCHEMA)).select("number", F.array_join("holders", "|").alias("holders"))
+
+
+@query(f"WITH {CITED} SELECT fiche_id, target, bool_or(list_contains(list_transform(regexp_extract_all(prerequisite_text, '{NUM}', 1), lambda x: CAST(x AS BIGINT)), n)) AS prerequisite FROM c JOIN h ON h.number = n WHERE (own IS NULL OR n <> own) AND target <> canonical GROUP BY fiche_id, target")
+def reference_edges(spark, d):
+    return g.references(spark.createDataFrame(FICHES, SCHEMA))[0]
+
+
+@query(f"WITH {CITED} SELECT DISTINCT fiche_id, n AS number FROM c WHERE (own IS NULL OR n <> own) AND n NOT IN (SELECT number FROM h)")
+def references_missing(spark, d):
+    return g.references(spark.createDataFrame(FICHES, SCHEMA))[1]
+
+
+@query(f"""WITH {CITED}, r AS (SELECT fiche_id, canonical, CAST(unnest(regexp_extract_all(text, '(?i)\\b(?:annule et remplace|remplace|replaces|supersedes)\\b[^.\\n]{{0,40}}?\\bKB\\s?[-_]?0*(\\d{{1,7}})\\b', 1)) AS BIGINT) AS n FROM f),
+b AS (SELECT fiche_id, canonical, CAST(unnest(regexp_extract_all(text, '(?i)(?:remplac[ée]e? par|obsol[eè]te[^.\\n]{{0,20}}?par|replaced by|superseded by)\\b[^.\\n]{{0,40}}?\\bKB\\s?[-_]?0*(\\d{{1,7}})\\b', 1)) AS BIGINT) AS n FROM f)
+SELECT target AS fiche, fiche_id AS superseded_by FROM r JOIN h ON h.number = n WHERE target <> canonical UNION SELECT fiche_id, target FROM b JOIN h ON h.number = n WHERE target <> canonical""")
+def replacement_edges(spark, d):
+    return g.replacements(spark.createDataFrame(FICHES, SCHEMA))
+
+
+LISTS = [(1, 1, "b"), (1, 2, "a"), (1, 3, "c"), (1, 4, "d"), (2, 1, "d"), (2, 2, "x")]
+
+
+@query(f"""WITH l AS (SELECT * FROM {values(LISTS, 'query int, ord int, fiche string')}), c AS (SELECT * FROM (VALUES ('b', 'a')) v(fiche, canonical)), s AS (SELECT * FROM (VALUES ('c', 'z'), ('c', 'd'), ('d', 'x'), ('a', 'q')) v(fiche, t))
+SELECT query, fiche, min(ord) AS ord FROM (SELECT query, ord, coalesce((SELECT min(t) FROM s WHERE s.fiche = k.f), k.f) AS fiche FROM (SELECT query, ord, coalesce(canonical, l.fiche) AS f FROM l LEFT JOIN c USING (fiche)) k) GROUP BY query, fiche""")
+def prune_order(spark, d):
+    rows = spark.createDataFrame(LISTS, "query int, ord int, fiche string")
+    return g.prune(rows, spark.createDataFrame([("b", "a")], "fiche string, canonical string"), spark.createDataFrame([("c", "z"), ("c", "d"), ("d", "x"), ("a", "q")], "fiche string, superseded_by string"))
