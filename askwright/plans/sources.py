@@ -1 +1,99 @@
-"""Queries (to be filled)."""
+"""Queries on extraction and segmentation over literal fixtures (the corpus tables hold no such text), and on scans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from askwright.functions import entities, segment, unicode_text
+from askwright.operators import extraction
+from askwright.plans.base import query, table, values
+
+SENTENCES = [
+    (1, "Erreur 0x80070005 puis -2147024891", ["err:0x80070005", "err:0x80070005"]),
+    (2, "KB0012345 et KB893803, INC0012345", ["kb:KB0012345", "update:KB893803", "ticket:INC0012345"]),
+    (3, "Microsoft Teams sous Windows 10, event id 4625", ["app:teams", "os:windows-10", "evt:4625"]),
+    (4, "Rien de technique", []),
+    (5, "Voir https://Example.COM/Aide/ puis ctrl + maj + esc", ["url:https://example.com/Aide", "key:ctrl+shift+esc"]),
+]
+TEXTS = [(i, t) for i, t, _ in SENTENCES]
+FOUND = [(i, n + 1, c) for i, _, cs in SENTENCES for n, c in enumerate(cs)]
+
+
+@query(f"SELECT * FROM {values(FOUND, 'id int, n int, canonical string')}")
+def entity_rows(spark, d):
+    rows = spark.createDataFrame(TEXTS, "id int, t string").select("id", F.posexplode(entities.extract_udf("t")).alias("n", "e"))
+    return rows.select("id", (F.col("n") + 1).alias("n"), "e.canonical")
+
+
+@query(rf"SELECT id, upper(unnest(regexp_extract_all(t, '0x([0-9a-fA-F]{{4,8}})\b', 1))) AS code FROM {values(TEXTS, 'id int, t string')}")
+def hex_codes(spark, d):
+    return spark.createDataFrame(TEXTS, "id int, t string").select("id", F.explode(extraction.hex_codes(F.col("t"))).alias("code"))
+
+
+@query(rf"SELECT id, substr(printf('%X', 4294967296 - CAST(unnest(regexp_extract_all(t, '(?:^|[^\w.])-(2\d{{9}})\b', 1)) AS BIGINT)), 1, 8) AS code FROM {values(TEXTS, 'id int, t string')}")
+def negative_codes(spark, d):
+    return spark.createDataFrame(TEXTS, "id int, t string").select("id", F.explode(extraction.negative_codes(F.col("t"))).alias("code"))
+
+
+VOCABULARY = [("outlook web",), ("outlook",), ("vpn",), ("é",), ("teams",)]
+ASKED = [(1, "Outlook Web ne marche pas"), (2, "VPN et Teams"), (3, "rien")]
+
+
+@query(f"SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY length(term) DESC, term) AS rank FROM {values(ASKED, 'id int, t string')}, {values(VOCABULARY, 'term string')} WHERE length(term) >= 2 AND contains(lower(strip_accents(t)), lower(strip_accents(term)))")
+def vocabulary_entities(spark, d):
+    return extraction.vocabulary_entities(spark.createDataFrame(ASKED, "id int, t string"), spark.createDataFrame(VOCABULARY, "term string"))
+
+
+PROPOSED = [(1, "Réseau", ["vpn", "wifi"], "le vpn est lent"), (2, "SAP", ["erp"], "rien"), (3, "Teams", ["visio", "réunion"], "Réunion Teams")]
+
+
+@query(f"SELECT id, canonical, array_to_string(kept, '|') AS aliases FROM (SELECT id, canonical, t, list_filter(aliases, lambda x: contains(lower(t), lower(x))) AS kept FROM {values(PROPOSED, 'id int, canonical string, aliases array<string>, t string')}) WHERE len(kept) > 0 OR contains(lower(t), lower(canonical))")
+def verified_aliases(spark, d):
+    return extraction.verified_aliases(spark.createDataFrame(PROPOSED, "id int, canonical string, aliases array<string>, t string"))
+
+
+SPANS = [(1, 0, 10, 5, 15), (2, 0, 10, 20, 30), (3, 0, 10, 0, 10), (4, 5, 5, 5, 5)]
+
+
+@query(f"SELECT id, round(CASE WHEN greatest(a1, b1) - least(a0, b0) > 0 THEN greatest(0, least(a1, b1) - greatest(a0, b0)) / (greatest(a1, b1) - least(a0, b0)) ELSE 0.0 END, 6) AS iou FROM {values(SPANS, 'id int, a0 int, a1 int, b0 int, b1 int')}")
+def hull_iou(spark, d):
+    r = spark.createDataFrame(SPANS, "id int, a0 int, a1 int, b0 int, b1 int")
+    return r.select("id", F.round(segment.hull_overlap(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")), 6).alias("iou"))
+
+
+ARTICLE = "# Symptôme\nRien\n# Résolution\n1. Cliquez ici\n   - Vérifiez le nom\n2. Si erreur, passez à l'étape 1\n# Si le problème persiste\n- Redémarrez"
+STEPS = [(1, "Cliquez ici", "action", 0, None), (2, "Vérifiez le nom", "check", 1, None), (3, "Si erreur, passez à l'étape 1", "action", 0, 1), (4, "Redémarrez", "action", 0, None)]
+
+
+@query(f"SELECT * FROM {values(STEPS, 'n int, step string, kind string, level int, goto int')}")
+def article_steps(spark, d):
+    return spark.createDataFrame([(ARTICLE,)], "t string").select(F.explode(segment.steps_udf("t")).alias("s")).select("s.n", F.col("s.text").alias("step"), "s.kind", "s.level", "s.goto")
+
+
+DECOMPOSED = [(1, 4, 4, 4), (2, 3, 5, 2), (3, 0, 0, 0), (4, 5, 5, 4)]
+
+
+@query(f"SELECT id, round(a, 6) AS agreement, CASE WHEN n1 = 0 THEN 'info_only' WHEN a >= 0.8 THEN 'guided' ELSE 'citable' END AS status FROM (SELECT *, CASE WHEN n1 + n2 > 0 THEN 2 * m / (n1 + n2) ELSE 0.0 END AS a FROM {values(DECOMPOSED, 'id int, n1 int, n2 int, m int')})")
+def decomposition_status(spark, d):
+    a = segment.agreement(F.col("m"), F.col("n1"), F.col("n2"))
+    return spark.createDataFrame(DECOMPOSED, "id int, n1 int, n2 int, m int").select("id", F.round(a, 6).alias("agreement"), segment.status(F.col("n1"), F.when(a >= 0.8, "high").otherwise("low")).alias("status"))
+
+
+@query()
+def cleaned_pages(spark, d):
+    """HTML pages as text: entity decoding is no SQL; tests hold it against golden texts."""
+    return table(spark, d, "pages").select("page_id", F.length(unicode_text.clean_text_udf("html")).alias("chars"))
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS host FROM pages")
+def url_parts(spark, d):
+    return table(spark, d, "pages").select("page_id", F.lower(F.parse_url("url", F.lit("PROTOCOL"))).alias("scheme"), F.lower(F.parse_url("url", F.lit("HOST"))).alias("host"))
+
+
+FILES = [("a/x.MP4", 1), ("b/y.wav", 2), ("c/z.pdf", 3), ("folder/", 4), ("a/x.mp4", 5), ("d/w.mp3", 6)]
+DONE = [("b/y.wav",)]
+
+
+@query(f"SELECT name, CASE WHEN e IN ('mp3', 'wav', 'm4a') THEN 'audio' WHEN e IN ('mp4', 'mov', 'avi') THEN 'video' ELSE 'other' END AS kind FROM (SELECT name, lower(regexp_extract(name, '\\.([^./]+)$', 1)) AS e FROM {values(FILES, 'name string, n int')} WHERE NOT ends_with(name, '/')) WHERE name NOT IN (SELECT name FROM {values(DONE, 'name string')})")
+def copy_routes(spark, d):
+    return extraction.copy_routes(spark.createDataFrame(FILES, "name string, n int"), spark.createDataFrame(DONE, "name string"))
