@@ -104,11 +104,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def rank_entries(queries: DataFrame, entries: DataFrame) -> DataFrame:
-    """Best entry of each (query, fiche): score rounded to 6, the lowest entry of equal ones.
+def rank_entries(queries: DataFrame, entries: DataFrame, block: int = 1000) -> DataFrame:
+    """Best entry of each (query, fiche), itself left out: score rounded to 6, the lowest entry of equal ones.
 
-    queries: query, vector (a stated, bounded set: it is broadcast in one block); entries: entry, fiche, vector.
+    queries: query, own, vector, a stated set that meets all entries in blocks; a block of `block` queries is what is
+    broadcast at a time, whatever their number.  entries: entry, fiche, vector.
     """
-    scored = entries.crossJoin(F.broadcast(queries.withColumnRenamed("vector", "asked"))).select("query", "fiche", "entry", F.round(dot(F.col("asked"), F.col("vector")), 6).alias("score"))
-    best = scored.groupBy("query", "fiche").agg(F.max(F.struct("score", (-F.col("entry")).alias("e"))).alias("m"))
-    return best.select("query", "fiche", F.col("m.score").alias("score"), (-F.col("m.e")).alias("entry"))
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for k in range(blocks):
+        some = F.broadcast(queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k).withColumnRenamed("vector", "asked"))
+        scored = entries.join(some, some["query"] != entries["entry"]).select("query", "own", "fiche", "entry", F.round(dot(F.col("asked"), F.col("vector")), 6).alias("score"))
+        best = scored.groupBy("query", "own", "fiche").agg(F.max(F.struct("score", (-F.col("entry")).alias("e"))).alias("m"))
+        best = best.select("query", "own", "fiche", F.col("m.score").alias("score"), (-F.col("m.e")).alias("entry"))
+        out = best if out is None else out.unionByName(best)
+    return out

@@ -59,9 +59,9 @@ CITED = f"""f AS (SELECT * FROM {values(FICHES, SCHEMA)}), h AS (SELECT DISTINCT
 c AS (SELECT DISTINCT fiche_id, canonical, number AS own, prerequisite_text, CAST(unnest(regexp_extract_all(text, '{NUM}', 1)) AS BIGINT) AS n FROM f)"""
 
 
-@query(f"SELECT fiche_id, CAST(coalesce(nullif(regexp_extract(fiche_id, '{NUM}', 1), ''), nullif(regexp_extract(canonical, '{NUM}', 1), '')) AS BIGINT) AS number FROM {values(FICHES, SCHEMA)}")
+@query(f"SELECT fiche_id, CAST(coalesce(nullif(regexp_extract(fiche_id, '{NUM}', 1), ''), nullif(regexp_extract(canonical, '{NUM}', 1), ''), '-1') AS BIGINT) AS number FROM {values(FICHES, SCHEMA)}")
 def own_numbers(spark, d):
-    return spark.createDataFrame(FICHES, SCHEMA).select("fiche_id", g.own_numbers(F.col("fiche_id"), F.col("canonical")).alias("number"))
+    return spark.createDataFrame(FICHES, SCHEMA).select("fiche_id", F.coalesce(g.own_numbers(F.col("fiche_id"), F.col("canonical")), F.lit(-1)).alias("number"))
 
 
 @query(f"WITH {CITED} SELECT number, array_to_string(list_sort(list(DISTINCT canonical)), '|') AS holders FROM f WHERE number IS NOT NULL GROUP BY number HAVING count(DISTINCT canonical) > 1")

@@ -123,13 +123,9 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, fiche
 
 
 def vector_scores(spark, d):
-    vectors = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("fiche"), r.unit(F.col("embedding")).alias("vector"))
-    asked = vectors.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query"), F.col("fiche").alias("own"), F.col("vector").alias("asked"))
-    # the stated query set (one in twenty) meets the entries in blocks: the smaller side is broadcast block by block
-    scored = vectors.join(asked, asked["query"] != vectors["vec_id"]).select("query", "own", "fiche", F.col("vec_id").alias("entry"), F.round(r.dot(F.col("asked"), F.col("vector")), 6).alias("score"))
-    best = scored.groupBy("query", "own", "fiche").agg(F.max(F.struct("score", (-F.col("entry")).alias("e"))).alias("m"))
-    best = best.select("query", "own", "fiche", F.col("m.score").alias("score"), (-F.col("m.e")).alias("entry"))
-    return r.top_k(best.withColumn("doc", F.col("fiche")), 1_000_000)
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("entry"), F.col("label").alias("fiche"), r.unit(F.col("embedding")).alias("vector"))
+    asked = vectors.where(F.col("entry") % 20 == 0).select(F.col("entry").alias("query"), F.col("fiche").alias("own"), "vector")
+    return r.top_k(r.rank_entries(asked, vectors).withColumn("doc", F.col("fiche")), 1_000_000)
 
 
 @query(f"WITH {VECTORS} SELECT query, fiche, entry, score, rank FROM k WHERE rank <= 5")

@@ -62,12 +62,12 @@ def hull_iou(spark, d):
 
 
 ARTICLE = "# Symptôme\nRien\n# Résolution\n1. Cliquez ici\n   - Vérifiez le nom\n2. Si erreur, passez à l'étape 1\n# Si le problème persiste\n- Redémarrez"
-STEPS = [(1, "Cliquez ici", "action", 0, None), (2, "Vérifiez le nom", "check", 1, None), (3, "Si erreur, passez à l'étape 1", "action", 0, 1), (4, "Redémarrez", "action", 0, None)]
+STEPS = [(1, "Cliquez ici", "action", 0, -1), (2, "Vérifiez le nom", "check", 1, -1), (3, "Si erreur, passez à l'étape 1", "action", 0, 1), (4, "Redémarrez", "action", 0, -1)]
 
 
 @query(f"SELECT * FROM {values(STEPS, 'n int, step string, kind string, level int, goto int')}")
 def article_steps(spark, d):
-    return spark.createDataFrame([(ARTICLE,)], "t string").select(F.explode(segment.steps_udf("t")).alias("s")).select("s.n", F.col("s.text").alias("step"), "s.kind", "s.level", "s.goto")
+    return spark.createDataFrame([(ARTICLE,)], "t string").select(F.explode(segment.steps_udf("t")).alias("s")).select("s.n", F.col("s.text").alias("step"), "s.kind", "s.level", F.coalesce("s.goto", F.lit(-1)).alias("goto"))
 
 
 DECOMPOSED = [(1, 4, 4, 4), (2, 3, 5, 2), (3, 0, 0, 0), (4, 5, 5, 4)]
