@@ -92,17 +92,19 @@ def _arrays(batch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summed(parts: DataFrame, size: int) -> np.ndarray:
-    """Sum of float32 arrays, over salted groups first: no task gathers the arrays of all others."""
+    """Sum of float32 arrays, one a task, numbered by salt: sixteen at a time, level by level, so that no task, and not the
+    driver, holds more than sixteen whatever their number."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(size, np.float64)
         for x in rows["sums"]:
             total += np.frombuffer(x, np.float32)
-        return pd.DataFrame({"salt": [int(rows["salt"].iloc[0]) // 16], "sums": [total.astype(np.float32).tobytes()]})
+        return pd.DataFrame({"salt": [int(rows["salt"].iloc[0])], "sums": [total.astype(np.float32).tobytes()]})
 
-    found = parts
-    for _ in range(2):
-        found = found.groupBy("salt").applyInPandas(lambda p: add(p[["salt", "sums"]]), "salt int, sums binary")
+    found, groups = parts, parts.rdd.getNumPartitions()
+    while groups > 4:
+        groups = -(-groups // 16)
+        found = found.withColumn("salt", F.floor(F.col("salt") / 16).cast("int")).groupBy("salt").applyInPandas(lambda p: add(p[["salt", "sums"]]), "salt int, sums binary")
     total = np.zeros(size, np.float64)
     for row in found.toLocalIterator():
         total += np.frombuffer(row["sums"], np.float32)
@@ -123,7 +125,7 @@ def document_frequency(words: DataFrame) -> tuple[np.ndarray, int]:
                 sums[:CELLS] += seen.sum(axis=0)
                 n += len(counts)
         sums[CELLS] = n
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 256], pa.int32()), pa.array([sums.astype(np.float32).tobytes()])], ["salt", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sums.astype(np.float32).tobytes()])], ["salt", "sums"])
 
     total = _summed(words.mapInArrow(run, "salt int, sums binary"), CELLS + 1)
     return total[:CELLS], int(total[CELLS])
@@ -157,7 +159,7 @@ def sketch(words: DataFrame, idf: np.ndarray) -> np.ndarray:
                 row, sign = (mix % np.uint64(SKETCH)).astype(np.int64), np.where(mix >> np.uint64(30) & np.uint64(1), 1.0, -1.0)
                 cell = (flat & (CELLS - 1)).astype(np.int64)
                 sums += np.bincount(row[block] * CELLS + cell, sign[block] * idf[cell], minlength=SKETCH * CELLS)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 256], pa.int32()), pa.array([sums.astype(np.float32).tobytes()])], ["salt", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sums.astype(np.float32).tobytes()])], ["salt", "sums"])
 
     return _summed(words.mapInArrow(run, "salt int, sums binary"), SKETCH * CELLS).reshape(SKETCH, CELLS)
 
