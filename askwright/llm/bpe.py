@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from askwright.llm.common import materialize_bucketed, partitions, slices
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Fixed value: the characters with the property White_Space.
 WHITE = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 

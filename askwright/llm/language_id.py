@@ -21,7 +21,7 @@ CELLS = 1 << 16  # hashed n-grams of a language
 SWITCH = 9.0  # nats that a change of language costs
 SMOOTH = 0.5
 SCRIPT_SHARE = 0.01  # a language is a candidate for a script that holds this share of its training letters
-SLICE = 6 << 20
+SLICE = 2 << 20
 #: First code point and name of the script ranges (letters of other blocks count as "other").
 SCRIPTS = [
     (0x0000, "latin"), (0x0250, "other"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
