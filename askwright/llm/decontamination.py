@@ -3,10 +3,11 @@
 1. Every document becomes the hashes of its words (a written table that all later passes read).
 2. Document frequencies, then a randomised SVD: the TF-IDF passages of all documents are sketched by random signs into a
    few rows (a count sketch, summed over tasks), and the right singular vectors of sketch and benchmark span the latent space.
-3. Passages (two blocks of STRIDE words, each block in two passages) whose latent cosine with an item is high are candidates.
+3. Items are cut into pieces of a passage's length at most.  A passage (two blocks of STRIDE words, each block in two
+   passages) is a candidate if it holds enough of a piece's telling words, or some of them and its latent cosine is high.
 4. A candidate is a leak where the longest common subsequence covers enough of the item and its telling words, the
    answer among them, are there.
-The benchmark is a stated query set: it is read in blocks of BLOCK items, each held against all documents.
+The benchmark is a stated query set: it is read in blocks of about BLOCK pieces, each held against all documents.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ SKETCH = 64
 RANK = 64
 STRIDE = 16
 BLOCK = 1024
-COSINE = 0.4
+COSINE = 0.4  # of a piece that fills a passage; a shorter piece's falls with the root of its length
 LCS = 0.6
 ANSWER = 0.6
 TELLING = 0.25  # words of this share of the item's highest weight tell it, its answer, apart
-NEAR = 0.2  # share of the telling words that a candidate passage itself holds
+NEAR = 0.2  # share of a piece's telling words that a candidate passage itself holds
 SHORT = 8  # an item of fewer words leaks only as a whole
 WORD = re.compile(r"[^\W_]+")
 
@@ -175,25 +176,42 @@ class Item:
 @dataclass
 class Space:
     terms: np.ndarray  # CELLS x rank, idf times the right singular vectors
-    items: np.ndarray  # items x rank, unit rows
-    telling: np.ndarray  # items x CELLS: cells of the telling words
-    need: np.ndarray  # of them, how many a candidate passage holds at least
-    known: list[Item]
-
-
-def build_space(items: list[tuple[int, np.ndarray]], sketched: np.ndarray, idf: np.ndarray, rank: int = RANK) -> Space:
-    q = np.zeros((len(items), CELLS), np.float32)
-    known = []
-    for i, (item_id, words) in enumerate(items):
-        cell = words & (CELLS - 1)
-        np.add.at(q[i], cell, idf[cell])
+    pieces: np.ndarray  # pieces x rank, unit rows
+    cosine: np.ndarray  # of each piece, the least latent cosine of a candidate passage
+    first: np.ndarray  # CELLS + 1: where each cell's pieces begin in told
+    told: np.ndarray  # the pieces that each cell's words tell
+    need: np.ndarray  # of a piece's telling words, how many a candidate passage holds at least
+    sure: np.ndarray  # how many make it a candidate whatever its cosine
+    known: list[Item]  # of each piece its item
+
+
+def cut(items: list[tuple[int, np.ndarray]], idf: np.ndarray) -> list[tuple[Item, np.ndarray]]:
+    """The items' pieces: even parts of two blocks at most, so that two neighbouring passages cover a copied piece, and the
+    whole of longer items."""
+    found = []
+    for item_id, words in items:
         masks: dict[int, int] = {}
         for at, w in enumerate(words.tolist()):
             masks[w] = masks.get(w, 0) | 1 << at
         rare = sorted(masks, key=lambda w: (-idf[w & (CELLS - 1)], w))
         worth = [idf[w & (CELLS - 1)] for w in rare]
         telling = sum(x >= TELLING * worth[0] for x in worth)
-        known.append(Item(item_id, len(words), masks, frozenset(rare[: max(3, telling)])))
+        item = Item(item_id, len(words), masks, frozenset(rare[: max(3, telling)]))
+        parts = np.array_split(words, -(-len(words) // (2 * STRIDE)))
+        whole = [words] if len(parts) > 1 else []  # a passage may hold a little of each part
+        found += [(item, x) for x in parts + whole if item.telling.intersection(x.tolist())]
+    return found
+
+
+def build_space(pieces: list[tuple[Item, np.ndarray]], sketched: np.ndarray, idf: np.ndarray, rank: int = RANK) -> Space:
+    q = np.zeros((len(pieces), CELLS), np.float32)
+    pairs, holds, sizes = [], [], np.array([len(words) for _, words in pieces])
+    for i, (item, words) in enumerate(pieces):
+        cell = words & (CELLS - 1)
+        np.add.at(q[i], cell, idf[cell])
+        telling = item.telling.intersection(words.tolist())
+        holds.append(len(telling))
+        pairs += [(w & (CELLS - 1), i) for w in telling]
     unit = lambda m: m / max(1e-12, float(np.linalg.norm(m)))
     rows = np.vstack([unit(sketched), unit(q)]).astype(np.float64)
     values, vectors = np.linalg.eigh(rows @ rows.T)
@@ -202,11 +220,20 @@ def build_space(items: list[tuple[int, np.ndarray]], sketched: np.ndarray, idf:
     v = rows.T @ vectors[:, keep] / np.sqrt(values[keep])
     latent = q @ v
     latent /= np.maximum(1e-12, np.linalg.norm(latent, axis=1, keepdims=True))
-    telling = np.zeros((len(items), CELLS), bool)
-    for i, item in enumerate(known):
-        telling[i, np.fromiter(item.telling, np.int64, len(item.telling)) & (CELLS - 1)] = True
-    need = np.maximum(1, np.ceil(NEAR * np.array([len(x.telling) for x in known]))).astype(np.int64)
-    return Space((idf[:, None] * v).astype(np.float32), latent.astype(np.float32), telling, need, known)
+    cells, told = np.array(sorted(set(pairs)), np.int64).T
+    # a copied piece of STRIDE words lies in one passage; of a longer one, one of two passages holds half of what was kept
+    share = np.where(sizes <= STRIDE, ANSWER, ANSWER / 2)
+    least = lambda x: np.maximum(1, np.ceil(x * np.array(holds) - 1e-9)).astype(np.int64)
+    return Space(
+        (idf[:, None] * v).astype(np.float32),
+        latent.astype(np.float32),
+        (COSINE * np.sqrt(np.minimum(1, sizes / (2 * STRIDE)))).astype(np.float32),
+        np.searchsorted(cells, np.arange(CELLS + 1)),
+        told,
+        least(NEAR),
+        least(share),
+        [item for item, _ in pieces],
+    )
 
 
 def lcs(masks: dict[int, int], size: int, words: list[int]) -> int:
@@ -235,13 +262,13 @@ def verify(item: Item, words: np.ndarray, near: int) -> tuple[float, float] | No
     return share, told
 
 
-def candidates(flat: np.ndarray, counts: np.ndarray, space: Space, cosine: float):
-    """Yield (document, its block, item, cosine) of a slice: passages near to an item that hold some of its telling words."""
+def candidates(flat: np.ndarray, counts: np.ndarray, space: Space):
+    """Yield (document, its block, piece, cosine) of a slice: passages that hold enough of a piece's telling words, or some
+    of them and are near to it."""
     if not len(flat):
         return
     block, doc, _ = _blocks(counts)
     cells = (flat & (CELLS - 1)).astype(np.int64)
-    ends_of_doc = np.cumsum(counts)
     sums = np.empty((len(doc), space.terms.shape[1]), np.float32)
     heads = np.flatnonzero(np.diff(block, prepend=-1))
     step = 1 << 13  # blocks at a time: their words' rows are held at once
@@ -251,27 +278,29 @@ def candidates(flat: np.ndarray, counts: np.ndarray, space: Space, cosine: float
         sums[at : at + step] = np.add.reduceat(space.terms[cells[lo:hi]], heads[at : at + step] - lo, axis=0)
     first = np.concatenate([[True], doc[1:] != doc[:-1]])
     last = np.concatenate([first[1:], [True]])
-    paired = sums.copy()
-    paired[:-1][~last[:-1]] += sums[1:][~last[:-1]]
+    sums[:-1][~last[:-1]] += sums[1:][~last[:-1]]  # of a passage: the block's and the next one's, which is not yet changed
     number = np.arange(len(doc)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-    keep = np.flatnonzero(~last | first)  # a last block is in the passage before, if there is one
-    for at in range(0, len(keep), step):
-        some = keep[at : at + step]
-        p = paired[some]
-        p /= np.maximum(1e-12, np.linalg.norm(p, axis=1, keepdims=True))
-        close = p @ space.items.T
-        i, j = np.nonzero(close >= cosine)
-        for lo in range(0, len(i), step):
-            x, y = some[i[lo : lo + step]], j[lo : lo + step]
-            at_word = heads[x][:, None] + np.arange(2 * STRIDE)
-            inside = at_word < ends_of_doc[doc[x]][:, None]
-            hits = (space.telling[y[:, None], cells[np.minimum(at_word, len(flat) - 1)]] & inside).sum(axis=1)
-            good = hits >= space.need[y]
-            x, y = x[good], y[good]
-            yield from zip(doc[x].tolist(), number[x].tolist(), y.tolist(), close[i[lo : lo + step][good], y].tolist())
-
-
-def find_leaks(words: DataFrame, space: Space, cosine: float = COSINE) -> DataFrame:
+    keep = ~last | first  # a last block is in the passage before, if there is one
+    pieces = len(space.known)
+    step = max(16, (1 << 21) // pieces)  # blocks at a time: each has a count for each piece
+    for at in range(0, len(doc), step):
+        stop = min(at + step, len(doc))
+        over = min(stop + 1, len(doc))  # the last passage's second block
+        lo, hi = heads[at], ends[over - 1]
+        begin = space.first[cells[lo:hi]]
+        many = space.first[cells[lo:hi] + 1] - begin
+        said = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        hits = np.bincount(np.repeat(block[lo:hi] - at, many) * pieces + space.told[said], minlength=(over - at) * pieces).reshape(over - at, pieces)
+        inner = np.flatnonzero(~last[at : over - 1])
+        hits[inner] += hits[inner + 1]
+        p = sums[at:stop]
+        close = (p / np.maximum(1e-12, np.linalg.norm(p, axis=1, keepdims=True))) @ space.pieces.T
+        hits = hits[: stop - at]
+        i, j = np.nonzero((hits >= space.need) & ((hits >= space.sure) | (close >= space.cosine)) & keep[at:stop, None])
+        yield from zip(doc[at + i].tolist(), number[at + i].tolist(), j.tolist(), close[i, j].tolist())
+
+
+def find_leaks(words: DataFrame, space: Space) -> DataFrame:
     held = words.sparkSession.sparkContext.broadcast(space)
 
     def run(batches):
@@ -282,13 +311,16 @@ def find_leaks(words: DataFrame, space: Space, cosine: float = COSINE) -> DataFr
                 begins = np.cumsum(counts) - counts
                 ids = part.column(0).to_pylist()
                 best: dict = {}
-                for d, near, k, close in candidates(flat, counts, space, cosine):
-                    mine = flat[begins[d] : begins[d] + counts[d]]
-                    if (found := verify(space.known[k], mine, near)) is not None:
-                        key, value = (d, k), (found[0], found[1], close, -near)
+                tried: dict = {}
+                for d, near, k, close in candidates(flat, counts, space):
+                    item = space.known[k]
+                    if (d, near, id(item)) not in tried:  # an item's pieces share what is around a passage
+                        tried[d, near, id(item)] = verify(item, flat[begins[d] : begins[d] + counts[d]], near)
+                    if (found := tried[d, near, id(item)]) is not None:
+                        key, value = (d, item.item_id), (found[0], found[1], close, -near)
                         best[key] = max(best.get(key, value), value)
                 if best:
-                    rows = [(ids[d], space.known[k].item_id, v[0], v[1], v[2], -v[3] * STRIDE) for (d, k), v in best.items()]
+                    rows = [(ids[d], item_id, v[0], v[1], v[2], -v[3] * STRIDE) for (d, item_id), v in best.items()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()])],
                         ["id", "item_id", "lcs", "answer", "cosine", "word"],
@@ -315,8 +347,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for b in range(blocks):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect() if total else []
         read = [(i, w) for i, t in sorted(some, key=str) if len(w := word_hashes(t))]
-        if read:
-            found = find_leaks(words, build_space(read, sketched, idf))
+        pieces = cut(read, idf)
+        for at in range(0, len(pieces), BLOCK):
+            found = find_leaks(words, build_space(pieces[at : at + BLOCK], sketched, idf))
             leaks = found if leaks is None else leaks.unionByName(found)
     if leaks is None:
         leaks = words.select("id", F.lit(0).cast("long").alias("item_id"), *[F.lit(0.0).alias(c) for c in ("lcs", "answer", "cosine")], F.lit(0).cast("long").alias("word")).where("false")

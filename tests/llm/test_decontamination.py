@@ -62,3 +62,32 @@ def test_hashes_follow_the_words():
     flat, counts = dc.hash_words([t.replace("\0", " ") if t else t for t in texts])
     assert counts.tolist() == [5, 0, 0, 3, 3, 2] and flat[5] == flat[7] and len({*flat[8:11].tolist()}) == 1
     assert dc.word_hashes("école")[0] == flat[3]
+
+
+def test_items_of_any_length_against_brute_force(spark):
+    """No leak that the checks of step 4, tried at every passage, accept is lost for want of a candidate."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(5000)] + ["the", "of", "and"] * 500
+    prose = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = [(n, prose(n)) for n in (5, 7, 9, 12, 16, 17, 24, 32, 33, 40, 64, 100, 160, 200, 250, 320, 400, 500)]
+    docs, copied = [], set()
+    for n, text in items:
+        for every in (0, 0, 8, 5, 4, 3):  # word for word, or a word in so many is another
+            words = [f"other{j}" if every and j % every == 0 else w for j, w in enumerate(text.split())]
+            if not every:
+                copied.add((len(docs), n))
+            docs.append((len(docs), f"{prose(int(rng.integers(0, 300)))}\n{' '.join(words)}.\n{prose(int(rng.integers(0, 300)))}"))
+        words = [f"{w} filler{j}" if j % 3 == 0 else w for j, w in enumerate(text.split())]  # a word more after each third
+        docs.append((len(docs), f"{prose(int(rng.integers(0, 300)))}\n{' '.join(words)}.\n{prose(int(rng.integers(0, 300)))}"))
+    docs += [(1000 + i, prose(200)) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    found = {(r.doc_id, r.item_id) for r in dc.contamination(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    n_docs = {}
+    hashed = [(i, dc.word_hashes(t)) for i, t in docs]
+    for _, words in hashed:
+        for cell in np.unique(words & (dc.CELLS - 1)):
+            n_docs[cell] = n_docs.get(cell, 0) + 1
+    idf = np.log1p((len(docs) + 1) / (np.array([n_docs.get(c, 0) for c in range(dc.CELLS)]) + 1)) ** 2
+    known = {x.item_id: x for x, _ in dc.cut([(i, dc.word_hashes(t)) for i, t in items], idf)}
+    want = {(d, i) for d, words in hashed for i, item in known.items() if any(dc.verify(item, words, near) for near in range(-(-len(words) // dc.STRIDE)))}
+    assert copied <= want and len(want) > 100 and found == want
