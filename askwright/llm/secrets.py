@@ -32,6 +32,10 @@ ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U000[0-9A-Fa-f]{5}|\\U0010[0-9A-F
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX, LEAST_BASE64 = 6, 20, 24, 16
 #: A compressed layer that grows beyond this is reported as a finding of its own ("oversize"), not unpacked.
 MOST_UNPACKED = 32 << 20
+MOST_MEMORY, MOST_WINDOW = 1 << 28, 1 << 27  # so is one whose unpacking needs more
+#: Runs of base64 characters with nothing but line ends (also written ones, as in JSON) and indents between them.
+WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r?\n|\r|(?:\\r)?\\n)[ \t>]*+[A-Za-z0-9+/_-]++)+")
+LINE = re.compile(rb"[ \t]*(?:\r?\n|\r|(?:\\r)?\\n)[ \t>]*")
 
 
 def _mask(chars: bytes) -> np.ndarray:
@@ -141,25 +145,52 @@ def _unicode(escape: str) -> str | None:
     return _point(int(escape[2:], 16))
 
 
+def _members(make, data: bytes) -> bytes:
+    """The content of all members of a compressed stream, up to a byte more than MOST_UNPACKED; what follows the last whole
+    or broken member is not part of it."""
+    parts, room = [], MOST_UNPACKED + 1
+    while data and room > 0:
+        unpack = make()
+        try:
+            got = unpack.decompress(data, room)
+        except (zlib.error, OSError, EOFError, lzma.LZMAError) as e:
+            if not parts or "emory" in str(e):
+                raise
+            break
+        parts.append(got)
+        room -= len(got)
+        data = unpack.unused_data.lstrip(b"\0")  # padding between members
+    return b"".join(parts)
+
+
 def _inflate(data: bytes) -> tuple[str, bytes | None] | None:
-    """(form, content) of compressed bytes, content None beyond MOST_UNPACKED; None if they are not compressed."""
+    """(form, content) of compressed bytes, content None beyond MOST_UNPACKED or the memory limit; None if they are not
+    compressed."""
+    form = ""
     try:
         if data[:2] == b"\x1f\x8b" or len(data) > 6 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0:
-            unpack = zlib.decompressobj(47)
-            content = unpack.decompress(data, MOST_UNPACKED + 1)
-            return "zlib", content if len(content) <= MOST_UNPACKED else None
-        if data[:3] == b"BZh":
-            content = bz2.BZ2Decompressor().decompress(data, MOST_UNPACKED + 1)
-            return "bz2", content if len(content) <= MOST_UNPACKED else None
-        if data[:6] == b"\xfd7zXZ\0":
-            content = lzma.LZMADecompressor(memlimit=1 << 28).decompress(data, MOST_UNPACKED + 1)
-            return "xz", content if len(content) <= MOST_UNPACKED else None
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            content = zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(data).read(MOST_UNPACKED + 1)
-            return "zstd", content if len(content) <= MOST_UNPACKED else None
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
-        pass
-    return None
+            form, content = "zlib", _members(lambda: zlib.decompressobj(47), data)
+        elif data[:3] == b"BZh":
+            form, content = "bz2", _members(bz2.BZ2Decompressor, data)
+        elif data[:6] == b"\xfd7zXZ\0":
+            form = "xz"
+            content = _members(lambda: lzma.LZMADecompressor(memlimit=MOST_MEMORY), data)
+        elif data[:4] == b"\x28\xb5\x2f\xfd":
+            form, parts, room = "zstd", [], MOST_UNPACKED + 1
+            with zstandard.ZstdDecompressor(max_window_size=MOST_WINDOW).stream_reader(data, read_across_frames=True) as reader:
+                try:
+                    while room > 0 and (got := reader.read(min(room, 1 << 20))):
+                        parts.append(got)
+                        room -= len(got)
+                except zstandard.ZstdError as e:
+                    if not parts or "memory" in str(e):
+                        raise
+            content = b"".join(parts)
+        else:
+            return None
+        return form, content if len(content) <= MOST_UNPACKED else None
+    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError) as e:
+        return (form, None) if form in ("xz", "zstd") and "emory" in str(e) else None
 
 
 def _unwrap(data: bytes) -> tuple[tuple, str | None] | None:
@@ -183,10 +214,40 @@ def _unwrap(data: bytes) -> tuple[tuple, str | None] | None:
     return tuple(forms), text
 
 
+def _tokens(layer: _Layer):
+    """Yield (begin, end, characters) of base64 runs: single ones, and the lines of wrapped ones together."""
+    for a, b in _runs(layer.bytes, _BASE64, LEAST_BASE64):
+        yield a, b, layer.raw[a:b]
+    if b"\n" not in layer.raw and b"\r" not in layer.raw and b"\\n" not in layer.raw:
+        return
+    for m in WRAPPED.finditer(layer.raw):
+        if m.end() - m.start() < LEAST_BASE64:
+            continue
+        lines, at = [], m.start()
+        for gap in LINE.finditer(layer.raw, m.start(), m.end()):
+            lines.append((at, gap.start()))
+            at = gap.end()
+        lines.append((at, m.end()))
+        n = len(lines)
+        # a word of the text before or after may stand at the first or last line's place
+        blocks = {(0, n), (1, n), (0, n - 1), (1, n - 1)}
+        first = 0
+        for i in range(1, n):  # lines of one length, and a last one that is no longer
+            long, this = lines[first][1] - lines[first][0], lines[i][1] - lines[i][0]
+            if this != long:
+                blocks |= {(first, i), (first, i + 1)} if this < long else {(first, i)}
+                first = i
+        blocks.add((first, n))
+        for i, j in sorted(blocks):
+            if j - i > 1:
+                token = b"".join(layer.raw[x:y] for x, y in lines[i:j])
+                if len(token) >= LEAST_BASE64:
+                    yield lines[i][0], lines[j - 1][1], token
+
+
 def _base64(layer: _Layer):
     """Yield the layers behind base64 runs, and the spans of those that grow too large."""
-    for a, b in _runs(layer.bytes, _BASE64, LEAST_BASE64):
-        token = layer.raw[a:b]
+    for a, b, token in _tokens(layer):
         if b"-" in token or b"_" in token:
             token = token.replace(b"-", b"+").replace(b"_", b"/")
         token = token[: len(token) - (len(token) % 4 == 1)]
