@@ -108,7 +108,8 @@ SIGNATURES = [
     ("mit-0", 1, "mit no attribution", "mit no attribution(?: licen[cs]e)?"),
     ("isc", 2, "isc licen", "isc licen[cs]e"),
     ("isc", 1, "permission to use copy modify", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd-2-clause", 1, "bsd", "(?:2|two) clause bsd(?: licen[cs]e)?|bsd (?:2|two) clause(?: licen[cs]e)?|simplified bsd licen[cs]e|freebsd licen[cs]e"),
+    ("bsd-2-clause", 1, "bsd", "(?:2|two) clause bsd(?: licen[cs]e)?|bsd (?:2|two) clause(?: licen[cs]e)?|simplified bsd licen[cs]e"),
+    ("bsd-2-clause", 1, "freebsd licen", "freebsd licen[cs]e"),
     ("bsd-3-clause", 1, "bsd", "(?:3|three) clause bsd(?: licen[cs]e)?|bsd (?:3|three) clause(?: licen[cs]e)?|(?:new|modified|revised) bsd licen[cs]e"),
     ("bsd-4-clause", 1, "bsd", "(?:4|four) clause bsd(?: licen[cs]e)?|bsd (?:4|four) clause(?: licen[cs]e)?|original bsd licen[cs]e"),
     ("0bsd", 1, "bsd", "(?:0|zero) clause bsd(?: licen[cs]e)?|bsd (?:0|zero) clause(?: licen[cs]e)?"),
@@ -125,7 +126,8 @@ SIGNATURES = [
     ("public-domain", 3, "public domain", "public domain"),
     ("wtfpl", 1, "wtfpl", "wtfpl"),
     ("wtfpl", 1, "do what the", r"do what the \S+ you want to public licen[cs]e"),
-    ("zlib", 2, "zlib licen", "(?:the )?zlib (?:libpng )?licen[cs]e"),
+    ("zlib", 2, "zlib licen", "(?:the )?zlib licen[cs]e"),
+    ("zlib", 2, "zlib libpng", "(?:the )?zlib libpng licen[cs]e"),
     ("zlib", 1, "in no event will the authors", "in no event will the authors be held liable for any damages arising from the use of this software"),
     ("libpng", 2, "libpng licen", "libpng licen[cs]e"),
     ("openssl", 2, "openssl licen", "openssl licen[cs]e"),
@@ -168,7 +170,8 @@ SIGNATURES = [
     ("no-warranty", 3, "as is", "provided as is|on an as is basis"),
     ("lizenz", 3, "lizenziert", "lizenziert unter(?: der| den| dem)?"),
     ("reserved", 2, "rechte vorbehalten", "alle rechte vorbehalten"),
-    ("licence-fr", 3, "sous licence", "(?:publié |distribué |mis à disposition )?sous(?: la)? licence"),
+    ("licence-fr", 3, "sous licence", "(?:publié |distribué |mis à disposition )?sous licence"),
+    ("licence-fr", 3, "sous la licence", "(?:publié |distribué |mis à disposition )?sous la licence"),
     ("reserved", 2, "droits", "tous droits réservés"),
     ("licencia", 3, "licencia", "(?:publicado |distribuido )?bajo (?:la |una )?licencia"),
     ("reserved", 2, "derechos", "todos los derechos reservados"),

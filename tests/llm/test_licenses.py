@@ -1,4 +1,6 @@
 import re
+import sys
+from re import _parser
 
 from askwright.llm import licenses
 from askwright.llm.license_rules import rules
@@ -68,3 +70,43 @@ def test_on_the_corpus(spark):
     texts = dict(docs.select("doc_id", "text").collect())
     found = licenses.report(licenses.scan(docs)).collect()
     assert all(tuple(r)[1:] == brute(texts[r.doc_id]) for r in found) and any(r.n_base for r in found)
+
+
+def matches(parsed):
+    """Matches of a parsed pattern: every alternative, and every optional part both there and not."""
+    out = [""]
+    for op, arg in parsed:
+        if op is _parser.LITERAL:
+            part = [chr(arg)]
+        elif op is _parser.SUBPATTERN:
+            part = matches(arg[3])
+        elif op is _parser.BRANCH:
+            part = [x for branch in arg[1] for x in matches(branch)]
+        elif op is _parser.MAX_REPEAT:
+            part = sorted({x * n for n in (arg[0], max(arg[0], 1)) for x in matches(arg[2])})
+        else:
+            assert op is _parser.IN
+            part = [chr(x) for kind, x in arg if kind is _parser.LITERAL] or ["7"]
+        out = [a + b for a in out for b in part]
+    return out
+
+
+def test_every_alternative_carries_its_keyword():
+    for _, _, keyword, pattern in rules():
+        for text in matches(_parser.parse(pattern)):
+            assert re.fullmatch(pattern, text) and f" {keyword}" in f" {text} ", (keyword, text)
+
+
+def test_equals_brute_force_without_keywords(spark, monkeypatch):
+    """One match of every alternative of every rule, in texts of their own, against all patterns."""
+    texts = ["under the FreeBSD license", "the zlib/libpng license", "publié sous la licence X", "sous la licence", "freebsd licence zlib libpng licence"]
+    for _, _, _, pattern in rules():
+        parsed = _parser.parse(pattern)
+        whole = len(parsed) == 1 and parsed[0][0] is _parser.BRANCH
+        texts += [f"x {matches(branch)[0]} y" for branch in (parsed[0][1][1] if whole else [parsed])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licenses.report(licenses.scan(docs)).collect()
+    monkeypatch.setattr(sys.modules[__name__], "rules", lambda ungated=[(a, p, "", x) for a, p, _, x in rules()]: ungated)
+    assert len(found) == len(texts) > 400
+    for r in found:
+        assert tuple(r)[1:] == brute(texts[r.doc_id]), texts[r.doc_id]
