@@ -20,9 +20,9 @@ def negative_codes(text: Column) -> Column:
 def vocabulary_entities(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """id, t against terms of two characters or more: those that the folded text contains, the longest first.
 
-    A client's vocabulary is a facet list of a thousand terms at most, so the contains-join streams texts past it."""
-    terms = vocabulary.select("term", entity_form(F.col("term")).alias("k")).where(F.length("term") >= 2).limit(1000)
-    hit = texts.join(F.broadcast(terms), F.contains(entity_form(F.col("t")), F.col("k")))
+    All terms are read, however many; a vocabulary that Spark knows to be small is broadcast, others meet the texts in parts."""
+    terms = vocabulary.select("term", entity_form(F.col("term")).alias("k")).where(F.length("term") >= 2)
+    hit = texts.join(terms, F.contains(entity_form(F.col("t")), F.col("k")))
     return hit.select("id", "term", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.length("term")), "term")).cast("long").alias("rank"))
 
 
