@@ -8,7 +8,7 @@ Control strings inside texts are escaped by one backslash between '<' and '|', r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -35,45 +35,40 @@ def prefix_target_examples(conversations: DataFrame) -> DataFrame:
     """Rows conv_id, example (0, 1, ... by turn), text, loss_start, loss_chars (code points; both null without a target).
 
     Turns are ordered by turn, role, text; a null turn comes first; null role or text is empty; repeated rows are
-    repeated turns; a null conv_id is a conversation of its own.  Other columns are ignored.
+    repeated turns; a null conv_id is a conversation of its own.  Long texts are kept whole, and so is a conversation: its
+    transcript is one value, as each of its examples holds what comes before.  An empty table gives no examples.  Other
+    columns are ignored.
     """
     rows = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    parts = turns.select(
+    parts = rows.select(
         "conv_id",
-        F.transform(
-            "turns",
-            lambda t: F.struct(
-                F.concat(F.lit(START), _role_out(t["role"]), F.lit("\n")).alias("head"),
-                escape(t["text"]).alias("body"),
-                (t["role"] == "assistant").alias("target"),
-            ),
-        ).alias("parts"),
+        "turn",
+        "role",
+        "text",
+        F.concat(F.lit(START), _role_out(F.col("role")), F.lit("\n")).alias("head"),
+        escape(F.col("text")).alias("body"),
     )
     # the running length of the transcript gives each turn's place in it
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    chars = F.length("head") + F.length("body") + len(END) + 1
+    before = F.coalesce(F.sum(chars).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
     placed = parts.select(
         "conv_id",
-        F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END + "\n"))), "").alias("transcript"),
-        F.aggregate(
-            "parts",
-            F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,chars:int,target:boolean>>)").alias("spans")),
-            lambda acc, p: F.struct(
-                (acc["at"] + F.length(p["head"]) + F.length(p["body"]) + len(END) + 1).alias("at"),
-                F.concat(
-                    acc["spans"],
-                    F.array(F.struct((acc["at"] + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("chars"), p["target"].alias("target"))),
-                ).alias("spans"),
-            ),
-        )["spans"].alias("spans"),
+        F.struct(before.alias("at"), F.concat("head", "body", F.lit(END + "\n")).alias("piece")).alias("part"),
+        F.struct(
+            (before + F.length("head")).alias("start"),
+            F.length("body").alias("chars"),
+            (F.col("role") == "assistant").alias("target"),
+            F.lead(F.lit(1)).over(order).isNull().alias("last"),
+        ).alias("span"),
     )
-    wanted = placed.select(
-        "conv_id",
-        "transcript",
-        F.filter("spans", lambda s, i: s["target"] | (i == F.size("spans") - 1)).alias("spans"),
+    whole = placed.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list("part")), lambda p: p["piece"]), "").alias("transcript"),
+        F.sort_array(F.collect_list(F.when(F.col("span.target") | F.col("span.last"), F.col("span")))).alias("spans"),
     )
-    return wanted.select("conv_id", "transcript", F.posexplode("spans").alias("example", "span")).select(
+    return whole.select("conv_id", "transcript", F.posexplode("spans").alias("example", "span")).select(
         "conv_id",
         "example",
         F.substring(F.col("transcript"), F.lit(1), F.col("span.start") + F.col("span.chars") + len(END) + 1).alias("text"),
@@ -83,27 +78,35 @@ def prefix_target_examples(conversations: DataFrame) -> DataFrame:
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """Per conversation, from the formatted text alone: its turns, the text under the masks, and the sizes."""
+    """Per conversation, from the formatted text alone: its turns (of its last example, which holds all), the text under the
+    masks, and the sizes."""
     pieces = examples.select(
         "conv_id",
         "example",
+        "text",
         F.length("text").alias("chars"),
         F.when(F.col("loss_start").isNotNull(), unescape(F.substring(F.col("text"), F.col("loss_start") + 1, F.col("loss_chars")))).alias("loss"),
+    )
+    whole = pieces.groupBy("conv_id").agg(
+        F.max_by("text", "example").alias("text"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))), lambda s: F.coalesce(s["loss"], F.lit(""))), "").alias("loss"),
+        F.sum("chars").alias("formatted_chars"),
+    )
+    said = F.split("text", r"<\|im_start\|>")
+    read = whole.select(
+        "conv_id",
+        "loss",
+        "formatted_chars",
         F.transform(
-            F.slice(F.split("text", r"<\|im_start\|>"), F.lit(2), F.size(F.split("text", r"<\|im_start\|>"))),
+            F.slice(said, F.lit(2), F.size(said)),
             lambda p: F.struct(
                 _role_in(F.substring_index(p, "\n", 1)).alias("role"),
                 unescape(F.regexp_extract(p, r"(?s)^[^\n]*\n(.*)<\|im_end\|>\n$", 1)).alias("text"),
             ),
         ).alias("turns"),
     )
-    whole = pieces.groupBy("conv_id").agg(
-        F.max_by("turns", "example").alias("turns"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))), lambda s: F.coalesce(s["loss"], F.lit(""))), "").alias("loss"),
-        F.sum("chars").alias("formatted_chars"),
-    )
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return whole.select(
+    return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(told, 256).alias("turns_sha256"),
