@@ -17,12 +17,11 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askwright.llm.common import materialize, slices
+from askwright.llm.common import materialize, slices, summed
 
 CELLS = 1 << 14
 SKETCH = 64
@@ -93,23 +92,8 @@ def _arrays(batch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summed(parts: DataFrame, size: int) -> np.ndarray:
-    """Sum of float32 arrays, one a task, numbered by salt: sixteen at a time, level by level, so that no task, and not the
-    driver, holds more than sixteen whatever their number."""
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size, np.float64)
-        for x in rows["sums"]:
-            total += np.frombuffer(x, np.float32)
-        return pd.DataFrame({"salt": [int(rows["salt"].iloc[0])], "sums": [total.astype(np.float32).tobytes()]})
-
-    found, groups = parts, parts.rdd.getNumPartitions()
-    while groups > 4:
-        groups = -(-groups // 16)
-        found = found.withColumn("salt", F.floor(F.col("salt") / 16).cast("int")).groupBy("salt").applyInPandas(lambda p: add(p[["salt", "sums"]]), "salt int, sums binary")
-    total = np.zeros(size, np.float64)
-    for row in found.toLocalIterator():
-        total += np.frombuffer(row["sums"], np.float32)
-    return total
+    """Sum of float32 arrays, one a task, numbered by salt."""
+    return summed(parts.withColumn("key", F.lit("")), size).get("", np.zeros(size))
 
 
 def document_frequency(words: DataFrame) -> tuple[np.ndarray, int]:

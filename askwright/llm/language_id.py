@@ -10,12 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askwright.llm.common import slices
+from askwright.llm.common import slices, summed
 
 CELLS = 1 << 16  # hashed n-grams of a language
 SWITCH = 9.0  # nats that a change of language costs
@@ -100,6 +99,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     width = 2 * CELLS + len(NAMES) + 1
 
     def count(batches):
+        from pyspark import TaskContext
+
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, 0, SLICE):
@@ -119,17 +120,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
                     total[2 * CELLS : -1] += np.bincount(words.script[mine], sizes[mine], minlength=len(NAMES))
                     total[-1] += (number == k).sum()
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()])], ["lang", "sums"])
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x) for x in rows["sums"]], axis=0)
-        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "sums": [total.tobytes()]})
+            task = pa.array(np.full(len(sums), TaskContext.get().partitionId(), np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), task, pa.array([v.tobytes() for v in sums.values()])], ["key", "salt", "sums"])
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    parts = rows.mapInArrow(count, "lang string, sums binary")
-    # two levels of sums, so that no task gathers a table from every other
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("sums"), F.lit(16))).groupBy("lang", "salt").applyInPandas(lambda p: add(p[["lang", "sums"]]), "lang string, sums binary")
-    found = sorted((r[0], np.frombuffer(r[1])) for r in salted.groupBy("lang").applyInPandas(add, "lang string, sums binary").collect())
+    found = sorted(summed(rows.mapInArrow(count, "key string, salt int, sums binary"), width, "float64").items())
     if not found:
         return None
     tables, allowed = [], []
@@ -200,6 +195,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     lang_pred is the language of most labelled letters (ties: the first by name), score its share of them; spans are code
     points, end exclusive.  Words in scripts of no learned language stay unlabelled; a text with such letters only gets
     the most frequent learned language at score 0.  Null text, a text without letters, or no model: `und` at score 0.
+    Repeated rows are repeated, long texts are read whole, an empty table gives an empty result; other columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
