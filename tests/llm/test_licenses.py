@@ -1,5 +1,6 @@
 import re
 import sys
+import time
 from re import _parser
 
 from askwright.llm import licenses
@@ -110,3 +111,16 @@ def test_equals_brute_force_without_keywords(spark, monkeypatch):
     assert len(found) == len(texts) > 400
     for r in found:
         assert tuple(r)[1:] == brute(texts[r.doc_id]), texts[r.doc_id]
+
+
+def test_long_texts_in_linear_time(spark):
+    text = "cc by all rights reserved x " * 8_000 + "licensed under the mit license " * 4_000
+    began = time.time()
+    (found,) = licenses.report(licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    assert found.n_base == 16_000 and found.first_word == 0 and "mit" in found.labels.split(",") and time.time() - began < 30
+
+
+def test_trie_reads_the_longest_word():
+    words = ["a", "ab c", "ab d", "b", "bcd", "é x", "©"]
+    pattern = re.compile(f" (?=({licenses.trie(words)}))")
+    assert pattern.findall(" ab c ab d ab x bc bcde é x © é") == ["ab c", "ab d", "a", "b", "bcd", "é x", "©"]
