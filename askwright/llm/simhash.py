@@ -3,7 +3,8 @@
 Fingerprints are made once per document and made distinct, so a group of copies is one point.  A vantage-point tree
 built on a bounded sample of the points splits the space: a point lives in one shard (home) and visits each shard whose
 region may hold a point within the limit, by the triangle bounds |d(q, v) - d(m, v)| <= d(q, m).  Inside a shard a
-deeper tree prunes by the same bounds and the remaining leaves are compared exactly, in blocks.  A shard returns one
+deeper tree prunes by the same bounds and the remaining leaves are compared exactly.  What a shard's points and visitors ask
+is dealt into blocks, each with all points of the shard: a task's work does not grow with the visitors.  A block returns one
 edge for each point that it links to another (a forest, never the pairs), and the forests are joined into components.
 """
 
@@ -18,12 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askwright.llm.common import materialize, slices
+from askwright.llm.common import discard, materialize, partitions, slices
 
 LIMIT = 4
 SHINGLE = 4
 SEED = 42
 SHARD_POINTS = 65536  # home points of a shard, about: a shard stays within a few MB, and fewer shards mean fewer visits
+MOST_SHARDS = 1 << 16  # beyond 4e9 distinct fingerprints shards grow: at 1e11 they hold some 1.5 million points, 30 MB
+SAMPLE = 16  # points of the sample for each shard; it shapes the shards, never the result
+ASK_POINTS = 16384  # what a block asks, at least; or half of what the shard holds
 LEAF_POINTS = 96  # below this a tree node is compared point by point
 BLOCK = 1 << 21  # distances held at once
 
@@ -141,23 +145,26 @@ class Forest:
                 label[deeper] = label[label[deeper]]
 
 
-def search(points: np.ndarray, members: np.ndarray, limit: int, forest: Forest) -> None:
-    """Link every point with every member (positions in points) within the limit.
+def search(points: np.ndarray, members: np.ndarray, asking: np.ndarray, limit: int, forest: Forest) -> None:
+    """Link every asking point with every member within the limit (positions in points); members may ask, too.
 
-    A node holds members and visitors.  Of two members on either side of its boundary the far one visits the near side;
+    A node holds members and those who ask.  Of two members on either side of its boundary the far one visits the near side;
     visitors go to each side that their distance allows.
     """
     rng = np.random.default_rng(11)
-    visitors = np.ones(len(points), bool)
-    visitors[members] = False
-    stack = [(members, np.flatnonzero(visitors))]
+    asks, is_member = np.zeros(len(points), bool), np.zeros(len(points), bool)
+    asks[asking], is_member[members] = True, True
+    stack = [(members, asking[~is_member[asking]])]
     while stack:
         m, q = stack.pop()
         if not len(m):
             continue
+        own = asks[m]
+        if not len(q) and not own.any():
+            continue
         cut = split(points[m], rng) if len(m) > LEAF_POINTS else None
         if cut is None:
-            q = np.concatenate([m, q])
+            q = np.concatenate([m[own], q])
             step = max(1, BLOCK // len(m))
             for at in range(0, len(q), step):
                 some = q[at : at + step]
@@ -170,16 +177,16 @@ def search(points: np.ndarray, members: np.ndarray, limit: int, forest: Forest)
         of_m = distance(points[m], v).astype(np.int64)
         near = of_m <= radius
         of_q = distance(points[q], v).astype(np.int64)
-        stack.append((m[near], np.concatenate([q[of_q - limit <= radius], m[~near & (of_m - limit <= radius)]])))
+        stack.append((m[near], np.concatenate([q[of_q - limit <= radius], m[own & ~near & (of_m - limit <= radius)]])))
         stack.append((m[~near], q[of_q + limit > radius]))
 
 
 def shard_edges(rows: pd.DataFrame, limit: int = LIMIT) -> pd.DataFrame:
-    """rows: fp, rep, home.  One edge (a, b), b < a, for each point linked here to another: b is the least of its tree."""
+    """rows: fp, rep, home, asks.  One edge (a, b), b < a, for each point linked here to another: b is the least of its tree."""
     rows = rows.sort_values("rep", kind="stable")
     points = rows["fp"].to_numpy(np.int64).view(np.uint64)
     forest = Forest(len(points))
-    search(points, np.flatnonzero(rows["home"].to_numpy(bool)), limit, forest)
+    search(points, np.flatnonzero(rows["home"].to_numpy(bool)), np.flatnonzero(rows["asks"].to_numpy(bool)), limit, forest)
     rep = rows["rep"].to_numpy(np.int64)
     linked = np.flatnonzero(forest.label != np.arange(len(points)))
     return pd.DataFrame({"a": rep[linked], "b": rep[forest.label[linked]]})
@@ -205,8 +212,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = materialize(small.unionByName(small_least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        last, now = now, materialize(small.unionByName(small_least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         after = state(now)
+        for path in last.inputFiles()[:1]:
+            discard(now.sparkSession, path.rsplit("/", 1)[0])  # the round before: nothing reads it again
         if after == before:
             break
         before = after
@@ -218,27 +227,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Fingerprints at `limit` or fewer differing bits are linked; equal ones always are, those of empty texts (0) too.
     Null text counts as empty.  A row with a null id gets its fingerprint, and the component of the ids that share it
-    (null if none does), but links nothing.  Repeated rows are repeated; other columns are ignored.
+    (null if none does), but links nothing.  Repeated rows are repeated, long texts are read whole, an empty table gives an
+    empty result; other columns are ignored.
     """
     made = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     points = materialize(made.groupBy("fp").agg(F.min("__id").alias("rep")).where("rep is not null"), "points")
     total = points.count()
-    depth = max(0, math.ceil(math.log2(max(1, total) / SHARD_POINTS)))
-    bound = 64 << min(depth, 10)  # a sample of bounded size: it shapes the shards, never the result
-    sample = [r[0] for r in points.select("fp").orderBy(F.xxhash64("fp")).limit(bound).collect()] if depth else []
-    tree, _ = build_top(np.array(sample, np.int64).view(np.uint64), depth) if depth else (0, 1)
+    depth = min(max(0, math.ceil(math.log2(max(1, total) / SHARD_POINTS))), int(math.log2(MOST_SHARDS)))
+    sample = [r[0] for r in points.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE << depth).collect()] if depth else []
+    tree, shards = build_top(np.array(sample, np.int64).view(np.uint64), depth) if depth else (0, 1)
+    held = points.sparkSession.sparkContext.broadcast(tree)
+
+    def count(batches):
+        sums = np.zeros((2, shards), np.int64)
+        for batch in batches:
+            for shard, idx, home in visits(held.value, batch.column(0).to_numpy().view(np.uint64), limit):
+                sums[0, shard] += home.sum()
+                sums[1, shard] += len(idx)
+        found = np.flatnonzero(sums[1])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(sums[0, found]), pa.array(sums[1, found])], ["shard", "home", "n"])
+
+    # home points and askers of each shard: one row a shard
+    sizes = points.select("fp").mapInArrow(count, "shard int, home long, n long").groupBy("shard").agg(F.sum("home"), F.sum("n")).collect() if depth else [(0, total, total)]
+    blocks = np.ones(shards, np.int64)
+    for shard, home, n in sizes:
+        blocks[shard] = max(1, -(-n // max(ASK_POINTS, home // 2)))
 
     def assign(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy()
             rep = batch.column(1).to_numpy()
-            for shard, idx, home in visits(tree, fp.view(np.uint64), limit):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(idx), shard, np.int32)), pa.array(fp[idx]), pa.array(rep[idx]), pa.array(home)], ["shard", "fp", "rep", "home"]
-                )
-
-    dealt = points.select("fp", "rep").mapInArrow(assign, "shard int, fp long, rep long, home boolean")
-    edges = dealt.groupBy("shard").applyInPandas(lambda rows: shard_edges(rows[["fp", "rep", "home"]], limit), "a long, b long")
+            own = (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            for shard, idx, home in visits(held.value, fp.view(np.uint64), limit):
+                n = int(blocks[shard])
+                asked = own[idx] % n
+                for block in range(n):  # a home point stands in all blocks of its shard and asks in one; a visitor is in one
+                    asks = asked == block
+                    here = home | asks
+                    if here.any():
+                        at = idx[here]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(at), shard, np.int32)), pa.array(np.full(len(at), block, np.int32)), pa.array(fp[at]), pa.array(rep[at]), pa.array(home[here]), pa.array(asks[here])],
+                            ["shard", "block", "fp", "rep", "home", "asks"],
+                        )
+
+    dealt = points.select("fp", "rep").mapInArrow(assign, "shard int, block int, fp long, rep long, home boolean, asks boolean")
+    dealt = dealt.repartition(max(partitions(docs), min(int(blocks.sum()), 100_000)), "shard", "block")  # small groups that compute much: not to be put together
+    edges = dealt.groupBy("shard", "block").applyInPandas(lambda rows: shard_edges(rows[["fp", "rep", "home", "asks"]], limit), "a long, b long")
     roots = components(edges)
     classes = points.join(roots, points["rep"] == roots["node"], "left").select(
         "fp", F.coalesce("root", "rep").alias("component_id")

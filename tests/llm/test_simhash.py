@@ -49,6 +49,7 @@ def test_matches_brute_force_with_edge_rows(spark, monkeypatch):
     rows = list({i: (i, t) for i, t in rows}.values()) + [(5000, ""), (5001, None), (5002, "   "), (5003, "one two")]
     monkeypatch.setattr(simhash, "SHARD_POINTS", 16)  # many shards, so that links cross their boundaries
     monkeypatch.setattr(simhash, "LEAF_POINTS", 4)
+    monkeypatch.setattr(simhash, "ASK_POINTS", 5)  # and many blocks of each
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, fp string").repartition(5)
     found = {r[0]: (r[1], r[2]) for r in simhash.near_duplicates(docs).collect()}
     assert found == brute(rows)
@@ -62,7 +63,8 @@ def test_search_is_exact_on_random_points():
     flips = base[rng.integers(0, 400, 400)] ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
     points = np.unique(np.concatenate([base, flips]))
     forest = simhash.Forest(len(points))
-    simhash.search(points, np.arange(len(points)), 4, forest)
+    for asking in np.array_split(rng.permutation(len(points)), 7):
+        simhash.search(points, np.arange(len(points)), asking, 4, forest)
     other = simhash.Forest(len(points))
     i, j = np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 4)
     other.link(i, j)
