@@ -1,8 +1,9 @@
 """Byte-level BPE by a global distinct-word shuffle, and decoding by the token-byte table.
 
 1. Documents are split into pre-tokens.  A chunk of documents (about CHUNK_BYTES of text) becomes one packed row: its
-   distinct words, dealt into buckets by hash, and for each document the positions' codes into those words.
-2. The words of a bucket, of all chunks, meet in one group, where each distinct word is encoded once.
+   distinct words in the order of their hashes, and for each document the positions' codes into those words.
+2. The hashes are cut into buckets, as many as the chunks' words need at WORD_BYTES each.  The words of a bucket, of all
+   chunks, meet in one group, where each distinct word is encoded once.
 3. The ids go back to their chunks, where every document is put together again by position.
 Only distinct words of a chunk are shuffled, so a word that fills the corpus costs one entry a chunk.
 """
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from askwright.llm.common import materialize_bucketed, partitions, slices
 
 CHUNK_BYTES = 8 << 20
+WORD_BYTES = 4 << 20  # of the chunks' words in a bucket, about
 #: Fixed value: the characters with the property White_Space.
 WHITE = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
@@ -112,17 +114,16 @@ def _unpack(b: bytes, kind) -> np.ndarray:
 
 PACKED = (
     "chunk string, doc_ids array<bigint>, counts binary, low binary, high binary, frequent binary, n_words int,"
-    " words array<struct<bucket:int,lengths:binary,content:binary>>"
+    " word_bytes bigint, lengths binary, content binary"
 )
 
 
-def _pack_chunk(name: str, ids: list, codes: list, vocabulary: list[str], buckets: int) -> pa.RecordBatch:
+def _pack_chunk(name: str, ids: list, codes: list, vocabulary: list[str]) -> pa.RecordBatch:
     flat = np.concatenate(codes) if codes else np.empty(0, np.uint32)
     n = len(vocabulary)
     raw = [w.encode("utf-8") for w in vocabulary]
-    bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in raw), np.int64, n)
     by_word = np.array(sorted(range(n), key=raw.__getitem__), np.int64)
-    order = by_word[np.argsort(bucket[by_word], kind="stable")]  # place in the shuffled lists -> word
+    order = by_word[np.argsort(_hashes([raw[i] for i in by_word.tolist()]), kind="stable")]  # place in the shuffled lists -> word
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     # codes: words seen twice or more by falling count, then the rest by place
@@ -132,13 +133,7 @@ def _pack_chunk(name: str, ids: list, codes: list, vocabulary: list[str], bucket
     code_of_place = np.empty(n, np.uint32)
     code_of_place[_places(frequent, n)] = np.arange(n, dtype=np.uint32)
     coded = code_of_place[place[flat]] if n else flat
-    words = []
-    sorted_bucket = bucket[order]
-    for b in np.unique(sorted_bucket).tolist():
-        lo, hi = np.searchsorted(sorted_bucket, [b, b + 1])
-        mine = [raw[i] for i in order[lo:hi].tolist()]
-        lengths = np.fromiter(map(len, mine), np.uint32, len(mine))
-        words.append({"bucket": b, "lengths": _pack(lengths), "content": zstandard.ZstdCompressor(level=3).compress(b"".join(mine))})
+    words = b"".join([raw[i] for i in order.tolist()])
     row = {
         "chunk": name,
         "doc_ids": ids,
@@ -147,9 +142,11 @@ def _pack_chunk(name: str, ids: list, codes: list, vocabulary: list[str], bucket
         "high": _pack((coded >> 16).astype(np.uint16)),
         "frequent": _pack(frequent.astype(np.uint32)),
         "n_words": n,
-        "words": words,
+        "word_bytes": len(words),
+        "lengths": _pack(np.fromiter(map(len, raw), np.uint32, n)[order]),
+        "content": zstandard.ZstdCompressor(level=3).compress(words),
     }
-    kinds = [pa.string(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int32(), pa.list_(pa.struct([("bucket", pa.int32()), ("lengths", pa.binary()), ("content", pa.binary())]))]
+    kinds = [pa.string(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int32(), pa.int64(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds)], list(row))
 
 
@@ -160,7 +157,7 @@ def _places(frequent: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([frequent, np.flatnonzero(rest)]).astype(np.int64)
 
 
-def _chunks(batches, buckets: int, chunk_bytes: int):
+def _chunks(batches, chunk_bytes: int):
     from pyspark import TaskContext
 
     task, made = TaskContext.get().partitionId(), 0
@@ -174,11 +171,33 @@ def _chunks(batches, buckets: int, chunk_bytes: int):
                 codes.append(np.fromiter(map(vocabulary.__getitem__, pretokens(text or "")), np.uint32))
                 held += len(text or "")
                 if held >= chunk_bytes:
-                    yield _pack_chunk(f"{task}-{made}", ids, codes, list(vocabulary), buckets)
+                    yield _pack_chunk(f"{task}-{made}", ids, codes, list(vocabulary))
                     made, ids, codes, held = made + 1, [], [], 0
                     vocabulary.clear()
     if ids:
-        yield _pack_chunk(f"{task}-{made}", ids, codes, list(vocabulary), buckets)
+        yield _pack_chunk(f"{task}-{made}", ids, codes, list(vocabulary))
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words))
+
+
+def _deal(batches, buckets: int):
+    """A chunk's words as one row for each bucket that has any; the buckets are ranges of hashes, so their order is that of the
+    chunk's list."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            text = zstandard.ZstdDecompressor().decompress(row["content"])
+            lengths = _unpack(row["lengths"], np.uint32)
+            ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).tolist()
+            bucket = _hashes([text[a:b] for a, b in zip(ends, ends[1:])]) * buckets >> 32
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            out = []
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(bucket)]):
+                out.append((row["chunk"], int(bucket[lo]), _pack(lengths[lo:hi]), zstandard.ZstdCompressor(level=3).compress(text[ends[lo] : ends[hi]])))
+            if out:
+                kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["chunk", "bucket", "lengths", "content"])
 
 
 def _encode_bucket(rows: pa.Table, content: bytes) -> pa.Table:
@@ -239,19 +258,21 @@ def _broadcast(spark: SparkSession, content: bytes):
     return spark.sparkContext.broadcast(content)
 
 
-def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, word_bytes: int = WORD_BYTES) -> DataFrame:
     """Rows (id, ids array<int>), one per input row.
 
-    Null text is empty and gives no ids; null and repeated ids are kept as they are; other columns are ignored.
+    Null text is empty and gives no ids; null and repeated ids are kept as they are; long texts are read whole; an empty table
+    gives an empty result; other columns are ignored.
     """
     held = _broadcast(docs.sparkSession, read_ranks(ranks_path))
-    buckets = min(max(16, partitions(docs)), 2048)
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    packed = materialize_bucketed(rows.mapInArrow(lambda it: _chunks(it, buckets, chunk_bytes), PACKED), "pretokens", "chunk", rows_a_file=16)
-    words = packed.select("chunk", F.explode("words").alias("w")).select("chunk", "w.bucket", "w.lengths", "w.content")
+    packed = materialize_bucketed(rows.mapInArrow(lambda it: _chunks(it, chunk_bytes), PACKED), "pretokens", "chunk", rows_a_file=16)
+    total = packed.agg(F.sum("word_bytes")).first()[0] or 0
+    buckets = max(16, partitions(docs), -(-total // word_bytes))
+    words = packed.select("chunk", "lengths", "content").mapInArrow(lambda it: _deal(it, buckets), "chunk string, bucket int, lengths binary, content binary")
     ids = words.groupBy("bucket").applyInArrow(lambda t: _encode_bucket(t, held.value), "chunk string, bucket int, counts binary, ids binary")
     return (
-        packed.drop("words")
+        packed.drop("word_bytes", "lengths", "content")
         .groupBy("chunk")
         .cogroup(ids.groupBy("chunk"))
         .applyInArrow(_assemble, "id bigint, ids array<int>")

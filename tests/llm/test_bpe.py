@@ -44,7 +44,7 @@ def test_ids_equal_the_library_and_round_trip(spark):
     path, lib = public.path(NAME), library()
     rows = [(i, t, "x") for i, t in enumerate(TEXTS * 3)] + [(None, "null id", "x"), (3, "again", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
-    tokens = bpe.encode(docs, path, chunk_bytes=200)
+    tokens = bpe.encode(docs, path, chunk_bytes=200, word_bytes=20)  # many chunks and buckets
     found = sorted(((r[0], list(r[1])) for r in tokens.collect()), key=str)
     assert found == sorted(((i, lib.encode_ordinary(t or "")) for i, t, _ in rows), key=str)
     decoded = sorted(((r[0], bytes(r[1])) for r in bpe.decode(tokens, path).collect()), key=str)
