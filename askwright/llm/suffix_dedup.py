@@ -30,7 +30,8 @@ from askwright.llm.common import materialize, materialize_bucketed, partitions,
 LENGTH = 50
 MER = 24
 SPAN = LENGTH - MER + 1  # anchors that a window chooses from
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
+BUCKET_BYTES = 8 << 20  # of text for each bucket, about: buckets are as many as the text needs
 SLICE = 1 << 20  # bytes whose hashes are held at once
 HOT = 20_000  # occurrences beyond which an anchor's windows are dealt out singly
 LAST = np.iinfo(np.int64).max  # stands for a null id, which is after all others
@@ -108,7 +109,15 @@ def segments(raw: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.diff(np.append(first, len(starts))) - 1).astype(np.uint8), (anchor[first] - starts[first]).astype(np.uint8)
 
 
-PACKED = "chunk string, doc_ids array<bigint>, lengths binary, content binary, widths binary, offsets binary"
+def _by_bucket(bucket: np.ndarray):
+    """Yield the buckets that occur, in order, and the places of each."""
+    order = np.argsort(bucket, kind="stable")
+    first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+        yield int(bucket[order[lo]]), order[lo:hi]
+
+
+PACKED = "chunk string, n_bytes bigint, doc_ids array<bigint>, lengths binary, content binary, widths binary, offsets binary"
 
 
 def _pack_chunk(name: str, ids: list, parts: list) -> pa.RecordBatch:
@@ -116,13 +125,14 @@ def _pack_chunk(name: str, ids: list, parts: list) -> pa.RecordBatch:
     cat = lambda k, kind: np.concatenate([p[k] for p in parts]).astype(kind)
     values = [
         pa.array([name]),
+        pa.array([sum(len(p[0]) for p in parts)], pa.int64()),
         pa.array([ids], pa.list_(pa.int64())),
         pa.array([_squeeze(cat(1, np.uint32))], pa.binary()),
         pa.array([zstandard.ZstdCompressor(level=1).compress(b"".join(p[0] for p in parts))], pa.binary()),
         pa.array([_squeeze(cat(2, np.uint8))], pa.binary()),
         pa.array([_squeeze(cat(3, np.uint8))], pa.binary()),
     ]
-    return pa.RecordBatch.from_arrays(values, ["chunk", "doc_ids", "lengths", "content", "widths", "offsets"])
+    return pa.RecordBatch.from_arrays(values, ["chunk", "n_bytes", "doc_ids", "lengths", "content", "widths", "offsets"])
 
 
 def _chunks(batches, chunk_bytes: int):
@@ -171,14 +181,10 @@ def anchor_runs(batches, buckets: int):
         for row in batch.to_pylist():
             chunk = Chunk(row)
             bucket = (chunk.anchors % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             out = []
-            for k in range(buckets):
-                mine = order[cuts[k] : cuts[k + 1]]
-                if len(mine):
-                    rest = chunk.anchors[mine] // np.uint64(buckets)
-                    out.append((row["chunk"], k, _squeeze(np.diff(rest, prepend=np.uint64(0))), _squeeze(np.minimum(chunk.many[mine], 65535).astype(np.uint16))))
+            for k, mine in _by_bucket(bucket):
+                rest = chunk.anchors[mine] // np.uint64(buckets)
+                out.append((row["chunk"], k, _squeeze(np.diff(rest, prepend=np.uint64(0))), _squeeze(np.minimum(chunk.many[mine], 65535).astype(np.uint16))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.string(), pa.int32(), pa.binary(), pa.binary()])], ["chunk", "bucket", "run", "many"])
 
@@ -204,9 +210,9 @@ class Suffixes:
 
     def __init__(self, chunk: Chunk, answers: list[dict], buckets: int):
         flags = np.zeros(len(chunk.anchors), np.uint8)
-        bucket = (chunk.anchors % np.uint64(buckets)).astype(np.int64)
+        places = dict(_by_bucket((chunk.anchors % np.uint64(buckets)).astype(np.int64)))
         for r in answers:
-            flags[np.flatnonzero(bucket == r["bucket"])] = _expand(r["answer"], np.uint8)
+            flags[places[r["bucket"]]] = _expand(r["answer"], np.uint8)
         of_segment = flags[chunk.of] if len(chunk.of) else np.empty(0, np.uint8)
         raw = chunk.raw
         usual = np.flatnonzero(of_segment == 1)
@@ -247,12 +253,7 @@ def suffix_runs(chunk_rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Tab
     for row in chunk_rows.to_pylist():
         made = Suffixes(Chunk(row), told, buckets)
         for mode in (0, 1):
-            order = np.argsort(made.bucket[mode], kind="stable")
-            cuts = np.searchsorted(made.bucket[mode][order], np.arange(buckets + 1))
-            for k in range(buckets):
-                mine = order[cuts[k] : cuts[k + 1]]
-                if not len(mine):
-                    continue
+            for k, mine in _by_bucket(made.bucket[mode]):
                 texts = [made.entries[mode][i] for i in mine.tolist()]
                 shared, rest, before = bytearray(), [], b""
                 for s, _ in texts:
@@ -348,6 +349,12 @@ def merge(runs: list[list[bytes]], shared: list[bytes]) -> tuple[list[int], list
     return out_run, out_shared
 
 
+def _roll(prefix: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Hashes of left contexts, a byte longer."""
+    prefix = (prefix ^ (column.astype(np.uint64) + np.uint64(1))) * C[0]
+    return prefix ^ (prefix >> np.uint64(29))
+
+
 def _resolve(strings: list[bytes], shared: np.ndarray, right: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Bit o of an entry: its window with o bytes before the anchor is also held by an entry with a smaller id.
 
@@ -369,8 +376,7 @@ def _resolve(strings: list[bytes], shared: np.ndarray, right: np.ndarray, ids: n
     prefix = np.zeros(len(some), np.uint64)
     for o in range(SPAN):
         if o:
-            prefix = (prefix ^ (text[:, o - 1].astype(np.uint64) + np.uint64(1))) * C[0]
-            prefix ^= prefix >> np.uint64(29)
+            prefix = _roll(prefix, text[:, o - 1])
         valid = np.flatnonzero((left >= o) & (right >= LENGTH - o))
         if len(valid) < 2:
             continue
@@ -387,9 +393,16 @@ def _resolve(strings: list[bytes], shared: np.ndarray, right: np.ndarray, ids: n
         x, y = valid[order[later]], valid[order[least[of[later]]]]
         # hashes chose the pairs, the bytes decide
         same = (group[order[later]] == group[order[least[of[later]]]]) & (text[x, :o] == text[y, :o]).all(axis=1)
-        if not same.all():
-            raise RuntimeError("two left contexts share a 64-bit hash; choose other constants")
-        mask[some[x]] |= np.uint32(1 << o)
+        mixed = np.unique(of[later[~same]])
+        mask[some[x[~np.isin(of[later], mixed)]]] |= np.uint32(1 << o)
+        # different contexts under one hash: these are told apart by their bytes
+        firsts: dict = {}
+        apart = [(k, (int(group[order[k]]), text[valid[order[k]], :o].tobytes())) for k in np.flatnonzero(np.isin(of, mixed)).tolist()]
+        for k, key in apart:
+            firsts[key] = min(firsts.get(key, mine[k]), mine[k])
+        for k, key in apart:
+            if mine[k] > firsts[key]:
+                mask[some[valid[order[k]]]] |= np.uint32(1 << o)
     return mask
 
 
@@ -431,9 +444,10 @@ def _remove(chunk_rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
         edge = np.zeros(len(chunk.raw) + 1, np.int32)
         for mode in (0, 1):
             mask = np.zeros(len(made.entries[mode]), np.uint32)
+            places = dict(_by_bucket(made.bucket[mode]))
             for r in told:
                 if r["mode"] == mode:
-                    mask[np.flatnonzero(made.bucket[mode] == r["bucket"])] = _expand(r["answer"], np.uint32)
+                    mask[places[r["bucket"]]] = _expand(r["answer"], np.uint32)
             own = mask[made.entry[mode]]
             # an equal segment of this chunk with a smaller id decides all windows of a segment
             own[made.ids[mode] > made.least[mode][made.entry[mode]]] = np.uint32(0xFFFFFFFF)
@@ -465,15 +479,17 @@ def _remove(chunk_rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     return pa.table({"id": pa.array(ids, pa.int64()), "n_bytes": pa.array(n_bytes, pa.int64()), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())})
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Rows (id, n_bytes, spans array<struct<start,end>>, kept binary), one per input row; spans are removed bytes.
 
     Null text is empty.  A null id counts as after all others.  Rows with equal ids are never each other's earlier
-    document, so a repeated row loses what an earlier id holds, and no more.  Texts under LENGTH bytes stay whole.
+    document, so a repeated row loses what an earlier id holds, and no more.  Texts under LENGTH bytes stay whole, long ones
+    are read whole.  An empty table gives an empty result; other columns are ignored.
     """
-    buckets = min(max(16, partitions(docs)), 1024)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     packed = materialize_bucketed(rows.mapInArrow(lambda it: _chunks(it, chunk_bytes), PACKED), "chunks", "chunk", rows_a_file=16)
+    total = packed.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = max(16, partitions(docs), -(-total // bucket_bytes))
     runs = packed.mapInArrow(lambda it: anchor_runs(it, buckets), "chunk string, bucket int, run binary, many binary")
     first = materialize(runs.groupBy("bucket").applyInArrow(lambda t: anchor_answers(t, hot), "chunk string, bucket int, answer binary"), "anchors")
     suffixes = packed.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(

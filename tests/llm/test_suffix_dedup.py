@@ -54,8 +54,8 @@ def test_segments_cover_every_window_and_depend_on_content_only():
     assert all(whole[k] == v for k, v in cut.items()) and max(whole.values()) <= 26
 
 
-@pytest.mark.parametrize("hot", [20_000, 3])
-def test_equals_brute_force(spark, hot):
+@pytest.mark.parametrize("hot, bucket_bytes", [(20_000, sd.BUCKET_BYTES), (3, 100)])
+def test_equals_brute_force(spark, hot, bucket_bytes):
     rng = np.random.default_rng(9)
     prose = lambda n: " ".join(rng.choice(["alpha", "béta", "gamma", "delta", "eps", "zeta", "日本", "x", "yy"], n)) + str(rng.integers(1e9))
     shared = [prose(40) for _ in range(4)]
@@ -70,12 +70,23 @@ def test_equals_brute_force(spark, hot):
     rows += [(100, rows[3][1]), (101, rows[3][1]), (102, rows[3][1][:-1] + "!"), (103, None), (104, ""), (105, "short"), (106, "a" * 400), (107, "a" * 60)]
     rows += [(None, rows[5][1]), (None, "unique " + prose(60)), (rows[0][0], rows[0][1]), (108, shared[0] * 3), (109, "b" * 49), (110, "b" * 50), (111, "\0" * 120), (112, "\0" * 77)]
     docs = spark.createDataFrame([(i, t, b"") for i, t in rows], "doc_id long, text string, kept binary").repartition(3)
-    got = sorted((tuple(r) for r in sd.report(sd.remove_repeats(docs, chunk_bytes=4000, hot=hot)).collect()), key=str)
+    got = sorted((tuple(r) for r in sd.report(sd.remove_repeats(docs, chunk_bytes=4000, hot=hot, bucket_bytes=bucket_bytes)).collect()), key=str)
     assert got == brute(rows)
 
 
+def test_left_contexts_of_one_hash_are_told_apart(monkeypatch):
+    rng = np.random.default_rng(4)
+    right = b"x" * 49
+    entries = sorted({right + bytes(rng.integers(97, 100, 26, dtype=np.uint8)) for _ in range(80)} | {right[:48] + b"y" + b"a" * 26})
+    shared = np.array([0] + [sd.common(a, b, 0) for a, b in zip(entries, entries[1:])])
+    args = (entries, shared, np.full(len(entries), 49), rng.integers(0, 40, len(entries)))
+    want = sd._resolve(*args)
+    monkeypatch.setattr(sd, "_roll", lambda prefix, column: np.zeros_like(prefix))
+    assert want.any() and (sd._resolve(*args) == want).all()
+
+
 def test_corpus_and_empty(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 6000")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in sd.report(sd.remove_repeats(docs)).collect()), key=str) == brute(rows)
     assert sd.report(sd.remove_repeats(docs.limit(0))).collect() == []
