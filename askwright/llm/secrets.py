@@ -1,7 +1,9 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is a layer.  Each layer is scanned, and what it holds in URL, Unicode or base64 form, compressed or not, becomes
-further layers, until no new layer appears.  Every character of a layer knows the characters of the document that it came
+further layers, until no new layer appears.  Layers under URL and Unicode escapes are opened level by level, each of them
+scanned; once they come to LEVELS times the text, as in an escape escaped a thousand times, what is left is decoded to its
+fixpoint in one pass, so that time and memory stay in proportion to the text.  Every character of a layer knows the characters of the document that it came
 from, so findings of any depth map to spans of the document.
 """
 
@@ -10,10 +12,12 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
 from collections import deque
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,11 @@ ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U000[0-9A-Fa-f]{5}|\\U0010[0-9A-F
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX, LEAST_BASE64 = 6, 20, 24, 16
 #: A compressed layer that grows beyond this is reported as a finding of its own ("oversize"), not unpacked.
 MOST_UNPACKED = 32 << 20
+LEVELS, SHORT = 64, 1 << 16  # layers of escapes opened one by one: so many times the text, and so many characters
+#: What a percent-coded archive looks like, and the first bytes of the archives.
+CODED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/-])+")
+HIGH = re.compile("%[89A-Fa-f][0-9A-Fa-f]")
+MAGIC = re.compile(rb"\x1f\x8b|BZh|\xfd7zXZ\0|\x28\xb5\x2f\xfd|x[\x01\x5e\x9c\xda]")
 MOST_MEMORY, MOST_WINDOW = 1 << 28, 1 << 27  # so is one whose unpacking needs more
 #: Runs of base64 characters with nothing but line ends (also written ones, as in JSON) and indents between them.
 WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r?\n|\r|(?:\\r)?\\n)[ \t>]*+[A-Za-z0-9+/_-]++)+")
@@ -145,6 +154,79 @@ def _unicode(escape: str) -> str | None:
     return _point(int(escape[2:], 16))
 
 
+_HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
+
+
+def _escape_at_end(chars: list[str]) -> tuple[int, str] | None:
+    """Length and meaning of the escape that ends here; None if none does."""
+    c = chars[-1]
+    if c in _HEX_DIGITS:
+        if len(chars) > 2 and chars[-3] == "%" and chars[-2] in _HEX_DIGITS:
+            for k in (1, 2, 3, 4):  # bytes of a character
+                part = "".join(chars[-3 * k :])
+                if URL.fullmatch(part) is None:
+                    break
+                if len(new := _url(part) or "") == 1:
+                    return 3 * k, new
+        for n in (12, 6, 4, 10):  # a pair of units, a unit, a byte, a code point
+            if len(chars) >= n and chars[-n] == "\\":
+                part = "".join(chars[-n:])
+                if ESCAPE.fullmatch(part) and len(new := _unicode(part) or "") == 1:
+                    return n, new
+    elif c == "}" or c == ";":
+        for n in range(4, 10):
+            if len(chars) >= n and chars[-n] in "\\&":
+                part = "".join(chars[-n:])
+                if ESCAPE.fullmatch(part) and (new := _unicode(part)) is not None:
+                    return n, new
+    return None
+
+
+def _settled(layer: _Layer) -> _Layer | None:
+    """The layer with all escapes of both forms decoded until none is left: what is decoded may begin another escape with what
+    follows it, and a read character is looked at once for each escape that it ends."""
+    own_b, own_e = layer.origins()
+    chars, begins, ends, changed = [], [], [], False
+    for c, b, e in zip(layer.text, own_b.tolist(), own_e.tolist()):
+        chars.append(c)
+        begins.append(b)
+        ends.append(e)
+        while (found := _escape_at_end(chars)) is not None:
+            n, new = found
+            b, e = min(begins[-n:]), max(ends[-n:])
+            del chars[-n:], begins[-n:], ends[-n:]
+            chars.append(new)
+            begins.append(b)
+            ends.append(e)
+            changed = True
+    return _Layer("".join(chars), np.array(begins), np.array(ends), (*layer.path, "escapes")) if changed else None
+
+
+def _coded_archives(layer: _Layer):
+    """Yield the layers behind compressed bytes in URL form, and the spans of those that grow too large."""
+    if HIGH.search(layer.text) is None:
+        return
+    for m in CODED.finditer(layer.text):
+        if "%" not in m[0]:
+            continue
+        data = unquote_to_bytes(m[0])
+        for at in MAGIC.finditer(data):
+            found = _unwrap(data[at.start() :])
+            if found is None or not found[0]:
+                continue
+            start, stop = layer.span(m.start(), m.end())
+            path = (*layer.path, "url", *found[0])
+            if found[1] is None:
+                yield None, ("oversize@" + ".".join(path), start, stop)
+            else:
+                yield _Layer(found[1], np.full(len(found[1]), start), np.full(len(found[1]), stop), path), None
+            break
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def _members(make, data: bytes) -> bytes:
     """The content of all members of a compressed stream, up to a byte more than MOST_UNPACKED; what follows the last whole
     or broken member is not part of it."""
@@ -195,15 +277,15 @@ def _inflate(data: bytes) -> tuple[str, bytes | None] | None:
 
 def _unwrap(data: bytes) -> tuple[tuple, str | None] | None:
     """The forms and the text of decoded bytes: compressed layers are opened until none is left; None if it is no text."""
-    forms, seen = [], {data}
+    forms, seen = [], {_digest(data)}
     while (inner := _inflate(data)) is not None:
         forms.append(inner[0])
         if inner[1] is None:
             return tuple(forms), None
         data = inner[1]
-        if data in seen:  # a cycle: an archive that holds itself
+        if _digest(data) in seen:  # a cycle: an archive that holds itself
             return None
-        seen.add(data)
+        seen.add(_digest(data))
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
@@ -274,23 +356,28 @@ def find(text: str) -> list[tuple[str, int, int]]:
     root = _Layer(text)
     base = scan(root)
     known = set(base)
-    seen = {(root.raw, 0, len(text))}
+    seen = {(_digest(root.raw), 0, len(text))}
     work = deque([root])
+    room = LEVELS * len(text) + SHORT
     while work:
         layer = work.popleft()
         children = []
-        if "%" in layer.text:
-            children.append(_replaced(layer, URL, _url, "url"))
-        if "\\" in layer.text or "&#" in layer.text:
-            children.append(_replaced(layer, ESCAPE, _unicode, "unicode"))
-        for child, large in _base64(layer):
+        if room > 0:
+            if "%" in layer.text:
+                children.append(_replaced(layer, URL, _url, "url"))
+            if "\\" in layer.text or "&#" in layer.text:
+                children.append(_replaced(layer, ESCAPE, _unicode, "unicode"))
+            room -= sum(len(c.text) for c in children if c is not None)
+        elif "%" in layer.text or "\\" in layer.text or "&#" in layer.text:
+            children.append(_settled(layer))
+        for child, large in (*_coded_archives(layer), *_base64(layer)):
             children.append(child)
             if large:
                 known.add(large)
         for child in children:
             if child is None or not child.text:
                 continue
-            key = (child.raw, *child.span(0, len(child.text)))
+            key = (_digest(child.raw), *child.span(0, len(child.text)))
             if key in seen:  # the same content from the same place: a cycle or another way to it
                 continue
             seen.add(key)
@@ -306,7 +393,8 @@ def find(text: str) -> list[tuple[str, int, int]]:
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, spans array<struct<kind,start,end>>), one per input row; code points of the text, end exclusive.
 
-    Null or empty text has no spans.  Null and repeated ids are kept as they are; other columns are ignored.
+    Null or empty text has no spans.  Null and repeated ids are kept as they are; long texts are read whole; an empty table
+    gives an empty result; other columns are ignored.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
