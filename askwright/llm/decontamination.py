@@ -2,9 +2,11 @@
 
 1. Every document becomes the hashes of its words (a written table that all later passes read).
 2. Document frequencies, then a randomised SVD: the TF-IDF passages of all documents are sketched by random signs into a
-   few rows (a count sketch, summed over tasks), and the right singular vectors of sketch and benchmark span the latent space.
+   few rows, more than the rank (a count sketch, summed over tasks); their span is the range that holds the latent space, and
+   its strongest RANK right singular vectors are the space's axes.  The benchmark has no part in it.
 3. Items are cut into pieces of a passage's length at most.  A passage (two blocks of STRIDE words, each block in two
-   passages) is a candidate if it holds enough of a piece's telling words, or some of them and its latent cosine is high.
+   passages) is a candidate if its latent cosine to a piece is high; of candidates that hold too few of the piece's telling
+   words to pass, the checks are left out.
 4. A candidate is a leak where the longest common subsequence covers enough of the item and its telling words, the
    answer among them, are there.
 The benchmark is a stated query set: it is read in blocks of about BLOCK pieces, each held against all documents.
@@ -24,11 +26,11 @@ from pyspark.sql import functions as F
 from askwright.llm.common import materialize, slices, summed
 
 CELLS = 1 << 14
-SKETCH = 64
+SKETCH = 96  # rows: half as many again as the rank
 RANK = 64
 STRIDE = 16
 BLOCK = 1024
-COSINE = 0.4  # of a piece that fills a passage; a shorter piece's falls with the root of its length
+COSINE = 0.35  # of a piece that fills a passage; a shorter piece's falls with the root of its length
 LCS = 0.6
 ANSWER = 0.6
 TELLING = 0.25  # words of this share of the item's highest weight tell it, its answer, apart
@@ -132,15 +134,19 @@ def sketch(words: DataFrame, idf: np.ndarray) -> np.ndarray:
         from pyspark import TaskContext
 
         sums = np.zeros(SKETCH * CELLS)
+        mixed = lambda x: (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         for batch in batches:
             for part in slices(batch, 1):
                 flat, counts = _arrays(part)
                 if not len(flat):
                     continue
-                block, _, _ = _blocks(counts)
-                # the sign and the row come from the block's own first word, position and document length: a repeatable draw
+                block, doc, many = _blocks(counts)
+                # sign and row come from the document's id, the block's number and its first word: the same in any partitioning
+                number = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                ids = np.array([0 if i is None else i for i in part.column(0).to_pylist()], np.int64).view(np.uint64)
                 heads = np.flatnonzero(np.diff(block, prepend=-1))
-                mix = (flat[heads].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + heads.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
+                mix = mixed(ids[doc] * np.uint64(0x9E3779B97F4A7C15) + number.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) + flat[heads]
+                mix = mixed(mix * np.uint64(0x94D049BB133111EB)) >> np.uint64(20)
                 row, sign = (mix % np.uint64(SKETCH)).astype(np.int64), np.where(mix >> np.uint64(30) & np.uint64(1), 1.0, -1.0)
                 cell = (flat & (CELLS - 1)).astype(np.int64)
                 sums += np.bincount(row[block] * CELLS + cell, sign[block] * idf[cell], minlength=SKETCH * CELLS)
@@ -165,7 +171,6 @@ class Space:
     first: np.ndarray  # CELLS + 1: where each cell's pieces begin in told
     told: np.ndarray  # the pieces that each cell's words tell
     need: np.ndarray  # of a piece's telling words, how many a candidate passage holds at least
-    sure: np.ndarray  # how many make it a candidate whatever its cosine
     known: list[Item]  # of each piece its item
 
 
@@ -196,26 +201,21 @@ def build_space(pieces: list[tuple[Item, np.ndarray]], sketched: np.ndarray, idf
         telling = item.telling.intersection(words.tolist())
         holds.append(len(telling))
         pairs += [(w & (CELLS - 1), i) for w in telling]
-    unit = lambda m: m / max(1e-12, float(np.linalg.norm(m)))
-    rows = np.vstack([unit(sketched), unit(q)]).astype(np.float64)
+    rows = sketched.astype(np.float64)
     values, vectors = np.linalg.eigh(rows @ rows.T)
-    keep = np.argsort(-values)[: min(rank, len(values))]
-    keep = keep[values[keep] > 1e-12]
+    keep = np.argsort(-values)[:rank]
+    keep = keep[values[keep] > 1e-12 * max(1e-300, values[keep[0]])]
     v = rows.T @ vectors[:, keep] / np.sqrt(values[keep])
     latent = q @ v
     latent /= np.maximum(1e-12, np.linalg.norm(latent, axis=1, keepdims=True))
     cells, told = np.array(sorted(set(pairs)), np.int64).T
-    # a copied piece of STRIDE words lies in one passage; of a longer one, one of two passages holds half of what was kept
-    share = np.where(sizes <= STRIDE, ANSWER, ANSWER / 2)
-    least = lambda x: np.maximum(1, np.ceil(x * np.array(holds) - 1e-9)).astype(np.int64)
     return Space(
         (idf[:, None] * v).astype(np.float32),
         latent.astype(np.float32),
         (COSINE * np.sqrt(np.minimum(1, sizes / (2 * STRIDE)))).astype(np.float32),
         np.searchsorted(cells, np.arange(CELLS + 1)),
         told,
-        least(NEAR),
-        least(share),
+        np.maximum(1, np.ceil(NEAR * np.array(holds) - 1e-9)).astype(np.int64),
         [item for item, _ in pieces],
     )
 
@@ -247,8 +247,8 @@ def verify(item: Item, words: np.ndarray, near: int) -> tuple[float, float] | No
 
 
 def candidates(flat: np.ndarray, counts: np.ndarray, space: Space):
-    """Yield (document, its block, piece, cosine) of a slice: passages that hold enough of a piece's telling words, or some
-    of them and are near to it."""
+    """Yield (document, its block, piece, cosine) of a slice: passages that are near to a piece and hold some of its telling
+    words."""
     if not len(flat):
         return
     block, doc, _ = _blocks(counts)
@@ -280,7 +280,7 @@ def candidates(flat: np.ndarray, counts: np.ndarray, space: Space):
         p = sums[at:stop]
         close = (p / np.maximum(1e-12, np.linalg.norm(p, axis=1, keepdims=True))) @ space.pieces.T
         hits = hits[: stop - at]
-        i, j = np.nonzero((hits >= space.need) & ((hits >= space.sure) | (close >= space.cosine)) & keep[at:stop, None])
+        i, j = np.nonzero((hits >= space.need) & (close >= space.cosine) & keep[at:stop, None])
         yield from zip(doc[at + i].tolist(), number[at + i].tolist(), j.tolist(), close[i, j].tolist())
 
 
@@ -318,7 +318,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     passage's shares, its cosine and about where it starts, in words.
 
     A null text has no words and no leaks; an item without words leaks nowhere; repeated rows give one row; a null id is
-    reported as null.  Without documents or items the result is empty.  Other columns are ignored.
+    reported as null.  Long texts and items are read whole.  Without documents or items the result is empty.  Other columns
+    are ignored.
     """
     words = words_table(docs, id_col, text_col)
     df, n = document_frequency(words)
@@ -342,6 +343,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that no benchmark item leaks into; a row with a null id stays."""
+    """The rows of docs that no benchmark item leaks into; a row with a null id stays, repeated rows go or stay together."""
     gone = contamination(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

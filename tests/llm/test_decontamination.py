@@ -91,3 +91,53 @@ def test_items_of_any_length_against_brute_force(spark):
     known = {x.item_id: x for x, _ in dc.cut([(i, dc.word_hashes(t)) for i, t in items], idf)}
     want = {(d, i) for d, words in hashed for i, item in known.items() if any(dc.verify(item, words, near) for near in range(-(-len(words) // dc.STRIDE)))}
     assert copied <= want and len(want) > 100 and found == want
+
+
+def _paraphrased(rng, n_items):
+    """More items than the space has dimensions, each with a paraphrase: of every three words one is replaced."""
+    vocabulary = [f"w{i}" for i in range(3000)] + ["the", "of", "and"] * 300
+    prose = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = [(i, prose(int(rng.integers(20, 70)))) for i in range(n_items)]
+    docs = []
+    for i, text in items:
+        words = [f"other{int(rng.integers(500))}" if rng.random() < 0.3 else w for w in text.split()]
+        docs.append((i, f"{prose(int(rng.integers(0, 200)))}\n{' '.join(words)}\n{prose(int(rng.integers(0, 200)))}"))
+    return items, docs + [(1000 + i, prose(300)) for i in range(200)]
+
+
+def _searched(items, docs, sketched=None):
+    """Leaks found by candidates of the latent space and by checking every passage; a sketch of zeros knows nothing of the corpus."""
+    hashed = [(i, dc.word_hashes(t)) for i, t in docs]
+    df = np.bincount(np.concatenate([np.unique(w & (dc.CELLS - 1)) for _, w in hashed]), minlength=dc.CELLS)
+    idf = np.log1p((len(docs) + 1) / (df + 1)) ** 2
+    pieces = dc.cut([(i, dc.word_hashes(t)) for i, t in items], idf)
+    space = dc.build_space(pieces, sketched(hashed, idf), idf)
+    flat, counts = np.concatenate([w for _, w in hashed]), np.array([len(w) for _, w in hashed])
+    tried = {(d, near, id(space.known[k])): space.known[k] for d, near, k, _ in dc.candidates(flat, counts, space)}
+    found = {(docs[d][0], item.item_id) for (d, near, _), item in tried.items() if dc.verify(item, hashed[d][1], near)}
+    known = {x.item_id: x for x, _ in pieces}
+    want = {(i, k) for i, words in hashed for k, item in known.items() if any(dc.verify(item, words, near) for near in range(-(-len(words) // dc.STRIDE)))}
+    return found, want
+
+
+def _sketch(spark):
+    def made(hashed, idf):
+        return dc.sketch(spark.createDataFrame([(i, w.tobytes()) for i, w in hashed], "id long, words binary").repartition(3), idf)
+
+    return made
+
+
+def test_paraphrases_are_found_by_the_corpus_space(spark):
+    """The candidate search loses little against checks at every passage, and much without the corpus' own space."""
+    items, docs = _paraphrased(np.random.default_rng(12), 2 * dc.RANK)
+    found, want = _searched(items, docs, _sketch(spark))
+    assert len(want) > 0.6 * len(items) and len(found & want) >= 0.97 * len(want) and found <= want
+    blind, _ = _searched(items, docs, lambda hashed, idf: np.zeros((dc.SKETCH, dc.CELLS)))
+    assert len(blind) < 0.8 * len(found)
+
+
+def test_sketch_is_the_same_in_any_partitioning(spark):
+    _, docs = _paraphrased(np.random.default_rng(13), 30)
+    words = spark.createDataFrame([(i if i % 7 else None, dc.word_hashes(t).tobytes()) for i, t in docs], "id long, words binary")
+    idf = np.ones(dc.CELLS)
+    assert np.allclose(dc.sketch(words.coalesce(1), idf), dc.sketch(words.repartition(7), idf))
