@@ -27,7 +27,7 @@ SEED = 42
 SHARD_POINTS = 65536  # home points of a shard, about: a shard stays within a few MB, and fewer shards mean fewer visits
 MOST_SHARDS = 1 << 16  # beyond 4e9 distinct fingerprints shards grow: at 1e11 they hold some 1.5 million points, 30 MB
 SAMPLE = 16  # points of the sample for each shard; it shapes the shards, never the result
-ASK_POINTS = 16384  # what a block asks, at least; or half of what the shard holds
+ASK_POINTS = 16384  # what a block asks, at least; or twice what its shard holds, so that few points stand in several blocks
 LEAF_POINTS = 96  # below this a tree node is compared point by point
 BLOCK = 1 << 21  # distances held at once
 
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = points.select("fp").mapInArrow(count, "shard int, home long, n long").groupBy("shard").agg(F.sum("home"), F.sum("n")).collect() if depth else [(0, total, total)]
     blocks = np.ones(shards, np.int64)
     for shard, home, n in sizes:
-        blocks[shard] = max(1, -(-n // max(ASK_POINTS, home // 2)))
+        blocks[shard] = max(1, -(-n // max(ASK_POINTS, 2 * home)))
 
     def assign(batches):
         for batch in batches:
