@@ -33,14 +33,86 @@ def scrub_counts(text: Column) -> Column:
     return F.create_map(F.lit("[email]"), F.regexp_count(text, F.lit(EMAIL)), F.lit("[phone]"), F.regexp_count(no_mail, F.lit(PHONE)))
 
 
-def clean_value(text: Column, most: int = 30_000) -> Column:
-    """A ticket's free text: cut, signature off, greeting, mail headers, address, number and mention masked, in this order."""
+# Signatures, greetings, mail headers, mentions (Java syntax).
+NAME_WORD = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"
+NAMES = rf"{NAME_WORD}(?:(?:[ \t]+|[ \t]*,[ \t]*|[ \t]+(?:et|and|&)[ \t]+){NAME_WORD}){{0,3}}"
+FORMULA = (
+    r"(?:(?:^[ \t>]*|(?<=[\s,.;!]))(?i:(?:(?:bien|très|meilleures)\s+)?cordialement|bien\s+à\s+(?:vous|toi)"
+    r"|(?:sinc[èe]res\s+|meilleures\s+|bonnes\s+)?salutations|(?:best|kind|warm)\s+regards|regards"
+    r"|merci(?:\s+(?:d['’]avance|par\s+avance|beaucoup|bien))?)|^[ \t>]*(?i:cdlt|cdt|slts|bàv|bav))"
+)
+SIGNATURE_END = rf"[ \t]*[,.!:]?[ \t]*(?:{NAME_WORD}(?:[ \t]+{NAME_WORD}){{0,2}})?[ \t]*[,.!]?[ \t]*$"
+GREETING = (
+    r"^([ \t>]*(?i:bonjour|bonsoir|hello|hi|salut|cher|chère|chers|chères|dear)[ \t]+)"
+    rf"(?:(?:(?i:m\.|mme\.?|mlle\.?|monsieur|madame|mr\.?|mrs\.?|ms\.?)[ \t]+)?{NAMES})(?=[ \t]*(?:[,!.:]|$))"
+)
+HEADER = (
+    r"(?i)^([ \t>]*(?:de|from|à|to|cc|cci|bcc|envoyé\s+par|sent\s+by|expéditeur|destinataire|répondre\s+à|reply-to|de\s+la\s+part\s+de)[ \t]*:)[ \t]*\S[^\n]*$"
+)
+HEADER_A = r"(?i)^([ \t>]*a[ \t]*:)[ \t]*[^\n]*(?:@|\[email\])[^\n]*$"
+MENTION = rf"(?<![\w.])@[ \t]?(?:{NAME_WORD}|\w[\w.'’-]*)(?:[ \t]+{NAME_WORD}){{0,2}}"
+PERSON_WORD = r"(?U)[\p{L}\p{Nl}\p{M}][\w'’-]{2,}"
+
+
+def cut_signature(text: Column) -> Column:
+    """Up to the first closing formula that ends its line with something before it."""
+    return F.regexp_replace(text, rf"(?dmU)\A(?s:(\s*+[^\s].*?))(?<![ \t\n,;:])[ \t\n,;:]*+(?:(?<=[ \t\n,;:])|(?<=[\s,.;!])|(?=^)){FORMULA}{SIGNATURE_END}(?s:.*)\z", "$1")
+
+
+def mask_names(text: Column, people: Column) -> Column:
+    """The people of a row's person columns (array of strings) in its text: two neighbouring words in either order in any case,
+    single words only where they are capitalised.  A single word in capitals is an account, no person."""
+    lower = lambda v: F.coalesce(v, F.lit("")).rlike(r"\p{Ll}")
+    each = F.transform(people, lambda v: F.struct(F.regexp_extract_all(F.coalesce(v, F.lit("")), F.lit(PERSON_WORD), 0).alias("w"), lower(v).alias("low")))
+    known = F.filter(each, lambda p: (F.size(p["w"]) > 1) | ((F.size(p["w"]) == 1) & p["low"]))
+    gap = r"[ \t]+"
+    pairs = F.flatten(
+        F.transform(
+            F.filter(known, lambda p: F.size(p["w"]) > 1),
+            lambda p: F.flatten(F.zip_with(F.slice(p["w"], F.lit(1), F.size(p["w"]) - 1), F.slice(p["w"], F.lit(2), F.size(p["w"]) - 1), lambda a, b: F.array(F.concat(a, F.lit(gap), b), F.concat(b, F.lit(gap), a)))),
+        )
+    )
+    singles = F.flatten(F.transform(F.filter(known, lambda p: p["low"]), lambda p: p["w"]))
+    any_of = lambda words: F.array_join(F.transform(F.sort_array(F.transform(F.array_distinct(words), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"]), "|")
+    first = F.when(F.size(pairs) > 0, F.regexp_replace(text, F.concat(F.lit(r"(?iU)(?<!\w)(?:"), any_of(pairs), F.lit(r")(?!\w)")), F.lit("[nom]"))).otherwise(text)
+    shout = any_of(F.transform(singles, lambda w: F.upper(w)))
+    capital = F.concat(F.lit(r"(?U)(?<!\w)(?=\p{Lu})(?!(?:"), shout, F.lit(r")(?!\w))(?iU:"), any_of(singles), F.lit(r")(?!\w)"))
+    return F.when(F.size(singles) > 0, F.regexp_replace(first, capital, F.lit("[nom]"))).otherwise(first)
+
+
+def clean_value(text: Column, most: int = 30_000, people: Column | None = None, free: bool = True) -> Column:
+    """A ticket's kept value: cut; of free text the signature off, greeting and mail headers masked; then addresses, numbers and
+    mentions, and last the names of the row's people.  The order is part of the rule."""
     out = text.substr(1, most)
-    out = F.regexp_replace(out, r"(?is)(?<=\S)\s+(?:bien |très )?(?:cordialement|(?:best|kind) regards|salutations)[ \t]*[,.!]?[ \t]*(?:\n[^\n]{0,60})?\s*$", "")
-    out = F.regexp_replace(out, r"(?mU)^([ \t>]*(?i:bonjour|bonsoir|hello|hi|salut|cher|chère|dear)[ \t]+)\p{Lu}[\w'’-]*(?:[ \t]+\p{Lu}[\w'’-]*){0,3}(?=[ \t]*(?:[,!.:]|$))", "$1[nom]")
-    out = F.regexp_replace(out, r"(?im)^([ \t>]*(?:de|from|à|to|cc|cci|bcc|envoyé par|sent by)[ \t]*:)[ \t]*\S[^\n]*$", "$1 [masqué]")
-    out = F.regexp_replace(F.regexp_replace(out, TICKET_EMAIL, "[email]"), TICKET_PHONE, "[phone]")
-    return F.regexp_replace(out, r"(?U)(?<![\w.])@[ \t]?\w[\w.'’-]*", "[mention]")
+    if free:
+        out = cut_signature(out)
+        out = F.regexp_replace(out, f"(?dmU){GREETING}", "$1[nom]")
+        for header in (HEADER, HEADER_A):
+            out = F.regexp_replace(out, f"(?dmU){header}", "$1 [masqué]")
+    for label, pattern in (("[email]", TICKET_EMAIL), ("[phone]", TICKET_PHONE), ("[mention]", f"(?U){MENTION}")):
+        out = F.regexp_replace(out, pattern, label)
+    if people is not None:
+        out = mask_names(out, people)
+    return out.substr(1, most)
+
+
+def recleaned(rows, key: list[str], free: list[str], structured: list[str] = (), people: list[str] = (), most: int = 30_000):
+    """Stored rows cleaned again: only the rows that change are returned, with their key and new values.  Columns that are
+    neither key, free text nor structured are emptied (the allow-list decides what may be kept)."""
+    names = F.array(*[F.col(c).cast("string") for c in people]) if people else None
+    new = {c: clean_value(F.coalesce(F.col(c), F.lit("")), most, names) for c in free}
+    keep = {*key, *free, *structured}
+    emptied = {c: F.lit("").alias(c) for c in rows.columns if c not in keep}
+    changed = F.lit(False)
+    for c in (*free, *emptied):
+        changed = changed | ~F.coalesce(F.col(c).cast("string"), F.lit("")).eqNullSafe(new.get(c, F.lit("")))
+    picked = [F.col(c) if c in key or c in structured else new[c].alias(c) if c in new else emptied[c] for c in rows.columns]
+    return rows.where(changed).select(*picked)
+
+
+def allowed_columns(found: list[str], kept: list[str], dropped: list[str]) -> tuple[list[str], list[str]]:
+    """(columns to keep in the order found, unknown ones to report): whatever is neither kept nor known as dropped is not kept."""
+    return [c for c in found if c in kept], [c for c in found if c not in kept and c not in dropped]
 
 
 def readable(text: Column) -> Column:

@@ -35,6 +35,35 @@ ROUTE_STOP = (
     "that the this to what when where why with you your"
 ).split()
 NEGATIONS = "pas plus non jamais aucun aucune rien sans ni impossible not no never none nothing unable".split()
+# Verbs that open an instruction.  Of the regular French ones, in -er, the polite imperative in -ez is built.
+ER_VERBS = (
+    "cliquer fermer selectionner redemarrer relancer verifier controler tester consulter regarder observer confirmer identifier demander noter taper entrer "
+    "appuyer lancer executer aller supprimer desinstaller installer reinstaller connecter deconnecter reconnecter copier coller renommer vider reinitialiser "
+    "desactiver activer modifier configurer reconfigurer patienter allumer rallumer debrancher rebrancher brancher retirer inserer remplacer effacer ajouter "
+    "creer cocher decocher valider contacter essayer naviguer acceder rechercher telecharger synchroniser forcer purger nettoyer deverrouiller reparer utiliser "
+    "demarrer arreter quitter positionner placer glisser deplacer imprimer scanner partager exporter importer sauvegarder enregistrer restaurer basculer indiquer "
+    "signaler accepter refuser autoriser bloquer debloquer actualiser recharger reessayer recommencer verrouiller deployer envoyer transferer derouler developper"
+).split()
+OTHER_VERBS = (
+    "ouvrir ouvrez choisir choisissez saisir saisissez attendre attendez eteindre eteignez mettre mettez repondre repondez rafraichir rafraichissez reprendre "
+    "reprenez joindre joignez rendez faire faites suivre suivez assurez s'assurer"
+).split()
+ENGLISH_VERBS = (
+    "click open close select choose restart reboot relaunch verify check ensure confirm test look see identify ask note type enter press launch run go navigate "
+    "delete remove uninstall install reinstall connect disconnect reconnect copy paste rename clear empty reset disable enable modify change configure wait turn "
+    "switch unplug plug insert replace add create tick untick validate contact try access search download sync force purge clean unlock repair use start stop quit "
+    "save restore update refresh reload retry sign log make"
+).split()
+ACTION_VERBS = [*ER_VERBS, *(v[:-2] + "ez" for v in ER_VERBS), *OTHER_VERBS, *ENGLISH_VERBS]
+FILLERS = (
+    "tout d'abord|dans un premier temps|dans un second temps|pour commencer|si besoin|au besoin|ensuite|puis|enfin|d'abord|egalement|aussi|alors|maintenant|"
+    "then|next|finally|first|also|now"
+)
+PLACES = "dans sur depuis via une apres avant au a partir lorsque des une_fois from in on after once within under".split()
+CONDITIONS = (
+    r"^(?:et |mais |ou )?(?:si|s'ils?|lorsqu'|lorsque|quand|dans le cas ou|en cas d'|en cas de|au cas ou|sinon|if|when|in case|unless|sauf si|otherwise)(?![a-z])"
+    r"[^,:;]{0,160}?(?= ?[,:;]| (?:alors|then)(?![a-z]))"
+)
 LIGATURES = {"œ": "oe", "Œ": "oe", "æ": "ae", "Æ": "ae", "ß": "ss", "ø": "o", "Ø": "o", "đ": "d", "Đ": "d", "ł": "l", "Ł": "l"}
 
 
@@ -98,6 +127,34 @@ def route_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(folded, lambda t: (F.length(t) > 1) & ~t.isin(ROUTE_STOP)))
 
 
+def opening_verb(line: Column) -> Column:
+    """The verb that opens a step: after a condition, as the line begins, or after a leading place; past one filler word.  Null
+    if none does."""
+    bare = plain(F.regexp_replace(line, r"^\s*(?:(?:[EÉeé]tape|ETAPE|ÉTAPE|[Ss]tep|STEP)\s*\d{1,2}\s*[:.)\-–]?|\d{1,2}[.)](?!\d)|[a-zA-Z][.)](?=\s)|[-*•–·▪●◦➢➤►✓✔])\s+", ""))
+    comma = F.instr(bare, ",")
+    place = (comma > 1) & (comma <= 61) & F.substring_index(bare, " ", 1).isin(PLACES)
+    tries = F.filter(
+        F.array(
+            F.when(bare.rlike(CONDITIONS), F.regexp_replace(F.regexp_replace(bare, CONDITIONS, ""), "^[ ,:;]+", "")),
+            bare,
+            F.when(place, F.ltrim(bare.substr(comma + 1, F.length(bare)))),
+        ),
+        lambda x: x.isNotNull(),
+    )
+
+    def verb(x: Column) -> Column:
+        after = F.regexp_replace(F.regexp_replace(x, rf"^(?:{FILLERS})(?=[ ,])[ ,]*", ""), "^alors ", "")
+        word = F.regexp_replace(F.regexp_extract(after, r"^([a-z'-]+)", 1), r"^['-]+|['-]+$", "")
+        form = F.when(word.startswith("s'") & ~word.isin(ACTION_VERBS), word.substr(F.lit(3), F.length(word))).otherwise(word)
+        return F.when(form.isin(ACTION_VERBS), form).when(F.substring_index(form, "-", 1).isin(ACTION_VERBS), F.substring_index(form, "-", 1))
+
+    return F.get(F.filter(F.transform(tries, verb), lambda x: x.isNotNull()), F.lit(0))
+
+
+def opens_with_verb(line: Column) -> Column:
+    return opening_verb(line).isNotNull()
+
+
 def token_key(text: Column) -> Column:
     return F.array_sort(route_tokens(text))
 
@@ -138,9 +195,10 @@ def canonical_intent(text: Column) -> Column:
     return F.when(name.rlike("^[A-Z][A-Z0-9_]{2,63}$"), name)
 
 
-def slug(text: Column) -> Column:
+def slug(text: Column, reserved: tuple[str, ...] = ()) -> Column:
+    """A column's name in lower-case ASCII; names that begin with a digit or are taken by the store get a prefix."""
     name = F.regexp_replace(F.regexp_replace(fold_ascii(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    return F.when(name.rlike("^[0-9]"), F.concat(F.lit("c_"), name)).otherwise(name)
+    return F.when(name.isin(list(reserved)), F.concat(F.lit("field_"), name)).when(name.rlike("^[0-9]"), F.concat(F.lit("c_"), name)).otherwise(name)
 
 
 def dictionary_slug(text: Column) -> Column:
@@ -190,3 +248,41 @@ def split_half(key: Column, rule: str) -> Column:
     even = F.conv(digit, 16, 10).cast("int") % 2 == 0
     names = {"profile": ("0", "1"), "calibration": ("calibration", "test"), "scoreboard": ("A", "B")}[rule]
     return F.when(even, names[0]).otherwise(names[1])
+
+
+def canonical_identifiers(text: Column) -> Column:
+    """Article numbers in capitals and hexadecimal codes with a small x, as the extraction reads them."""
+    parts = F.split(F.regexp_replace(text, r"(?i)\b(kb\d+|0x[0-9a-f]+)\b", "\x01$1\x01"), "\x01")
+    return F.array_join(
+        F.transform(parts, lambda x, i: F.when(i % 2 == 0, x).when(F.lower(x).startswith("kb"), F.upper(x)).otherwise(F.concat(F.lit("0x"), x.substr(F.lit(3), F.length(x))))), ""
+    )
+
+
+def label_text(text: Column, title: Column, fiche_id: Column) -> Column:
+    """A label without article numbers and the separators around them; else the title so reduced, else the id."""
+    bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"(?i)\bKB\s?[-_]?\d+\b", " "), r"^[\s\-–—:|]+|[\s\-–—:|]+$|\s+(?=\s)", ""))
+    return F.coalesce(F.when(bare(text) != "", bare(text)), F.when(bare(title) != "", bare(title)), fiche_id)
+
+
+def guide_text(html: Column) -> Column:
+    """A knowledge article as lines: comments out, cells apart, block ends as line ends, no empty lines (entities aside)."""
+    out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?i)</t[dh]>", " | "), r"(?i)</(?:p|div|li|tr|h\d)>|<br\s*/?>", "\n")
+    lines = F.transform(F.split(F.regexp_replace(out, r"<[^>]*>", ""), "\n"), collapse)
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+def truncate(text: Column, most: int) -> Column:
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(text.substr(1, most - 1)), F.lit("…")))
+
+
+def initials(name: Column) -> Column:
+    """First letters of the first two words, in capitals; '?' without any."""
+    words = F.filter(F.split(F.trim(name), r"\s+"), lambda w: w != "")
+    letters = F.upper(F.array_join(F.transform(F.slice(words, 1, 2), lambda w: w.substr(1, 1)), ""))
+    return F.when(F.size(words) > 0, letters).otherwise("?")
+
+
+def fingerprint(parts: Column) -> Column:
+    """Sixteen hex digits of the SHA-256 of sorted parts, a line each."""
+    return F.sha2(F.array_join(F.array_sort(parts), "\n"), 256).substr(1, 16)

@@ -64,12 +64,83 @@ def discriminator(close: DataFrame, kinds: list[str], most: int = 5) -> DataFram
     return first.select("query", "m.kind", "m.options")
 
 
-def words_ladder(first: Column, second: Column, candidates: Column, entities: Column, strong: Column, title_words: Column, informative: Column) -> Column:
-    """The ladder of the word mode: thresholds by what kept the candidates, the gap, then the title rule."""
-    least = F.when(strong, 0.10).when(entities, 0.25).otherwise(0.40)
-    lead = second.isNull() | (F.round(first - second, 6) >= 0.12)
-    title = (title_words >= 2) & (informative >= 1)
-    return F.when(candidates == 0, "abstain").when(first < least, F.when(entities | title, "question").otherwise("abstain")).when(lead & (strong | title), "fiche").otherwise("question")
+def words_ladder(ranked: DataFrame, mode: DataFrame, least: tuple[float, float, float] = (0.10, 0.25, 0.40), gap: float = 0.12, choices: int = 3, fallback: float = 0.40) -> DataFrame:
+    """The decision of the word mode.
+
+    ranked: query, doc, score, rank, named (the question holds two words of the title, one of them telling), app (null
+    without one); mode: query, entities (known ones kept the candidates), strong (one of them as telling as an error code).
+    Returns query, kind, reason, doc (of a shown one), offered.  Above the threshold of the mode a lead shows the first if it
+    is named or strong, else it is offered; close ones ask, unless one alone of them is named.  Below it, few candidates of
+    known entities are offered, and of words alone the applications of the first ten are asked for.
+    """
+    first = F.max(F.when(F.col("rank") == 1, F.col("score")))
+    tops = ranked.groupBy("query").agg(first.alias("first"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"), F.count("*").alias("n"))
+    seen = ranked.join(tops.select("query", "first"), "query").withColumn("close", F.round(F.col("first") - F.col("score"), 6) < gap)
+    doc_at = lambda c: F.array_sort(F.collect_list(F.when(c, F.struct("rank", "doc"))))
+    told = seen.groupBy("query").agg(
+        doc_at(F.col("close")).alias("near"), doc_at(F.col("close") & F.col("named")).alias("titled"), doc_at((F.col("score") > 0) & (F.col("rank") <= choices)).alias("plausible"),
+        doc_at(F.col("rank") <= choices).alias("few"), F.max((F.col("rank") == 1) & F.col("named")).alias("top_named"),
+        F.max(F.when(F.col("rank") == 1, F.col("doc"))).alias("top"), F.max(F.when(F.col("rank") <= 10, F.col("app"))).isNotNull().alias("apps"),
+    )
+    row = mode.join(tops, "query", "left").join(told, "query", "left")
+    enough = F.col("first") >= F.when(F.col("strong"), least[0]).when(F.col("entities"), least[1]).otherwise(least[2])
+    lead = F.col("second").isNull() | (F.round(F.col("first") - F.col("second"), 6) >= gap)
+    reason = (
+        F.when(F.col("n").isNull(), "no_candidate")
+        .when(enough & lead & (F.col("strong") | F.col("top_named")), F.when(F.col("second").isNull(), "single").otherwise("clear_lead"))
+        .when(enough & lead, "no_title_match")
+        .when(enough & (F.size("titled") == 1), "close_title_match")
+        .when(enough, "close_choice")
+        .when(F.col("entities") & (F.col("n") <= choices), "weak_text_few")
+        .when(F.col("entities"), "weak_text")
+        .when((F.col("first") >= fallback) & F.col("apps"), "ask_application")
+        .otherwise("nothing_close")
+    )
+    docs = lambda c: F.transform(F.slice(c, 1, choices), lambda x: x["doc"])
+    told_reason = row.withColumn("reason", reason)
+    r = F.col("reason")
+    return told_reason.select(
+        "query",
+        F.when(r.isin("single", "clear_lead", "close_title_match"), "fiche").when(r.isin("no_title_match", "close_choice", "weak_text_few", "ask_application"), "question").otherwise("abstain").alias("kind"),
+        "reason",
+        F.when(r.isin("single", "clear_lead"), F.col("top")).when(r == "close_title_match", F.col("titled")[0]["doc"]).alias("doc"),
+        F.when(r == "no_title_match", F.when(F.size("plausible") > 0, docs(F.col("plausible"))).otherwise(F.array("top"))).when(r == "close_choice", docs(F.col("near"))).when(r == "weak_text_few", docs(F.col("few"))).alias("offered"),
+    )
+
+
+def close_set(ranked: DataFrame, gap: float = 0.12) -> DataFrame:
+    """The documents within `gap` of the first, by rank."""
+    first = ranked.where("rank = 1").select("query", F.col("score").alias("__first"))
+    near = ranked.join(first, "query").where(F.round(F.col("__first") - F.col("score"), 6) < gap)
+    return near.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"]).alias("close"))
+
+
+def ticket_entities(asked: DataFrame, index: DataFrame, answered: DataFrame) -> DataFrame:
+    """asked: query, entity; index: entity, fiche; answered: query, entity.  known (some fiche carries it), ignored, and the
+    answers that are known, each sorted."""
+    carried = index.select("entity").distinct().withColumn("known", F.lit(True))
+    rows = asked.withColumn("answer", F.lit(False)).unionByName(answered.withColumn("answer", F.lit(True))).join(carried, "entity", "left")
+    sorted_set = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("entity"))))
+    known = F.coalesce("known", F.lit(False))
+    return rows.groupBy("query").agg(sorted_set(known & ~F.col("answer")).alias("known"), sorted_set(~known & ~F.col("answer")).alias("ignored"), sorted_set(known & F.col("answer")).alias("answers"))
+
+
+def single_app_filter(candidates: DataFrame, apps: DataFrame, index: DataFrame) -> DataFrame:
+    """candidates: query, fiche; apps: query, app; index: entity, fiche.  Where a question names exactly one application and some
+    candidates carry it, only these stay."""
+    one = apps.distinct().groupBy("query").agg(F.count("*").alias("n"), F.min("app").alias("app")).where("n = 1").select("query", "app")
+    carried = index.select(F.col("entity").alias("app"), "fiche").distinct().withColumn("has", F.lit(1))
+    marked = candidates.join(one, "query", "left").join(carried, ["app", "fiche"], "left")
+    some = marked.groupBy("query").agg(F.count("has").alias("some"))
+    return marked.join(some, "query").where((F.col("some") == 0) | F.col("has").isNotNull()).select("query", "fiche")
+
+
+def app_options(ranked: DataFrame, index: DataFrame, depth: int = 10, most: int = 5) -> DataFrame:
+    """The applications of a question's first `depth` fiches, in order of appearance, `most` at most."""
+    apps = index.where(F.col("entity").startswith("app:")).select("fiche", "entity")
+    seen = ranked.where(F.col("rank") <= depth).join(apps, ranked["doc"] == apps["fiche"]).groupBy("query", "entity").agg(F.min("rank").alias("at"))
+    w = Window.partitionBy("query").orderBy("at", "entity")
+    return seen.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("query", "entity", "place")
 
 
 def min_show(kind: Column, score: Column, floor: float, designated: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +18,13 @@ REPLACED_BY = r"(?i)\b(?:remplac[ée]e? par|obsol[eè]te[^.\n]{0,20}?par|replace
 def written(df: DataFrame, name: str) -> DataFrame:
     """A table in the folder that the cluster shares (spark.checkpoint.dir), read again: short lineage, safe from lost executors."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/askwright-checkpoints"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="askwright-"))
+        folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/askwright/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -36,16 +43,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(total > 0, shared / total).otherwise(0.0)
 
 
-def similar_pairs(docs: DataFrame, id_col: str, text: Column, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b with their Jaccard, membership doc -> rep).
+def similar_pairs(docs: DataFrame, id_col: str, text: Column, least: float = 0.8, number: Column | None = None, same_number: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(pairs a < b with their Jaccard, membership doc -> rep).  number: two texts of one number are a pair from same_number on.
 
     Texts with equal shingle sets are one representative (their least id), so copies are never expanded into pairs.  Of a
     set of n shingles in order of rarity, two sets as similar as `least` share one of the first n - ceil(least n) + 1:
     only these are joined, so a shingle that fills the corpus, which comes last, joins nothing.
     """
     # generators between the steps: each list is made once a row, however often the next step names it
-    bags = docs.select(F.col(id_col).alias("doc"), F.explode(F.array(tokenize(text))).alias("t"))
-    sets = bags.select("doc", F.explode(F.array(F.array_sort(shingles(F.col("t"))))).alias("s")).where(F.size("s") > 0)
+    own = F.lit(None).cast("string") if number is None else number.cast("string")
+    bags = docs.select(F.col(id_col).alias("doc"), own.alias("number"), F.explode(F.array(tokenize(text))).alias("t"))
+    sets = bags.select("doc", "number", F.explode(F.array(F.array_sort(shingles(F.col("t"))))).alias("s")).where(F.size("s") > 0)
     keyed = written(sets.withColumn("h", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ","), 256)), "sets")
     members = keyed.groupBy("h").agg(F.min("doc").alias("rep"))
     membership = keyed.select("doc", "h").join(members, "h").select("doc", "rep")
@@ -56,14 +64,22 @@ def similar_pairs(docs: DataFrame, id_col: str, text: Column, least: float = 0.8
     ordered = exploded.join(rare.where("df > 1"), "x").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("o"))
     sized = ordered.join(reps.select("doc", F.size("s").alias("n"), "s"), "doc")
     # shingles of one set only are the rarest: they take places of the prefix and join nothing
-    room = F.col("n") - F.ceil(F.lit(least) * F.col("n")).cast("int") + 1 - (F.col("n") - F.size("o"))
-    prefix = sized.where(room > 0).select("doc", "n", F.explode(F.slice("o", F.lit(1), room)).alias("o")).select("doc", "n", F.col("o.x").alias("x"))
-    left, right = prefix.select(F.col("doc").alias("a"), F.col("n").alias("na"), "x"), prefix.select(F.col("doc").alias("b"), F.col("n").alias("nb"), "x")
-    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))
-    candidates = left.join(right, "x").where(close).select("a", "b").distinct()
+    numbers = keyed.join(members, "h").where("number is not null").select(F.col("rep").alias("doc"), "number").distinct()
+
+    def candidates(rows: DataFrame, level: float, keys: list[str]) -> DataFrame:
+        room = F.col("n") - F.ceil(F.lit(level) * F.col("n")).cast("int") + 1 - (F.col("n") - F.size("o"))
+        prefix = rows.where(room > 0).select("doc", "n", *keys[1:], F.explode(F.slice("o", F.lit(1), room)).alias("o")).select("doc", "n", *keys[1:], F.col("o.x").alias("x"))
+        left, right = prefix.select(F.col("doc").alias("a"), F.col("n").alias("na"), *keys), prefix.select(F.col("doc").alias("b"), F.col("n").alias("nb"), *keys)
+        close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= level * F.greatest("na", "nb"))
+        return left.join(right, keys).where(close).select("a", "b", F.lit(level).alias("level"))
+
+    found = candidates(sized, least, ["x"])
+    if number is not None:
+        found = found.unionByName(candidates(sized.join(numbers, "doc"), same_number, ["x", "number"]))
+    found = found.groupBy("a", "b").agg(F.min("level").alias("level"))
     sa, sb = reps.select(F.col("doc").alias("a"), F.col("s").alias("sa")), reps.select(F.col("doc").alias("b"), F.col("s").alias("sb"))
-    pairs = candidates.join(sa, "a").join(sb, "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).where(F.col("jaccard") >= least)
-    return pairs, membership
+    pairs = found.join(sa, "a").join(sb, "b").select("a", "b", "level", jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).where(F.col("jaccard") >= F.col("level"))
+    return pairs.select("a", "b", "jaccard"), membership
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -122,8 +122,28 @@ def by_route(records: DataFrame) -> DataFrame:
     )
 
 
-def gate(records: DataFrame, base: str, routed: str, excluded: DataFrame, least: int = 30) -> DataFrame:
-    """One row: status (invalid, failed, insufficient, passed) and the counts it rests on."""
+def uneven_runs(records: DataFrame, base: str) -> DataFrame:
+    """(engine, run, missing, extra): later runs that did not answer the questions of the base engine's first run."""
+    asked = canonical(records).where(F.col("engine") == base).select(*KEY).distinct()
+    runs = records.select("engine", "run").distinct()
+    first = records.groupBy("engine").agg(F.min("run").alias("first"))
+    later = runs.join(F.broadcast(first), "engine").where("run > first").select("engine", "run")  # a row for each run of an engine
+    wanted = later.crossJoin(asked).withColumn("w", F.lit(1))  # runs are few: each is held against all questions
+    had = records.select("engine", "run", *KEY).distinct().withColumn("h", F.lit(1))
+    both = wanted.join(had.join(later, ["engine", "run"]), ["engine", "run", *KEY], "full_outer")
+    found = both.groupBy("engine", "run").agg(count_if(F.col("h").isNull()).alias("missing"), count_if(F.col("w").isNull()).alias("extra"))
+    return found.where("missing > 0 OR extra > 0")
+
+
+def gate(records: DataFrame, base: str, routed: str, excluded: DataFrame, least: int = 30, failures: int = 0, degraded: int = 0) -> DataFrame:
+    """One row: status (invalid, failed, insufficient, passed), the counts it rests on and the reasons that hold, in order.
+
+    invalid: the engines answered other questions or labels, a later run is uneven, a decision failed, a call failed for a
+    while (failures), or decisions are marked degraded; failed: a fiche shown as exact is wrong in any run, or the right one
+    comes first less often; insufficient: too few compared questions, or no exact decision on a question that no reviewer saw.
+    """
+    if "degraded" not in records.columns:
+        records = records.withColumn("degraded", F.lit(None).cast("string"))
     canon = canonical(records)
     b, r = canon.where(F.col("engine") == base), canon.where(F.col("engine") == routed)
     both = b.select(*KEY, F.array_sort("expected").alias("be"), first_fiche().alias("bf"), "expected").join(
@@ -131,19 +151,69 @@ def gate(records: DataFrame, base: str, routed: str, excluded: DataFrame, least:
     )
     mismatch = both.agg(count_if(F.col("re").isNull() != F.col("be").isNull()).alias("unpaired"), count_if(~F.col("be").eqNullSafe(F.col("re"))).alias("relabelled"))
     wrong = ~F.coalesce(F.array_contains("expected", shown()), F.lit(False))
-    routed_all = records.where(F.col("engine") == routed)
     exact_level = F.col("level").isin("L0", "L1", "L2") & shown().isNotNull()
-    decided = routed_all.agg(count_if(exact_level).alias("exact_decisions"), F.countDistinct(F.when(exact_level & wrong, F.struct(*KEY))).alias("wrong_exact"))
-    errors = records.where(F.col("engine").isin(base, routed)).agg(count_if(F.col("error").isNotNull()).alias("errors"))
-    seen = excluded.select(*KEY).distinct()
+    seen = excluded.select(*KEY).distinct().withColumn("seen", F.lit(1))
+    routed_all = records.where(F.col("engine") == routed).join(seen, KEY, "left")
+    decided = routed_all.agg(
+        count_if(exact_level).alias("exact_decisions"), F.countDistinct(F.when(exact_level & wrong, F.struct(*KEY))).alias("wrong_exact"),
+        F.countDistinct(F.when(exact_level & F.col("seen").isNull(), F.struct(*KEY))).alias("unseen_exact"),
+    )
+    own = records.where(F.col("engine").isin(base, routed))
+    errors = own.agg(count_if(F.col("error").isNotNull()).alias("errors"), F.countDistinct(F.when(F.col("degraded").isNotNull(), F.struct(*KEY))).alias("degraded"))
+    uneven = uneven_runs(own, base).agg(F.count("*").alias("uneven"))
     compared = both.where(F.size("expected") > 0).join(seen, KEY, "left_anti").agg(
         F.count("*").alias("compared"), count_if(F.array_contains("expected", F.col("bf"))).alias("base_first"), count_if(F.array_contains("expected", F.col("rf"))).alias("route_first")
     )
-    row = mismatch.crossJoin(decided).crossJoin(errors).crossJoin(compared)  # one row each
-    status = (
-        F.when((F.col("unpaired") > 0) | (F.col("relabelled") > 0) | (F.col("errors") > 0), "invalid")
-        .when((F.col("wrong_exact") > 0) | (F.col("route_first") < F.col("base_first")), "failed")
-        .when((F.col("compared") < max(1, least)) | (F.col("exact_decisions") == 0), "insufficient")
-        .otherwise("passed")
-    )
-    return row.withColumn("status", status)
+    row = mismatch.crossJoin(decided).crossJoin(errors).crossJoin(compared).crossJoin(uneven)  # one row each
+    rules = [
+        ("invalid", "unpaired", F.col("unpaired") > 0), ("invalid", "uneven_runs", F.col("uneven") > 0), ("invalid", "relabelled", F.col("relabelled") > 0),
+        ("invalid", "errors", F.col("errors") > 0), ("invalid", "failures", F.lit(failures > 0)), ("invalid", "degraded", (F.col("degraded") > 0) | F.lit(degraded > 0)),
+        ("failed", "wrong_exact", F.col("wrong_exact") > 0), ("failed", "right_first", F.col("route_first") < F.col("base_first")),
+        ("insufficient", "few_questions", F.col("compared") < max(1, least)), ("insufficient", "no_exact_decision", F.col("exact_decisions") == 0),
+        ("insufficient", "only_seen_questions", (F.col("exact_decisions") > 0) & (F.col("unseen_exact") == 0)),
+    ]
+    holds = lambda status: F.filter(F.array(*[F.when(c, F.lit(name)) for s, name, c in rules if s == status]), lambda x: x.isNotNull())
+    told = row.withColumn("reasons", F.concat(holds("invalid"), holds("failed"), holds("insufficient")))
+    status = F.lit("passed")
+    for name in ("insufficient", "failed", "invalid"):
+        status = F.when(F.size(holds(name)) > 0, name).otherwise(status)
+    return told.withColumn("status", status)
+
+
+def split_recommendation(records: DataFrame, half: Column, most_wrong: float) -> DataFrame:
+    """The threshold that half A allows (the least score at which the share of wrong ones shown stays within the bound) and
+    what it shows on half B."""
+    rows = canonical(records).where(F.col("score").isNotNull() & shown().isNotNull()).withColumn("half", half).withColumn("right", exact())
+    a = rows.where("half = 'A'")
+    w = Window.partitionBy("engine").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = a.select("engine", "score", F.count("*").over(w).alias("k"), count_if(~F.col("right")).over(w).alias("bad")).distinct()
+    total = canonical(records).withColumn("half", half).where("half = 'A'").groupBy("engine").agg(F.count("*").alias("n"))
+    fits = swept.join(F.broadcast(total), "engine").where(stats.wilson(F.col("bad"), F.col("n"), True) <= most_wrong)
+    chosen = fits.groupBy("engine").agg(F.min("score").alias("threshold"))
+    b = rows.where("half = 'B'").join(F.broadcast(chosen), "engine")  # one row an engine
+    return b.groupBy("engine", "threshold").agg(count_if(F.col("score") >= F.col("threshold")).alias("shown"), count_if((F.col("score") >= F.col("threshold")) & F.col("right")).alias("right"))
+
+
+def accepted_closure(expected: DataFrame, resolve: DataFrame) -> DataFrame:
+    """expected: ticket_id, fiche; resolve: fiche, target (of a duplicate or superseded one).  Right answers and what they lead to."""
+    led = expected.join(resolve, "fiche").select("ticket_id", F.col("target").alias("fiche"))
+    return expected.select("ticket_id", "fiche").unionByName(led).distinct()
+
+
+def sampled_sweep(sweep: DataFrame, most: int = 20) -> DataFrame:
+    """Of each engine's thresholds (engine, threshold, recommended) the ends, evenly spaced ones between, and the recommended one."""
+    w = Window.partitionBy("engine").orderBy("threshold")
+    placed = sweep.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("engine")))
+    places = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.round(k * (F.col("n") - 1) / (most - 1)).cast("int"))
+    return placed.where((F.col("n") <= most) | F.array_contains(places, F.col("i")) | F.col("recommended")).drop("i", "n")
+
+
+def tallies(partial: DataFrame) -> DataFrame:
+    """Counts by what (kind, reason, mode) and value, merged from partial ones."""
+    return partial.groupBy("what", "value").agg(F.sum("n").alias("n"))
+
+
+def unique_holders(numbers: DataFrame) -> DataFrame:
+    """numbers: number, fiche.  The fiche of a number, or 'ambiguous' where several hold it."""
+    held = numbers.distinct().groupBy("number").agg(F.count("*").alias("n"), F.min("fiche").alias("fiche"))
+    return held.select("number", F.when(F.col("n") == 1, F.col("fiche")).alias("fiche"), F.when(F.col("n") == 1, "unique").otherwise("ambiguous").alias("state"))

@@ -11,7 +11,10 @@ from askwright.plans.rank import FOLD
 
 PLAIN = f"trim(regexp_replace({FOLD.format('replace({0}, chr(8217), chr(39))')}, '\\s+', ' ', 'g'))"
 ITEM = r"^\s*(?:\d{1,2}[.)]|[a-zA-Z][.)]|[-*•–·▪●◦➢➤►])\s"
-LINES = f"l AS (SELECT DISTINCT doc_id, {PLAIN.format('line')} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE NOT regexp_matches(line, '{ITEM}'))"
+_FIRST = f"trim(regexp_extract(regexp_replace(regexp_replace({PLAIN.format('line')}, '^(?:{t.FILLERS.replace(chr(39), chr(39) * 2)})[ ,]+', ''), '^alors ', ''), '^([a-z''-]+)', 1), chr(39) || '-')"
+_VERBS = ", ".join("'" + v.replace("'", "''") + "'" for v in t.ACTION_VERBS)
+INSTRUCTION = f"(({_FIRST} IN ({_VERBS}) OR split_part({_FIRST}, '-', 1) IN ({_VERBS})) AND NOT regexp_matches(line, '{c.NOTICE}'))"
+LINES = f"l AS (SELECT DISTINCT doc_id, {PLAIN.format('line')} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE NOT regexp_matches(line, '{ITEM}') AND NOT {INSTRUCTION})"
 
 
 @query(f"WITH {LINES} SELECT line, count(*) AS n FROM l WHERE length(line) >= 20 GROUP BY line HAVING count(*) >= greatest(3, 0.005 * (SELECT count(*) FROM documents))")
@@ -47,11 +50,12 @@ def heading_stability(spark, d):
     return c.half_stability(keys, t.split_half(F.col("doc"), "profile"))
 
 
-@query(r"""WITH n AS (SELECT word, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(left(text, 60)), '[a-z]{3,}')) AS word FROM documents) GROUP BY word HAVING count(*) BETWEEN 2 AND greatest(10, (SELECT count(*) FROM documents) // 2)),
-w AS (SELECT lower(w) AS word, count(*) AS seen, count(*) FILTER (WHERE regexp_matches(w, '^[A-Z]')) AS capital FROM (SELECT unnest(regexp_extract_all(text, '\b[A-Za-z]{3,}\b')) AS w FROM documents) GROUP BY 1)
-SELECT word, n, round(capital / seen, 6) AS share FROM n JOIN w USING (word) WHERE capital >= 0.8 * seen ORDER BY n DESC, word LIMIT 150""")
+@query(r"""WITH n AS (SELECT word, count(*) AS n FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(url), '[a-z]{3,}')) AS word FROM pages) GROUP BY word HAVING count(*) BETWEEN 2 AND greatest(10, (SELECT count(*) FROM pages) // 2)),
+w AS (SELECT lower(w) AS word, count(*) AS seen, count(*) FILTER (WHERE regexp_matches(w, '^[A-Z]')) AS capital FROM (SELECT unnest(regexp_extract_all(html, '\b[A-Za-z]{3,}\b')) AS w FROM pages) GROUP BY 1)
+SELECT word, n, round(capital / seen, 6) AS share FROM n JOIN w USING (word) WHERE capital >= 0.2 * seen ORDER BY n DESC, word LIMIT 150""")
 def name_candidates(spark, d):
-    return c.name_candidates(table(spark, d, "documents"), "doc_id", F.col("text").substr(1, 60), F.col("text"))
+    """Words of the pages' names that their texts write with a capital; the texts are prose, so a lower share is asked for."""
+    return c.name_candidates(table(spark, d, "pages"), "page_id", F.col("url"), F.col("html"), share=0.2)
 
 
 FICHES = [("f1", "A réutiliser - Imprimante", "x", "texte assez long pour rester dans la base de connaissances", 0), ("f2", "Vide", "vide", "# Vide", 0), ("f3", "Ne pas utiliser", "y", "t", 3), ("f4", "Guide", "guide", "court", 2), ("f5", "Guide long", "z", "# Guide long et un corps de plus de quarante caractères hors titre", 0), ("f6", "Presque", "NE PAS UTILISER doc", "", 1)]

@@ -5,18 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from askwright.operators import decisions
+from askwright.operators import decisions, retrieval
 from askwright.plans.base import query, table, values
 
-LADDER = [(1, 0.5, 0.3, 5, True, False, 2, 1), (2, 0.2, None, 1, True, True, 0, 0), (3, 0.2, 0.1, 3, False, False, 0, 0), (4, 0.3, 0.29, 4, True, False, 2, 1), (5, 0.0, None, 0, False, False, 0, 0), (6, 0.45, 0.2, 2, False, False, 2, 0), (7, 0.1, 0.05, 2, True, False, 0, 0)]
-LS = "id int, first double, second double, candidates int, entities boolean, strong boolean, title_words int, informative int"
+# candidates of questions: scores from prices, names and applications from keys; twelve candidates a question at most
+RANKED = """li AS (SELECT l_orderkey AS query, 'F' || l_partkey AS doc, round((l_extendedprice % 1000) / 1000 * CASE WHEN l_orderkey % 4 = 0 THEN 0.3 ELSE 1 END, 3) AS score, l_partkey % 3 = 0 AS named, CASE WHEN l_suppkey % 4 = 0 THEN 'app:' || (l_suppkey % 12) END AS app FROM lineitem),
+ded AS (SELECT query, doc, max(score) AS score, any_value(named) AS named, min(app) AS app FROM li GROUP BY query, doc), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM ded),
+mo AS (SELECT o_orderkey AS query, o_orderkey % 3 <> 0 AS entities, o_orderkey % 3 = 1 AS strong FROM orders)"""
 
 
-@query(f"""SELECT id, CASE WHEN candidates = 0 THEN 'abstain' WHEN first < CASE WHEN strong THEN 0.10 WHEN entities THEN 0.25 ELSE 0.40 END THEN CASE WHEN entities OR (title_words >= 2 AND informative >= 1) THEN 'question' ELSE 'abstain' END
- WHEN (second IS NULL OR round(first - second, 6) >= 0.12) AND (strong OR (title_words >= 2 AND informative >= 1)) THEN 'fiche' ELSE 'question' END AS kind FROM {values(LADDER, LS)}""")
+def ranked_candidates(spark, d):
+    li = table(spark, d, "lineitem")
+    score = F.round(F.col("l_extendedprice") % 1000 / 1000 * F.when(F.col("l_orderkey") % 4 == 0, 0.3).otherwise(1), 3)
+    rows = li.select(F.col("l_orderkey").alias("query"), F.concat(F.lit("F"), F.col("l_partkey")).alias("doc"), score.alias("score"), (F.col("l_partkey") % 3 == 0).alias("named"), F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("app:"), F.col("l_suppkey") % 12)).alias("app"))
+    once = rows.groupBy("query", "doc").agg(F.max("score").alias("score"), F.first("named").alias("named"), F.min("app").alias("app"))
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc")))
+
+
+@query(f"""WITH {RANKED}, t AS (SELECT query, max(score) FILTER (WHERE rank = 1) AS s1, max(score) FILTER (WHERE rank = 2) AS s2, max(doc) FILTER (WHERE rank = 1) AS top, bool_or(named AND rank = 1) AS top_named, count(*) AS n, bool_or(app IS NOT NULL AND rank <= 10) AS apps FROM k GROUP BY query),
+x AS (SELECT k.*, round(s1 - score, 6) < 0.12 AS near FROM k JOIN t USING (query)), a AS (SELECT query, count(*) FILTER (WHERE near AND named) AS titled, min(doc) FILTER (WHERE near AND named) AS titled_doc, list(doc ORDER BY rank) FILTER (WHERE near) AS close_docs, list(doc ORDER BY rank) FILTER (WHERE rank <= 3) AS few, list(doc ORDER BY rank) FILTER (WHERE rank <= 3 AND score > 0) AS plausible FROM x GROUP BY query),
+v AS (SELECT mo.query, entities, strong, t.*, a.*, s1 >= CASE WHEN strong THEN 0.10 WHEN entities THEN 0.25 ELSE 0.40 END AS enough, s2 IS NULL OR round(s1 - s2, 6) >= 0.12 AS lead FROM mo LEFT JOIN t ON t.query = mo.query LEFT JOIN a ON a.query = mo.query),
+r AS (SELECT *, CASE WHEN n IS NULL THEN 'no_candidate' WHEN enough AND lead AND (strong OR top_named) THEN CASE WHEN s2 IS NULL THEN 'single' ELSE 'clear_lead' END WHEN enough AND lead THEN 'no_title_match' WHEN enough AND titled = 1 THEN 'close_title_match' WHEN enough THEN 'close_choice'
+ WHEN entities AND n <= 3 THEN 'weak_text_few' WHEN entities THEN 'weak_text' WHEN s1 >= 0.40 AND apps THEN 'ask_application' ELSE 'nothing_close' END AS reason FROM v)
+SELECT query, CASE WHEN reason IN ('single', 'clear_lead', 'close_title_match') THEN 'fiche' WHEN reason IN ('no_title_match', 'close_choice', 'weak_text_few', 'ask_application') THEN 'question' ELSE 'abstain' END AS kind, reason,
+ CASE WHEN reason IN ('single', 'clear_lead') THEN top WHEN reason = 'close_title_match' THEN titled_doc END AS doc,
+ array_to_string(CASE reason WHEN 'no_title_match' THEN CASE WHEN len(plausible) > 0 THEN plausible ELSE [top] END WHEN 'close_choice' THEN close_docs[1:3] WHEN 'weak_text_few' THEN few END, '|') AS offered FROM r""")
 def words_ladder(spark, d):
-    c = F.col
-    return spark.createDataFrame(LADDER, LS).select("id", decisions.words_ladder(c("first"), c("second"), c("candidates"), c("entities"), c("strong"), c("title_words"), c("informative")).alias("kind"))
+    mode = table(spark, d, "orders").select(F.col("o_orderkey").alias("query"), (F.col("o_orderkey") % 3 != 0).alias("entities"), (F.col("o_orderkey") % 3 == 1).alias("strong"))
+    return decisions.words_ladder(ranked_candidates(spark, d), mode).withColumn("offered", F.array_join("offered", "|"))
+
+
+@query(f"WITH {RANKED}, f AS (SELECT query, score AS s1 FROM k WHERE rank = 1) SELECT query, array_to_string(list(doc ORDER BY rank), '|') AS close FROM k JOIN f USING (query) WHERE round(s1 - score, 6) < 0.12 GROUP BY query")
+def close_candidates(spark, d):
+    return decisions.close_set(ranked_candidates(spark, d)).select("query", F.array_join("close", "|").alias("close"))
 
 
 SHOWN = [(1, "fiche", 0.3, False), (2, "fiche", 0.3, True), (3, "fiche", 0.9, False), (4, "question", 0.1, False)]
@@ -56,11 +77,15 @@ def import_outcomes(spark, d):
     return rows.select(F.when(F.trim("text") == "", "empty").when(F.col("conv_id") % 17 == 0, "no_id").when(again, "duplicate").otherwise("imported").alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query("SELECT lang, sha256(string_agg('[' || doc_id || '] ' || source || ': ' || left(text, 80), chr(10) ORDER BY doc_id)) AS block FROM documents WHERE doc_id < 200 GROUP BY lang")
+@query("""WITH c AS (SELECT doc_id, source, n, substr(text, CAST(n * 1500 + 1 AS BIGINT), 2000) AS chunk FROM (SELECT doc_id, source, text, unnest(range(0, CAST(greatest(ceil((length(text) - 500) / 1500.0), 1) AS BIGINT))) AS n FROM documents))
+SELECT doc_id, sha256(string_agg('[' || (n + 1) || '] ' || source || ': ' || chunk, chr(10) ORDER BY n)) AS block FROM c GROUP BY doc_id""")
 def context_blocks(spark, d):
-    line = F.format_string("[%d] %s: %s", F.col("doc_id"), F.col("source"), F.col("text").substr(1, 80))
-    rows = table(spark, d, "documents").where("doc_id < 200").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("line")))).alias("l"))
-    return rows.select("lang", F.sha2(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), 256).alias("block"))
+    """The chunks of each document as numbered context lines."""
+    docs = table(spark, d, "documents")
+    chunks = retrieval.page_chunks(docs, "doc_id", F.col("text")).join(docs.select(F.col("doc_id").alias("doc"), "source"), "doc")
+    line = F.format_string("[%d] %s: %s", F.col("n") + 1, F.col("source"), F.col("chunk"))
+    rows = chunks.groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))).alias("l"))
+    return rows.select("doc_id", F.sha2(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), 256).alias("block"))
 
 
 @query("SELECT conv_id, count(*) AS turns FROM conversations WHERE (conv_id % 5) || ':' || (conv_id % 3) = '2:1' GROUP BY conv_id")

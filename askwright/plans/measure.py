@@ -94,15 +94,21 @@ def route_levels(spark, d):
 
 
 @query(f"""WITH {R}, b AS (SELECT *, CASE WHEN kind IN ('fiche', 'question') THEN fiches[1] END AS ff FROM c WHERE engine = 'base'), q AS (SELECT *, CASE WHEN kind IN ('fiche', 'question') THEN fiches[1] END AS ff FROM c WHERE engine = 'routed'),
+runs AS (SELECT DISTINCT engine, run FROM r WHERE run > 0), had AS (SELECT DISTINCT engine, run, client, ticket_id FROM r),
+uneven AS (SELECT count(*) AS k FROM runs WHERE (SELECT count(*) FROM had WHERE had.engine = runs.engine AND had.run = runs.run) <> (SELECT count(*) FROM b) OR (SELECT count(*) FROM had JOIN b USING (client, ticket_id) WHERE had.engine = runs.engine AND had.run = runs.run) <> (SELECT count(*) FROM b)),
 x AS (SELECT (SELECT count(*) FROM b FULL JOIN q USING (client, ticket_id) WHERE b.ord IS NULL OR q.ord IS NULL) AS unpaired, (SELECT count(*) FROM b FULL JOIN q USING (client, ticket_id) WHERE list_sort(b.expected) IS DISTINCT FROM list_sort(q.expected)) AS relabelled,
  (SELECT count(*) FROM r WHERE engine = 'routed' AND level IN ('L0', 'L1', 'L2') AND kind = 'fiche') AS exact_decisions, (SELECT count(DISTINCT (client, ticket_id)) FROM r WHERE engine = 'routed' AND level IN ('L0', 'L1', 'L2') AND kind = 'fiche' AND NOT list_contains(expected, fiches[1])) AS wrong_exact,
- (SELECT count(*) FROM r WHERE error IS NOT NULL) AS errors, (SELECT count(*) FROM b JOIN q USING (client, ticket_id) WHERE len(b.expected) > 0 AND ticket_id % 7 <> 0) AS compared,
- (SELECT count(*) FROM b WHERE len(expected) > 0 AND ticket_id % 7 <> 0 AND list_contains(expected, ff)) AS base_first, (SELECT count(*) FROM q WHERE len(expected) > 0 AND ticket_id % 7 <> 0 AND list_contains(expected, ff)) AS route_first)
-SELECT *, CASE WHEN unpaired > 0 OR relabelled > 0 OR errors > 0 THEN 'invalid' WHEN wrong_exact > 0 OR route_first < base_first THEN 'failed' WHEN compared < 30 OR exact_decisions = 0 THEN 'insufficient' ELSE 'passed' END AS status FROM x""")
+ (SELECT count(DISTINCT (client, ticket_id)) FROM r WHERE engine = 'routed' AND level IN ('L0', 'L1', 'L2') AND kind = 'fiche' AND ticket_id % 7 <> 0) AS unseen_exact,
+ (SELECT count(*) FROM r WHERE error IS NOT NULL) AS errors, CAST(0 AS BIGINT) AS degraded, (SELECT count(*) FROM b JOIN q USING (client, ticket_id) WHERE len(b.expected) > 0 AND ticket_id % 7 <> 0) AS compared,
+ (SELECT count(*) FROM b WHERE len(expected) > 0 AND ticket_id % 7 <> 0 AND list_contains(expected, ff)) AS base_first, (SELECT count(*) FROM q WHERE len(expected) > 0 AND ticket_id % 7 <> 0 AND list_contains(expected, ff)) AS route_first, (SELECT k FROM uneven) AS uneven),
+y AS (SELECT *, list_filter([CASE WHEN unpaired > 0 THEN 'unpaired' END, CASE WHEN uneven > 0 THEN 'uneven_runs' END, CASE WHEN relabelled > 0 THEN 'relabelled' END, CASE WHEN errors > 0 THEN 'errors' END], lambda v: v IS NOT NULL) AS i,
+ list_filter([CASE WHEN wrong_exact > 0 THEN 'wrong_exact' END, CASE WHEN route_first < base_first THEN 'right_first' END], lambda v: v IS NOT NULL) AS f,
+ list_filter([CASE WHEN compared < 30 THEN 'few_questions' END, CASE WHEN exact_decisions = 0 THEN 'no_exact_decision' END, CASE WHEN exact_decisions > 0 AND unseen_exact = 0 THEN 'only_seen_questions' END], lambda v: v IS NOT NULL) AS s FROM x)
+SELECT * EXCLUDE (i, f, s), array_to_string(list_concat(i, list_concat(f, s)), '|') AS reasons, CASE WHEN len(i) > 0 THEN 'invalid' WHEN len(f) > 0 THEN 'failed' WHEN len(s) > 0 THEN 'insufficient' ELSE 'passed' END AS status FROM y""")
 def gate_status(spark, d):
     rows = records(spark, d)
     seen = rows.where("ticket_id % 7 = 0").select("client", "ticket_id")
-    return m.gate(rows, "base", "routed", seen)
+    return m.gate(rows, "base", "routed", seen).withColumn("reasons", F.array_join("reasons", "|"))
 
 
 @query(f"SELECT source, count(*) FILTER (WHERE toxic = 1) AS k, count(*) AS n, round({wilson_sql('count(*) FILTER (WHERE toxic = 1)', 'count(*)', '-')}, 6) AS low, round({wilson_sql('count(*) FILTER (WHERE toxic = 1)', 'count(*)', '+')}, 6) AS high FROM labels JOIN documents USING (doc_id) GROUP BY source")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from askwright.functions.text import SEARCH_STOP, tokenize
 from askwright.operators import ranking as r
+from askwright.plans.measure import wilson_sql
 from askwright.plans.base import query, table
 
 STOP = ", ".join(f"'{w}'" for w in sorted(set(SEARCH_STOP)))
@@ -148,28 +149,27 @@ def semantic_verdict(spark, d):
     return semantic_decide(vector_scores(spark, d), floor=0.4, margin=0.05, offer=0.35).select("query", "first", "second", "verdict")
 
 
-@query(f"""WITH {VECTORS}, t AS (SELECT query, any_value(own) AS own, max(score) FILTER (WHERE rank = 1) AS s1, max(score) FILTER (WHERE rank = 2) AS s2, max(fiche) FILTER (WHERE rank = 1) AS f1,
- list(fiche ORDER BY rank) FILTER (WHERE rank <= 3) AS top FROM k GROUP BY query),
-g AS (SELECT f * 0.05 AS floor, m * 0.02 AS margin FROM range(6, 16) a(f), range(1, 11) c(m)),
-m AS (SELECT round(floor, 6) AS floor, round(margin, 6) AS margin, count(*) AS n, count(*) FILTER (WHERE ok AND f1 = own) AS right_shown, count(*) FILTER (WHERE ok AND f1 <> own) AS wrong_shown
- FROM (SELECT g.*, t.*, s1 >= round(floor, 6) AND round(s1 - s2, 6) >= round(margin, 6) AS ok FROM g, t) GROUP BY 1, 2)
-SELECT floor, margin, n, right_shown, wrong_shown FROM m""")
+GRID = f"""{VECTORS}, t AS (SELECT query, any_value(own) AS own, max(score) FILTER (WHERE rank = 1) AS s1, max(score) FILTER (WHERE rank = 2) AS s2, max(fiche) FILTER (WHERE rank = 1) AS f1, min(rank) FILTER (WHERE fiche = own) AS pl FROM k GROUP BY query),
+lo AS (SELECT query, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, fiche) AS rank FROM k WHERE fiche <> own), l AS (SELECT query, max(score) FILTER (WHERE rank = 1) AS s1, max(score) FILTER (WHERE rank = 2) AS s2 FROM lo GROUP BY query),
+o AS (SELECT coalesce(floor(quantile_cont(s1, 0.05) FILTER (WHERE pl <= 3) * 1000) / 1000, 0.35) AS offer FROM t),
+g AS (SELECT floor, round(m * 0.005, 6) AS margin, offer FROM (SELECT DISTINCT s1 AS floor, offer FROM t, o WHERE s1 >= offer), range(1, 61) r(m)),
+w AS (SELECT floor, margin, offer, count(*) AS n, (SELECT count(*) FROM l) AS loo_n, count(*) FILTER (WHERE ok AND f1 = own) AS right_shown, count(*) FILTER (WHERE ok AND f1 <> own) AS wrong_shown FROM (SELECT g.*, t.own, t.f1, s1 >= floor AND (s2 IS NULL OR round(s1 - s2, 6) >= margin) AS ok FROM g, t) GROUP BY ALL),
+z AS (SELECT floor, margin, count(*) FILTER (WHERE s1 >= floor AND (s2 IS NULL OR round(s1 - s2, 6) >= margin)) AS loo_shown FROM g, l GROUP BY ALL), gm AS (SELECT * FROM w JOIN z USING (floor, margin))"""
+
+
+@query(f"WITH {GRID} SELECT floor, margin, offer, n, loo_n, right_shown, wrong_shown, loo_shown FROM gm")
 def grid_measure(spark, d):
     from askwright.operators.calibration import measure_grid
 
     return measure_grid(vector_scores(spark, d))
 
 
-@query(f"""WITH {VECTORS}, t AS (SELECT query, any_value(own) AS own, max(score) FILTER (WHERE rank = 1) AS s1, max(score) FILTER (WHERE rank = 2) AS s2, max(fiche) FILTER (WHERE rank = 1) AS f1 FROM k GROUP BY query),
-g AS (SELECT f * 0.05 AS floor, m * 0.02 AS margin FROM range(6, 16) a(f), range(1, 11) c(m)),
-m AS (SELECT round(floor, 6) AS floor, round(margin, 6) AS margin, count(*) AS n, count(*) FILTER (WHERE ok AND f1 = own) AS right_shown, count(*) FILTER (WHERE ok AND f1 <> own) AS wrong_shown
- FROM (SELECT g.*, t.*, s1 >= round(floor, 6) AND round(s1 - s2, 6) >= round(margin, 6) AS ok FROM g, t) GROUP BY 1, 2)
-SELECT floor, margin, n, right_shown, wrong_shown FROM m WHERE wrong_shown <= 0.5 * n ORDER BY right_shown DESC, wrong_shown, floor DESC, margin DESC LIMIT 1""")
+@query(f"WITH {GRID} SELECT floor, margin, offer, n, right_shown, wrong_shown, loo_shown FROM gm WHERE {wilson_sql('wrong_shown', 'n', '+')} <= 0.6 AND loo_shown <= 0.9 * loo_n ORDER BY right_shown DESC, wrong_shown, floor DESC, margin DESC LIMIT 1")
 def grid_choose(spark, d):
-    """The best grid point under a ceiling of wrong answers: most right, fewest wrong, highest floor, highest margin."""
+    """The best pair within the bounds; the tables' vectors are random, so the bounds are wider than those of an exam."""
     from askwright.operators.calibration import choose_grid, measure_grid
 
-    return choose_grid(measure_grid(vector_scores(spark, d)), most_wrong=0.5)
+    return choose_grid(measure_grid(vector_scores(spark, d)), most_wrong=0.6, most_loo=0.9)
 
 
 @query(f"WITH {VECTORS}, t AS (SELECT query, any_value(own) AS own, list(fiche ORDER BY rank) AS top FROM k GROUP BY query) SELECT kk AS k, count(*) AS n, count(*) FILTER (WHERE list_contains(top[1:kk], own)) AS hits FROM t, (VALUES (1), (3), (5)) AS v(kk) GROUP BY kk")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from askwright.operators import decisions, routing as r
 from askwright.plans.base import query, table, values
 
-REV = "SELECT 'F' || (o_custkey % 500) AS fiche_id, 'h' || (o_orderkey % 2) AS source_sha256, CASE o_orderstatus WHEN 'F' THEN 'validated' WHEN 'O' THEN 'rejected' ELSE 'review' END AS status, o_orderkey AS revision, CAST(o_orderdate AS VARCHAR) AS decided_at FROM orders WHERE o_orderkey % 3 = 0"
+REV = "SELECT 'F' || (o_custkey % 500) AS fiche_id, 'h' || (o_orderkey % 2) AS source_sha256, CASE o_orderstatus WHEN 'F' THEN 'validated' WHEN 'O' THEN 'rejected' ELSE 'review' END AS status, o_orderkey AS revision, CAST(o_orderdate AS VARCHAR) AS decided_at  FROM orders"
 
 
 @query(f"WITH v AS ({REV}), s AS (SELECT 'F' || i AS fiche_id, 'h' || (i % 3) AS sha FROM range(0, 520) t(i)), m AS (SELECT v.fiche_id, status, revision FROM v JOIN s ON v.fiche_id = s.fiche_id AND source_sha256 = sha QUALIFY row_number() OVER (PARTITION BY v.fiche_id ORDER BY revision DESC, decided_at DESC, status DESC) = 1) SELECT s.fiche_id, coalesce(m.status, CASE WHEN s.fiche_id IN (SELECT fiche_id FROM v) THEN 'stale' ELSE 'proposed' END) AS status, CAST(coalesce(revision, -1) AS BIGINT) AS revision FROM s LEFT JOIN m USING (fiche_id)")
 def current_decision(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 3 = 0")
+    o = table(spark, d, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "validated").when(F.col("o_orderstatus") == "O", "rejected").otherwise("review")
     reviews = o.select(F.concat(F.lit("F"), F.col("o_custkey") % 500).alias("fiche_id"), F.concat(F.lit("h"), F.col("o_orderkey") % 2).alias("source_sha256"), status.alias("status"), F.col("o_orderkey").alias("revision"), F.col("o_orderdate").cast("string").alias("decided_at"))
     sources = spark.range(520).select(F.concat(F.lit("F"), F.col("id")).alias("fiche_id"), F.concat(F.lit("h"), F.col("id") % 3).alias("sha"))
@@ -26,9 +26,9 @@ def alias_collisions(spark, d):
     return r.alias_tables(rows).select("key", F.array_join("claimed", "|").alias("claimed"), F.array_join("waiting", "|").alias("waiting"), "outcome")
 
 
-@query("SELECT 'c' || (l_partkey % 700) AS code, min(l_suppkey) AS fiche FROM lineitem WHERE l_quantity > 48 GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
+@query("SELECT 'c' || l_orderkey AS code, min(l_suppkey) AS fiche FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
 def code_owners(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity > 48").select(F.concat(F.lit("c"), F.col("l_partkey") % 700).alias("code"), F.col("l_suppkey").alias("fiche"))
+    li = table(spark, d, "lineitem").select(F.concat(F.lit("c"), F.col("l_orderkey")).alias("code"), F.col("l_suppkey").alias("fiche"))
     return r.code_owners(li)
 
 
@@ -69,9 +69,9 @@ def routing_ladder(spark, d):
     return r.ladder([level(5, 9, "n"), level(3, 7, "a"), level(2, 4, "i")], q)
 
 
-@query("SELECT l_orderkey AS entry, l_partkey AS member, CAST(l_linenumber AS BIGINT) * 1000000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS ord, row_number() OVER (PARTITION BY l_partkey ORDER BY CAST(l_linenumber AS BIGINT) * 1000000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT), l_orderkey) = 1 AS accepted FROM lineitem WHERE l_partkey % 10 = 0")
+@query("SELECT l_orderkey AS entry, l_partkey AS member, CAST(l_linenumber AS BIGINT) * 1000000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS ord, row_number() OVER (PARTITION BY l_partkey ORDER BY CAST(l_linenumber AS BIGINT) * 1000000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT), l_orderkey) = 1 AS accepted FROM lineitem")
 def taxonomy_claims(spark, d):
-    li = table(spark, d, "lineitem").where("l_partkey % 10 = 0")
+    li = table(spark, d, "lineitem")
     order = F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")
     return r.claims(li.select(F.col("l_orderkey").alias("entry"), F.col("l_partkey").alias("member"), order.alias("ord")))
 

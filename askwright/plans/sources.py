@@ -79,10 +79,20 @@ def decomposition_status(spark, d):
     return spark.createDataFrame(DECOMPOSED, "id int, n1 int, n2 int, m int").select("id", F.round(a, 6).alias("agreement"), segment.status(F.col("n1"), F.when(a >= 0.8, "high").otherwise("low")).alias("status"))
 
 
-@query()
+_FLAT = "regexp_replace(html, '\\r\\n?', chr(10), 'g')"
+for _pattern, _by in unicode_text.TAGS:
+    _FLAT = f"regexp_replace({_FLAT}, '{_pattern}', " + {"\n- ": "chr(10) || '- '", "\n": "chr(10)", " ": "' '"}[_by] + ", 'g')"
+for _entity, _sign in (("nbsp", "' '"), ("middot", "chr(183)"), ("copy", "chr(169)"), ("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("#39", "chr(39)"), ("amp", "'&'")):
+    _FLAT = f"replace({_FLAT}, '&{_entity};', {_sign})"
+_LEAD = "length(regexp_extract(replace(x, chr(160), ' '), '^[ \\t]*'))"
+_BARE = "trim(regexp_replace(x, '[\\s\\x1c-\\x1f\\x85\\xA0]+', ' ', 'g'))"
+_LINE = f"CASE WHEN {_LEAD} > 0 AND regexp_matches({_BARE}, '{unicode_text.LIST_START}') THEN repeat(' ', least({_LEAD}, 8)) || {_BARE} ELSE {_BARE} END"
+
+
+@query(f"SELECT page_id, CAST(length(t) AS INTEGER) AS chars, sha256(t) AS sha FROM (SELECT page_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split({_FLAT}, chr(10)), lambda x: {_LINE}), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM pages)")
 def cleaned_pages(spark, d):
-    """HTML pages as text: entity decoding is no SQL; tests hold it against golden texts."""
-    return table(spark, d, "pages").select("page_id", F.length(unicode_text.clean_text_udf("html")).alias("chars"))
+    """HTML pages as text."""
+    return table(spark, d, "pages").select("page_id", unicode_text.clean_text(F.col("html")).alias("t")).select("page_id", F.length("t").alias("chars"), F.sha2("t", 256).alias("sha"))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS host FROM pages")

@@ -36,10 +36,10 @@ def search_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(tok).alias("n_tokens"), F.array_join(F.slice(F.array_sort(F.array_distinct(tok)), 1, 12), " ").alias("first_terms"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct({route_list('left(text, 400)')})), ' ') AS token_key, CAST(len(list_distinct({route_list('left(text, 400)')})) AS INTEGER) AS n FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct({route_list('text')})), ' ') AS token_key, CAST(len(list_distinct({route_list('text')})) AS INTEGER) AS n FROM documents")
 def route_token_key(spark, d):
-    head = F.col("text").substr(1, 400)
-    return table(spark, d, "documents").select("doc_id", F.array_join(t.token_key(head), " ").alias("token_key"), F.size(t.route_tokens(head)).alias("n"))
+    text = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.array_join(t.token_key(text), " ").alias("token_key"), F.size(t.route_tokens(text)).alias("n"))
 
 
 WORDS = [("comptes",), ("mots",), ("teams",), ("bloquee",), ("bloquees",), ("access",), ("status",), ("1603",), ("ee",), ("its",), ("analysis",), ("employee",)]
@@ -50,11 +50,14 @@ def fold_tokens(spark, d):
     return spark.createDataFrame(WORDS, "word string").select("word", t.fold_token(F.col("word")).alias("folded"))
 
 
-@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[\w.+-]+@[\w-]+(?:\.[\w-]+)+')) AS INTEGER) AS n_email,
- sha256(regexp_replace(text, '[\w.+-]+@[\w-]+(?:\.[\w-]+)+', '[email]', 'g')) AS masked_sha FROM documents WHERE regexp_matches(text, '@')""")
+PHONE_SQL = r"(?:(?:\+|00)[0-9]{2,3}[\s.-]?(?:\(0\)[\s.-]?)?|0)[1-9](?:[\s.-]?[0-9]{2}){4}"
+
+
+@query(rf"""WITH m AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '[\w.+-]+@[\w-]+(?:\.[\w-]+)+')) AS INTEGER) AS n_email, regexp_replace(text, '[\w.+-]+@[\w-]+(?:\.[\w-]+)+', '[email]', 'g') AS masked FROM documents)
+SELECT doc_id, n_email, CAST(len(regexp_extract_all(masked, '(?:^|[^\p{{L}}\p{{N}}_+]){PHONE_SQL}(?:$|[^\p{{L}}\p{{N}}_])')) AS INTEGER) AS n_phone, sha256(masked) AS masked_sha FROM m""")
 def mask_counts(spark, d):
-    docs = table(spark, d, "documents").where(F.contains("text", F.lit("@")))
-    return docs.select("doc_id", m.scrub_counts(F.col("text"))["[email]"].alias("n_email"), F.sha2(F.regexp_replace("text", m.EMAIL, "[email]"), 256).alias("masked_sha"))
+    counts = m.scrub_counts(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", counts["[email]"].alias("n_email"), counts["[phone]"].alias("n_phone"), F.sha2(F.regexp_replace("text", m.EMAIL, "[email]"), 256).alias("masked_sha"))
 
 
 SENSITIVE = [
@@ -114,10 +117,10 @@ def identifiers(spark, d):
     )
 
 
-@query(r"""SELECT item_id, CASE WHEN q = '' THEN '*' ELSE q END AS clean FROM (SELECT item_id, CASE WHEN length(c) <= 100 THEN c WHEN contains(left(c, 100), ' ') THEN regexp_replace(left(c, 100), ' [^ ]*$', '') ELSE left(c, 100) END AS q
- FROM (SELECT item_id, trim(regexp_replace(translate(text, '+-|"*()~\', '         '), '\s+', ' ', 'g')) AS c FROM benchmark))""")
+@query(r"""SELECT doc_id, CASE WHEN q = '' THEN '*' ELSE q END AS clean FROM (SELECT doc_id, CASE WHEN length(c) <= 1000 THEN c WHEN contains(left(c, 1000), ' ') THEN regexp_replace(left(c, 1000), ' [^ ]*$', '') ELSE left(c, 1000) END AS q
+ FROM (SELECT doc_id, trim(regexp_replace(translate(text, '+-|"*()~\', '         '), '\s+', ' ', 'g')) AS c FROM documents))""")
 def sanitized_queries(spark, d):
-    return table(spark, d, "benchmark").select("item_id", t.sanitize_query(F.col("text"), 100).alias("clean"))
+    return table(spark, d, "documents").select("doc_id", t.sanitize_query(F.col("text")).alias("clean"))
 
 
 @query(r"""SELECT doc_id, length(regexp_replace(regexp_replace(CASE WHEN length(h) > 0 AND instr(b, h) > 0 THEN left(b, instr(b, h) - 1) || ' ' || substr(b, instr(b, h) + length(h)) ELSE b END, '\s+', '', 'g'), '^#+', '')) AS body_chars

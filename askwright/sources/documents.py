@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from askwright.functions.unicode_text import clean_text
 from askwright.sources.tables import decode_bytes
@@ -42,7 +43,7 @@ def read_bytes(name: str, raw: bytes) -> tuple[str | None, str | None]:
         return None, f"no reader for .{suffix}: {e}"
     except Exception as e:  # whatever a damaged file makes its reader raise
         return None, f"unreadable: {type(e).__name__}: {e}"
-    return clean_text(text), None
+    return text, None
 
 
 def title_of(text: str | None) -> str | None:
@@ -54,6 +55,11 @@ def title_of(text: str | None) -> str | None:
     return lines[0] if lines and len(lines[0]) <= 150 else None
 
 
+@F.pandas_udf(StringType())
+def title_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(title_of, na_action="ignore")
+
+
 def _id(path: str) -> str:
     name = re.split(r"[/\\]", path)[-1]
     number = re.search(r"(?i)KB\d{5,}", name)
@@ -67,16 +73,20 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     def parse(batches):
         for batch in batches:
             read = [read_bytes(p, bytes(c)) for p, c in zip(batch["path"], batch["content"])]
-            yield pd.DataFrame({"fiche_id": [_id(p) for p in batch["path"]], "title": [title_of(t) for t, _ in read], "text": [t for t, _ in read], "source": batch["path"], "warning": [w for _, w in read]})
+            yield pd.DataFrame({"fiche_id": [_id(p) for p in batch["path"]], "text": [t for t, _ in read], "source": batch["path"], "warning": [w for _, w in read]})
 
-    rows = files.select("path", "content").mapInPandas(parse, "fiche_id string, title string, text string, source string, warning string")
+    read = files.select("path", "content").mapInPandas(parse, "fiche_id string, text string, source string, warning string")
+    cleaned = read.withColumn("text", clean_text(F.col("text")))
+    rows = cleaned.select("fiche_id", title_udf("text").alias("title"), "text", "source", "warning")
     first = F.row_number().over(Window.partitionBy("fiche_id").orderBy(F.lower("source"), "source")) == 1
     return rows.withColumn("warning", F.coalesce("warning", F.when(~first, "the id is another document's"))).orderBy(F.lower("source"))
 
 
-def import_fiches(rows: DataFrame, id_col: str, title_col: str, body_cols: list[str]) -> DataFrame:
-    """Articles from a table: several body columns become sections headed by their names; a repeated id is marked."""
+def import_fiches(rows: DataFrame, id_col: str, title_col: str, body_cols: list[str], order_col: str | None = None) -> DataFrame:
+    """Articles from a table: several body columns become sections headed by their names; a repeated id is marked.
+
+    order_col tells which of equal ids is first; without it the rows' order as read does, which only one file has."""
     part = lambda c: F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", F.concat(F.lit(f"## {c}\n"), F.col(c)) if len(body_cols) > 1 else F.col(c))
     text = F.concat_ws("\n\n", *[part(c) for c in body_cols])
-    w = Window.partitionBy(id_col).orderBy(F.monotonically_increasing_id())
+    w = Window.partitionBy(id_col).orderBy(order_col or F.monotonically_increasing_id())
     return rows.withColumn("__k", F.row_number().over(w)).select(F.col(id_col).alias("fiche_id"), F.col(title_col).alias("title"), text.alias("text"), (F.col("__k") > 1).alias("duplicate"))

@@ -25,15 +25,19 @@ def _guide(s: dict, fiche: str, exact: bool) -> None:
     s |= {"phase": "GUIDING", "fiche": fiche, "exact": exact, "step": 0, "attempts": 0, "started": False, "offered": []}
 
 
-def _locate(s: dict, candidates: list[tuple[str, float]], force_choice: bool = False) -> None:
+def _locate(s: dict, candidates: list[tuple[str, float]], force_choice: bool = False, judged: str | None = None) -> None:
     left = [(f, x) for f, x in candidates if f not in s["rejected"]][:CANDIDATES]
     if not left:
         s["phase"] = "OPEN"
         return
     s["phase"] = "LOCATE"
     top = left[0][1]
-    if not force_choice and top >= EXACT and (len(left) == 1 or top - left[1][1] >= MARGIN):
+    strong = top >= EXACT and (len(left) == 1 or top - left[1][1] >= MARGIN)
+    picked = next((f for f, x in left[:3] if f == judged and x >= JUDGED), None)
+    if not force_choice and strong and judged in (None, left[0][0]):
         _guide(s, left[0][0], True)
+    elif not force_choice and not strong and picked is not None:
+        _guide(s, picked, True)
     elif not force_choice and s["rounds"] >= ROUNDS:
         _guide(s, left[0][0], False)
     else:
@@ -41,8 +45,9 @@ def _locate(s: dict, candidates: list[tuple[str, float]], force_choice: bool = F
         s["rounds"] += 1
 
 
-def advance(s: dict, event_id: str, kind: str, action: str, candidates: list[tuple[str, float]], n_steps: int = 3) -> dict:
-    """One event.  Seen ids (the last 60), a solved session and empty events change nothing."""
+def advance(s: dict, event_id: str, kind: str, action: str, candidates: list[tuple[str, float]], n_steps: int = 3, judged: str | None = None) -> dict:
+    """One event.  Seen ids (the last 60), a solved session and empty events change nothing.  Past the last of n_steps comes the
+    step that verifies; judged: the candidate that a judge names, if any."""
     if event_id in s["seen"] or s["phase"] == "SOLVED" or not (kind or action):
         return s
     s["seen"] = [*s["seen"], event_id][-SEEN:]
@@ -50,15 +55,15 @@ def advance(s: dict, event_id: str, kind: str, action: str, candidates: list[tup
     text = kind == "text"
     if s["phase"] == "STUCK":
         s |= {"rejected": [], "rounds": 0}
-        _locate(s, candidates)
+        _locate(s, candidates, judged=judged)
     elif s["phase"] == "LOCATE":
         if action.startswith("pick:") and action[5:].isdigit() and 1 <= int(action[5:]) <= len(s["offered"]):
             _guide(s, s["offered"][int(action[5:]) - 1], True)
         elif action == "none":
             s["rejected"] = s["rejected"] + s["offered"]
-            _locate(s, candidates)
+            _locate(s, candidates, judged=judged)
         elif text:
-            _locate(s, candidates)
+            _locate(s, candidates, judged=judged)
     elif s["phase"] == "GUIDING":
         if action == "solved_yes":
             s["phase"] = "SOLVED"
@@ -69,31 +74,35 @@ def advance(s: dict, event_id: str, kind: str, action: str, candidates: list[tup
             if action == "start":
                 s |= {"started": True, "step": 1}
             elif text:
-                _locate(s, candidates)
+                _locate(s, candidates, judged=judged)
         elif action == "done":
-            s |= {"step": s["step"] + 1, "attempts": 0}
+            s |= {"step": min(s["step"], n_steps) + 1, "attempts": 0}
         elif action == "back":
-            s |= {"step": max(1, s["step"] - 1), "attempts": 0}
+            s |= {"step": max(1, min(s["step"], n_steps + 1) - 1), "attempts": 0}
         elif action == "blocked" or text:
             s["attempts"] += 1
-            if s["attempts"] > 5:
-                s["phase"] = "STUCK"
     elif s["phase"] == "OPEN":
         if action == "solved_yes":
             s["phase"] = "SOLVED"
         elif text:
             s["rejected"] = []
-            _locate(s, candidates)
+            _locate(s, candidates, judged=judged)
     return s
 
 
+def offers_other(state: DataFrame) -> DataFrame:
+    """Of sessions that follow a guide: whether another one is offered, after ATTEMPTS tries at a step."""
+    return state.where("phase = 'GUIDING' AND started").select("session", (F.col("attempts") >= ATTEMPTS).alias("offer_other"))
+
+
 def _rows(key: tuple, s: dict) -> pd.DataFrame:
     return pd.DataFrame([[*key, *[s[c.split(" ")[0]] for c in STATE.split(", ")]]], columns=["session", *[c.split(" ")[0] for c in STATE.split(", ")]])
 
 
 def _fold(s: dict, rows: pd.DataFrame) -> dict:
     for e in rows.sort_values(["ord"], kind="stable").itertuples():
-        s = advance(s, e.event_id, e.kind or "", e.action or "", list(zip(e.fiches, map(float, e.scores))))
+        more = {k: v for k in ("n_steps", "judged") if (v := getattr(e, k, None)) is not None}
+        s = advance(s, e.event_id, e.kind or "", e.action or "", list(zip(e.fiches, map(float, e.scores))), **more)
     return s
 
 
