@@ -109,3 +109,39 @@ def ready_for_review(terms: DataFrame, least: int = 3) -> DataFrame:
 def merge_accepted(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
     """Rejection wins."""
     return accepted.distinct().join(rejected, "term", "left_anti")
+
+
+#: Words that announce a product's name, names that are none, and what is no prose.
+TRIGGERS = ["application", "applicatif", "logiciel", "outil", "erp", "progiciel", "systeme", "système", "plateforme", "interface", "portail", "module", "solution", "service"]
+NO_NAMES = ["windows", "microsoft", "office", "outlook", "teams", "word", "excel", "powerpoint", "onedrive", "sharepoint", "exchange", "edge", "chrome", "firefox", "citrix", "vpn", "wifi", "active", "directory"]
+LINK_OR_PATH = r"(?iU)\bhttps?://\S+|\bwww\.\S+|[\w.+-]+@[\w-]+\.[\w.-]+|\\\\\S+|\b[a-z]:\\\S*|%\w+%\S*"
+
+
+def dictionary_candidates(text: Column) -> Column:
+    """Capitalised names after a word that announces one; each once."""
+    found = F.regexp_extract_all(text, F.lit(r"(?U)\b(?i:" + "|".join(TRIGGERS) + r")\s+([A-Z][\w&-]{1,24}(?:\s+(?:[A-Z][\w&-]{1,24}|&|et|and))*)"), 1)
+    names = F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    return F.array_distinct(F.filter(names, lambda x: ~F.lower(x).isin(NO_NAMES) & (F.length(x) > 1)))
+
+
+def capitalized_shares(docs: DataFrame, text: Column) -> DataFrame:
+    """(word, seen, share): of each word's places outside links, addresses and paths, how many begin with a capital."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.regexp_replace(text, LINK_OR_PATH, " "), F.lit(r"(?U)(?<![\w.-])[\p{L}][\w&]*(?![\w-])"), 0)).alias("w"))
+    per = words.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("seen"), F.count(F.when(F.col("w").rlike(r"^\p{Lu}"), 1)).alias("capital"))
+    return per.select("word", "seen", (F.col("capital") / F.col("seen")).alias("share"))
+
+
+def verified_aliases(proposed: DataFrame, frequency: DataFrame, rejected: DataFrame, least: int = 2) -> DataFrame:
+    """proposed: term, alias; frequency: alias, n (documents).  Aliases that enough documents hold; a rejected term is never proposed."""
+    return proposed.join(frequency.where(F.col("n") >= least), "alias").join(rejected, "term", "left_anti").select("term", "alias", "n")
+
+
+def exclusion_stats(ruled: DataFrame, forced: DataFrame) -> DataFrame:
+    """ruled: fiche_id, rule (null: kept); forced: fiche_id.  How many are kept, excluded by each rule, and kept by force."""
+    marked = ruled.join(forced.select("fiche_id", F.lit(True).alias("f")).distinct(), "fiche_id", "left")
+    return marked.groupBy(F.when(F.col("rule").isNull(), "kept").when(F.col("f"), "forced").otherwise(F.col("rule")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def candidate_terms(text: Column, known: list[str], most_words: int = 3, most_chars: int = 40) -> Column:
+    """Short product-like names of a question that the dictionary does not know."""
+    return F.filter(dictionary_candidates(text), lambda x: ~F.lower(x).isin(known or [""]) & (F.length(x) <= most_chars) & (F.size(F.split(x, " ")) <= most_words))

@@ -66,3 +66,42 @@ def catalog_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     both = old.select("id", F.col("sha").alias("old")).join(new.select("id", F.col("sha").alias("new")), "id", "full_outer")
     change = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").when(F.col("old") != F.col("new"), "update")
     return both.select("id", change.alias("change")).where("change is not null")
+
+
+IMPLEMENTED = ["password_reset", "mfa_reset", "offboarding", "group_add", "license_assign"]
+
+
+def unproposed() -> Column:
+    return F.coalesce("status", F.lit("")) == ""
+
+
+def free_seats(licences: DataFrame) -> DataFrame:
+    """licences: sku, enabled, consumed.  Those with a seat left, and how many."""
+    return licences.where("enabled > consumed").select("sku", (F.col("enabled") - F.col("consumed")).alias("free"))
+
+
+def precheck() -> Column:
+    """What stands against an execution; columns: privileged, action, group_ok, proposal_status, review_status."""
+    rules = [
+        ("target_privileged_role", F.col("privileged")),
+        ("action_not_implemented", ~F.col("action").isin(IMPLEMENTED)),
+        ("group_not_allowlisted", (F.col("action") == "group_add") & ~F.col("group_ok")),
+        ("proposal_not_pending", F.coalesce("proposal_status", F.lit("")) != "pending_review"),
+        ("not_validated", F.coalesce("review_status", F.lit("")) != "validated"),
+    ]
+    return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())
+
+
+def write_back_status() -> Column:
+    """Of a row to write back; columns: found, active, dry_run, kind, group_found, code (of the answer, null: none)."""
+    return (
+        F.when(~F.col("found"), "not_found").when(~F.col("active"), "inactive").when(F.col("dry_run"), "dry_run")
+        .when((F.col("kind") == "handover") & ~F.col("group_found"), "error").when(F.col("code").between(200, 299), "success").otherwise("error")
+    )
+
+
+def first_outcome(rules: DataFrame, sessions: DataFrame) -> DataFrame:
+    """rules: ord, phase, outcome; sessions: session, phase, note parts (array).  The outcome of the first rule for the phase, and
+    the work note: the parts that say something, a line each."""
+    best = sessions.join(rules, "phase").groupBy("session").agg(F.min(F.struct("ord", "outcome")).alias("m"), F.first("parts").alias("parts"))
+    return best.select("session", "m.outcome", F.array_join(F.filter("parts", lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""), "\n").alias("note"))

@@ -108,3 +108,98 @@ def seen_references(references: DataFrame, aliases: DataFrame) -> DataFrame:
     """references: ref, tokens, fiche; aliases: fiche, tokens.  References whose expected fiche has an alias within their tokens."""
     hit = references.join(aliases.withColumnRenamed("tokens", "at"), "fiche").where(F.size(F.array_except("at", "tokens")) == 0)
     return hit.select("ref").distinct()
+
+
+def routable(fiches: DataFrame, superseded: DataFrame) -> DataFrame:
+    """fiches: fiche, searchable, canonical; superseded: fiche.  Fiches that may be reviewed and routed to: searchable, no
+    duplicate of another, replaced by none."""
+    own = fiches.where(F.col("searchable") & (F.col("canonical") == F.col("fiche"))).select("fiche")
+    return own.join(superseded.select("fiche").distinct(), "fiche", "left_anti")
+
+
+def number_table(holders: DataFrame, resolve: DataFrame, status: DataFrame) -> DataFrame:
+    """holders: number, fiche; resolve: fiche, target (what pruning leads to); status: fiche, status.  Level 0 for numbers: what
+    the holders lead to is one fiche that is not rejected (l0), several (collision); a rejected one gives no row."""
+    led = holders.join(resolve, "fiche", "left").select("number", F.coalesce("target", "fiche").alias("fiche")).distinct()
+    per = led.groupBy("number").agg(F.array_sort(F.collect_set("fiche")).alias("fiches"))
+    one = per.withColumn("fiche", F.when(F.size("fiches") == 1, F.col("fiches")[0])).join(status, "fiche", "left")
+    kept = one.where((F.size("fiches") > 1) | (F.coalesce("status", F.lit("")) != "rejected"))
+    return kept.select("number", "fiche", "fiches", F.when(F.size("fiches") > 1, "collision").otherwise("l0").alias("outcome"))
+
+
+def intent_table(decisions: DataFrame, taxonomy: DataFrame, proposals: DataFrame, unknown: DataFrame) -> DataFrame:
+    """Level 2: decisions: fiche, intent, fingerprint, app; taxonomy: intent, now (fingerprint); proposals: fiche, intent, app (of
+    fiches under review); unknown: fiche (under review without a usable proposal).
+
+    (intent, app, fiches, pending, outcome): a key is blocked while a fiche under review may share it: one proposed for the
+    intent and the same or no application, or any unknown one.  Decisions on changed or unknown intents give no key.
+    """
+    usable = decisions.join(taxonomy, "intent").where("fingerprint = now").select("intent", F.coalesce("app", F.lit("")).alias("app"), "fiche")
+    keys = usable.groupBy("intent", "app").agg(F.array_sort(F.collect_set("fiche")).alias("fiches"))
+    waiting = proposals.select("intent", F.coalesce("app", F.lit("")).alias("other"), F.col("fiche").alias("p"))
+    shared = keys.join(waiting, "intent", "left").withColumn("p", F.when((F.col("other") == F.col("app")) | (F.col("other") == "") | (F.col("app") == ""), F.col("p")))
+    per = shared.groupBy("intent", "app", "fiches").agg(F.collect_set("p").alias("named"))
+    blind = unknown.agg(F.array_sort(F.collect_set("fiche")).alias("blind"))  # fiches under review: a reviewer's list
+    both = per.crossJoin(F.broadcast(blind)).withColumn("pending", F.array_sort(F.array_union("named", "blind")))
+    outcome = F.when(F.size("pending") > 0, "blocked").when(F.size("fiches") > 1, "collision").otherwise("l2")
+    return both.select("intent", "app", "fiches", "pending", outcome.alias("outcome"))
+
+
+def match_numbers(resolutions: DataFrame, routable_: DataFrame) -> DataFrame:
+    """resolutions: query, identifier, fiche, entry (the identifier is a table's entry for the fiche).  Level 0 decides where all
+    identifiers of a question share one routable fiche and an entry is among them: query, fiche, key (the least entry)."""
+    n = resolutions.groupBy("query").agg(F.countDistinct("identifier").alias("n"))
+    held = resolutions.groupBy("query", "fiche").agg(F.countDistinct("identifier").alias("k"), F.min(F.when(F.col("entry"), F.col("identifier"))).alias("key")).join(n, "query").where("k = n")
+    alone = held.groupBy("query").agg(F.count("*").alias("c"), F.min(F.struct("fiche", "key")).alias("m")).where("c = 1")
+    return alone.select("query", "m.fiche", "m.key").where("key is not null").join(routable_.select("fiche"), "fiche", "left_semi").select("query", "fiche", "key")
+
+
+def question_app(named: DataFrame, model: DataFrame) -> DataFrame:
+    """named: query, apps (those the question names); model: query, app.  The one application that the code reads wins; the
+    model's counts only where the code reads none, or it is among several."""
+    row = named.join(model, "query", "left")
+    by_code, by_model = F.size("apps") == 1, F.col("app").isNotNull() & ((F.size("apps") == 0) | F.array_contains("apps", F.col("app")))
+    return row.select("query", F.when(by_code, F.col("apps")[0]).when(by_model, F.col("app")).alias("app"), F.when(by_code, "code").when(by_model, "model").alias("source"))
+
+
+def table_mismatch(tables: dict, current: dict) -> str | None:
+    """Why routing tables may not be used for the current code, client, run and knowledge base; None if they may."""
+    for key in ("code_version", "client", "run_id", "kb_sha256"):
+        if current.get(key) is not None and (tables.get(key) or "") != (current[key] or ""):
+            return key
+    return None
+
+
+def kb_digest(fiches: DataFrame) -> DataFrame:
+    """fiches: fiche, sha256.  One digest of all, whatever their order: digests of 256 parts by the id's hash, then one of these."""
+    lines = fiches.select(F.sha2("fiche", 256).substr(1, 2).alias("part"), F.concat_ws(" ", "fiche", "sha256").alias("line"))
+    parts = lines.groupBy("part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("sha"))
+    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "sha"))), lambda x: x["sha"]), "\n"), 256).alias("kb_sha256"))
+
+
+def taxonomy_changes(old: DataFrame, new: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(removed intents, orphaned decisions): old, new: intent, fingerprint; decisions: fiche, intent, fingerprint.  An orphan names
+    an intent that is gone or that has another fingerprint now."""
+    gone = old.join(new, "intent", "left_anti").select("intent")
+    return gone, decisions.join(new, ["intent", "fingerprint"], "left_anti").select("fiche", "intent")
+
+
+def review_queue(fiches: DataFrame, referenced: DataFrame, issues: DataFrame) -> DataFrame:
+    """fiches: fiche, label.  The place of each in the review: those that reference questions expect, then those in a collision
+    or a blocked key, then by label."""
+    flag = lambda df, name: df.select("fiche").distinct().withColumn(name, F.lit(0))
+    rows = fiches.join(flag(referenced, "r"), "fiche", "left").join(flag(issues, "i"), "fiche", "left").na.fill(1, ["r", "i"])
+    return rows.select("fiche", "r", "i", "label").orderBy("r", "i", F.lower("label"), "fiche")
+
+
+def decision_problem() -> Column:
+    """Why a review decision is refused, the first reason that holds; columns: status, intent, known_intent, aliases_ok, codes_ok,
+    sha_current, decided_by."""
+    return (
+        F.when(~F.col("status").isin("validated", "rejected", "deferred"), "unknown_status")
+        .when(F.trim(F.coalesce("decided_by", F.lit(""))) == "", "no_reviewer")
+        .when(~F.col("sha_current"), "text_changed")
+        .when((F.col("status") == "validated") & F.col("intent").isNotNull() & ~F.col("known_intent"), "unknown_intent")
+        .when((F.col("status") == "validated") & ~F.col("aliases_ok"), "alias_refused")
+        .when((F.col("status") == "validated") & ~F.col("codes_ok"), "code_not_unique")
+    )
