@@ -67,16 +67,16 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     verdicts = _verdicts(docs, id_col, text_col, SALTS).where(F.col("__id").eqNullSafe(F.col("__keep")))
     kept = materialize(verdicts.groupBy("__id", *KEY).agg(F.count(F.lit(1)).alias("__times")), "kept")
-    columns = list(docs.columns)
-    keyed = docs.select(*columns, F.col(id_col).alias("__id"), *_key(_norm(text_col)))
+    keyed = docs.select(F.struct(*[docs[x] for x in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), *_key(_norm(text_col)))
+    columns = [F.col("__row")[x].alias(x) for x in docs.columns]  # packed meanwhile: their names clash with nothing
     rows = lambda which: keyed.join(
         kept.where(which).select(F.col("__id").alias("__kid"), *[F.col(k).alias("k" + k) for k in KEY]),
         F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__sha") == F.col("k__sha")) & (F.col("__xx") == F.col("k__xx")) & (F.col("__len") == F.col("k__len")),
         "left_semi",
     )
-    found = rows("__times = 1").select(columns)
+    found = rows("__times = 1").select(*columns)
     if kept.where("__times > 1").limit(1).count():  # rows repeated whole: only these are made distinct
-        found = found.unionByName(rows("__times > 1").dropDuplicates(["__id", *KEY]).select(columns))
+        found = found.unionByName(rows("__times > 1").dropDuplicates(["__id", *KEY]).select(*columns))
     return found
 
 

@@ -63,3 +63,20 @@ def test_run_equals_the_stages_and_takes_edge_rows(spark, tmp_path):
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert None in got and not got & {90_001, 90_002}
+
+
+def test_empty_repeated_clashing_and_long(spark, tmp_path):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).collect() == [], name
+    rows = [(1, "Alpha beta gamma delta words here", "en", "s", 5), (1, "Alpha beta gamma delta words here", "en", "s", 5), (1, "another text of the same id", "en", "s", 5), (9, "ALPHA beta gamma delta words here", "en", "s", 5), (7, "long words " * 60_000 + "end", "en", "s", 5)]
+    clash = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, keep_id string, fp int, __sha string")
+    kept = clash
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == clash.columns, name
+    assert sorted((r.doc_id, r.text[:12]) for r in kept.collect()) == [(1, "another text"), (7, "long words l"), (9, "ALPHA beta g")]
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).collect()} == {1, 7, 9}
