@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askwright.functions.text import tokenize
+from askwright.operators.graph import written
 
 FIELD_WEIGHTS = {"title": 3.0, "symptom": 2.0, "steps": 1.0, "body": 1.0}
 BONUS = {"err": 0.25, "evt": 0.10, "app": 0.12, "os": 0.05}
@@ -13,14 +14,22 @@ SATURATION = 4.0
 
 
 def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(doc, term, tf, len): one shuffle by document and term, with partial counts on the map side."""
-    bags = docs.select(F.col(id_col).alias("doc"), tokenize(text).alias("bag")).withColumn("len", F.size("bag"))
-    return bags.select("doc", "len", F.explode("bag").alias("term")).groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
+    """(doc, len, term, tf) of each document, counted where its text lies: no shuffle.  Each row of docs is a document of its own."""
+    bags = docs.select(F.col(id_col).alias("doc"), F.explode(F.array(F.sort_array(tokenize(text)))).alias("bag"))  # a generator: tokens are made once
+    return bags.select("doc", F.size("bag").alias("len"), F.explode(_counted(F.col("bag"))).alias("t")).select("doc", "len", F.col("t.term").alias("term"), F.col("t.tf").alias("tf"))
 
 
-def corpus_size(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """One row: n documents, their average number of tokens."""
-    return docs.select(F.size(tokenize(text)).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+def _counted(bag: Column) -> Column:
+    """array<struct<term,tf>> of a sorted bag: a term stands from its first place to the next term's."""
+    n = F.size(bag)
+    firsts = F.filter(F.transform(bag, lambda x, i: F.when((i == 0) | (x != F.get(bag, i - 1)), i)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice(firsts, F.lit(2), n), F.array(n))
+    return F.when(n > 0, F.zip_with(firsts, F.slice(ends, F.lit(1), F.size(firsts)), lambda a, e: F.struct(F.get(bag, a).alias("term"), (e - a).cast("long").alias("tf"))))
+
+
+def stored_postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """postings() as a written table: all that is ranked from them reads it, and texts are tokenised once."""
+    return written(postings(docs, id_col, text), "postings")
 
 
 def query_terms(queries: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -28,11 +37,11 @@ def query_terms(queries: DataFrame, id_col: str, text: Column) -> DataFrame:
     return queries.select(F.col(id_col).alias("query"), F.explode(F.array_distinct(tokenize(text))).alias("term"))
 
 
-def bm25(docs: DataFrame, id_col: str, text: Column, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query, doc, score).  Postings that no query asks for are left out before the join on term."""
-    asked = postings(docs, id_col, text).join(terms.select("term").distinct(), "term", "left_semi")
+def bm25(post: DataFrame, n_docs: int, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query, doc, score) from stored postings.  Those that no query asks for are left out before the join on term."""
+    asked = post.join(terms.select("term").distinct(), "term", "left_semi")
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    size = corpus_size(docs, id_col, text)
+    size = post.agg(F.lit(n_docs).alias("n"), (F.sum("tf") / n_docs).alias("avg_len"))
     weighed = (
         asked.join(df, "term")
         .crossJoin(F.broadcast(size))  # one row
@@ -78,9 +87,9 @@ def entity_bonus(mine: Column, theirs: Column) -> Column:
 def bm25f(fields: DataFrame, terms: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """fields: doc, field, tokens.  (query, doc, score, matched, in_title): per-field length norms, one saturation a term."""
     weights = F.create_map(*[F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv])
-    sized = fields.withColumn("len", F.size("tokens"))
+    sized = written(fields.select("doc", "field", F.explode(F.array("tokens")).alias("tokens")).withColumn("len", F.size("tokens")), "fields")
     averages = sized.groupBy("field").agg(F.avg("len").alias("avg_len"))
-    n = fields.agg(F.countDistinct("doc").alias("n"))
+    n = sized.agg(F.countDistinct("doc").alias("n"))
     post = sized.select("doc", "field", "len", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc", "field", "len", "term").agg(F.count("*").alias("tf"))
     df = post.groupBy("term").agg(F.countDistinct("doc").alias("df"))
     by_term = (

@@ -23,6 +23,17 @@ def shingle_jaccard(spark, d):
     return pairs.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+NUMBERED = SETS.split("pairs AS")[0] + """nums AS (SELECT DISTINCT rep, source FROM mem JOIN documents USING (doc_id)),
+pairs AS (SELECT a, b, c / (len(ra.s) + len(rb.s) - c) AS jaccard FROM co JOIN reps ra ON ra.doc_id = a JOIN reps rb ON rb.doc_id = b WHERE c / (len(ra.s) + len(rb.s) - c) >= 0.8 OR (c / (len(ra.s) + len(rb.s) - c) >= 0.5 AND EXISTS (SELECT 1 FROM nums x JOIN nums y USING (source) WHERE x.rep = a AND y.rep = b)))"""
+
+
+@query(f"WITH {NUMBERED} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs")
+def numbered_pairs(spark, d):
+    """Two texts of one source, which stands for an article's number, are a pair from half of their shingles on."""
+    pairs, _ = g.similar_pairs(table(spark, d, "documents"), "doc_id", F.col("text"), number=F.col("source"))
+    return pairs.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
 COMP = f"""{SETS}, und AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
 walk AS (SELECT DISTINCT a AS n, a AS r FROM und UNION SELECT und.b, walk.r FROM walk JOIN und ON und.a = walk.n),
 roots AS (SELECT n, min(r) AS root FROM walk GROUP BY n)"""

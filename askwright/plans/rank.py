@@ -30,7 +30,7 @@ ranked AS (SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTI
 
 def ranked(spark, d):
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    scored = r.bm25(docs, "doc_id", F.col("text"), r.query_terms(items, "item_id", F.col("text")))
+    scored = r.bm25(r.stored_postings(docs, "doc_id", F.col("text")), docs.count(), r.query_terms(items, "item_id", F.col("text")))
     return scored.withColumn("score", F.round("score", 6))
 
 
@@ -58,7 +58,7 @@ SELECT doc, count(*) AS terms, round(sum(w), 6) AS total, round(max(w), 6) AS mo
  SELECT doc, term, tf / len * (ln((n + 1) / (df + 1)) + 1) AS w FROM post JOIN df USING (term), n) GROUP BY doc""")
 def tfidf_weights(spark, d):
     docs = table(spark, d, "documents")
-    post = r.postings(docs, "doc_id", F.col("text"))
+    post = r.stored_postings(docs, "doc_id", F.col("text"))
     n = F.lit(docs.count())
     w = r.tfidf(post, post.groupBy("term").agg(F.count("*").alias("df")), n)
     return w.groupBy("doc").agg(F.count("*").alias("terms"), F.round(F.sum("w"), 6).alias("total"), F.round(F.max("w"), 6).alias("most"))
@@ -84,8 +84,8 @@ def hybrid_fusion(spark, d):
     have neither score."""
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     terms = r.query_terms(items, "item_id", F.col("text"))
-    lexical = r.bm25(docs, "doc_id", F.col("text"), terms)
-    post = r.postings(docs, "doc_id", F.col("text"))
+    post = r.stored_postings(docs, "doc_id", F.col("text"))
+    lexical = r.bm25(post, docs.count(), terms)
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     n = F.lit(docs.count())
     dv = r.tfidf(post, df, n)

@@ -39,13 +39,13 @@ def session_id(ticket: Column) -> Column:
 
 def sliding_counts(events: DataFrame, time: str, key: str, late: str = "1 hour", width: str = "1 hour", step: str = "30 minutes") -> DataFrame:
     """Events of each key in sliding windows; in a stream, later ones than `late` are dropped by the watermark."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
     return rows.groupBy(F.window(time, width, step), key).agg(F.count("*").alias("n")).select(key, F.col("window.start").alias("start"), "n")
 
 
 def session_windows(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Runs of events of a key with less than `gap` between them."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
     return rows.groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
