@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from askwright.llm import bpe, chat_format, decontamination, exact_dedup, filter_audit, language_id, licenses, secrets, simhash, suffix_dedup, toxicity
+from askwright.llm import bpe, chat_format, decontamination, exact_dedup, filter_audit, language_id, licenses, secrets, simhash, source_audit, suffix_dedup, toxicity
 from askwright.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.prefix_target_examples(rows))
 
 
+def op12_source_audit(spark, sf_dir):
+    return source_audit.divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -69,11 +73,13 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
+    "op12_source_audit": op12_source_audit,
     "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op10_chat_format": chat_format.ORACLE,
+    "op12_source_audit": source_audit.ORACLE,
     "op13_filter_audit": filter_audit.ORACLE,
 }
