@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from askwright.llm import bpe, chat_format, decontamination, exact_dedup, filter_audit, language_id, licenses, secrets, simhash, source_audit, suffix_dedup, toxicity
+from askwright.llm import bpe, chat_format, decontamination, exact_dedup, filter_audit, language_id, licenses, quality_rules, secrets, simhash, source_audit, suffix_dedup, toxicity
 from askwright.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.prefix_target_examples(rows))
 
 
+def op11_quality_rules(spark, sf_dir):
+    return quality_rules.report(quality_rules.judge(table(spark, sf_dir, "documents")))
+
+
 def op12_source_audit(spark, sf_dir):
     return source_audit.divergence(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
+    "op11_quality_rules": op11_quality_rules,
     "op12_source_audit": op12_source_audit,
     "op13_filter_audit": op13_filter_audit,
 }
