@@ -51,17 +51,17 @@ def level_backoff(asked: DataFrame, index: DataFrame, levels: list[str]) -> Data
 
 
 def discriminator(close: DataFrame, kinds: list[str], most: int = 5) -> DataFrame:
-    """close: query, fiche, entity ('kind:value').  The first kind for which every close fiche has a value, with 2 to `most`
-    values of which none covers all fiches: query, kind, options."""
+    """close: query, fiche, entity ('kind:value').  The first kind for which every close fiche has a value, and of whose values
+    that not all fiches carry, 2 to `most` reach every fiche: query, kind, options."""
     total = close.groupBy("query").agg(F.countDistinct("fiche").alias("fiches"))
     order = F.create_map(*[F.lit(x) for i, n in enumerate(kinds) for x in (n, i)])
-    rows = close.select("query", "fiche", F.substring_index("entity", ":", 1).alias("kind"), "entity").where(F.col("kind").isin(kinds)).distinct()
-    per_value = rows.groupBy("query", "kind", "entity").agg(F.countDistinct("fiche").alias("covers"))
-    per_kind = rows.groupBy("query", "kind").agg(F.countDistinct("fiche").alias("having"))
-    options = per_value.groupBy("query", "kind").agg(F.array_sort(F.collect_list("entity")).alias("options"), F.max("covers").alias("widest"))
-    good = options.join(per_kind, ["query", "kind"]).join(total, "query").where((F.col("having") == F.col("fiches")) & (F.size("options").between(2, most)) & (F.col("widest") < F.col("fiches")))
-    first = good.groupBy("query").agg(F.min(F.struct(order[F.col("kind")].alias("o"), "kind", "options")).alias("m"))
-    return first.select("query", "m.kind", "m.options")
+    rows = close.select("query", "fiche", F.substring_index("entity", ":", 1).alias("kind"), "entity").where(F.col("kind").isin(kinds)).distinct().join(total, "query")
+    whole = rows.groupBy("query", "kind").agg((F.countDistinct("fiche") == F.max("fiches")).alias("whole")).where("whole").select("query", "kind")
+    covers = rows.groupBy("query", "kind", "entity").agg(F.count("*").alias("covers"), F.max("fiches").alias("fiches")).where("covers < fiches").select("query", "kind", "entity")
+    split = rows.join(covers, ["query", "kind", "entity"]).join(whole, ["query", "kind"], "left_semi")
+    told = split.groupBy("query", "kind").agg(F.array_sort(F.collect_set("entity")).alias("options"), (F.countDistinct("fiche") == F.max("fiches")).alias("reached"))
+    good = told.where(F.col("reached") & F.size("options").between(2, most))
+    return good.groupBy("query").agg(F.min(F.struct(order[F.col("kind")].alias("o"), "kind", "options")).alias("m")).select("query", "m.kind", "m.options")
 
 
 def words_ladder(ranked: DataFrame, mode: DataFrame, least: tuple[float, float, float] = (0.10, 0.25, 0.40), gap: float = 0.12, choices: int = 3, fallback: float = 0.40) -> DataFrame:
