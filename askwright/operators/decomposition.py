@@ -70,9 +70,9 @@ def check_guide(steps: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def cited_step(steps: DataFrame, citations: DataFrame) -> DataFrame:
-    """steps: doc, n, text, role; citations: doc, citation.  The step whose text has the citation (from functions.unicode_text's
+    """steps: doc, n, text, role; citations: doc, citation.  The step whose text has the citation (from functions.quotes'
     rule), else the first one that resolves, else the first: doc, n, verified."""
-    from askwright.functions.unicode_text import find_quote_udf
+    from askwright.functions.quotes import find_quote_udf
 
     rows = citations.join(steps, "doc")
     hit = find_quote_udf("text", "citation")["start"].isNotNull() & (F.trim("citation") != "")

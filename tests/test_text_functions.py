@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from askwright.functions import entities, segment, stats, unicode_text
+from askwright.functions import entities, quotes, segment, stats, unicode_text
 
 
 def canon(text):
@@ -25,11 +25,11 @@ def test_clean_and_find(spark):
     assert {r.h: r.t for r in rows} == pages
     assert unicode_text.normal_form('( a "b c" d ;  e')[0] == '(a"b c"d; e'
     marked = "Étape 1. Cliquez sur **OK** puis"
-    a, b = unicode_text.find_quote(marked, "1. Cliquez sur **OK**")
+    a, b = quotes.find_quote(marked, "1. Cliquez sur **OK**")
     assert marked[a:b] == "Cliquez sur **OK**"
     text = "Ouvrez  « Outlook » ,\npuis Redémarrez."
-    a, b = unicode_text.find_quote(text, "puis redémarrez")
-    assert text[a:b] == "puis Redémarrez" and unicode_text.find_quote(text, "xyz") is None and unicode_text.find_quote(None, "a") is None
+    a, b = quotes.find_quote(text, "puis redémarrez")
+    assert text[a:b] == "puis Redémarrez" and quotes.find_quote(text, "xyz") is None and quotes.find_quote(None, "a") is None
 
 
 def test_segments(spark):
