@@ -3,7 +3,8 @@
 1. pool: the strong levels (answers given, cited numbers, error codes, updates) keep the articles that hold them; the least
    telling level is dropped until some article is left.  Duplicates and replaced articles give way to those that stand for them.
 2. ranking: a question with a pool meets the entries of its pool only, as the pool is joined before any product of vectors;
-   a question without one meets all entries, in blocks of questions.
+   a question without one meets all entries, in blocks of
+   questions; a task sends on its first articles only.
 3. verdict: comparisons of the first two scores with calibrated thresholds.
 4. a question back: the kind of entity that tells the close articles apart, else a choice of three at most.
 """
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from askwright.operators.decisions import discriminator, semantic_verdict, single_app_filter
 from askwright.operators.graph import prune, written
-from askwright.operators.ranking import dot, rank_entries
+from askwright.operators.ranking import best_entries, dot
 
 STRONG_LEVELS = ["answered", "cited", "identifier", "update"]  # the most telling first
 DESIGNATING = ["answered", "cited"]  # they name the article: no score is needed
@@ -54,10 +55,12 @@ def pool_scores(questions: DataFrame, pool: DataFrame, entries: DataFrame) -> Da
 
 
 def funnel_scores(
-    questions: DataFrame, asked: DataFrame, index: DataFrame, entries: DataFrame, canonical: DataFrame, superseded: DataFrame, apps: DataFrame | None = None
-) -> DataFrame:
-    """query, fiche, entry, score, strong, designated, rank: the ranking that a decision is made on, without deciding.
+    questions: DataFrame, asked: DataFrame, index: DataFrame, entries: DataFrame, canonical: DataFrame, superseded: DataFrame,
+    apps: DataFrame | None = None, top: int = 20, least: float = float("inf"),
+) -> DataFrame:
+    """query, fiche, entry, score, strong, designated, candidates, rank: the ranking that a decision is made on, without deciding.
 
+    Told are the first `top` articles of each question and all that reach `least`; candidates counts all that were ranked.
     canonical: fiche, canonical; superseded: fiche, superseded_by.  apps (query, app), where given, narrows a question that names
     one application to the articles that carry it, if there are any.
     """
@@ -65,21 +68,23 @@ def funnel_scores(
     kept = prune(found.select("query", F.lit(0).alias("ord"), "fiche"), canonical, superseded).select("query", "fiche")
     marks = found.select("query", "designated").distinct()
     everywhere = entries.select(F.lit(0).alias("query"), F.lit(0).alias("ord"), "fiche").distinct().join(canonical.select("fiche"), "fiche", "left_anti").select("query", "ord", "fiche")
-    standing = prune(everywhere, canonical, superseded).select("fiche")
+    standing = entries.join(prune(everywhere, canonical, superseded).select("fiche"), "fiche", "left_semi")
     alone = questions.join(marks, "query", "left_anti")
-    if apps is None:
-        wide = rank_entries(alone, entries.join(standing, "fiche", "left_semi"))
-    else:
+    if apps is not None:
         kept = single_app_filter(kept, apps, index)
-        carried = index.select(F.col("entity").alias("app"), "fiche").distinct().join(standing, "fiche", "left_semi").join(entries.select("fiche").distinct(), "fiche", "left_semi")
+        carried = index.select(F.col("entity").alias("app"), "fiche").distinct().join(standing.select("fiche").distinct(), "fiche", "left_semi")
         one = apps.join(alone, "query", "left_semi").distinct().groupBy("query").agg(F.count("*").alias("n"), F.min("app").alias("app")).where("n = 1")
         narrowed = one.join(carried, "app").select("query", "fiche")
-        kept = kept.unionByName(narrowed)
-        wide = rank_entries(alone.join(narrowed.select("query").distinct(), "query", "left_anti"), entries.join(standing, "fiche", "left_semi"))
-    scored = pool_scores(questions, kept, entries).unionByName(wide.select("query", "fiche", "entry", "score"))
-    told = scored.join(marks, "query", "left")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "fiche"))
-    return told.select("query", "fiche", "entry", "score", F.col("designated").isNotNull().alias("strong"), F.coalesce("designated", F.lit(False)).alias("designated"), rank.alias("rank"))
+        kept, alone = kept.unionByName(narrowed), alone.join(narrowed.select("query").distinct(), "query", "left_anti")
+    w = Window.partitionBy("query")
+    pooled = pool_scores(questions, kept, entries).withColumn("candidates", F.count("*").over(w))
+    sizes = written(standing.groupBy("fiche").agg(F.count("*").alias("n"), F.min("entry").alias("only")), "standing")
+    total, own = sizes.count(), sizes.where("n = 1").select(F.col("only").alias("query"), F.lit(1).alias("own"))  # it does not meet itself
+    wide = best_entries(alone, standing, top, least).join(own, "query", "left").select("query", "fiche", "entry", "score", (F.lit(total) - F.coalesce("own", F.lit(0))).cast("long").alias("candidates"))
+    told = pooled.unionByName(wide).join(marks, "query", "left").withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "fiche")))
+    return told.where((F.col("rank") <= top) | (F.col("score") >= least)).select(
+        "query", "fiche", "entry", "score", F.col("designated").isNotNull().alias("strong"), F.coalesce("designated", F.lit(False)).alias("designated"), "candidates", "rank"
+    )
 
 
 def _first(column: str, k: int) -> Column:
@@ -91,7 +96,7 @@ def semantic_find(
 ) -> DataFrame:
     """The decision on each question: query, kind, reason, fiche, score, asks, options, ranked, candidates.
 
-    scores: of funnel_scores().  kind is `fiche` (shown alone), `question` or `abstain`.  asks is the kind of entity asked for, or
+    scores: of funnel_scores(top=5 or more, least=offer or less).  kind is `fiche` (shown alone), `question` or `abstain`.  asks is the kind of entity asked for, or
     `fiche` for a choice; options are the entities, or the articles offered.  ranked are the first `top` articles.
     """
     w = Window.partitionBy("query")
@@ -100,7 +105,7 @@ def semantic_find(
     close = offered & (F.round(F.col("first") - F.col("score"), 6) < margin)
     firsts = lambda keep, most: F.transform(F.array_sort(F.collect_list(F.when(keep & (F.col("rank") <= most), F.struct("rank", "fiche")))), lambda x: x["fiche"])
     told = seen.groupBy("query").agg(
-        _first("fiche", 1).alias("top"), _first("score", 1).alias("score"), _first("score", 2).alias("second"), F.count("*").alias("candidates"), F.count(F.when(close, 1)).alias("n_close"),
+        _first("fiche", 1).alias("top"), _first("score", 1).alias("score"), _first("score", 2).alias("second"), F.max("candidates").alias("candidates"), F.count(F.when(close, 1)).alias("n_close"),
         F.max("strong").alias("strong"), F.max("designated").alias("designated"), firsts(offered, choices).alias("offered"), firsts(F.lit(True), top).alias("ranked"),
     )
     verdict = semantic_verdict(F.col("score"), F.col("second"), floor, margin, offer, F.coalesce("strong", F.lit(False)), F.coalesce("designated", F.lit(False)))

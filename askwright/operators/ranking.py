@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,3 +130,43 @@ def rank_entries(queries: DataFrame, entries: DataFrame, block: int = 1000) -> D
         best = best.select("query", "own", "fiche", F.col("m.score").alias("score"), (-F.col("m.e")).alias("entry"))
         out = best if out is None else out.unionByName(best)
     return out
+
+
+def best_entries(queries: DataFrame, entries: DataFrame, top: int, least: float = float("inf"), block: int = 1000) -> DataFrame:
+    """query, fiche, entry, score: of each question, the `top` fiches by their best entry, and all that reach `least`.
+
+    queries: query, vector, a stated set that meets all entries in blocks; entries: entry, fiche, vector.  Entries stay where they
+    are: a task multiplies them with a block of questions and sends on its own first fiches.  A fiche that is among the first of
+    all has its best entry in some task, and is among the first there.  Scores are rounded to 6; of equal fiches the lowest comes
+    first, of equal entries the lowest counts; a question that is an entry does not meet it.
+    """
+    spark, out = queries.sparkSession, None
+    blocks = max(1, -(-queries.count() // block))
+    for k in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k).select("query", "vector").toPandas().sort_values("query", kind="stable")
+        if some.empty and out is not None:
+            continue
+        held = spark.sparkContext.broadcast((some["query"].to_numpy(), np.array(some["vector"].tolist(), np.float64)))
+
+        def run(batches, held=held):
+            ids, asked = held.value
+            for rows in batches if len(ids) else ():
+                rows = rows.sort_values(["fiche", "entry"], kind="stable")
+                entry, fiche = rows["entry"].to_numpy(), rows["fiche"].to_numpy()
+                score = np.round(asked @ np.array(rows["vector"].tolist(), np.float64).T, 6)
+                score[ids[:, None] == entry[None, :]] = -np.inf
+                begins = np.flatnonzero(np.r_[True, fiche[1:] != fiche[:-1]])
+                best = np.maximum.reduceat(score, begins, axis=1)
+                first = np.argsort(-best, axis=1, kind="stable")[:, :top]
+                keep = best >= least
+                np.put_along_axis(keep, first, True, axis=1)
+                q, f = np.nonzero(keep & (best > -np.inf))
+                ends = np.r_[begins[1:], len(fiche)]
+                hit = np.array([entry[begins[j] + np.argmax(score[i, begins[j] : ends[j]])] for i, j in zip(q, f)], np.int64)
+                yield pd.DataFrame({"query": ids[q], "fiche": fiche[begins[f]], "entry": hit, "score": best[q, f]})
+
+        found = entries.select("entry", "fiche", "vector").mapInPandas(run, "query long, fiche long, entry long, score double")
+        out = found if out is None else out.unionByName(found)
+    merged = out.groupBy("query", "fiche").agg(F.max(F.struct("score", (-F.col("entry")).alias("e"))).alias("m")).select("query", "fiche", (-F.col("m.e")).alias("entry"), F.col("m.score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "fiche"))
+    return merged.withColumn("__k", rank).where((F.col("__k") <= top) | (F.col("score") >= least)).drop("__k")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from askwright.operators import funnel, ranking
+from askwright.operators import funnel, ranking, vector_index
 from askwright.plans.base import query, table
 
 THRESHOLDS = {"floor": 0.3, "margin": 0.04, "offer": 0.2}
@@ -42,7 +42,7 @@ met AS (SELECT c.query, c.fiche, u.entry, round(list_sum(list_transform(list_zip
         FROM cand c JOIN u USING (fiche) JOIN ask USING (query) WHERE u.entry <> c.query),
 best AS (SELECT query, fiche, max(score) AS score, arg_min(entry, (-score, entry)) AS entry FROM met GROUP BY query, fiche),
 ranked AS (SELECT query, fiche, entry, score, designated IS NOT NULL AS strong, coalesce(designated, false) AS designated,
-           CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, fiche) AS INTEGER) AS rank FROM best LEFT JOIN mark USING (query))"""
+           count(*) OVER (PARTITION BY query) AS candidates, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, fiche) AS INTEGER) AS rank FROM best LEFT JOIN mark USING (query))"""
 
 FOUND = f"""{RANKED},
 top AS (SELECT query, max(score) AS s1, max(score) FILTER (WHERE rank = 2) AS s2, arg_min(fiche, rank) AS f1, count(*) AS n, bool_or(strong) AS strong, bool_or(designated) AS designated, list(fiche ORDER BY rank)[1:5] AS ranked,
@@ -88,7 +88,7 @@ def semantic_pool(spark, d):
     return funnel.strong_pool(asked, index)
 
 
-@query(f"WITH {RANKED} SELECT * FROM ranked")
+@query(f"WITH {RANKED} SELECT * FROM ranked WHERE rank <= 20")
 def semantic_scored(spark, d):
     return funnel.funnel_scores(*world(spark, d))
 
@@ -100,16 +100,36 @@ def semantic_scored(spark, d):
  CASE WHEN v = 'offer' THEN array_to_string(coalesce(vals, offered), '|') END AS options, coalesce(array_to_string(ranked, '|'), '') AS ranked, coalesce(n, 0) AS candidates FROM said""")
 def semantic_find(spark, d):
     questions, asked, index, *rest = world(spark, d)
-    found = funnel.semantic_find(funnel.funnel_scores(questions, asked, index, *rest), questions, asked, index, **THRESHOLDS)
+    found = funnel.semantic_find(funnel.funnel_scores(questions, asked, index, *rest, top=5, least=THRESHOLDS["offer"]), questions, asked, index, **THRESHOLDS)
     return found.withColumn("options", F.array_join("options", "|")).withColumn("ranked", F.array_join("ranked", "|"))
 
 
 @query(f"""WITH {RANKED.replace("cand AS (", "whole_cand AS (").replace("FROM cand c", "FROM cand c").replace("met AS (", '''app AS (SELECT query, any_value(entity) AS entity FROM asked WHERE entity LIKE 'app:%' GROUP BY query HAVING count(DISTINCT entity) = 1),
 fits AS (SELECT query, fiche FROM whole_cand JOIN app USING (query) SEMI JOIN idx ON idx.fiche = whole_cand.fiche AND idx.entity = app.entity SEMI JOIN f ON f.fiche = whole_cand.fiche),
 cand AS (SELECT * FROM fits UNION ALL SELECT * FROM whole_cand WHERE query NOT IN (SELECT query FROM fits)),
-met AS (''')} SELECT query, fiche, entry, score, rank FROM ranked""")
+met AS (''')} SELECT query, fiche, entry, score, rank FROM ranked WHERE rank <= 20""")
 def semantic_scored_by_app(spark, d):
     """A question that names one application ranks the articles that carry it, if there are any."""
     world_ = world(spark, d)
     apps = world_[1].where("entity LIKE 'app:%'").select("query", F.col("entity").alias("app"))
     return funnel.funnel_scores(*world_, apps=apps).select("query", "fiche", "entry", "score", "rank")
+
+
+def vectors(spark, d):
+    entries = table(spark, d, "embeddings").select(F.col("vec_id").alias("entry"), F.col("label").cast("long").alias("fiche"), ranking.unit(F.col("embedding")).alias("vector"))
+    return entries.where("entry % 20 = 0").select(F.col("entry").alias("query"), "vector"), entries
+
+
+@query("""WITH u AS (SELECT vec_id AS entry, label AS fiche, list_transform(embedding, lambda x: CAST(x / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y))) AS FLOAT)) AS v FROM embeddings),
+s AS (SELECT q.entry AS query, e.entry, e.fiche, round(list_sum(list_transform(list_zip(q.v, e.v), lambda z: CAST(z[1] AS DOUBLE) * z[2])), 6) AS score FROM u q JOIN u e ON q.entry <> e.entry WHERE q.entry % 20 = 0)
+SELECT query, entry, fiche, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, entry) AS INTEGER) AS rank FROM s) WHERE rank <= 5""")
+def exact_neighbours(spark, d):
+    queries, entries = vectors(spark, d)
+    return vector_index.exact(queries, entries)
+
+
+@query()
+def indexed_neighbours(spark, d):
+    """Through the index, whatever the number of entries; tests hold its recall against exact_neighbours."""
+    queries, entries = vectors(spark, d)
+    return vector_index.search(vector_index.build(entries), queries)

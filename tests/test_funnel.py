@@ -84,7 +84,7 @@ def test_decisions_equal_the_rules(spark, seed, thresholds):
     e = spark.createDataFrame(entries, "entry long, fiche long, vector array<float>")
     canonical = spark.createDataFrame(list(same.items()), "fiche long, canonical long")
     superseded = spark.createDataFrame(list(newer.items()), "fiche long, superseded_by long")
-    scores = funnel.funnel_scores(q, a, i, e, canonical, superseded)
+    scores = funnel.funnel_scores(q, a, i, e, canonical, superseded, top=5, least=offer)
     found = {r["query"]: r for r in funnel.semantic_find(scores, q, a, i, floor, margin, offer).collect()}
     assert len(found) == len(questions)
     carried = {}
