@@ -120,3 +120,17 @@ def summed(parts: DataFrame, size: int, kind: str = "float32") -> dict[str, np.n
         out.setdefault(row["key"], np.zeros(size))
         out[row["key"]] += np.frombuffer(row["sums"], kind)
     return out
+
+
+def without(docs: DataFrame, judge, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that judge names, each judged by its own id and text; rows with a null id stay.
+
+    judge takes rows (id, text), of which the id is a hash of both, and returns a frame whose column id_col holds those to drop.
+    Two rows of one hash are told apart by their ids; rows repeated whole go or stay together.
+    """
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    gone = judge(docs.select(key.alias(id_col), F.col(text_col).alias(text_col))).select(F.col(id_col).alias("__gone")).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__named"), key.alias("__key")).join(gone, F.col("__key") == F.col("__gone"), "left_semi").distinct()
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.col(id_col).alias("__own"), key.alias("__hash"))
+    kept = packed.join(named, (F.col("__hash") == F.col("__key")) & (F.col("__own") == F.col("__named")), "left_anti")
+    return kept.select(*[F.col("__row")[c].alias(c) for c in docs.columns])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askwright.llm.common import materialize, slices, summed
+from askwright.llm.common import materialize, slices, summed, without
 
 CELLS = 1 << 14
 SKETCH = 96  # rows: half as many again as the rank
@@ -343,6 +343,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that no benchmark item leaks into; a row with a null id stays, repeated rows go or stay together."""
-    gone = contamination(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of docs that no benchmark item leaks into, each judged by its own id and text; a row with a null id
+    stays, repeated rows go or stay together."""
+    return without(docs, lambda rows: contamination(rows, benchmark, id_col, text_col), id_col, text_col)

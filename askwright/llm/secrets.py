@@ -2,9 +2,10 @@
 
 A text is a layer.  Each layer is scanned, and what it holds in URL, Unicode or base64 form, compressed or not, becomes
 further layers, until no new layer appears.  Layers under URL and Unicode escapes are opened level by level, each of them
-scanned; once they come to LEVELS times the text, as in an escape escaped a thousand times, what is left is decoded to its
-fixpoint in one pass, so that time and memory stay in proportion to the text.  Every character of a layer knows the characters of the document that it came
-from, so findings of any depth map to spans of the document.
+scanned.  Levels that only take an escape off an escaped escape (%252541 to %2541) show nothing new and are opened together,
+so what is escaped a thousand times is a few layers.  Should layers of escapes still come to LEVELS times the text, as only
+thousands of alternating forms make them, what is left is decoded to its fixpoint in one pass.  Every character of a layer
+knows the characters of the document that it came from, so findings of any depth map to spans of the document.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U000[0-9A-Fa-f]{5}|\\U0010[0-9A-F
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX, LEAST_BASE64 = 6, 20, 24, 16
 #: A compressed layer that grows beyond this is reported as a finding of its own ("oversize"), not unpacked.
 MOST_UNPACKED = 32 << 20
-LEVELS, SHORT = 64, 1 << 16  # layers of escapes opened one by one: so many times the text, and so many characters
+LEVELS, SHORT = 512, 1 << 20  # layers of escapes opened one by one: so many times the text, and so many characters
 #: What a percent-coded archive looks like, and the first bytes of the archives.
 CODED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/-])+")
 HIGH = re.compile("%[89A-Fa-f][0-9A-Fa-f]")
@@ -202,6 +203,40 @@ def _settled(layer: _Layer) -> _Layer | None:
     return _Layer("".join(chars), np.array(begins), np.array(ends), (*layer.path, "escapes")) if changed else None
 
 
+#: Escaped escapes of each form, not behind an escape that they would be decoded with, and the length of one escaping.
+CHAINS = {
+    "url": (re.compile(r"(?<!%[0-9A-Fa-f]{2})%((?:25){2,})"), URL, _url),
+    "unicode": (re.compile(r"(?<!\\u[0-9A-Fa-f]{4})\\((?:u005[cC]){2,})|&((?:#38;){2,})"), ESCAPE, _unicode),
+}
+ESCAPING = {"%": 2, "\\": 5, "&": 4}
+
+
+def _level(layer: _Layer, form: str) -> _Layer | None:
+    """The next level of a form that shows something new; None if nothing changes.
+
+    Where escaped escapes are all that a level would change, each loses as many escapings as the least deep one has, but one.
+    What stands between is told by the layers around it: the digits and letters that go are part of no finding, beyond those of
+    the layer itself, and begin no archive.
+    """
+    chain, pattern, decode = CHAINS[form]
+    depths = [(m.end() - m.start() - 1) // ESCAPING[m[0][0]] for m in chain.finditer(layer.text)]
+    several = min(depths, default=0) - 1
+    if several < 1 or any(decode(m[0]) not in (None, m[0]) for m in pattern.finditer(chain.sub("\0", layer.text))):
+        return _replaced(layer, pattern, decode, form)
+
+    # the escapings that go belong to the sign before them; what is left of a chain keeps its own places
+    texts, begins, ends, at = [], [], [], 0
+    own_b, own_e = layer.origins()
+    for m in chain.finditer(layer.text):
+        cut = m.start() + 1 + several * ESCAPING[m[0][0]]
+        a, b = layer.span(m.start(), cut)
+        texts += [layer.text[at : m.start()], m[0][0]]
+        begins += [own_b[at : m.start()], np.array([a])]
+        ends += [own_e[at : m.start()], np.array([b])]
+        at = cut
+    return _Layer("".join(texts) + layer.text[at:], np.concatenate([*begins, own_b[at:]]), np.concatenate([*ends, own_e[at:]]), (*layer.path, *[form] * several))
+
+
 def _coded_archives(layer: _Layer):
     """Yield the layers behind compressed bytes in URL form, and the spans of those that grow too large."""
     if HIGH.search(layer.text) is None:
@@ -364,9 +399,9 @@ def find(text: str) -> list[tuple[str, int, int]]:
         children = []
         if room > 0:
             if "%" in layer.text:
-                children.append(_replaced(layer, URL, _url, "url"))
+                children.append(_level(layer, "url"))
             if "\\" in layer.text or "&#" in layer.text:
-                children.append(_replaced(layer, ESCAPE, _unicode, "unicode"))
+                children.append(_level(layer, "unicode"))
             room -= sum(len(c.text) for c in children if c is not None)
         elif "%" in layer.text or "\\" in layer.text or "&#" in layer.text:
             children.append(_settled(layer))

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askwright.llm.common import discard, materialize, partitions, slices
@@ -53,17 +53,18 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, fp): fp is the fingerprint as a signed long.  A null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
+    """Rows (id, fp), or (id, key, fp): fp is the fingerprint as a signed long.  A null text counts as empty."""
+    more = [] if key is None else ["key"]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1):
                 fps = np.fromiter(map(fingerprint, part.column(1).to_pylist()), np.uint64, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["__id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(fps.view(np.int64))], ["__id", *more, "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, "__id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *[key.alias("key") for _ in more])
+    return rows.mapInArrow(run, "__id long, " + "".join(f"{c} binary, " for c in more) + "fp long")
 
 
 # ---- vantage-point trees ---------------------------------------------------------------------------------------
@@ -230,12 +231,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (null if none does), but links nothing.  Repeated rows are repeated, long texts are read whole, an empty table gives an
     empty result; other columns are ignored.
     """
-    made = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    found = classes(fingerprints(docs, id_col, text_col), limit)
+    return found.select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def classes(fingerprinted: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """The rows of fingerprints() with the component_id of their fingerprint."""
+    made = materialize(fingerprinted, "fingerprints")
     points = materialize(made.groupBy("fp").agg(F.min("__id").alias("rep")).where("rep is not null"), "points")
     total = points.count()
     depth = min(max(0, math.ceil(math.log2(max(1, total) / SHARD_POINTS))), int(math.log2(MOST_SHARDS)))
-    sample = [r[0] for r in points.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE << depth).collect()] if depth else []
-    tree, shards = build_top(np.array(sample, np.int64).view(np.uint64), depth) if depth else (0, 1)
+    # a share by hash, of about SAMPLE << depth points: no sort, nothing merged on the driver, the same in every run
+    share = int((1 << 30) * min(1.0, (SAMPLE << depth) / max(1, total)))
+    sample = [r[0] for r in points.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < share).collect()] if depth else []
+    tree, shards = build_top(np.sort(np.array(sample, np.int64)).view(np.uint64), depth) if depth else (0, 1)
     held = points.sparkSession.sparkContext.broadcast(tree)
 
     def count(batches):
@@ -272,19 +281,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         )
 
     dealt = points.select("fp", "rep").mapInArrow(assign, "shard int, block int, fp long, rep long, home boolean, asks boolean")
-    dealt = dealt.repartition(max(partitions(docs), min(int(blocks.sum()), 100_000)), "shard", "block")  # small groups that compute much: not to be put together
+    dealt = dealt.repartition(max(partitions(made), min(int(blocks.sum()), 100_000)), "shard", "block")  # small groups that compute much: not to be put together
     edges = dealt.groupBy("shard", "block").applyInPandas(lambda rows: shard_edges(rows[["fp", "rep", "home", "asks"]], limit), "a long, b long")
     roots = components(edges)
-    classes = points.join(roots, points["rep"] == roots["node"], "left").select(
-        "fp", F.coalesce("root", "rep").alias("component_id")
-    )
-    return made.join(classes, "fp", "left").select(
-        F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    found = points.join(roots, points["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return made.join(found, "fp", "left")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """The rows of docs that stand for their component (its smallest id); rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, limit)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of docs that stand for their component: of those with its smallest id, the one of the least fingerprint and
+    digest.  A row is judged by its own id and text, so the texts of an id with several stay or go each for themselves.  Rows
+    with a null id stay; rows repeated whole stay together."""
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    found = classes(fingerprints(docs, id_col, text_col, digest), limit)
+    stands = found.where("__id = component_id").groupBy("component_id").agg(F.min(F.struct("fp", "key")).alias("first")).select(F.col("component_id").alias("__stands"), "first.key")
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), digest.alias("__key"))
+    kept = packed.join(stands, (F.col("__id") == F.col("__stands")) & (F.col("__key") == F.col("key")), "left_semi").unionByName(packed.where("__id is null"))
+    return kept.select(*[F.col("__row")[c].alias(c) for c in docs.columns])

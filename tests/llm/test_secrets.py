@@ -9,6 +9,7 @@ import time
 import urllib.parse
 import zlib
 
+import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -133,3 +134,34 @@ def test_all_members_and_refused_memory(monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.report(secrets.scan_documents(docs)).collect() == []
+
+
+def escaped(text, times, form):
+    for _ in range(times):
+        text = text.replace("%", "%25") if form == "url" else text.replace("\\", "\\u005c") if form == "unicode" else text.replace("&", "&#38;")
+    return text
+
+
+@pytest.mark.parametrize("times", [1, 2, 100, 150, 1000])
+def test_archives_escaped_many_times_are_found(times):
+
+
+    coded = "".join(f"%{b:02x}" for b in gzip.compress(b"token=abcdef123456", mtime=0))
+    text = "see " + escaped(coded, times, "url") + " end"
+    found = [x for x in secrets.find(text) if x[0].startswith("assign@")]
+    assert len(found) == 1 and found[0][0].endswith("zlib") and (found[0][1], found[0][2]) == (4, len(text) - 4)
+    for plain, form in (("\\u0074oken=abcdef1", "unicode"), ("&#116;oken=abcdef1", "html"), ("%74oken=abcdef1", "url")):
+        hit = [x for x in secrets.find("a " + escaped(plain, times, form)) if x[0].startswith("assign@")]
+        assert len(hit) == 1 and hit[0][1] == 2 and hit[0][0].count(".") == times
+
+
+def test_levels_opened_together_tell_what_single_levels_tell(monkeypatch):
+    rng = random.Random(11)
+    parts = ["%25", "%2525", "%252525", "%41", "%8b", "41", "25", "\\u005c", "\\u005cu005c", "u005c", "u0041", "&#38;", "&#38;#38;", "#38;", "#65;", "token=abcdef", "AKIA" + "Q" * 17, "a1" * 13, " ", "%", "\\", "&"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(1500)]
+    found = [secrets.find(t) for t in texts]
+    monkeypatch.setattr(secrets, "_level", lambda layer, form: secrets._replaced(layer, *secrets.CHAINS[form][1:], form))
+    assert sum(len(f) > 2 for f in found) > 100
+    for t, f in zip(texts, found):
+        places = lambda x: {(k.split("@")[0], "@" in k, a, b) for k, a, b in x}
+        assert places(f) == places(secrets.find(t)), t

@@ -77,3 +77,11 @@ def test_empty_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, "zzz"), (3, "a b"), (3, "a b")], "doc_id long, text string")
     found = sorted(((r[0], r[2]) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert found == [(3, 3), (3, 3), (None, 3), (None, None)]
+
+
+def test_the_texts_of_one_id_are_judged_each_for_itself(spark):
+    one, other = "aa bb cc dd ee ff", "something else that shares no shingle with it"
+    rows = [(3, one, "a"), (7, one, "b"), (7, other, "c"), (None, one, "d"), (8, None, "e"), (9, "", "f"), (5, "lone words of their own here", "g"), (5, "lone words of their own here", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    kept = sorted((str(r.doc_id), r.key) for r in simhash.one_of_each(docs).collect())
+    assert kept == [("3", "a"), ("5", "g"), ("5", "g"), ("7", "c"), ("8", "e"), ("None", "d")]
