@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the columns
 of documents.  The language stage drops texts that hold no letter of any language (null texts, too); exact and near
 duplicates leave one row a group; leaking documents go; the last stage encodes what is left.
+
+Rows are judged by their own id and text, so an id that has several texts loses only those that a stage rejects.  Rows with
+a null id stay unless their text is null or a row with an id has it.  Repeated rows leave one.  Long texts are read whole, an empty table passes all stages as one, and further columns
+of any name come through.
 """
 
 from __future__ import annotations
@@ -10,18 +14,15 @@ from __future__ import annotations
 import uuid
 
 from askwright.llm import bpe, decontamination, exact_dedup, language_id, simhash
-from askwright.llm.common import shared_dir, table
+from askwright.llm.common import shared_dir, table, without
 from askwright.llm.queries import ranks_path
 
 
 def identify_language(spark, docs, sf_dir):
-    """Rows whose language is identified; the model learns from the rows of docs that are not held out.
-
-    Verdicts go by doc_id: a row with a null id stays unless its text is null.
-    """
+    """Rows whose language is identified, each judged by its own id and text (a null id stays unless its text is null); the model
+    learns from the rows of docs that are not held out."""
     model = language_id.train(docs.where(~language_id.held_out()))
-    found = language_id.identify(docs, model).where("lang_pred = 'und'").select("doc_id").distinct()
-    return docs.where("text is not null").join(found, "doc_id", "left_anti").select(docs.columns)
+    return without(docs.where("text is not null"), lambda rows: language_id.identify(rows, model).where("lang_pred = 'und'"))
 
 
 def drop_exact_duplicates(spark, docs, sf_dir):
