@@ -64,11 +64,11 @@ def funnel_scores(
     canonical: fiche, canonical; superseded: fiche, superseded_by.  apps (query, app), where given, narrows a question that names
     one application to the articles that carry it, if there are any.
     """
-    found = strong_pool(asked, index)
+    found = written(strong_pool(asked, index), "pools")  # read three times below
     kept = prune(found.select("query", F.lit(0).alias("ord"), "fiche"), canonical, superseded).select("query", "fiche")
     marks = found.select("query", "designated").distinct()
     everywhere = entries.select(F.lit(0).alias("query"), F.lit(0).alias("ord"), "fiche").distinct().join(canonical.select("fiche"), "fiche", "left_anti").select("query", "ord", "fiche")
-    standing = entries.join(prune(everywhere, canonical, superseded).select("fiche"), "fiche", "left_semi")
+    standing = written(entries.join(prune(everywhere, canonical, superseded).select("fiche"), "fiche", "left_semi"), "standing")
     alone = questions.join(marks, "query", "left_anti")
     if apps is not None:
         kept = single_app_filter(kept, apps, index)
@@ -78,7 +78,7 @@ def funnel_scores(
         kept, alone = kept.unionByName(narrowed), alone.join(narrowed.select("query").distinct(), "query", "left_anti")
     w = Window.partitionBy("query")
     pooled = pool_scores(questions, kept, entries).withColumn("candidates", F.count("*").over(w))
-    sizes = written(standing.groupBy("fiche").agg(F.count("*").alias("n"), F.min("entry").alias("only")), "standing")
+    sizes = written(standing.groupBy("fiche").agg(F.count("*").alias("n"), F.min("entry").alias("only")), "sizes")
     total, own = sizes.count(), sizes.where("n = 1").select(F.col("only").alias("query"), F.lit(1).alias("own"))  # it does not meet itself
     wide = best_entries(alone, standing, top, least).join(own, "query", "left").select("query", "fiche", "entry", "score", (F.lit(total) - F.coalesce("own", F.lit(0))).cast("long").alias("candidates"))
     told = pooled.unionByName(wide).join(marks, "query", "left").withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "fiche")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from askwright.operators import funnel, ranking, vector_index
+from askwright.operators.graph import written
 from askwright.plans.base import query, table
 
 THRESHOLDS = {"floor": 0.3, "margin": 0.04, "offer": 0.2}
@@ -14,15 +15,15 @@ WORLD = """
 u AS (SELECT vec_id AS entry, vec_id // 5 AS fiche, list_transform(embedding, lambda x: CAST(x / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y))) AS FLOAT)) AS v FROM embeddings),
 ask AS (SELECT entry AS query, entry // 20 AS q, v FROM u WHERE entry % 20 = 0),
 f AS (SELECT DISTINCT fiche FROM u),
-idx AS (SELECT fiche, 'app:a' || (fiche % 7) AS entity FROM f UNION ALL SELECT fiche, 'err:' || (fiche % 11) FROM f UNION ALL SELECT fiche, 'update:u' || (fiche % 5) FROM f
+idx AS (SELECT fiche, 'app:a' || (fiche // 12) AS entity FROM f UNION ALL SELECT fiche, 'err:' || (fiche // 6) FROM f UNION ALL SELECT fiche, 'update:u' || (fiche // 9) FROM f
   UNION ALL SELECT fiche, 'os:' || (fiche % 2) FROM f WHERE fiche % 13 > 0 UNION ALL SELECT fiche, 'kb:' || fiche FROM f),
-asked AS (SELECT query, 'identifier' AS level, 'err:' || (q % 11) AS entity FROM ask WHERE q % 8 IN (1, 2, 4)
-  UNION ALL SELECT query, 'update', 'update:u' || (q % 5) FROM ask WHERE q % 8 IN (2, 7)
-  UNION ALL SELECT query, 'answered', 'app:a' || (q % 7) FROM ask WHERE q % 8 IN (3, 7)
+asked AS (SELECT query, 'identifier' AS level, 'err:' || ((4 * q + CASE WHEN q % 8 = 4 THEN 60 ELSE 0 END) // 6) AS entity FROM ask WHERE q % 8 IN (1, 2, 4)
+  UNION ALL SELECT query, 'update', 'update:u' || ((4 * q + CASE WHEN q % 8 = 7 THEN 100 ELSE 0 END) // 9) FROM ask WHERE q % 8 IN (2, 7)
+  UNION ALL SELECT query, 'answered', 'app:a' || ((4 * q) // 12) FROM ask WHERE q % 8 IN (3, 7)
   UNION ALL SELECT query, 'answered', 'os:' || (q % 2) FROM ask WHERE q % 8 = 3
-  UNION ALL SELECT query, 'cited', 'kb:' || (q % 20) FROM ask WHERE q % 8 = 4
+  UNION ALL SELECT query, 'cited', 'kb:' || (4 * q) FROM ask WHERE q % 8 = 4
   UNION ALL SELECT query, 'identifier', 'err:none' FROM ask WHERE q % 8 = 5
-  UNION ALL SELECT query, 'application', 'app:a' || (q % 7) FROM ask WHERE q % 8 = 6),
+  UNION ALL SELECT query, 'application', 'app:a' || ((4 * q) // 12) FROM ask WHERE q % 8 = 6),
 same AS (SELECT fiche, fiche - 1 AS other FROM f WHERE fiche % 10 = 9),
 newer AS (SELECT fiche, fiche + 1 AS other FROM f WHERE fiche % 10 = 4)"""
 
@@ -66,16 +67,16 @@ def world(spark, d):
     entries = table(spark, d, "embeddings").select(c("vec_id").alias("entry"), F.floor(c("vec_id") / 5).alias("fiche"), ranking.unit(c("embedding")).alias("vector"))
     questions = entries.where("entry % 20 = 0").select(c("entry").alias("query"), c("fiche").alias("own"), "vector")
     fiches = entries.select("fiche").distinct()
-    named = lambda prefix, n: F.concat(lit(prefix), (n).cast("string"))
-    index = fiches.select(
-        "fiche",
-        F.explode(F.array(named("app:a", c("fiche") % 7), named("err:", c("fiche") % 11), named("update:u", c("fiche") % 5), F.when(c("fiche") % 13 > 0, named("os:", c("fiche") % 2)), named("kb:", c("fiche")))).alias("entity"),
-    ).where("entity is not null")
+    named = lambda prefix, of, width=1: F.concat(lit(prefix), F.floor(of / width).cast("string"))
+    fiche = c("fiche")
+    carries = F.array(named("app:a", fiche, 12), named("err:", fiche, 6), named("update:u", fiche, 9), F.when(fiche % 13 > 0, named("os:", fiche % 2)), named("kb:", fiche))
+    index = written(fiches.select("fiche", F.explode(carries).alias("entity")).where("entity is not null"), "entities")
     q = F.floor(c("query") / 20)
+    off = lambda which, by: 4 * q + F.when(q % 8 == which, by).otherwise(0)
     says = lambda level, entity, *of: F.when((q % 8).isin(*of), F.struct(lit(level).alias("level"), entity.alias("entity")))
     asked = questions.select("query", F.explode(F.array(
-        says("identifier", named("err:", q % 11), 1, 2, 4), says("update", named("update:u", q % 5), 2, 7), says("answered", named("app:a", q % 7), 3, 7), says("answered", named("os:", q % 2), 3),
-        says("cited", named("kb:", q % 20), 4), says("identifier", lit("err:none"), 5), says("application", named("app:a", q % 7), 6),
+        says("identifier", named("err:", off(4, 60), 6), 1, 2, 4), says("update", named("update:u", off(7, 100), 9), 2, 7), says("answered", named("app:a", 4 * q, 12), 3, 7),
+        says("answered", named("os:", q % 2), 3), says("cited", named("kb:", 4 * q), 4), says("identifier", lit("err:none"), 5), says("application", named("app:a", 4 * q, 12), 6),
     )).alias("x")).where("x is not null").select("query", "x.level", "x.entity")
     canonical = fiches.where("fiche % 10 = 9").select("fiche", (c("fiche") - 1).alias("canonical"))
     superseded = fiches.where("fiche % 10 = 4").select("fiche", (c("fiche") + 1).alias("superseded_by"))
