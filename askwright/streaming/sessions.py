@@ -22,7 +22,7 @@ def fresh() -> dict:
 
 
 def _guide(s: dict, fiche: str, exact: bool) -> None:
-    s |= {"phase": "GUIDING", "fiche": fiche, "exact": exact, "step": 0, "attempts": 0, "started": False, "offered": []}
+    s |= {"phase": "GUIDING", "fiche": fiche, "exact": exact, "step": 0, "attempts": 0, "rounds": 0, "started": False, "offered": []}
 
 
 def _locate(s: dict, candidates: list[tuple[str, float]], force_choice: bool = False, judged: str | None = None) -> None:
@@ -64,17 +64,21 @@ def advance(s: dict, event_id: str, kind: str, action: str, candidates: list[tup
             _locate(s, candidates, judged=judged)
         elif text:
             _locate(s, candidates, judged=judged)
+    elif s["phase"] == "GUIDING" and not s["started"]:  # the guide is shown: started, refused, or more is said
+        if action == "start":
+            s |= {"started": True, "step": 1}
+        elif action == "wrong_fiche":
+            s |= {"rejected": [*s["rejected"], s["fiche"]], "rounds": 0}
+            _locate(s, candidates, force_choice=True)
+        elif text and not action:
+            s["rounds"] = 0
+            _locate(s, candidates, judged=judged)
     elif s["phase"] == "GUIDING":
         if action == "solved_yes":
             s["phase"] = "SOLVED"
         elif action in ("solved_no", "wrong_fiche"):
-            s["rejected"] = [*s["rejected"], s["fiche"]]
+            s |= {"rejected": [*s["rejected"], s["fiche"]], "rounds": 0}
             _locate(s, candidates, force_choice=True)
-        elif not s["started"]:
-            if action == "start":
-                s |= {"started": True, "step": 1}
-            elif text:
-                _locate(s, candidates, judged=judged)
         elif action == "done":
             s |= {"step": min(s["step"], n_steps) + 1, "attempts": 0}
         elif action == "back":
@@ -84,8 +88,8 @@ def advance(s: dict, event_id: str, kind: str, action: str, candidates: list[tup
     elif s["phase"] == "OPEN":
         if action == "solved_yes":
             s["phase"] = "SOLVED"
-        elif text:
-            s["rejected"] = []
+        elif text and action != "solved_no":
+            s |= {"rejected": [], "rounds": 0}
             _locate(s, candidates, judged=judged)
     return s
 
