@@ -2,7 +2,8 @@
 
 Text and quote are cut into tokens: a run of letters and digits, or a single other sign.  Tokens compare without case, width or
 typography; asterisks and backticks are no tokens; white space counts only between tokens that typography does not set apart.
-A quote stands where its tokens follow each other in the text, so it never begins or ends within a word.
+A quote stands where its tokens follow each other in the text, so it never begins or ends within a word.  The tokens of a chunk
+between white space depend on it alone, so those of common chunks are kept.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left
-from typing import NamedTuple
+from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -18,68 +20,87 @@ from pyspark.sql import types as T
 
 from askwright.functions.unicode_text import LIST_MARKER, NO_SPACE_AFTER, NO_SPACE_BEFORE, QUOTES
 
-TOKEN = re.compile(r"(?:[^\W_][̀-ͯ]*)+|\S")
+CHUNK, TOKEN = re.compile(r"\S+"), re.compile(r"(?:[^\W_][\u0300-\u036f]*)+|\S")
 MARKS = "*`"
 TYPE = str.maketrans(QUOTES)
 CLOSING = frozenset(" .;:,!")
 SHORTEST = 3  # characters of a quote's tokens that are looked for
+APART, JOINED = " ", "\0"  # what stands before a token: white space that counts, or not
 
 
-class Token(NamedTuple):
-    form: str
-    apart: bool  # white space that counts stands before it
-    start: int
-    stop: int
-
-
-def tokens(text: str) -> list[Token]:
-    out: list[Token] = []
-    seen = 0  # where the last token or mark ended
-    apart = False
-    for m in TOKEN.finditer(text):
-        apart = apart or m.start() > seen
-        seen = m.end()
+@lru_cache(1 << 17)
+def _pieces(chunk: str) -> tuple[tuple[str, int, int], ...]:
+    """(form, start, stop) of the tokens of a chunk without white space."""
+    if chunk.isalnum() and chunk.isascii():
+        return ((chunk.lower(), 0, len(chunk)),)
+    out: list[tuple[str, int, int]] = []
+    for m in TOKEN.finditer(chunk):
         if m[0] in MARKS:
             continue
-        forms = "".join(unicodedata.normalize("NFKC", c) for c in m[0].translate(TYPE)).casefold()  # accents stay as written
-        word = m[0][0].isalnum()
-        if word and out and not apart and out[-1].form[-1].isalnum():  # a word that marks of emphasis divide
-            out[-1] = Token(out[-1].form + forms, out[-1].apart, out[-1].start, m.end())
-            continue
-        for form in [forms] if word else [f for f in forms if not f.isspace()]:
-            counts = apart and bool(out) and out[-1].form[-1] not in NO_SPACE_AFTER and form[0] not in NO_SPACE_BEFORE
-            out.append(Token(form, counts, m.start(), m.end()))
-            apart = False
-    return out
+        form = "".join(unicodedata.normalize("NFKC", c) for c in m[0].translate(TYPE)).casefold()  # accents stay as written
+        if m[0][0].isalnum() and out and out[-1][0][-1].isalnum():  # a word that marks of emphasis divide
+            out[-1] = (out[-1][0] + form, out[-1][1], m.end())
+        else:
+            out += [(f, m.start(), m.end()) for f in ([form] if m[0][0].isalnum() else form) if not f.isspace()]
+    return tuple(out)
+
+
+def tokens(text: str) -> tuple[list[str], list[int], list[int]]:
+    """Each token's form behind APART or JOINED, where it starts and where it stops."""
+    forms, starts, stops = [], [], []
+    last = "("  # before the first token, nothing counts
+    for m in CHUNK.finditer(text):
+        at, before = m.start(), APART
+        for form, a, b in _pieces(m[0]):
+            forms.append((JOINED if before is JOINED or last in NO_SPACE_AFTER or form[0] in NO_SPACE_BEFORE else APART) + form)
+            starts.append(at + a)
+            stops.append(at + b)
+            last, before = form[-1], JOINED
+    return forms, starts, stops
+
+
+def needle_of(quote: str) -> str:
+    """The forms of a quote's tokens, as tokens() writes them, without closing punctuation and what stands before the first."""
+    forms, last = [], "("
+    for chunk in quote.split():
+        before = APART
+        for form, _, _ in _pieces(chunk):
+            forms.append(JOINED if before is JOINED or last in NO_SPACE_AFTER or form[0] in NO_SPACE_BEFORE else APART)
+            forms.append(form)
+            last, before = form[-1], JOINED
+    while forms and forms[-1] in CLOSING:
+        del forms[-2:]
+    return "".join(forms[1:])
 
 
 class Source:
-    """A text that quotes are looked for in."""
+    """A text that quotes are looked for in: its tokens in one string, and where each of them begins there."""
 
     def __init__(self, text: str):
-        self.text, self.tokens = text, tokens(text)
-        self.starts = [t.start for t in self.tokens]
-        self.at: dict[str, list[int]] = {}
-        for k, t in enumerate(self.tokens):
-            self.at.setdefault(t.form, []).append(k)
+        self.text = text
+        forms, self.starts, self.stops = tokens(text)
+        self.body = "".join(forms) + JOINED
+        self.offsets = list(accumulate(map(len, forms), initial=0))
 
     def find(self, quote: str, after: int = 0) -> tuple[int, int] | None:
         """Span of a quote, the first that begins at `after` or later, else the first of all.  A list marker and closing
         punctuation of the quote are not looked for; a mark of emphasis that closes one within the span, and the quote's own
         . ! ?, are taken in where the text has them."""
-        asked = tokens(re.sub(LIST_MARKER, "", quote.strip(), count=1))
-        while asked and asked[-1].form in CLOSING:
-            asked.pop()
-        if sum(len(t.form) + t.apart for t in asked) < SHORTEST:
+        needle = needle_of(re.sub(LIST_MARKER, "", quote.strip(), count=1))
+        if len(needle.replace(JOINED, "")) < SHORTEST:
             return None
-        places = self.at.get(asked[0].form, [])
-        turn = bisect_left(places, bisect_left(self.starts, after))
-        for k in places[turn:] + places[:turn]:
-            found = self.tokens[k : k + len(asked)]
-            if len(found) == len(asked) and all(a.form == b.form and (a.apart == b.apart or i == 0) for i, (a, b) in enumerate(zip(found, asked))):
-                start, stop = found[0].start, found[-1].stop
+        late = self._search(needle, bisect_left(self.starts, after))
+        return late and (late[0], self._closed(*late, quote.rstrip()[-1])) or (self.find(quote) if after > 0 else None)
+
+    def _search(self, needle: str, token: int) -> tuple[int, int] | None:
+        at = self.body.find(needle, self.offsets[token])
+        while at >= 0:
+            end = at + len(needle)
+            if at and self.body[at - 1] in (APART, JOINED) and self.body[end] in (APART, JOINED):
+                start, stop = self.starts[bisect_left(self.offsets, at - 1)], self.stops[bisect_left(self.offsets, end) - 1]
                 if not (self.text[start - 1 : start].isalnum() or self.text[stop : stop + 1].isalnum()):
-                    return start, self._closed(start, stop, quote.rstrip()[-1])
+                    return start, stop
+            at = self.body.find(needle, at + 1)
         return None
 
     def _closed(self, start: int, stop: int, last: str) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,19 +22,20 @@ PROPOSED = "doc long, ord int, start int, end int, cond_start int, cond_end int,
 
 def _placed(text: str, items: list) -> list[tuple]:
     """(start, end, condition span, failure span) or None of each item, in order: a quote is looked for after the one before."""
-    source, cursor, taken, out = Source(text), 0, [], []
+    source, cursor, taken, out = Source(text), 0, [(-1, -1)], []
     for item in items:
-        span = source.find(item["quote"], cursor) if item["quote"] else None
-        if span is None or any(a < span[1] and span[0] < b for a, b in taken):
+        span = source.find(item["quote"], cursor) if item["quote"] and item["quote"].strip() else None
+        k = bisect_left(taken, span) if span else 0
+        if span is None or taken[k - 1][1] > span[0] or k < len(taken) and taken[k][0] < span[1]:
             out.append(None)
             continue
-        taken.append(span)
+        taken.insert(k, span)  # in order of place
         cursor = span[1]
         near = max(0, span[0] - REACH)
-        condition = source.find(item["condition"], near) if item["condition"] else None
+        condition = source.find(item["condition"], near) if (item["condition"] or "").strip() else None
         if condition and not (span[0] - REACH <= condition[0] and condition[1] <= span[1]):
             condition = None
-        out.append((span, condition or (None, None), (source.find(item["failure"], span[1]) if item["failure"] else None) or (None, None)))
+        out.append((span, condition or (None, None), (source.find(item["failure"], span[1]) if (item["failure"] or "").strip() else None) or (None, None)))
     return out
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from askwright.operators import proposals as p
+from askwright.operators.graph import written
 from askwright.plans.base import query, table
 
 #: Lines of the documents with a marker of their own, their place in the planted text, and the place of their last word's end.
@@ -63,11 +65,10 @@ SELECT doc, n, a AS start, z AS "end", role, level, cond AS condition, failed AS
 def linked_steps(spark, d):
     """Two sets of steps over the lines, one shorter by a character, merged and linked."""
     c, lit = F.col, F.lit
-    rows = table(spark, d, "documents").select(c("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("i", "s"))
-    from pyspark.sql import Window
-
-    end = F.sum(F.length("s") + 1).over(Window.partitionBy("doc").orderBy("i")) - 1
-    spans = rows.select("doc", "i", (end - F.length("s")).cast("int").alias("start"), end.cast("int").alias("end")).where("end - start >= 4")
+    lengths = F.transform(F.split("text", "\n"), F.length)
+    rows = table(spark, d, "documents").select(c("doc_id").alias("doc"), F.posexplode(lengths).alias("i", "n"))
+    end = F.sum(c("n") + 1).over(Window.partitionBy("doc").orderBy("i")) - 1
+    spans = written(rows.select("doc", "i", (end - c("n")).cast("int").alias("start"), end.cast("int").alias("end")).where("end - start >= 4"), "lines")
     later = spans.select("doc", (c("i") - 2).alias("i"), c("start").alias("fail_start"), c("end").alias("fail_end"))
     fails = (c("doc") + c("i")) % 4 == 0
     text = lambda hit, said: F.when(hit, lit(said))
