@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from askwright.plans import corpus, extra, funnel, graph, itsm, measure, more, proposals, rank, retrieve, route, sources, stream, texts  # noqa: F401  (they register)
+from askwright.plans import corpus, extra, funnel, graph, itsm, measure, more, proposals, rank, retrieve, route, selection, sources, stream, texts  # noqa: F401  (they register)
 from askwright.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
