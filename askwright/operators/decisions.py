@@ -64,14 +64,16 @@ def discriminator(close: DataFrame, kinds: list[str], most: int = 5) -> DataFram
     return good.groupBy("query").agg(F.min(F.struct(order[F.col("kind")].alias("o"), "kind", "options")).alias("m")).select("query", "m.kind", "m.options")
 
 
-def words_ladder(ranked: DataFrame, mode: DataFrame, least: tuple[float, float, float] = (0.10, 0.25, 0.40), gap: float = 0.12, choices: int = 3, fallback: float = 0.40) -> DataFrame:
+def words_ladder(ranked: DataFrame, mode: DataFrame, least: tuple[float, float, float] = (0.10, 0.25, 0.40), gap: float = 0.12, choices: int = 3, fallback: float = 0.25, splits: DataFrame | None = None) -> DataFrame:
     """The decision of the word mode.
 
     ranked: query, doc, score, rank, named (the question holds two words of the title, one of them telling), app (null
     without one); mode: query, entities (known ones kept the candidates), strong (one of them as telling as an error code).
     Returns query, kind, reason, doc (of a shown one), offered.  Above the threshold of the mode a lead shows the first if it
     is named or strong, else it is offered; close ones ask, unless one alone of them is named.  Below it, few candidates of
-    known entities are offered, and of words alone the applications of the first ten are asked for.
+    known entities are offered, and of words alone, from `fallback` on, the applications of the first ten are asked for.
+    mode may have a column designated (the question names the article: no score is needed).  splits (query, kind, options), of
+    discriminator() over the close ones, is asked for instead of offering close articles that known entities brought together.
     """
     first = F.max(F.when(F.col("rank") == 1, F.col("score")))
     tops = ranked.groupBy("query").agg(first.alias("first"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"), F.count("*").alias("n"))
@@ -83,17 +85,22 @@ def words_ladder(ranked: DataFrame, mode: DataFrame, least: tuple[float, float,
         F.max(F.when(F.col("rank") == 1, F.col("doc"))).alias("top"), F.max(F.when(F.col("rank") <= 10, F.col("app"))).isNotNull().alias("apps"),
     )
     row = mode.join(tops, "query", "left").join(told, "query", "left")
-    enough = F.col("first") >= F.when(F.col("strong"), least[0]).when(F.col("entities"), least[1]).otherwise(least[2])
+    row = row if "designated" in mode.columns else row.withColumn("designated", F.lit(False))
+    told_apart = F.lit(None).cast("string") if splits is None else F.col("splits")
+    row = row if splits is None else row.join(splits.select("query", F.col("kind").alias("splits")), "query", "left")
+    enough = F.col("first") >= F.when(F.col("designated"), 0.0).when(F.col("strong"), least[0]).when(F.col("entities"), least[1]).otherwise(least[2])
     lead = F.col("second").isNull() | (F.round(F.col("first") - F.col("second"), 6) >= gap)
     reason = (
         F.when(F.col("n").isNull(), "no_candidate")
         .when(enough & lead & (F.col("strong") | F.col("top_named")), F.when(F.col("second").isNull(), "single").otherwise("clear_lead"))
         .when(enough & lead, "no_title_match")
         .when(enough & (F.size("titled") == 1), "close_title_match")
+        .when(enough & F.col("entities") & told_apart.isNotNull(), "close_entity")
         .when(enough, "close_choice")
         .when(F.col("entities") & (F.col("n") <= choices), "weak_text_few")
         .when(F.col("entities"), "weak_text")
         .when((F.col("first") >= fallback) & F.col("apps"), "ask_application")
+        .when(F.col("first") >= fallback, "text_only_weak")
         .otherwise("nothing_close")
     )
     docs = lambda c: F.transform(F.slice(c, 1, choices), lambda x: x["doc"])
@@ -101,7 +108,7 @@ def words_ladder(ranked: DataFrame, mode: DataFrame, least: tuple[float, float,
     r = F.col("reason")
     return told_reason.select(
         "query",
-        F.when(r.isin("single", "clear_lead", "close_title_match"), "fiche").when(r.isin("no_title_match", "close_choice", "weak_text_few", "ask_application"), "question").otherwise("abstain").alias("kind"),
+        F.when(r.isin("single", "clear_lead", "close_title_match"), "fiche").when(r.isin("no_title_match", "close_entity", "close_choice", "weak_text_few", "ask_application"), "question").otherwise("abstain").alias("kind"),
         "reason",
         F.when(r.isin("single", "clear_lead"), F.col("top")).when(r == "close_title_match", F.col("titled")[0]["doc"]).alias("doc"),
         F.when(r == "no_title_match", F.when(F.size("plausible") > 0, docs(F.col("plausible"))).otherwise(F.array("top"))).when(r == "close_choice", docs(F.col("near"))).when(r == "weak_text_few", docs(F.col("few"))).alias("offered"),

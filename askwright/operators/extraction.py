@@ -13,8 +13,9 @@ def hex_codes(text: Column) -> Column:
 
 
 def negative_codes(text: Column) -> Column:
-    """Negative results as the hexadecimal codes that they stand for."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\w.])-(2\d{9})\b"), 1), lambda n: F.hex(F.lit(1 << 32) - n.cast("long")))
+    """Negative results, down to -2^31, as the hexadecimal codes that they stand for."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\w.])-(2\d{9})\b"), 1), lambda n: n.cast("long"))
+    return F.transform(F.filter(found, lambda n: n <= 1 << 31), lambda n: F.hex(F.lit(1 << 32) - n))
 
 
 def vocabulary_entities(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -149,7 +149,8 @@ def gate(records: DataFrame, base: str, routed: str, excluded: DataFrame, least:
     both = b.select(*KEY, F.array_sort("expected").alias("be"), first_fiche().alias("bf"), "expected").join(
         r.select(*KEY, F.array_sort("expected").alias("re"), first_fiche().alias("rf")), KEY, "full_outer"
     )
-    mismatch = both.agg(count_if(F.col("re").isNull() != F.col("be").isNull()).alias("unpaired"), count_if(~F.col("be").eqNullSafe(F.col("re"))).alias("relabelled"))
+    paired = F.col("re").isNotNull() & F.col("be").isNotNull()
+    mismatch = both.agg(count_if(~paired).alias("unpaired"), count_if(paired & (F.col("be") != F.col("re"))).alias("relabelled"))
     wrong = ~F.coalesce(F.array_contains("expected", shown()), F.lit(False))
     exact_level = F.col("level").isin("L0", "L1", "L2") & shown().isNotNull()
     seen = excluded.select(*KEY).distinct().withColumn("seen", F.lit(1))
@@ -161,7 +162,7 @@ def gate(records: DataFrame, base: str, routed: str, excluded: DataFrame, least:
     own = records.where(F.col("engine").isin(base, routed))
     errors = own.agg(count_if(F.col("error").isNotNull()).alias("errors"), F.countDistinct(F.when(F.col("degraded").isNotNull(), F.struct(*KEY))).alias("degraded"))
     uneven = uneven_runs(own, base).agg(F.count("*").alias("uneven"))
-    compared = both.where(F.size("expected") > 0).join(seen, KEY, "left_anti").agg(
+    compared = both.where(paired & (F.size("expected") > 0)).join(seen, KEY, "left_anti").agg(
         F.count("*").alias("compared"), count_if(F.array_contains("expected", F.col("bf"))).alias("base_first"), count_if(F.array_contains("expected", F.col("rf"))).alias("route_first")
     )
     row = mismatch.crossJoin(decided).crossJoin(errors).crossJoin(compared).crossJoin(uneven)  # one row each
@@ -200,12 +201,14 @@ def accepted_closure(expected: DataFrame, resolve: DataFrame) -> DataFrame:
     return expected.select("ticket_id", "fiche").unionByName(led).distinct()
 
 
-def sampled_sweep(sweep: DataFrame, most: int = 20) -> DataFrame:
-    """Of each engine's thresholds (engine, threshold, recommended) the ends, evenly spaced ones between, and the recommended one."""
+def sampled_sweep(sweep: DataFrame, most: int = 9) -> DataFrame:
+    """Of each engine's thresholds (engine, threshold, recommended) the ends, evenly spaced ones between (halves to the even
+    place), and the recommended one: `most` rows, or all where there are no more."""
     w = Window.partitionBy("engine").orderBy("threshold")
     placed = sweep.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("engine")))
-    places = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.round(k * (F.col("n") - 1) / (most - 1)).cast("int"))
-    return placed.where((F.col("n") <= most) | F.array_contains(places, F.col("i")) | F.col("recommended")).drop("i", "n")
+    places = F.transform(F.sequence(F.lit(1), F.lit(most - 3)), lambda k: F.bround(k * ((F.col("n") - 1) / (most - 2))).cast("int"))
+    ends = F.col("i").isin(0) | (F.col("i") == F.col("n") - 1)
+    return placed.where((F.col("n") <= most) | ends | F.array_contains(places, F.col("i")) | F.col("recommended")).drop("i", "n")
 
 
 def tallies(partial: DataFrame) -> DataFrame:

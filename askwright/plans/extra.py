@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from askwright.operators import decisions, retrieval
-from askwright.plans.base import query, table, values
+from askwright.plans.base import planted, planted_sql, query, table, values
 
 # candidates of questions: scores from prices, names and applications from keys; twelve candidates a question at most
 RANKED = """li AS (SELECT l_orderkey AS query, 'F' || l_partkey AS doc, round((l_extendedprice % 1000) / 1000 * CASE WHEN l_orderkey % 4 = 0 THEN 0.3 ELSE 1 END, 3) AS score, l_partkey % 3 = 0 AS named, CASE WHEN l_suppkey % 4 = 0 THEN 'app:' || (l_suppkey % 12) END AS app FROM lineitem),
@@ -23,16 +23,20 @@ def ranked_candidates(spark, d):
 
 
 @query(f"""WITH {RANKED}, t AS (SELECT query, max(score) FILTER (WHERE rank = 1) AS s1, max(score) FILTER (WHERE rank = 2) AS s2, max(doc) FILTER (WHERE rank = 1) AS top, bool_or(named AND rank = 1) AS top_named, count(*) AS n, bool_or(app IS NOT NULL AND rank <= 10) AS apps FROM k GROUP BY query),
-x AS (SELECT k.*, round(s1 - score, 6) < 0.12 AS near FROM k JOIN t USING (query)), a AS (SELECT query, count(*) FILTER (WHERE near AND named) AS titled, min(doc) FILTER (WHERE near AND named) AS titled_doc, list(doc ORDER BY rank) FILTER (WHERE near) AS close_docs, list(doc ORDER BY rank) FILTER (WHERE rank <= 3) AS few, list(doc ORDER BY rank) FILTER (WHERE rank <= 3 AND score > 0) AS plausible FROM x GROUP BY query),
-v AS (SELECT mo.query, entities, strong, t.*, a.*, s1 >= CASE WHEN strong THEN 0.10 WHEN entities THEN 0.25 ELSE 0.40 END AS enough, s2 IS NULL OR round(s1 - s2, 6) >= 0.12 AS lead FROM mo LEFT JOIN t ON t.query = mo.query LEFT JOIN a ON a.query = mo.query),
-r AS (SELECT *, CASE WHEN n IS NULL THEN 'no_candidate' WHEN enough AND lead AND (strong OR top_named) THEN CASE WHEN s2 IS NULL THEN 'single' ELSE 'clear_lead' END WHEN enough AND lead THEN 'no_title_match' WHEN enough AND titled = 1 THEN 'close_title_match' WHEN enough THEN 'close_choice'
- WHEN entities AND n <= 3 THEN 'weak_text_few' WHEN entities THEN 'weak_text' WHEN s1 >= 0.40 AND apps THEN 'ask_application' ELSE 'nothing_close' END AS reason FROM v)
-SELECT query, CASE WHEN reason IN ('single', 'clear_lead', 'close_title_match') THEN 'fiche' WHEN reason IN ('no_title_match', 'close_choice', 'weak_text_few', 'ask_application') THEN 'question' ELSE 'abstain' END AS kind, reason,
+x AS (SELECT k.*, round(s1 - score, 6) < 0.12 AS near FROM k JOIN t USING (query)), a AS (SELECT query, count(*) FILTER (WHERE near AND named) AS titled, count(DISTINCT CAST(doc[2:] AS BIGINT) % 3) FILTER (WHERE near) AS values_near, min(doc) FILTER (WHERE near AND named) AS titled_doc, list(doc ORDER BY rank) FILTER (WHERE near) AS close_docs, list(doc ORDER BY rank) FILTER (WHERE rank <= 3) AS few, list(doc ORDER BY rank) FILTER (WHERE rank <= 3 AND score > 0) AS plausible FROM x GROUP BY query),
+v AS (SELECT mo.query, entities, strong, t.*, a.*, s1 >= CASE WHEN mo.query % 9 = 1 THEN 0 WHEN strong THEN 0.10 WHEN entities THEN 0.25 ELSE 0.40 END AS enough, s2 IS NULL OR round(s1 - s2, 6) >= 0.12 AS lead FROM mo LEFT JOIN t ON t.query = mo.query LEFT JOIN a ON a.query = mo.query),
+r AS (SELECT *, CASE WHEN n IS NULL THEN 'no_candidate' WHEN enough AND lead AND (strong OR top_named) THEN CASE WHEN s2 IS NULL THEN 'single' ELSE 'clear_lead' END WHEN enough AND lead THEN 'no_title_match' WHEN enough AND titled = 1 THEN 'close_title_match' WHEN enough AND entities AND values_near >= 2 THEN 'close_entity' WHEN enough THEN 'close_choice'
+ WHEN entities AND n <= 3 THEN 'weak_text_few' WHEN entities THEN 'weak_text' WHEN s1 >= 0.25 AND apps THEN 'ask_application' WHEN s1 >= 0.25 THEN 'text_only_weak' ELSE 'nothing_close' END AS reason FROM v)
+SELECT query, CASE WHEN reason IN ('single', 'clear_lead', 'close_title_match') THEN 'fiche' WHEN reason IN ('no_title_match', 'close_entity', 'close_choice', 'weak_text_few', 'ask_application') THEN 'question' ELSE 'abstain' END AS kind, reason,
  CASE WHEN reason IN ('single', 'clear_lead') THEN top WHEN reason = 'close_title_match' THEN titled_doc END AS doc,
  array_to_string(CASE reason WHEN 'no_title_match' THEN CASE WHEN len(plausible) > 0 THEN plausible ELSE [top] END WHEN 'close_choice' THEN close_docs[1:3] WHEN 'weak_text_few' THEN few END, '|') AS offered FROM r""")
 def words_ladder(spark, d):
-    mode = table(spark, d, "orders").select(F.col("o_orderkey").alias("query"), (F.col("o_orderkey") % 3 != 0).alias("entities"), (F.col("o_orderkey") % 3 == 1).alias("strong"))
-    return decisions.words_ladder(ranked_candidates(spark, d), mode).withColumn("offered", F.array_join("offered", "|"))
+    mode = table(spark, d, "orders").select(F.col("o_orderkey").alias("query"), (F.col("o_orderkey") % 3 != 0).alias("entities"), (F.col("o_orderkey") % 3 == 1).alias("strong"), (F.col("o_orderkey") % 9 == 1).alias("designated"))
+    ranked = ranked_candidates(spark, d)
+    near = decisions.close_set(ranked).select("query", F.explode("close").alias("fiche"))
+    value = F.concat(F.lit("app:"), (F.substring("fiche", 2, 20).cast("long") % 3).cast("string"))
+    splits = decisions.discriminator(near.withColumn("entity", value), ["app", "err", "evt", "os"])
+    return decisions.words_ladder(ranked, mode, splits=splits).withColumn("offered", F.array_join("offered", "|"))
 
 
 @query(f"WITH {RANKED}, f AS (SELECT query, score AS s1 FROM k WHERE rank = 1) SELECT query, array_to_string(list(doc ORDER BY rank), '|') AS close FROM k JOIN f USING (query) WHERE round(s1 - score, 6) < 0.12 GROUP BY query")
@@ -43,9 +47,9 @@ def close_candidates(spark, d):
 SHOWN = [(1, "fiche", 0.3, False), (2, "fiche", 0.3, True), (3, "fiche", 0.9, False), (4, "question", 0.1, False)]
 
 
-@query(f"SELECT id, CASE WHEN kind = 'fiche' AND NOT designated AND score < 0.5 THEN 'question' ELSE kind END AS kind FROM {values(SHOWN, 'id int, kind string, score double, designated boolean')}")
+@query(f"SELECT id, CASE WHEN kind = 'fiche' AND NOT designated AND score < 0.5 THEN 'question' ELSE kind END AS kind FROM {planted_sql(SHOWN, 'id int, kind string, score double, designated boolean')}")
 def min_show_floor(spark, d):
-    r = spark.createDataFrame(SHOWN, "id int, kind string, score double, designated boolean")
+    r = planted(spark, d, SHOWN, "id int, kind string, score double, designated boolean")
     return r.select("id", decisions.min_show(F.col("kind"), F.col("score"), 0.5, F.col("designated")).alias("kind"))
 
 
@@ -109,7 +113,7 @@ def interleaved_candidates(spark, d):
 STATES = [(1, "running", 20), (2, "running", 10), (3, "error", 1), (4, "dry_run", 100), (5, "success", 1)]
 
 
-@query(f"SELECT id, CASE WHEN status = 'running' THEN minutes > 15 ELSE status IN ('error', 'dry_run') END AS retry FROM {values(STATES, 'id int, status string, minutes int')}")
+@query(f"SELECT id, CASE WHEN status = 'running' THEN minutes > 15 ELSE status IN ('error', 'dry_run') END AS retry FROM {planted_sql(STATES, 'id int, status string, minutes int')}")
 def retry_eligible(spark, d):
-    r = spark.createDataFrame(STATES, "id int, status string, minutes int")
+    r = planted(spark, d, STATES, "id int, status string, minutes int")
     return r.select("id", F.when(F.col("status") == "running", F.col("minutes") > 15).otherwise(F.col("status").isin("error", "dry_run")).alias("retry"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from askwright.operators import itsm as i
-from askwright.plans.base import query, table, values
+from askwright.plans.base import planted, planted_sql, query, table, values
 
 
 @query("SELECT o_custkey, o_orderkey AS version, o_orderstatus, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
@@ -44,9 +44,9 @@ def queue_counts(spark, d):
 STEPS = [(1, False, "tt"), (2, True, "tt"), (3, False, "tf"), (4, False, ""), (5, True, "f")]
 
 
-@query(f"SELECT id, CASE WHEN s = '' THEN 'blocked' WHEN contains(s, 'f') THEN 'partial' WHEN dry THEN 'dry_run' ELSE 'success' END AS status FROM {values(STEPS, 'id int, dry boolean, s string')}")
+@query(f"SELECT id, CASE WHEN s = '' THEN 'blocked' WHEN contains(s, 'f') THEN 'partial' WHEN dry THEN 'dry_run' ELSE 'success' END AS status FROM {planted_sql(STEPS, 'id int, dry boolean, s string')}")
 def execution_status(spark, d):
-    rows = spark.createDataFrame(STEPS, "id int, dry boolean, s string")
+    rows = planted(spark, d, STEPS, "id int, dry boolean, s string")
     ok = F.transform(F.filter(F.split("s", ""), lambda x: x != ""), lambda x: x == "t")
     return rows.select("id", i.execution_status(F.col("dry"), ok).alias("status"))
 

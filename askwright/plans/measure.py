@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from askwright.functions import stats
 from askwright.operators import measurement as m
-from askwright.plans.base import query, table, values
+from askwright.plans.base import planted, planted_sql, query, table, values
 
 Z = "1.959963984540054"
 
@@ -96,11 +96,11 @@ def route_levels(spark, d):
 @query(f"""WITH {R}, b AS (SELECT *, CASE WHEN kind IN ('fiche', 'question') THEN fiches[1] END AS ff FROM c WHERE engine = 'base'), q AS (SELECT *, CASE WHEN kind IN ('fiche', 'question') THEN fiches[1] END AS ff FROM c WHERE engine = 'routed'),
 runs AS (SELECT DISTINCT engine, run FROM r WHERE run > 0), had AS (SELECT DISTINCT engine, run, client, ticket_id FROM r),
 uneven AS (SELECT count(*) AS k FROM runs WHERE (SELECT count(*) FROM had WHERE had.engine = runs.engine AND had.run = runs.run) <> (SELECT count(*) FROM b) OR (SELECT count(*) FROM had JOIN b USING (client, ticket_id) WHERE had.engine = runs.engine AND had.run = runs.run) <> (SELECT count(*) FROM b)),
-x AS (SELECT (SELECT count(*) FROM b FULL JOIN q USING (client, ticket_id) WHERE b.ord IS NULL OR q.ord IS NULL) AS unpaired, (SELECT count(*) FROM b FULL JOIN q USING (client, ticket_id) WHERE list_sort(b.expected) IS DISTINCT FROM list_sort(q.expected)) AS relabelled,
+x AS (SELECT (SELECT count(*) FROM b FULL JOIN q USING (client, ticket_id) WHERE b.ord IS NULL OR q.ord IS NULL) AS unpaired, (SELECT count(*) FROM b JOIN q USING (client, ticket_id) WHERE list_sort(b.expected) <> list_sort(q.expected)) AS relabelled,
  (SELECT count(*) FROM r WHERE engine = 'routed' AND level IN ('L0', 'L1', 'L2') AND kind = 'fiche') AS exact_decisions, (SELECT count(DISTINCT (client, ticket_id)) FROM r WHERE engine = 'routed' AND level IN ('L0', 'L1', 'L2') AND kind = 'fiche' AND NOT list_contains(expected, fiches[1])) AS wrong_exact,
  (SELECT count(DISTINCT (client, ticket_id)) FROM r WHERE engine = 'routed' AND level IN ('L0', 'L1', 'L2') AND kind = 'fiche' AND ticket_id % 7 <> 0) AS unseen_exact,
  (SELECT count(*) FROM r WHERE error IS NOT NULL) AS errors, CAST(0 AS BIGINT) AS degraded, (SELECT count(*) FROM b JOIN q USING (client, ticket_id) WHERE len(b.expected) > 0 AND ticket_id % 7 <> 0) AS compared,
- (SELECT count(*) FROM b WHERE len(expected) > 0 AND ticket_id % 7 <> 0 AND list_contains(expected, ff)) AS base_first, (SELECT count(*) FROM q WHERE len(expected) > 0 AND ticket_id % 7 <> 0 AND list_contains(expected, ff)) AS route_first, (SELECT k FROM uneven) AS uneven),
+ (SELECT count(*) FROM b JOIN q USING (client, ticket_id) WHERE len(b.expected) > 0 AND ticket_id % 7 <> 0 AND list_contains(b.expected, b.ff)) AS base_first, (SELECT count(*) FROM b JOIN q USING (client, ticket_id) WHERE len(b.expected) > 0 AND ticket_id % 7 <> 0 AND list_contains(b.expected, q.ff)) AS route_first, (SELECT k FROM uneven) AS uneven),
 y AS (SELECT *, list_filter([CASE WHEN unpaired > 0 THEN 'unpaired' END, CASE WHEN uneven > 0 THEN 'uneven_runs' END, CASE WHEN relabelled > 0 THEN 'relabelled' END, CASE WHEN errors > 0 THEN 'errors' END], lambda v: v IS NOT NULL) AS i,
  list_filter([CASE WHEN wrong_exact > 0 THEN 'wrong_exact' END, CASE WHEN route_first < base_first THEN 'right_first' END], lambda v: v IS NOT NULL) AS f,
  list_filter([CASE WHEN compared < 30 THEN 'few_questions' END, CASE WHEN exact_decisions = 0 THEN 'no_exact_decision' END, CASE WHEN exact_decisions > 0 AND unseen_exact = 0 THEN 'only_seen_questions' END], lambda v: v IS NOT NULL) AS s FROM x)
@@ -161,7 +161,7 @@ def later_runs_keys(spark, d):
 FAILURES = [(1, "HTTP 429 too many requests"), (2, "timeout while reading"), (3, "content filter refused"), (4, None), (5, "503 Service Unavailable"), (6, "invalid schema")]
 
 
-@query(f"SELECT id, CASE WHEN message IS NULL THEN 'ok' WHEN regexp_matches(message, '(?i)429|5[0-9]{{2}}|timeout|timed out|throttl|connection') THEN 'transient' ELSE 'definitive' END AS class FROM {values(FAILURES, 'id int, message string')}")
+@query(f"SELECT id, CASE WHEN message IS NULL THEN 'ok' WHEN regexp_matches(message, '(?i)429|5[0-9]{{2}}|timeout|timed out|throttl|connection') THEN 'transient' ELSE 'definitive' END AS class FROM {planted_sql(FAILURES, 'id int, message string')}")
 def failure_classes(spark, d):
     c = F.when(F.col("message").isNull(), "ok").when(F.col("message").rlike(r"(?i)429|5[0-9]{2}|timeout|timed out|throttl|connection"), "transient").otherwise("definitive")
-    return spark.createDataFrame(FAILURES, "id int, message string").select("id", c.alias("class"))
+    return planted(spark, d, FAILURES, "id int, message string").select("id", c.alias("class"))

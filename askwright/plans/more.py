@@ -288,7 +288,7 @@ def accepted_closure(spark, d):
 
 
 @query("""WITH p AS (SELECT 'e' || (o_custkey % 3) AS engine, o_orderkey AS threshold, row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey % 3) AS n, o_orderkey % 997 = 0 AS rec FROM orders)
-SELECT engine, threshold, rec AS recommended FROM p WHERE n <= 20 OR rec OR i IN (SELECT CAST(round(k * (n - 1) / 19.0) AS BIGINT) FROM range(20) t(k))""")
+SELECT engine, threshold, rec AS recommended FROM p WHERE n <= 9 OR rec OR i = 0 OR i = n - 1 OR i IN (SELECT CAST(round_even(k * ((n - 1) / 7), 0) AS BIGINT) FROM range(1, 7) t(k))""")
 def sampled_sweep(spark, d):
     sweep = table(spark, d, "orders").select(tag("e", c("o_custkey") % 3).alias("engine"), c("o_orderkey").alias("threshold"), (c("o_orderkey") % 997 == 0).alias("recommended"))
     return m.sampled_sweep(sweep)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from askwright.functions import entities, segment, unicode_text
 from askwright.operators import extraction
-from askwright.plans.base import query, table, values
+from askwright.plans.base import planted, planted_sql, query, table, values
 
 SENTENCES = [
     (1, "Erreur 0x80070005 puis -2147024891", ["err:0x80070005", "err:0x80070005"]),
@@ -25,14 +25,14 @@ def entity_rows(spark, d):
     return rows.select("id", (F.col("n") + 1).alias("n"), "e.canonical")
 
 
-@query(rf"SELECT id, upper(unnest(regexp_extract_all(t, '0x([0-9a-fA-F]{{4,8}})\b', 1))) AS code FROM {values(TEXTS, 'id int, t string')}")
+@query(rf"SELECT id, upper(unnest(regexp_extract_all(t, '0x([0-9a-fA-F]{{4,8}})\b', 1))) AS code FROM {planted_sql(TEXTS, 'id int, t string', ('t',))}")
 def hex_codes(spark, d):
-    return spark.createDataFrame(TEXTS, "id int, t string").select("id", F.explode(extraction.hex_codes(F.col("t"))).alias("code"))
+    return planted(spark, d, TEXTS, "id int, t string", ("t",)).select("id", F.explode(extraction.hex_codes(F.col("t"))).alias("code"))
 
 
-@query(rf"SELECT id, substr(printf('%X', 4294967296 - CAST(unnest(regexp_extract_all(t, '(?:^|[^\w.])-(2\d{{9}})\b', 1)) AS BIGINT)), 1, 8) AS code FROM {values(TEXTS, 'id int, t string')}")
+@query(rf"SELECT id, substr(printf('%X', 4294967296 - CAST(unnest(regexp_extract_all(t, '(?:^|[^\w.])-(2\d{{9}})\b', 1)) AS BIGINT)), 1, 8) AS code FROM {planted_sql(TEXTS, 'id int, t string', ('t',))}")
 def negative_codes(spark, d):
-    return spark.createDataFrame(TEXTS, "id int, t string").select("id", F.explode(extraction.negative_codes(F.col("t"))).alias("code"))
+    return planted(spark, d, TEXTS, "id int, t string", ("t",)).select("id", F.explode(extraction.negative_codes(F.col("t"))).alias("code"))
 
 
 VOCABULARY = [("outlook web",), ("outlook",), ("vpn",), ("é",), ("teams",)]
@@ -47,17 +47,17 @@ def vocabulary_entities(spark, d):
 PROPOSED = [(1, "Réseau", ["vpn", "wifi"], "le vpn est lent"), (2, "SAP", ["erp"], "rien"), (3, "Teams", ["visio", "réunion"], "Réunion Teams")]
 
 
-@query(f"SELECT id, canonical, array_to_string(kept, '|') AS aliases FROM (SELECT id, canonical, t, list_filter(aliases, lambda x: contains(lower(t), lower(x))) AS kept FROM {values(PROPOSED, 'id int, canonical string, aliases array<string>, t string')}) WHERE len(kept) > 0 OR contains(lower(t), lower(canonical))")
-def verified_aliases(spark, d):
-    return extraction.verified_aliases(spark.createDataFrame(PROPOSED, "id int, canonical string, aliases array<string>, t string"))
+@query(f"SELECT id, canonical, array_to_string(kept, '|') AS aliases FROM (SELECT id, canonical, t, list_filter(aliases, lambda x: contains(lower(t), lower(x))) AS kept FROM {planted_sql(PROPOSED, 'id int, canonical string, aliases array<string>, t string')}) WHERE len(kept) > 0 OR contains(lower(t), lower(canonical))")
+def verified_alias_rows(spark, d):
+    return extraction.verified_aliases(planted(spark, d, PROPOSED, "id int, canonical string, aliases array<string>, t string"))
 
 
 SPANS = [(1, 0, 10, 5, 15), (2, 0, 10, 20, 30), (3, 0, 10, 0, 10), (4, 5, 5, 5, 5)]
 
 
-@query(f"SELECT id, round(CASE WHEN greatest(a1, b1) - least(a0, b0) > 0 THEN greatest(0, least(a1, b1) - greatest(a0, b0)) / (greatest(a1, b1) - least(a0, b0)) ELSE 0.0 END, 6) AS iou FROM {values(SPANS, 'id int, a0 int, a1 int, b0 int, b1 int')}")
+@query(f"SELECT id, round(CASE WHEN greatest(a1, b1) - least(a0, b0) > 0 THEN greatest(0, least(a1, b1) - greatest(a0, b0)) / (greatest(a1, b1) - least(a0, b0)) ELSE 0.0 END, 6) AS iou FROM {planted_sql(SPANS, 'id int, a0 int, a1 int, b0 int, b1 int')}")
 def hull_iou(spark, d):
-    r = spark.createDataFrame(SPANS, "id int, a0 int, a1 int, b0 int, b1 int")
+    r = planted(spark, d, SPANS, "id int, a0 int, a1 int, b0 int, b1 int")
     return r.select("id", F.round(segment.hull_overlap(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")), 6).alias("iou"))
 
 
@@ -73,10 +73,10 @@ def article_steps(spark, d):
 DECOMPOSED = [(1, 4, 4, 4), (2, 3, 5, 2), (3, 0, 0, 0), (4, 5, 5, 4)]
 
 
-@query(f"SELECT id, round(a, 6) AS agreement, CASE WHEN n1 = 0 THEN 'info_only' WHEN a >= 0.8 THEN 'guided' ELSE 'citable' END AS status FROM (SELECT *, CASE WHEN n1 + n2 > 0 THEN 2 * m / (n1 + n2) ELSE 0.0 END AS a FROM {values(DECOMPOSED, 'id int, n1 int, n2 int, m int')})")
+@query(f"SELECT id, round(a, 6) AS agreement, CASE WHEN n1 = 0 THEN 'info_only' WHEN a >= 0.8 THEN 'guided' ELSE 'citable' END AS status FROM (SELECT *, CASE WHEN n1 + n2 > 0 THEN 2 * m / (n1 + n2) ELSE 0.0 END AS a FROM {planted_sql(DECOMPOSED, 'id int, n1 int, n2 int, m int')})")
 def decomposition_status(spark, d):
     a = segment.agreement(F.col("m"), F.col("n1"), F.col("n2"))
-    return spark.createDataFrame(DECOMPOSED, "id int, n1 int, n2 int, m int").select("id", F.round(a, 6).alias("agreement"), segment.status(F.col("n1"), F.when(a >= 0.8, "high").otherwise("low")).alias("status"))
+    return planted(spark, d, DECOMPOSED, "id int, n1 int, n2 int, m int").select("id", F.round(a, 6).alias("agreement"), segment.status(F.col("n1"), F.when(a >= 0.8, "high").otherwise("low")).alias("status"))
 
 
 _FLAT = "regexp_replace(html, '\\r\\n?', chr(10), 'g')"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from askwright.functions import masking as m
 from askwright.functions import stats
 from askwright.functions import text as t
-from askwright.plans.base import query, table, values
+from askwright.plans.base import planted, planted_sql, query, table, values
 from askwright.plans.rank import FOLD, tokens
 
 ROUTE_STOP = ", ".join(f"'{w}'" for w in sorted(set(t.ROUTE_STOP)))
@@ -67,9 +67,9 @@ SENSITIVE = [
 SPELLED_SQL = r"(?i)\b(minuscule|majuscule|en capitale|j''epelle|je vous epelle|epelle|lettre par lettre|chiffre par chiffre|comme dans le mot)\b"
 
 
-@query(rf"SELECT id, len(regexp_extract_all(strip_accents(s), '{SPELLED_SQL}')) >= 2 OR regexp_matches(s, '(?:\b\d\b[\s,.-]+){{4,}}\d\b') AS sensitive, regexp_replace(s, '(?i)(mot de passe|password|passwd|pwd|mdp)\s*[:=]\s*\S+', '\1: [REDACTED]', 'g') AS redacted FROM {values(SENSITIVE, 'id int, s string')}")
+@query(rf"SELECT id, len(regexp_extract_all(strip_accents(s), '{SPELLED_SQL}')) >= 2 OR regexp_matches(s, '(?:\b\d\b[\s,.-]+){{4,}}\d\b') AS sensitive, regexp_replace(s, '(?i)(mot de passe|password|passwd|pwd|mdp)\s*[:=]\s*\S+', '\1: [REDACTED]', 'g') AS redacted FROM {planted_sql(SENSITIVE, 'id int, s string')}")
 def sensitive_flags(spark, d):
-    return spark.createDataFrame(SENSITIVE, "id int, s string").select("id", m.looks_sensitive(F.col("s")).alias("sensitive"), m.redact_secrets(F.col("s")).alias("redacted"))
+    return planted(spark, d, SENSITIVE, "id int, s string").select("id", m.looks_sensitive(F.col("s")).alias("sensitive"), m.redact_secrets(F.col("s")).alias("redacted"))
 
 
 @query("""SELECT role, conv_id, turn, trim(regexp_replace(regexp_replace(text, '\\[(?:email|phone|nom|mention|masqué|masked)\\]', ' ', 'g'), '\\s+', ' ', 'g')) AS readable FROM conversations WHERE role = 'user'""")
@@ -132,9 +132,9 @@ def body_sizes(spark, d):
 SCORES = [(1, 2.5), (2, 1.5), (3, 1.49), (4, None), (5, 4.0), (6, 0.0)]
 
 
-@query(f"SELECT id, CASE WHEN score IS NULL THEN 'unknown' WHEN score >= 2.5 THEN 'high' WHEN score >= 1.5 THEN 'medium' ELSE 'low' END AS confidence FROM {values(SCORES, 'id int, score double')}")
+@query(f"SELECT id, CASE WHEN score IS NULL THEN 'unknown' WHEN score >= 2.5 THEN 'high' WHEN score >= 1.5 THEN 'medium' ELSE 'low' END AS confidence FROM {planted_sql(SCORES, 'id int, score double')}")
 def confidence_buckets(spark, d):
-    return spark.createDataFrame(SCORES, "id int, score double").select("id", t.confidence(F.col("score")).alias("confidence"))
+    return planted(spark, d, SCORES, "id int, score double").select("id", t.confidence(F.col("score")).alias("confidence"))
 
 
 LABELS = [(1, None), (2, ""), (3, "none"), (4, "KB1|KB2| KB1 "), (5, "N/A"), (6, "KB3"), (7, " aucun "), (8, "||"), (9, "-")]
@@ -142,10 +142,10 @@ LABELS = [(1, None), (2, ""), (3, "none"), (4, "KB1|KB2| KB1 "), (5, "N/A"), (6,
 
 @query(f"""SELECT id, CASE WHEN raw IS NULL OR trim(raw) = '' THEN NULL WHEN lower(trim(raw)) IN ('none', 'aucune', 'aucun', 'no', '-', 'n/a', 'na') THEN '' ELSE array_to_string(l, '|') END AS expected,
  raw IS NOT NULL AND trim(raw) <> '' AS labelled FROM (SELECT *, (SELECT coalesce(list(x ORDER BY i), []) FROM (SELECT trim(x) AS x, min(i) AS i FROM (SELECT unnest(string_split(raw, '|')) AS x, generate_subscripts(string_split(raw, '|'), 1) AS i) GROUP BY trim(x)) WHERE x <> '') AS l
- FROM {values(LABELS, 'id int, raw string')})""")
+ FROM {planted_sql(LABELS, 'id int, raw string')})""")
 def format_labels(spark, d):
     e = stats.expected_list(F.col("raw"))
-    return spark.createDataFrame(LABELS, "id int, raw string").select("id", F.array_join(e, "|").alias("expected"), e.isNotNull().alias("labelled"))
+    return planted(spark, d, LABELS, "id int, raw string").select("id", F.array_join(e, "|").alias("expected"), e.isNotNull().alias("labelled"))
 
 
 CELLS = [(1, "a;b;c", ";"), (2, "a,b|c|d", "|"), (3, "x\ty", "\t"), (4, "plain", ","), (5, "a;b,c", ";")]
