@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from askwright.functions import text as t
 from askwright.operators import corpus as c
-from askwright.plans.base import query, table, values
+from askwright.plans.base import planted, planted_sql, query, table
 from askwright.plans.rank import FOLD
 
 PLAIN = f"trim(regexp_replace({FOLD.format('replace({0}, chr(8217), chr(39))')}, '\\s+', ' ', 'g'))"
@@ -58,26 +58,30 @@ def name_candidates(spark, d):
     return c.name_candidates(table(spark, d, "pages"), "page_id", F.col("url"), F.col("html"), share=0.2)
 
 
-FICHES = [("f1", "A réutiliser - Imprimante", "x", "texte assez long pour rester dans la base de connaissances", 0), ("f2", "Vide", "vide", "# Vide", 0), ("f3", "Ne pas utiliser", "y", "t", 3), ("f4", "Guide", "guide", "court", 2), ("f5", "Guide long", "z", "# Guide long et un corps de plus de quarante caractères hors titre", 0), ("f6", "Presque", "NE PAS UTILISER doc", "", 1)]
-FS = "fiche_id string, title string, stem string, text string, n_steps int"
+FICHES = [(1, "A réutiliser - Imprimante", "x", "texte assez long pour rester dans la base de connaissances", 0), (2, "Vide", "vide", "# Vide", 0), (3, "Ne pas utiliser", "y", "t", 3), (4, "Guide", "guide", "court", 2), (5, "Guide long", "z", "# Guide long et un corps de plus de quarante caractères hors titre", 0), (6, "Presque", "NE PAS UTILISER doc", "", 1)]
+FS = "id int, title string, stem string, text string, n_steps int"
 PAD = "' ' || trim(regexp_replace(upper(strip_accents({0})), '[^A-Z0-9]+', ' ', 'g')) || ' '"
 
 
-@query(f"""SELECT fiche_id, pattern, CASE WHEN pattern IS NOT NULL THEN 'title_pattern' WHEN n_steps = 0 AND chars < 40 THEN 'empty' END AS rule FROM (SELECT *, CASE WHEN contains(names, ' A REUTILISER ') THEN 'A REUTILISER' WHEN contains(names, ' NE PAS UTILISER ') THEN 'NE PAS UTILISER' END AS pattern,
+@query(f"""SELECT id AS fiche_id, pattern, CASE WHEN pattern IS NOT NULL THEN 'title_pattern' WHEN n_steps = 0 AND chars < 40 THEN 'empty' END AS rule FROM (SELECT *, CASE WHEN contains(names, ' A REUTILISER ') THEN 'A REUTILISER' WHEN contains(names, ' NE PAS UTILISER ') THEN 'NE PAS UTILISER' END AS pattern,
  length(regexp_replace(regexp_replace(CASE WHEN length(title) > 0 AND instr(text, title) > 0 THEN left(text, instr(text, title) - 1) || ' ' || substr(text, instr(text, title) + length(title)) ELSE text END, '\\s+', '', 'g'), '^#+', '')) AS chars
- FROM (SELECT *, {PAD.format('title')} || {PAD.format('stem')} AS names FROM {values(FICHES, FS)}))""")
+ FROM (SELECT *, {PAD.format('title')} || {PAD.format('stem')} AS names FROM {planted_sql(FICHES, FS)}))""")
 def exclusion_rules(spark, d):
-    return c.excluded(spark.createDataFrame(FICHES, FS), ["A REUTILISER", "NE PAS UTILISER"]).select("fiche_id", "pattern", "rule")
+    return c.excluded(planted(spark, d, FICHES, FS).withColumnRenamed("id", "fiche_id"), ["A REUTILISER", "NE PAS UTILISER"]).select("fiche_id", "pattern", "rule")
 
 
-FORCED = [("f1",), ("F2",), (" f  3",), ("nothing",), ("f 3",)]
-IDS = [("f1",), ("f2",), ("f 3",), ("F1",)]
+ENTRIES = """SELECT CASE doc_id % 4 WHEN 0 THEN 'f ' || doc_id WHEN 1 THEN 'F  ' || doc_id WHEN 2 THEN ' f ' || doc_id ELSE 'nothing ' || doc_id END AS entry FROM documents"""
+IDS = "SELECT 'f ' || doc_id AS fiche_id FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT 'F ' || doc_id FROM documents WHERE doc_id % 7 = 0"
 
 
-@query(f"""WITH w AS (SELECT * FROM {values(FORCED, 'entry string')}), f AS (SELECT * FROM {values(IDS, 'fiche_id string')}), k AS (SELECT lower(trim(regexp_replace(fiche_id, '\\s+', ' ', 'g'))) AS k, min(fiche_id) AS loose FROM f GROUP BY 1 HAVING count(*) = 1)
+@query(f"""WITH w AS ({ENTRIES}), f AS ({IDS}), k AS (SELECT lower(trim(regexp_replace(fiche_id, '\\s+', ' ', 'g'))) AS k, min(fiche_id) AS loose FROM f GROUP BY 1 HAVING count(*) = 1)
 SELECT entry, coalesce(f.fiche_id, k.loose) AS fiche_id FROM w LEFT JOIN f ON f.fiche_id = entry LEFT JOIN k ON k.k = lower(trim(regexp_replace(entry, '\\s+', ' ', 'g')))""")
 def force_included(spark, d):
-    return c.force_include(spark.createDataFrame(FORCED, "entry string"), spark.createDataFrame(IDS, "fiche_id string"))
+    docs, i, n = table(spark, d, "documents"), F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    said = lambda prefix: F.concat(F.lit(prefix), n)
+    entries = docs.select(F.when(i == 0, said("f ")).when(i == 1, said("F  ")).when(i == 2, said(" f ")).otherwise(said("nothing ")).alias("entry"))
+    ids = docs.where("doc_id % 5 <> 0").select(said("f ").alias("fiche_id")).unionByName(docs.where("doc_id % 7 = 0").select(said("F ").alias("fiche_id")))
+    return c.force_include(entries, ids)
 
 
 @query("SELECT term, seen FROM (SELECT event_type || '-' || (event_id % 37) AS term, count(DISTINCT user_id) AS seen FROM events GROUP BY 1) WHERE seen >= 3 AND term NOT LIKE 'error%' ORDER BY seen DESC, term")

@@ -56,52 +56,62 @@ def canonical_pick(spark, d):
     return g.canonical_pick(members)
 
 
-FICHES = [
-    ("KB0001 - A", "KB0001 - A", 1, "Voir KB0002 et KB 77. Cet article annule et remplace KB0003.", "Lire KB0002 avant."),
-    ("KB0002 - B", "KB0002 - B", 2, "Remplacé par KB0004. kb-1 en détail.", ""),
-    ("KB0003 - C", "KB0003 - C", 3, "Rien.", ""),
-    ("KB0004 - D", "KB0004 - D", 4, "Citer KB0004 soi-même, KB0099 et KB0099.", "KB0099"),
-    ("KB0004 bis", "KB0004 bis", 4, "See KB0001.", ""),
-    ("sans numéro", "sans numéro", None, "KB0002 superseded by KB0001", "KB0002"),
-]
-SCHEMA = "fiche_id string, canonical string, number long, text string, prerequisite_text string"
+#: Each document is an article that cites its neighbours by number; a sixth shares a number, a sixth has none.
+ARTICLES = """SELECT CASE i % 6 WHEN 5 THEN 'sans numéro ' || i ELSE 'KB000' || i || ' - A' END AS fiche_id, CASE i % 6 WHEN 5 THEN 'sans numéro ' || i ELSE 'KB000' || i || ' - A' END AS canonical,
+ CASE i % 6 WHEN 5 THEN NULL WHEN 4 THEN i - 1 ELSE i END AS number,
+ CASE i % 6 WHEN 0 THEN 'Voir KB' || (i + 1) || ' et KB 9999977. Cet article annule et remplace KB' || (i + 2) WHEN 1 THEN 'Remplacé par KB' || (i + 3) || '. kb-' || (i - 1) || ' en détail.' WHEN 3 THEN 'Citer KB' || i || ' soi-même, KB9999999 et KB9999999.'
+  WHEN 4 THEN 'See KB' || (i - 4) || '.' WHEN 5 THEN 'KB' || (i - 3) || ' superseded by KB' || (i - 5) ELSE 'Rien.' END || chr(10) || text AS text,
+ CASE i % 6 WHEN 0 THEN 'Lire KB' || (i + 1) || ' avant.' WHEN 5 THEN 'KB' || (i - 3) ELSE '' END AS prerequisite_text FROM (SELECT doc_id AS i, text FROM documents)"""
+
+
+def articles(spark, d):
+    i, c = F.col("doc_id") % 6, lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else (F.col("doc_id") + y).cast("string") for y in x])
+    name = F.when(i == 5, c("sans numéro ", 0)).otherwise(c("KB000", 0, " - A"))
+    said = (
+        F.when(i == 0, c("Voir KB", 1, " et KB 9999977. Cet article annule et remplace KB", 2)).when(i == 1, c("Remplacé par KB", 3, ". kb-", -1, " en détail.")).when(i == 3, c("Citer KB", 0, " soi-même, KB9999999 et KB9999999."))
+        .when(i == 4, c("See KB", -4, ".")).when(i == 5, c("KB", -3, " superseded by KB", -5)).otherwise("Rien.")
+    )
+    number = F.when(i == 4, F.col("doc_id") - 1).when(i < 5, F.col("doc_id"))
+    before = F.when(i == 0, c("Lire KB", 1, " avant.")).when(i == 5, c("KB", -3)).otherwise("")
+    return table(spark, d, "documents").select(name.alias("fiche_id"), name.alias("canonical"), number.alias("number"), F.concat_ws("\n", said, "text").alias("text"), before.alias("prerequisite_text"))
+
+
 NUM = r"(?i)\bKB\s?[-_]?0*(\d{1,7})\b"
-CITED = f"""f AS (SELECT * FROM {values(FICHES, SCHEMA)}), h AS (SELECT DISTINCT number, canonical AS target FROM f WHERE number IS NOT NULL),
+CITED = f"""f AS ({ARTICLES}), h AS (SELECT DISTINCT number, canonical AS target FROM f WHERE number IS NOT NULL),
 c AS (SELECT DISTINCT fiche_id, canonical, number AS own, prerequisite_text, CAST(unnest(regexp_extract_all(text, '{NUM}', 1)) AS BIGINT) AS n FROM f)"""
 
 
-@query(f"SELECT fiche_id, CAST(coalesce(nullif(regexp_extract(fiche_id, '{NUM}', 1), ''), nullif(regexp_extract(canonical, '{NUM}', 1), ''), '-1') AS BIGINT) AS number FROM {values(FICHES, SCHEMA)}")
+@query(f"SELECT fiche_id, CAST(coalesce(nullif(regexp_extract(fiche_id, '{NUM}', 1), ''), nullif(regexp_extract(canonical, '{NUM}', 1), ''), '-1') AS BIGINT) AS number FROM ({ARTICLES})")
 def own_numbers(spark, d):
-    return spark.createDataFrame(FICHES, SCHEMA).select("fiche_id", F.coalesce(g.own_numbers(F.col("fiche_id"), F.col("canonical")), F.lit(-1)).alias("number"))
+    return articles(spark, d).select("fiche_id", F.coalesce(g.own_numbers(F.col("fiche_id"), F.col("canonical")), F.lit(-1)).alias("number"))
 
 
 @query(f"WITH {CITED} SELECT number, array_to_string(list_sort(list(DISTINCT canonical)), '|') AS holders FROM f WHERE number IS NOT NULL GROUP BY number HAVING count(DISTINCT canonical) > 1")
 def number_conflicts(spark, d):
-    return g.number_conflicts(spark.createDataFrame(FICHES, SCHEMA)).select("number", F.array_join("holders", "|").alias("holders"))
+    return g.number_conflicts(articles(spark, d)).select("number", F.array_join("holders", "|").alias("holders"))
 
 
 @query(f"WITH {CITED} SELECT fiche_id, target, bool_or(list_contains(list_transform(regexp_extract_all(prerequisite_text, '{NUM}', 1), lambda x: CAST(x AS BIGINT)), n)) AS prerequisite FROM c JOIN h ON h.number = n WHERE (own IS NULL OR n <> own) AND target <> canonical GROUP BY fiche_id, target")
 def reference_edges(spark, d):
-    return g.references(spark.createDataFrame(FICHES, SCHEMA))[0]
+    return g.references(articles(spark, d))[0]
 
 
 @query(f"WITH {CITED} SELECT DISTINCT fiche_id, n AS number FROM c WHERE (own IS NULL OR n <> own) AND n NOT IN (SELECT number FROM h)")
 def references_missing(spark, d):
-    return g.references(spark.createDataFrame(FICHES, SCHEMA))[1]
+    return g.references(articles(spark, d))[1]
 
 
 @query(f"""WITH {CITED}, r AS (SELECT fiche_id, canonical, CAST(unnest(regexp_extract_all(text, '(?i)\\b(?:annule et remplace|remplace|replaces|supersedes)\\b[^.\\n]{{0,40}}?\\bKB\\s?[-_]?0*(\\d{{1,7}})\\b', 1)) AS BIGINT) AS n FROM f),
 b AS (SELECT fiche_id, canonical, CAST(unnest(regexp_extract_all(text, '(?i)(?:remplac[ée]e? par|obsol[eè]te[^.\\n]{{0,20}}?par|replaced by|superseded by)\\b[^.\\n]{{0,40}}?\\bKB\\s?[-_]?0*(\\d{{1,7}})\\b', 1)) AS BIGINT) AS n FROM f)
 SELECT target AS fiche, fiche_id AS superseded_by FROM r JOIN h ON h.number = n WHERE target <> canonical UNION SELECT fiche_id, target FROM b JOIN h ON h.number = n WHERE target <> canonical""")
 def replacement_edges(spark, d):
-    return g.replacements(spark.createDataFrame(FICHES, SCHEMA))
-
-
-LISTS = [(1, 1, "b"), (1, 2, "a"), (1, 3, "c"), (1, 4, "d"), (2, 1, "d"), (2, 2, "x")]
+    return g.replacements(articles(spark, d))
 
 
-@query(f"""WITH l AS (SELECT * FROM {values(LISTS, 'query int, ord int, fiche string')}), c AS (SELECT * FROM (VALUES ('b', 'a')) v(fiche, canonical)), s AS (SELECT * FROM (VALUES ('c', 'z'), ('c', 'd'), ('d', 'x'), ('a', 'q')) v(fiche, t))
-SELECT query, fiche, min(ord) AS ord FROM (SELECT query, ord, coalesce((SELECT min(t) FROM s WHERE s.fiche = k.f), k.f) AS fiche FROM (SELECT query, ord, coalesce(canonical, l.fiche) AS f FROM l LEFT JOIN c USING (fiche)) k) GROUP BY query, fiche""")
+@query("""WITH l AS (SELECT l_orderkey AS query, l_linenumber AS ord, l_partkey % 50 AS f FROM lineitem), c AS (SELECT query, ord, CASE WHEN f % 10 = 9 THEN f - 1 ELSE f END AS f FROM l)
+SELECT query, CASE WHEN f % 10 = 4 THEN f + 1 ELSE f END AS fiche, min(ord) AS ord FROM c GROUP BY ALL""")
 def prune_order(spark, d):
-    rows = spark.createDataFrame(LISTS, "query int, ord int, fiche string")
-    return g.prune(rows, spark.createDataFrame([("b", "a")], "fiche string, canonical string"), spark.createDataFrame([("c", "z"), ("c", "d"), ("d", "x"), ("a", "q")], "fiche string, superseded_by string"))
+    li, f = table(spark, d, "lineitem"), F.col("l_partkey") % 50
+    fiches = li.select(f.alias("fiche")).distinct()
+    newer = fiches.where("fiche % 10 = 4").select("fiche", F.explode(F.array(F.col("fiche") + 2, F.col("fiche") + 1)).alias("superseded_by"))
+    return g.prune(li.select(F.col("l_orderkey").alias("query"), F.col("l_linenumber").alias("ord"), f.alias("fiche")), fiches.where("fiche % 10 = 9").select("fiche", (F.col("fiche") - 1).alias("canonical")), newer)

@@ -117,12 +117,9 @@ def wilson_by_source(spark, d):
     return g.select("source", "k", "n", F.round(stats.wilson(F.col("k"), F.col("n"), False), 6).alias("low"), F.round(stats.wilson(F.col("k"), F.col("n"), True), 6).alias("high"))
 
 
-RATES = [(0.05,), (0.02,), (0.10,), (0.3,), (0.5,)]
-
-
-@query(f"SELECT p, CAST((SELECT min(n) FROM range(1, 5001) g(n) WHERE {Z}*{Z}/(n + {Z}*{Z}) <= p) AS INTEGER) AS tickets FROM {values(RATES, 'p double')}")
+@query(f"SELECT p, CAST((SELECT min(n) FROM range(1, 5001) g(n) WHERE {Z}*{Z}/(n + {Z}*{Z}) <= p) AS INTEGER) AS tickets FROM (SELECT DISTINCT (1 + o_orderkey % 200) / 400 AS p FROM orders)")
 def tickets_needed(spark, d):
-    return spark.createDataFrame(RATES, "p double").select("p", stats.tickets_needed(F.col("p")).alias("tickets"))
+    return table(spark, d, "orders").select(((1 + F.col("o_orderkey") % 200) / 400).alias("p")).distinct().select("p", stats.tickets_needed(F.col("p")).alias("tickets"))
 
 
 @query(f"WITH {R} SELECT engine, round(avg((tokens_in * 2.5 + tokens_out * 10.0) / 1e6), 6) AS cost_per_ticket FROM r GROUP BY engine")

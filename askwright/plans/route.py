@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from askwright.operators import decisions, routing as r
-from askwright.plans.base import query, table, values
+from askwright.plans.base import planted, planted_sql, query, table, values
 
 REV = "SELECT 'F' || (o_custkey % 500) AS fiche_id, 'h' || (o_orderkey % 2) AS source_sha256, CASE o_orderstatus WHEN 'F' THEN 'validated' WHEN 'O' THEN 'rejected' ELSE 'review' END AS status, o_orderkey AS revision, CAST(o_orderdate AS VARCHAR) AS decided_at  FROM orders"
 
@@ -32,12 +32,9 @@ def code_owners(spark, d):
     return r.code_owners(li)
 
 
-SCOPE = [(1, "KB1", "a"), (1, "KB1", "b"), (1, "err:5", "b"), (1, "err:5", "c"), (2, "KB9", "z"), (3, "x", "a"), (3, "y", "b")]
-
-
-@query(f"WITH s AS (SELECT * FROM {values(SCOPE, 'query int, identifier string, fiche string')}), h AS (SELECT query, fiche, count(DISTINCT identifier) AS k FROM s GROUP BY ALL) SELECT query, coalesce(array_to_string(list(fiche ORDER BY fiche) FILTER (WHERE k = (SELECT count(DISTINCT identifier) FROM s WHERE s.query = h.query)), '|'), '') AS shared, array_to_string(list(fiche ORDER BY fiche), '|') AS any_of FROM h GROUP BY query")
+@query(f"WITH s AS (SELECT l_orderkey AS query, 'i' || (l_suppkey % 5) AS identifier, 'f' || (l_partkey % 20) AS fiche FROM lineitem), h AS (SELECT query, fiche, count(DISTINCT identifier) AS k FROM s GROUP BY ALL) SELECT query, coalesce(array_to_string(list(fiche ORDER BY fiche) FILTER (WHERE k = (SELECT count(DISTINCT identifier) FROM s WHERE s.query = h.query)), '|'), '') AS shared, array_to_string(list(fiche ORDER BY fiche), '|') AS any_of FROM h GROUP BY query")
 def identifier_scope(spark, d):
-    return r.identifier_scope(spark.createDataFrame(SCOPE, "query int, identifier string, fiche string")).select("query", F.array_join("shared", "|").alias("shared"), F.array_join("any", "|").alias("any_of"))
+    return r.identifier_scope(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query"), F.concat(F.lit("i"), F.col("l_suppkey") % 5).alias("identifier"), F.concat(F.lit("f"), F.col("l_partkey") % 20).alias("fiche"))).select("query", F.array_join("shared", "|").alias("shared"), F.array_join("any", "|").alias("any_of"))
 
 
 QUESTIONS = [(1, ["reset", "password"]), (2, ["reset", "password", "sap"]), (3, ["impossible", "reset", "password"]), (4, ["vpn"]), (5, ["outlook", "start", "sync", "not"]), (6, ["printer", "paper", "jam"])]
@@ -45,11 +42,11 @@ ENTRIES = [("A", "reset password", ["reset", "password"], ""), ("B", "reset pass
 NEG = ", ".join(f"'{w}'" for w in r.NEGATIONS)
 
 
-@query(f"""WITH q AS (SELECT * FROM {values(QUESTIONS, 'query int, tokens array<string>')}), e AS (SELECT fiche_id, alias, tokens AS et FROM {values(ENTRIES, 'fiche_id string, alias string, tokens array<string>, app string')}), m AS (SELECT query, tokens, e.* FROM q JOIN e ON list_has_all(tokens, et)),
+@query(f"""WITH q AS (SELECT id AS query, tokens FROM {planted_sql(QUESTIONS, 'id int, tokens array<string>')}), e AS (SELECT fiche_id, alias, tokens AS et FROM {values(ENTRIES, 'fiche_id string, alias string, tokens array<string>, app string')}), m AS (SELECT query, tokens, e.* FROM q JOIN e ON list_has_all(tokens, et)),
 w AS (SELECT * FROM m a WHERE fiche_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM m b WHERE b.query = a.query AND b.fiche_id IS DISTINCT FROM a.fiche_id AND NOT (list_has_all(a.et, b.et) AND len(b.et) < len(a.et))) QUALIFY row_number() OVER (PARTITION BY query ORDER BY len(et) DESC, array_to_string(et, ' '), alias) = 1),
 u AS (SELECT *, list_filter(tokens, lambda x: NOT list_contains(et, x)) AS l FROM w) SELECT query, fiche_id, alias, CAST(len(l) AS INTEGER) AS uncovered, len(l) <= 1 AND NOT list_has_any(l, [{NEG}]) AS decided FROM u""")
 def alias_match(spark, d):
-    return r.match_aliases(spark.createDataFrame(QUESTIONS, "query int, tokens array<string>"), spark.createDataFrame(ENTRIES, "fiche_id string, alias string, tokens array<string>, app string"))
+    return r.match_aliases(planted(spark, d, QUESTIONS, "id int, tokens array<string>").withColumnRenamed("id", "query"), spark.createDataFrame(ENTRIES, "fiche_id string, alias string, tokens array<string>, app string"))
 
 
 ASKED = [(1, "RESET", "sap"), (2, "RESET", ""), (3, "VPN", ""), (4, "VPN", "teams"), (5, "NONE", ""), (6, "PRINT", "sap"), (7, "ONE", ""), (8, None, "")]
@@ -57,9 +54,9 @@ L2 = [("RESET", "sap", "A", False), ("RESET", "", "B", False), ("VPN", "", "C",
 L2_WANT = [(1, "A", "", "intent_app"), (2, None, "A|B", "several_fiches"), (3, "C", "", "intent_no_app"), (4, None, "C", "no_fiche_for_app_generic_offered"), (5, None, "", "no_fiche"), (6, None, "D|E", "pending_review"), (7, None, "F", "fiche_of_an_application"), (8, None, "", "no_intent")]
 
 
-@query(f"SELECT * FROM {values(L2_WANT, 'query int, exact string, offer string, reason string')}")
+@query(f"SELECT id AS query, exact, offer, reason FROM {planted_sql(L2_WANT, 'id int, exact string, offer string, reason string')}")
 def intent_lookup(spark, d):
-    return r.lookup_intent(spark.createDataFrame(ASKED, "query int, intent string, app string"), spark.createDataFrame(L2, "intent string, app string, fiche string, blocked boolean"))
+    return r.lookup_intent(planted(spark, d, ASKED, "id int, intent string, app string").withColumnRenamed("id", "query"), spark.createDataFrame(L2, "intent string, app string, fiche string, blocked boolean"))
 
 
 @query("WITH q AS (SELECT o_orderkey AS query FROM orders), l0 AS (SELECT query, 'n' || (query % 9) AS f FROM q WHERE query % 5 = 0), l1 AS (SELECT query, 'a' || (query % 7) AS f FROM q WHERE query % 3 = 0), l2 AS (SELECT query, 'i' || (query % 4) AS f FROM q WHERE query % 2 = 0) SELECT query, coalesce(l0.f, l1.f, l2.f) AS fiche_id, CASE WHEN l0.f IS NOT NULL THEN 'L0' WHEN l1.f IS NOT NULL THEN 'L1' WHEN l2.f IS NOT NULL THEN 'L2' ELSE 'none' END AS level FROM q LEFT JOIN l0 USING (query) LEFT JOIN l1 USING (query) LEFT JOIN l2 USING (query)")
@@ -76,18 +73,28 @@ def taxonomy_claims(spark, d):
     return r.claims(li.select(F.col("l_orderkey").alias("entry"), F.col("l_partkey").alias("member"), order.alias("ord")))
 
 
-LEVELS = [(1, "identifier", "err:1"), (1, "app", "app:x"), (1, "os", "os:w"), (2, "app", "app:y"), (2, "os", "os:w"), (3, "app", "app:none")]
-INDEX = [("err:1", "a"), ("err:1", "b"), ("app:x", "b"), ("app:x", "c"), ("os:w", "d"), ("app:y", "e"), ("os:w", "e")]
-
-
-@query(f"SELECT * FROM {values([(1, 'b', 2), (2, 'e', 2)], 'query int, fiche string, depth int')}")
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS query, l_linenumber AS place, CASE l_linenumber WHEN 1 THEN 'err:' || (l_partkey % 40) WHEN 2 THEN 'app:' || (l_suppkey % 10) ELSE 'os:' || (l_partkey % 4) END AS entity FROM lineitem WHERE l_linenumber <= 3),
+x AS (SELECT p_partkey AS fiche, unnest(['err:' || (p_partkey % 37), 'app:' || (p_partkey % 9), 'os:' || (p_partkey % 3)]) AS entity FROM part WHERE p_partkey <= 60),
+hold AS (SELECT DISTINCT query, place, fiche FROM a JOIN x USING (entity)), act AS (SELECT query, place, row_number() OVER (PARTITION BY query ORDER BY place) AS k FROM (SELECT DISTINCT query, place FROM hold)),
+pd AS (SELECT query, fiche, t.d AS depth FROM hold JOIN act USING (query, place), range(1, 4) t(d) WHERE k <= t.d GROUP BY query, fiche, t.d HAVING count(*) = t.d)
+SELECT query, fiche, CAST(depth AS INTEGER) AS depth FROM pd WHERE (query, depth) IN (SELECT (query, max(depth)) FROM pd GROUP BY query)""")
 def level_backoff(spark, d):
-    return decisions.level_backoff(spark.createDataFrame(LEVELS, "query int, level string, entity string"), spark.createDataFrame(INDEX, "entity string, fiche string"), ["identifier", "update", "app", "os"])
-
-
-CLOSE = [(1, "a", "app:x"), (1, "b", "app:y"), (1, "a", "os:w"), (1, "b", "os:w"), (2, "a", "app:x"), (2, "b", "app:x"), (2, "a", "err:1"), (2, "b", "err:2")]
-
-
-@query(f"SELECT * FROM {values([(1, 'app', 'app:x|app:y'), (2, 'err', 'err:1|err:2')], 'query int, kind string, options string')}")
+    said = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    at = F.col("l_linenumber")
+    entity = F.when(at == 1, said("err:", F.col("l_partkey") % 40)).when(at == 2, said("app:", F.col("l_suppkey") % 10)).otherwise(said("os:", F.col("l_partkey") % 4))
+    asked = table(spark, d, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("query"), F.element_at(F.array(F.lit("identifier"), F.lit("app"), F.lit("os")), at).alias("level"), entity.alias("entity"))
+    p = F.col("p_partkey")
+    index = table(spark, d, "part").where(p <= 60).select(p.alias("fiche"), F.explode(F.array(said("err:", p % 37), said("app:", p % 9), said("os:", p % 3))).alias("entity"))  # the articles there are
+    return decisions.level_backoff(asked, index, ["identifier", "update", "app", "os"])
+
+
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS query, 'f' || (l_partkey % 50) AS fiche, unnest(['app:' || (l_suppkey % 3), 'err:' || (l_partkey % 7)]) AS entity FROM lineitem),
+n AS (SELECT query, count(DISTINCT fiche) AS n FROM c GROUP BY query), kd AS (SELECT query, split_part(entity, ':', 1) AS kind, entity, fiche FROM c),
+o AS (SELECT query, kind, entity, list(fiche) AS fs FROM kd JOIN n USING (query) GROUP BY query, kind, entity HAVING count(*) < any_value(n)),
+g AS (SELECT query, kind, array_to_string(list(entity ORDER BY entity), '|') AS options FROM o JOIN n USING (query) GROUP BY query, kind HAVING count(*) BETWEEN 2 AND 5 AND len(list_distinct(flatten(list(fs)))) = any_value(n))
+SELECT query, arg_min(kind, kind) AS kind, arg_min(options, kind) AS options FROM g GROUP BY query""")
 def discriminator(spark, d):
-    return decisions.discriminator(spark.createDataFrame(CLOSE, "query int, fiche string, entity string"), ["app", "err", "evt", "os"]).select("query", "kind", F.array_join("options", "|").alias("options"))
+    li = table(spark, d, "lineitem")
+    entity = F.explode(F.array(F.concat(F.lit("app:"), F.col("l_suppkey") % 3), F.concat(F.lit("err:"), F.col("l_partkey") % 7)))
+    close = li.select(F.col("l_orderkey").alias("query"), F.concat(F.lit("f"), F.col("l_partkey") % 50).alias("fiche"), entity.alias("entity"))
+    return decisions.discriminator(close, ["app", "err", "evt", "os"]).select("query", "kind", F.array_join("options", "|").alias("options"))

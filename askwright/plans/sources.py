@@ -19,9 +19,9 @@ TEXTS = [(i, t) for i, t, _ in SENTENCES]
 FOUND = [(i, n + 1, c) for i, _, cs in SENTENCES for n, c in enumerate(cs)]
 
 
-@query(f"SELECT * FROM {values(FOUND, 'id int, n int, canonical string')}")
+@query(f"SELECT doc_id AS id, n, canonical FROM documents JOIN {values(FOUND, 'id int, n int, canonical string')} f ON f.id = 1 + doc_id % 5")
 def entity_rows(spark, d):
-    rows = spark.createDataFrame(TEXTS, "id int, t string").select("id", F.posexplode(entities.extract_udf("t")).alias("n", "e"))
+    rows = planted(spark, d, TEXTS, "id int, t string").select("id", F.posexplode(entities.extract_udf("t")).alias("n", "e"))
     return rows.select("id", (F.col("n") + 1).alias("n"), "e.canonical")
 
 
@@ -30,18 +30,24 @@ def hex_codes(spark, d):
     return planted(spark, d, TEXTS, "id int, t string", ("t",)).select("id", F.explode(extraction.hex_codes(F.col("t"))).alias("code"))
 
 
-@query(rf"SELECT id, substr(printf('%X', 4294967296 - CAST(unnest(regexp_extract_all(t, '(?:^|[^\w.])-(2\d{{9}})\b', 1)) AS BIGINT)), 1, 8) AS code FROM {planted_sql(TEXTS, 'id int, t string', ('t',))}")
+@query(rf"SELECT id, substr(printf('%X', 4294967296 - n), 1, 8) AS code FROM (SELECT id, CAST(unnest(regexp_extract_all(t || ' -2147483648 -2999999999 -' || (2147400000 + id * 1000), '(?:^|[^\w.])-(2\d{{9}})\b', 1)) AS BIGINT) AS n FROM {planted_sql(TEXTS, 'id int, t string', ('t',))}) WHERE n <= 2147483648")
 def negative_codes(spark, d):
-    return planted(spark, d, TEXTS, "id int, t string", ("t",)).select("id", F.explode(extraction.negative_codes(F.col("t"))).alias("code"))
+    rows = planted(spark, d, TEXTS, "id int, t string", ("t",))
+    said = F.concat("t", F.lit(" -2147483648 -2999999999 -"), (2147400000 + F.col("id") * 1000).cast("string"))
+    return rows.select("id", F.explode(extraction.negative_codes(said)).alias("code"))
 
 
-VOCABULARY = [("outlook web",), ("outlook",), ("vpn",), ("é",), ("teams",)]
-ASKED = [(1, "Outlook Web ne marche pas"), (2, "VPN et Teams"), (3, "rien")]
+TERMS = "(SELECT n_name AS term, n_nationkey AS k FROM nation UNION ALL SELECT r_name, 100 + r_regionkey FROM region)"
 
 
-@query(f"SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY length(term) DESC, term) AS rank FROM {values(ASKED, 'id int, t string')}, {values(VOCABULARY, 'term string')} WHERE length(term) >= 2 AND contains(lower(strip_accents(t)), lower(strip_accents(term)))")
+@query(f"""SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY length(term) DESC, term) AS rank FROM (SELECT doc_id AS id, concat_ws(chr(10), n_name, 'aux é', text) AS t FROM documents JOIN nation ON n_nationkey = doc_id % 25) JOIN {TERMS}
+ ON contains(lower(strip_accents(t)), lower(strip_accents(term))) WHERE length(term) >= 2""")
 def vocabulary_entities(spark, d):
-    return extraction.vocabulary_entities(spark.createDataFrame(ASKED, "id int, t string"), spark.createDataFrame(VOCABULARY, "term string"))
+    """Names of nations and regions; each document is given one."""
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    terms = nation.select(F.col("n_name").alias("term")).unionByName(region.select(F.col("r_name").alias("term")))
+    texts = table(spark, d, "documents").join(nation, F.col("doc_id") % 25 == F.col("n_nationkey")).select(F.col("doc_id").alias("id"), F.concat_ws("\n", "n_name", F.lit("aux é"), "text").alias("t"))
+    return extraction.vocabulary_entities(texts, terms)
 
 
 PROPOSED = [(1, "Réseau", ["vpn", "wifi"], "le vpn est lent"), (2, "SAP", ["erp"], "rien"), (3, "Teams", ["visio", "réunion"], "Réunion Teams")]
@@ -65,34 +71,12 @@ ARTICLE = "# Symptôme\nRien\n# Résolution\n1. Cliquez ici\n   - Vérifiez le n
 STEPS = [(1, "Cliquez ici", "action", 0, -1), (2, "Vérifiez le nom", "check", 1, -1), (3, "Si erreur, passez à l'étape 1", "action", 0, 1), (4, "Redémarrez", "action", 0, -1)]
 
 
-@query(f"SELECT * FROM {values(STEPS, 'n int, step string, kind string, level int, goto int')}")
+@query(f"SELECT doc_id AS id, n, step, kind, level, goto FROM documents, {values(STEPS, 'n int, step string, kind string, level int, goto int')}")
 def article_steps(spark, d):
-    return spark.createDataFrame([(ARTICLE,)], "t string").select(F.explode(segment.steps_udf("t")).alias("s")).select("s.n", F.col("s.text").alias("step"), "s.kind", "s.level", F.coalesce("s.goto", F.lit(-1)).alias("goto"))
-
-
-DECOMPOSED = [(1, 4, 4, 4), (2, 3, 5, 2), (3, 0, 0, 0), (4, 5, 5, 4)]
-
-
-@query(f"SELECT id, round(a, 6) AS agreement, CASE WHEN n1 = 0 THEN 'info_only' WHEN a >= 0.8 THEN 'guided' ELSE 'citable' END AS status FROM (SELECT *, CASE WHEN n1 + n2 > 0 THEN 2 * m / (n1 + n2) ELSE 0.0 END AS a FROM {planted_sql(DECOMPOSED, 'id int, n1 int, n2 int, m int')})")
-def decomposition_status(spark, d):
-    a = segment.agreement(F.col("m"), F.col("n1"), F.col("n2"))
-    return planted(spark, d, DECOMPOSED, "id int, n1 int, n2 int, m int").select("id", F.round(a, 6).alias("agreement"), segment.status(F.col("n1"), F.when(a >= 0.8, "high").otherwise("low")).alias("status"))
-
-
-_FLAT = "regexp_replace(html, '\\r\\n?', chr(10), 'g')"
-for _pattern, _by in unicode_text.TAGS:
-    _FLAT = f"regexp_replace({_FLAT}, '{_pattern}', " + {"\n- ": "chr(10) || '- '", "\n": "chr(10)", " ": "' '"}[_by] + ", 'g')"
-for _entity, _sign in (("nbsp", "' '"), ("middot", "chr(183)"), ("copy", "chr(169)"), ("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("#39", "chr(39)"), ("amp", "'&'")):
-    _FLAT = f"replace({_FLAT}, '&{_entity};', {_sign})"
-_LEAD = "length(regexp_extract(replace(x, chr(160), ' '), '^[ \\t]*'))"
-_BARE = "trim(regexp_replace(x, '[\\s\\x1c-\\x1f\\x85\\xA0]+', ' ', 'g'))"
-_LINE = f"CASE WHEN {_LEAD} > 0 AND regexp_matches({_BARE}, '{unicode_text.LIST_START}') THEN repeat(' ', least({_LEAD}, 8)) || {_BARE} ELSE {_BARE} END"
-
-
-@query(f"SELECT page_id, CAST(length(t) AS INTEGER) AS chars, sha256(t) AS sha FROM (SELECT page_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split({_FLAT}, chr(10)), lambda x: {_LINE}), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM pages)")
-def cleaned_pages(spark, d):
-    """HTML pages as text."""
-    return table(spark, d, "pages").select("page_id", unicode_text.clean_text(F.col("html")).alias("t")).select("page_id", F.length("t").alias("chars"), F.sha2("t", 256).alias("sha"))
+    """The article behind each document's own lines, without marks of lists and headings."""
+    own = F.regexp_replace(F.regexp_replace("text", r"(?m)^.{0,80}$", "x"), r"(?m)^[^A-Za-z]+", "x")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("# Contexte\n"), own, F.lit("\n"), F.lit(ARTICLE)).alias("t"))
+    return rows.select("id", F.explode(segment.steps_udf("t")).alias("s")).select("id", "s.n", F.col("s.text").alias("step"), "s.kind", "s.level", F.coalesce("s.goto", F.lit(-1)).alias("goto"))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS host FROM pages")
@@ -100,10 +84,12 @@ def url_parts(spark, d):
     return table(spark, d, "pages").select("page_id", F.lower(F.parse_url("url", F.lit("PROTOCOL"))).alias("scheme"), F.lower(F.parse_url("url", F.lit("HOST"))).alias("host"))
 
 
-FILES = [("a/x.MP4", 1), ("b/y.wav", 2), ("c/z.pdf", 3), ("folder/", 4), ("a/x.mp4", 5), ("d/w.mp3", 6)]
-DONE = [("b/y.wav",)]
+NAMES_SQL = """SELECT doc_id, source || CASE doc_id % 6 WHEN 0 THEN '/x.MP4' WHEN 1 THEN '/y.' || doc_id || '.wav' WHEN 2 THEN '/z' || doc_id || '.pdf' WHEN 3 THEN '/' WHEN 4 THEN '/x' || doc_id || '.mp4' ELSE '/w' || doc_id || '.mp3' END AS name FROM documents"""
 
 
-@query(f"SELECT name, CASE WHEN e IN ('mp3', 'wav', 'm4a') THEN 'audio' WHEN e IN ('mp4', 'mov', 'avi') THEN 'video' ELSE 'other' END AS kind FROM (SELECT name, lower(regexp_extract(name, '\\.([^./]+)$', 1)) AS e FROM {values(FILES, 'name string, n int')} WHERE NOT ends_with(name, '/')) WHERE name NOT IN (SELECT name FROM {values(DONE, 'name string')})")
+@query(f"WITH f AS ({NAMES_SQL}) SELECT name, CASE WHEN e IN ('mp3', 'wav', 'm4a') THEN 'audio' WHEN e IN ('mp4', 'mov', 'avi') THEN 'video' ELSE 'other' END AS kind FROM (SELECT name, lower(regexp_extract(name, '\\.([^./]+)$', 1)) AS e FROM f WHERE NOT ends_with(name, '/')) WHERE name NOT IN (SELECT name FROM f WHERE doc_id % 4 = 0)")
 def copy_routes(spark, d):
-    return extraction.copy_routes(spark.createDataFrame(FILES, "name string, n int"), spark.createDataFrame(DONE, "name string"))
+    i, n = F.col("doc_id") % 6, F.col("doc_id").cast("string")
+    ends = F.when(i == 0, "/x.MP4").when(i == 1, F.concat(F.lit("/y."), n, F.lit(".wav"))).when(i == 2, F.concat(F.lit("/z"), n, F.lit(".pdf"))).when(i == 3, "/").when(i == 4, F.concat(F.lit("/x"), n, F.lit(".mp4"))).otherwise(F.concat(F.lit("/w"), n, F.lit(".mp3")))
+    files = table(spark, d, "documents").select("doc_id", F.concat("source", ends).alias("name"))
+    return extraction.copy_routes(files, files.where("doc_id % 4 = 0").select("name"))

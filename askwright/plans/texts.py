@@ -42,12 +42,11 @@ def route_token_key(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(t.token_key(text), " ").alias("token_key"), F.size(t.route_tokens(text)).alias("n"))
 
 
-WORDS = [("comptes",), ("mots",), ("teams",), ("bloquee",), ("bloquees",), ("access",), ("status",), ("1603",), ("ee",), ("its",), ("analysis",), ("employee",)]
-
-
-@query(f"SELECT word, {fold_token('word')} AS folded FROM {values(WORDS, 'word string')}")
+@query(f"SELECT word, {fold_token('word')} AS folded FROM (SELECT DISTINCT unnest(flatten(list_transform({tokens('text')}, lambda w: [w, w || 's']))) AS word FROM documents)")
 def fold_tokens(spark, d):
-    return spark.createDataFrame(WORDS, "word string").select("word", t.fold_token(F.col("word")).alias("folded"))
+    """Every token of the documents, and its plural."""
+    word = F.explode(F.flatten(F.transform(t.tokenize(F.col("text")), lambda w: F.array(w, F.concat(w, F.lit("s"))))))
+    return table(spark, d, "documents").select(word.alias("word")).distinct().select("word", t.fold_token(F.col("word")).alias("folded"))
 
 
 PHONE_SQL = r"(?:(?:\+|00)[0-9]{2,3}[\s.-]?(?:\(0\)[\s.-]?)?|0)[1-9](?:[\s.-]?[0-9]{2}){4}"
@@ -105,15 +104,15 @@ NAMES = [
 ]
 
 
-@query(rf"""SELECT path, CASE WHEN regexp_extract(p, '(?i)(KB[0-9]{{5,}})', 1) <> '' THEN upper(regexp_extract(p, '(?i)(KB[0-9]{{5,}})', 1)) ELSE regexp_replace(p, '(?i)\.(md|markdown|txt|html|htm|docx|pdf)$', '') END AS fiche_id,
+@query(rf"""SELECT id, path, CASE WHEN regexp_extract(p, '(?i)(KB[0-9]{{5,}})', 1) <> '' THEN upper(regexp_extract(p, '(?i)(KB[0-9]{{5,}})', 1)) ELSE regexp_replace(p, '(?i)\.(md|markdown|txt|html|htm|docx|pdf)$', '') END AS fiche_id,
  CASE WHEN regexp_full_match(i, '[A-Z][A-Z0-9_]{{2,63}}') THEN i END AS intent, CASE WHEN regexp_matches(s, '^[0-9]') THEN 'c_' || s ELSE s END AS slug, lower(trim(regexp_replace(strip_accents(name), '\s+', ' ', 'g'))) AS entity,
  ' ' || trim(regexp_replace(upper(strip_accents(title)), '[^A-Z0-9]+', ' ', 'g')) || ' ' AS padded
  FROM (SELECT *, list_last(regexp_split_to_array(path, '[/\\]')) AS p, regexp_replace(regexp_replace(upper(strip_accents(title)), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS i,
- regexp_replace(regexp_replace({FOLD.format('name')}, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM {values(NAMES, 'path string, title string, name string')})""")
+ regexp_replace(regexp_replace({FOLD.format('name')}, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM {planted_sql([(i, *r) for i, r in enumerate(NAMES, 1)], 'id int, path string, title string, name string')})""")
 def identifiers(spark, d):
-    rows = spark.createDataFrame(NAMES, "path string, title string, name string")
+    rows = planted(spark, d, [(i, *r) for i, r in enumerate(NAMES, 1)], "id int, path string, title string, name string")
     return rows.select(
-        "path", t.fiche_id_for(F.col("path")).alias("fiche_id"), t.canonical_intent(F.col("title")).alias("intent"), t.slug(F.col("name")).alias("slug"), t.entity_form(F.col("name")).alias("entity"), t.exclusion_form(F.col("title")).alias("padded")
+        "id", "path", t.fiche_id_for(F.col("path")).alias("fiche_id"), t.canonical_intent(F.col("title")).alias("intent"), t.slug(F.col("name")).alias("slug"), t.entity_form(F.col("name")).alias("entity"), t.exclusion_form(F.col("title")).alias("padded")
     )
 
 
@@ -151,11 +150,11 @@ def format_labels(spark, d):
 CELLS = [(1, "a;b;c", ";"), (2, "a,b|c|d", "|"), (3, "x\ty", "\t"), (4, "plain", ","), (5, "a;b,c", ";")]
 
 
-@query(f"SELECT id, delimiter FROM {values([(a, c) for a, _, c in CELLS], 'id int, delimiter string')}")
+@query(f"SELECT doc_id AS id, delimiter FROM documents JOIN {values([(a, c) for a, _, c in CELLS], 'id int, delimiter string')} f ON f.id = 1 + doc_id % 5")
 def guessed_delimiters(spark, d):
     from askwright.sources.tables import guess_delimiter_column
 
-    return spark.createDataFrame([(a, b) for a, b, _ in CELLS], "id int, line string").select("id", guess_delimiter_column(F.col("line")).alias("delimiter"))
+    return planted(spark, d, [(a, b) for a, b, _ in CELLS], "id int, line string").select("id", guess_delimiter_column(F.col("line")).alias("delimiter"))
 
 
 @query("SELECT o_orderkey, replace(CAST(o_totalprice AS DECIMAL(18,2))::VARCHAR, '.00', '') AS price, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS day, o_orderstatus || ' | ' || o_orderpriority AS cell FROM orders")
