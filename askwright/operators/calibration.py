@@ -23,13 +23,12 @@ def offer_level(ranked: DataFrame, reach: float = 0.95, choices: int = 3) -> Dat
     return own.agg(F.coalesce(F.floor(level * 1000) / 1000, F.lit(OFFER)).alias("offer"))
 
 
-def measure_grid(ranked: DataFrame, most_floors: int = 100_000) -> DataFrame:
+def measure_grid(ranked: DataFrame) -> DataFrame:
     """Right and wrong answers shown at each floor (a first candidate's score of at least the offer level) and each margin of
     0.005 to 0.300, and, of questions ranked without their own fiche, how many are shown all the same.
 
     A pair of floor and margin shows a question whose first score reaches the floor and whose lead reaches the margin: sums
-    over both, not a product of questions and pairs.  An exam has a few thousand questions; more floors than most_floors are
-    an error.
+    over both, not a product of questions and pairs.  The grid has sixty margins for each floor, whatever the number of floors.
     """
     offer = offer_level(ranked)
     rows = exam(ranked)
@@ -40,12 +39,9 @@ def measure_grid(ranked: DataFrame, most_floors: int = 100_000) -> DataFrame:
     loo = exam(others).select("s1", step.alias("m"), F.lit("loo").alias("kind"))
     seen = said.unionByName(loo).where("s1 is not null and m >= 1").groupBy("s1", "m").pivot("kind", ["right", "wrong", "loo"]).count().na.fill(0)
     floors = rows.crossJoin(offer).where("s1 >= offer").select(F.col("s1").alias("floor"), "offer").distinct()  # offer is one row
-    many = floors.limit(most_floors + 1).count()
-    if many > most_floors:
-        raise ValueError(f"more than {most_floors} floors: measure a sample of the questions")
     margins = ranked.sparkSession.range(1, MARGINS + 1).select(F.col("id").cast("int").alias("m"))
     # a score that is no floor counts at the highest floor below it
-    merged = F.broadcast(floors).select(F.col("floor").alias("s1"), "offer").crossJoin(margins).join(seen, ["s1", "m"], "full_outer").na.fill(0, ["right", "wrong", "loo"])
+    merged = floors.select(F.col("floor").alias("s1"), "offer").crossJoin(F.broadcast(margins)).join(seen, ["s1", "m"], "full_outer").na.fill(0, ["right", "wrong", "loo"])
     by_floor = Window.partitionBy("m").orderBy(F.desc("s1"))
     down = merged.select("s1", "m", "offer", *[F.sum(c).over(by_floor).alias(c) for c in ("right", "wrong", "loo")])
     by_margin = Window.partitionBy("s1").orderBy(F.desc("m"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askwright.functions.text import body_chars, exclusion_form, loose_key, opens_with_verb, plain
+from askwright.operators.graph import written
 
 #: Fixed value: what a line that opens with a verb may speak of and still be boilerplate.
 NOTICE = (
@@ -15,7 +16,6 @@ NOTICE = (
 LIST_ITEM = r"^\s*(?:\d{1,2}[.)]|[a-zA-Z][.)]|[-*•–·▪●◦➢➤►])\s"
 
 
-MOST_BANNED = 1000
 
 
 def lines(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -26,29 +26,28 @@ def lines(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
 def boilerplate(docs: DataFrame, id_col: str, text: Column, share: float = 0.3, least: int = 3) -> DataFrame:
     """Normalised lines of 20 characters or more, no list items and no instructions, that max(least, share of all) documents hold.
     A line that opens with a verb of action is an instruction, unless it speaks of contacts, rights or versions."""
-    total = docs.count()
+    floor = F.lit(max(float(least), share * docs.count()))
+    keyed = lines(docs, id_col, text).where(~F.col("line").rlike(LIST_ITEM)).select("doc", "line", plain(F.col("line")).alias("key")).where(F.length("key") >= 20)
+    # whether a line is an instruction is only asked of lines that are frequent enough
+    frequent = written(keyed.select("doc", "key").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= floor).select("key"), "frequent-lines")
     instruction = opens_with_verb(F.col("line")) & ~F.col("line").rlike(NOTICE)
-    keys = lines(docs, id_col, text).where(~F.col("line").rlike(LIST_ITEM) & ~instruction).select("doc", plain(F.col("line")).alias("line")).where(F.length("line") >= 20).distinct()
-    return keys.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= F.lit(max(float(least), share * total)))
+    held = keyed.join(frequent, "key", "left_semi").where(~instruction).select("doc", F.col("key").alias("line")).distinct()
+    return held.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= floor)
 
 
 def remove_boilerplate(docs: DataFrame, id_col: str, text_col: str, banned: DataFrame) -> DataFrame:
-    """Documents without the banned lines, blank runs as one, and how many lines went.
+    """One row per row of docs: doc, text without the banned lines and with blank runs as one, and how many lines went.
 
-    Each banned line fills a share of all documents, so there are few, and they are the hottest lines there are: up to
-    MOST_BANNED of them stand in the plan, and each text is filtered where it lies.  Beyond that they meet the lines by a join.
+    Lines meet the banned ones by their key; Spark broadcasts these where it knows them to be few, and splits the hottest lines
+    where not.  A row is put together again by a number of its own, so rows of one id stay apart.  A null text stays null.
     """
-    few = banned.select("line").limit(MOST_BANNED + 1).collect()
     tidy = lambda kept: F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
-    if len(few) <= MOST_BANNED:
-        each = F.split(F.col(text_col), "\n")
-        kept = F.filter(each, lambda x: ~plain(x).isin([r[0] for r in few])) if few else each
-        once = docs.select(F.col(id_col).alias("doc"), F.size(each).alias("n"), F.explode(F.array(kept)).alias("kept"))
-        return once.select("doc", tidy(F.col("kept")).alias("text"), (F.col("n") - F.size("kept")).cast("long").alias("removed"))
-    rows = lines(docs, id_col, F.col(text_col)).withColumn("key", plain(F.col("line")))
-    marked = rows.join(banned.select(F.col("line").alias("key"), F.lit(1).alias("gone")), "key", "left")
-    back = marked.groupBy("doc").agg(F.array_sort(F.collect_list(F.when(F.col("gone").isNull(), F.struct("pos", "line")))).alias("l"), F.count("gone").alias("removed"))
-    return back.select("doc", tidy(F.transform("l", lambda x: x["line"])).alias("text"), "removed")
+    numbered = docs.select(F.col(id_col).alias("doc"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("t"))
+    rows = numbered.select("doc", "row", F.posexplode_outer(F.split("t", "\n")).alias("pos", "line")).withColumn("key", plain(F.col("line")))
+    marked = rows.join(banned.select(F.col("line").alias("key"), F.lit(1).alias("gone")).distinct(), "key", "left")
+    kept = F.array_sort(F.collect_list(F.when(F.col("gone").isNull() & F.col("line").isNotNull(), F.struct("pos", "line"))))
+    back = marked.groupBy("row", "doc").agg(kept.alias("l"), F.count("gone").alias("removed"), F.count("line").alias("n"))
+    return back.select("doc", F.when(F.col("n") > 0, tidy(F.transform("l", lambda x: x["line"]))).alias("text"), "removed")
 
 
 def style(text: Column) -> Column:

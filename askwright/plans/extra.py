@@ -99,15 +99,14 @@ def owned_conversations(spark, d):
     return table(spark, d, "conversations").where(owner == "2:1").groupBy("conv_id").agg(F.count("*").alias("turns"))
 
 
-OPTIONS = [("a", 0, ["f1", "f2"]), ("b", 0, ["f2", "f3"]), ("b", 1, ["f4"]), ("a", 1, ["f5", "f1"])]
-
-
-@query(f"SELECT f AS fiche, min(p) AS pos FROM (SELECT f, row_number() OVER (ORDER BY i, branch, ord) AS p FROM (SELECT branch, ord, unnest(fiches) AS f, generate_subscripts(fiches, 1) AS i FROM {values(OPTIONS, 'branch string, ord int, fiches array<string>')})) GROUP BY f ORDER BY pos LIMIT 5")
+@query("""SELECT query, fiche, pos FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS k FROM (SELECT query, fiche, min(p) AS pos FROM (SELECT l_orderkey AS query, l_partkey % 9 AS fiche,
+ row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber // 2, l_suppkey % 2, l_linenumber, l_partkey, l_suppkey) AS p FROM lineitem) GROUP BY query, fiche)) WHERE k <= 5""")
 def interleaved_candidates(spark, d):
     """Options one of each branch in turn, each fiche once, five at most."""
-    rows = spark.createDataFrame(OPTIONS, "branch string, ord int, fiches array<string>").select("branch", "ord", F.posexplode("fiches").alias("i", "fiche"))
-    placed = rows.withColumn("p", F.row_number().over(Window.orderBy("i", "branch", "ord")).cast("long"))
-    return placed.groupBy("fiche").agg(F.min("p").alias("pos")).orderBy("pos").limit(5)
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query"), (F.col("l_partkey") % 9).alias("fiche"), F.floor(F.col("l_linenumber") / 2).alias("turn"), (F.col("l_suppkey") % 2).alias("branch"), "l_linenumber", "l_partkey", "l_suppkey")
+    w = Window.partitionBy("query")
+    placed = rows.withColumn("p", F.row_number().over(w.orderBy("turn", "branch", "l_linenumber", "l_partkey", "l_suppkey")).cast("long")).groupBy("query", "fiche").agg(F.min("p").alias("pos"))
+    return placed.withColumn("k", F.row_number().over(w.orderBy("pos"))).where("k <= 5").select("query", "fiche", "pos")
 
 
 STATES = [(1, "running", 20), (2, "running", 10), (3, "error", 1), (4, "dry_run", 100), (5, "success", 1)]

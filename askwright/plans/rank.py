@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from askwright.functions.text import SEARCH_STOP, tokenize
@@ -126,7 +127,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, fiche
 def vector_scores(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("entry"), F.col("label").alias("fiche"), r.unit(F.col("embedding")).alias("vector"))
     asked = vectors.where(F.col("entry") % 20 == 0).select(F.col("entry").alias("query"), F.col("fiche").alias("own"), "vector")
-    return r.top_k(r.rank_entries(asked, vectors).withColumn("doc", F.col("fiche")), 1_000_000)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "fiche"))
+    return r.rank_entries(asked, vectors).withColumn("doc", F.col("fiche")).withColumn("rank", rank)
 
 
 @query(f"WITH {VECTORS} SELECT query, fiche, entry, score, rank FROM k WHERE rank <= 5")
