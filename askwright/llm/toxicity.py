@@ -130,12 +130,17 @@ def descend(x: _Matrix, positive: np.ndarray, prior: float, w: np.ndarray, bias:
 
 def learn(positive: list[str], unlabelled: list[str], prior: float, choosing: int = CHOOSING, fitting: int = FITTING) -> Model:
     """Fit on texts.  Without positive or unlabelled texts the score is the prior for every text."""
+    return learn_features([features(t) for t in positive], [features(t) for t in unlabelled], prior, choosing, fitting)
+
+
+def learn_features(positive: list, unlabelled: list, prior: float, choosing: int = CHOOSING, fitting: int = FITTING) -> Model:
+    """learn() on the features() of texts."""
     size = 1 << BITS
     start = float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))
     nothing = Model(np.zeros(size, np.float32), start, prior)
     if not positive or not unlabelled or not 0 < prior < 1:
         return nothing
-    found = [features(t) for t in [*positive, *unlabelled]]
+    found = [*positive, *unlabelled]
     sizes = np.fromiter((len(c) for c, _ in found), np.int64, len(found))
     cells, value = np.concatenate([c for c, _ in found]), np.concatenate([v for _, v in found])
     del found
@@ -189,20 +194,29 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     prior = min(0.5, max(0.001, (toxic or 0) / all_)) if all_ else 0.001
     # ids are ordered and cut first; what is broadcast are these few ids, and texts outside the sample are never shuffled
     first = lambda ids, n, *keys: F.broadcast(ids.orderBy(*keys, F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id"))
-    texts = lambda ids, known: rows.join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select(F.lit(known).alias("known"), "text")
+    texts = lambda ids, known: rows.join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select(F.lit(known).alias("known"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     positive = texts(first(told.where("toxic = 1"), most_positive), 1)
     marked = labels.select("doc_id", F.lit(1).alias("marked")).distinct()
     free = rows.select("doc_id").distinct().join(marked, "doc_id", "left").select("doc_id", F.coalesce("marked", F.lit(0)).alias("marked"))
     unlabelled = texts(first(free, most_unlabelled, "marked"), 0)
 
+    def featured(batches):
+        for batch in batches:
+            for part in slices(batch, 2):
+                made = [features(t) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c, _ in made]), pa.array([v.tobytes() for _, v in made])], ["known", "doc_id", "cells", "amounts"])
+
     def fit(sample: pd.DataFrame) -> pd.DataFrame:
-        sample = sample.sort_values(["known", "text"], kind="stable")
-        model = learn(sample["text"][sample["known"] == 1].tolist(), sample["text"][sample["known"] == 0].tolist(), prior)
+        sample = sample.sort_values(["known", "doc_id"], kind="stable")
+        made = [[(np.frombuffer(c, np.int32), np.frombuffer(v, np.float32)) for c, v in zip(some["cells"], some["amounts"])] for some in (sample[sample["known"] == 1], sample[sample["known"] == 0])]
+        model = learn_features(*made, prior)
         kept = np.flatnonzero(model.weights)
         packed = (kept.astype(np.int32), model.weights[kept], model.bias, model.prior)
         return pd.DataFrame({"model": [pickle.dumps(packed)]})
 
-    found = positive.unionByName(unlabelled).groupBy(F.lit(0).alias("all")).applyInPandas(lambda p: fit(p[["known", "text"]]), "model binary").collect()
+    # the task that fits gets features and no texts: at most 2^20 cells of a text, however long, and so many texts
+    made = positive.unionByName(unlabelled).mapInArrow(featured, "known int, doc_id long, cells binary, amounts binary")
+    found = made.groupBy(F.lit(0).alias("all")).applyInPandas(lambda p: fit(p[["known", "doc_id", "cells", "amounts"]]), "model binary").collect()
     if not found:
         return learn([], [], prior)
     kept, values, *rest = pickle.loads(found[0][0])
