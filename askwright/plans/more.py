@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from askwright.functions import entities, stats, text as t
-from askwright.operators import corpus, decisions, decomposition as dec, extraction as x, itsm, measurement as m, routing as r
+from askwright.functions import entities, text as t
+from askwright.operators import corpus, decisions, decomposition as dec, extraction as x, itsm, measurement as m, reports, routing as r
 from askwright.plans.base import query, table
 from askwright.plans.measure import EXACT, R, records, wilson_sql
 from askwright.plans.rank import tokens
@@ -361,18 +361,26 @@ def signed_calls(spark, d):
     return e.select("event_id", windows.session_id(F.concat(lit(" INC"), (c("event_id") % 500).cast("string"), lit(" "))).alias("session"), windows.accepted_call(sent, c("ts")).alias("accepted"))
 
 
-@query("SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY n_chars) = 1 THEN CAST(n_chars AS VARCHAR) ELSE source || '-' || doc_id END AS label FROM documents")
+@query(r"""WITH f AS (SELECT 'KB' || doc_id AS fiche_id, left(split_part(text, chr(10), 1), 60) AS title, CASE doc_id % 5 WHEN 0 THEN 'a/KB' || doc_id || '.md' WHEN 1 THEN 'b\Guide ' || source || '.v1.pdf' WHEN 2 THEN '' WHEN 3 THEN 'KB0012 - Cache ' || doc_id ELSE 'x/12.html' END AS source FROM documents),
+s AS (SELECT *, regexp_replace(list_last(string_split(replace(source, '\', '/'), '/')), '(.)[.][^.]+$', '\1') AS stem, CASE WHEN title <> '' AND count(*) OVER (PARTITION BY title) = 1 THEN title END AS own FROM f)
+SELECT fiche_id, CASE WHEN regexp_matches(regexp_replace(stem, '(?i)KB *0*[0-9]+', ' ', 'g'), '[A-Za-z]{3}') THEN stem WHEN own IS NOT NULL AND NOT contains(fiche_id, own) THEN fiche_id || ' – ' || own ELSE fiche_id END AS label,
+ array_to_string(list_filter([stem, CASE WHEN fiche_id <> stem THEN fiche_id END, own], lambda x: x <> ''), chr(10)) AS names FROM s""")
 def map_labels(spark, d):
-    """A title labels a fiche only where no other has it."""
-    alone = F.count("*").over(Window.partitionBy("n_chars")) == 1
-    return table(spark, d, "documents").select("doc_id", F.when(alone, c("n_chars").cast("string")).otherwise(F.concat_ws("-", "source", c("doc_id").cast("string"))).alias("label"))
+    """Documents as articles named by paths of five kinds; the title is the first line."""
+    i, n = c("doc_id") % 5, c("doc_id").cast("string")
+    path = F.when(i == 0, F.concat(lit("a/KB"), n, lit(".md"))).when(i == 1, F.concat(lit("b\\Guide "), c("source"), lit(".v1.pdf"))).when(i == 2, "").when(i == 3, F.concat(lit("KB0012 - Cache "), n)).otherwise("x/12.html")
+    return reports.map_labels(table(spark, d, "documents").select(F.concat(lit("KB"), n).alias("fiche_id"), F.substring_index("text", "\n", 1).substr(1, 60).alias("title"), path.alias("source")))
 
 
-@query("SELECT modality, list_sort(list(DISTINCT doc))[1] AS least, count(DISTINCT doc) AS docs, count(DISTINCT doc) || ' ' || modality AS said FROM (SELECT l_partkey % 50 AS doc, CASE WHEN l_partkey % 50 % 3 = 0 THEN 'video' WHEN l_partkey % 50 % 3 = 1 THEN 'audio' ELSE 'text' END AS modality FROM lineitem) GROUP BY modality")
+@query("""WITH s AS (SELECT l_orderkey AS query, l_linenumber = 1 AS pr, CASE l_partkey % 4 WHEN 0 THEN 'audio' WHEN 1 THEN 'video' ELSE 'text' END AS kind FROM lineitem),
+g AS (SELECT query, min(kind) FILTER (WHERE pr) AS k, count(*) FILTER (WHERE NOT pr AND kind <> 'text') AS a, count(*) FILTER (WHERE NOT pr AND kind = 'text') AS t FROM s GROUP BY query)
+SELECT query, CASE WHEN k IS NULL THEN '' ELSE CASE k WHEN 'text' THEN 'Basé sur un document KB' ELSE 'Basé sur un appel support' END || CASE a WHEN 0 THEN '' WHEN 1 THEN ' · corroboré par 1 appel' ELSE ' · corroboré par ' || a || ' appels' END
+ || CASE t WHEN 0 THEN '' WHEN 1 THEN ' · 1 document KB en complément' ELSE ' · ' || t || ' documents KB en complément' END END AS said FROM g""")
 def modality_summary(spark, d):
-    k = c("l_partkey") % 50
-    rows = table(spark, d, "lineitem").select(k.alias("doc"), F.when(k % 3 == 0, "video").when(k % 3 == 1, "audio").otherwise("text").alias("modality"))
-    return rows.groupBy("modality").agg(F.min("doc").alias("least"), F.countDistinct("doc").alias("docs")).withColumn("said", F.concat_ws(" ", c("docs").cast("string"), "modality"))
+    """An order's first line is the primary source of an answer, the others are related."""
+    k = c("l_partkey") % 4
+    kind = F.when(k == 0, "audio").when(k == 1, "video").otherwise("text")
+    return reports.modality_summary(table(spark, d, "lineitem").select(c("l_orderkey").alias("query"), (c("l_linenumber") == 1).alias("primary"), kind.alias("kind")))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE 0.5 END AS score FROM orders")
@@ -381,7 +389,12 @@ def designated_scores(spark, d):
     return table(spark, d, "orders").select(c("o_orderkey").alias("id"), F.when(c("o_custkey") % 7 != 0, lit(0.5)).alias("score"))
 
 
-@query(f"SELECT o_orderpriority AS mode, count(*) AS n, round({wilson_sql('count(*) FILTER (WHERE o_orderkey % 3 = 0)', 'count(*)', '+')}, 6) AS upper FROM orders GROUP BY 1")
+@query("""SELECT count(*) AS fiches, count(*) FILTER (WHERE doc_id % 17 = 0) AS errors, count(*) FILTER (WHERE doc_id % 3 > 0) AS with_intent, count(*) FILTER (WHERE doc_id % 5 = 0) AS with_primary_app,
+ count(*) FILTER (WHERE doc_id % 10 = 0) AS app_inferred, CAST(sum(doc_id % 4 + CASE WHEN doc_id % 6 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS aliases, CAST(sum(doc_id % 2) AS BIGINT) AS dropped FROM documents""")
 def enrichment_stats(spark, d):
-    o = table(spark, d, "orders").groupBy(c("o_orderpriority").alias("mode")).agg(F.count("*").alias("n"), F.count(F.when(c("o_orderkey") % 3 == 0, 1)).alias("k"))
-    return o.select("mode", "n", F.round(stats.wilson(c("k"), c("n"), True), 6).alias("upper"))
+    n = c("doc_id")
+    rows = table(spark, d, "documents").select(
+        n.alias("fiche_id"), F.when(n % 17 == 0, "failed").alias("error"), F.when(n % 3 > 0, "RESET").otherwise("").alias("canonical_intent"), F.when(n % 5 == 0, c("lang")).alias("primary_app"), (n % 10 == 0).alias("app_inferred"),
+        F.array_repeat(c("source"), (n % 4).cast("int")).alias("aliases_fr"), F.when(n % 6 != 0, F.array("lang")).alias("aliases_en"), F.array_repeat(lit("x"), (n % 2).cast("int")).alias("dropped"),
+    )
+    return reports.enrichment_stats(rows)
