@@ -35,8 +35,15 @@ def strong_pool(asked: DataFrame, index: DataFrame, levels: list[str] = STRONG_L
     place = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col("level"))
     w = Window.partitionBy("query")
     named = known.groupBy("query", "level").agg(F.count("*").alias("entities")).withColumn("k", F.row_number().over(w.orderBy(place)))
-    held = known.join(index, "entity").groupBy("query", "level", "fiche").agg(F.count("*").alias("n")).join(named, ["query", "level"])
-    held = held.where((F.col("level") != "answered") | (F.col("n") == F.col("entities")))
+    # of the answers, which must all hold, the rarest finds the articles and the others are looked up for these
+    carriers = index.groupBy("entity").agg(F.count("*").alias("carriers"))
+    answers = known.where("level = 'answered'").join(carriers, "entity").withColumn("r", F.row_number().over(w.orderBy("carriers", "entity")))
+    others = answers.where("r > 1").select("query", "entity").join(answers.where("r = 1").select("query", F.col("entity").alias("rarest")), "query")
+    found = known.where("level <> 'answered'").unionByName(answers.where("r = 1").select("query", "level", "entity")).join(index, "entity")
+    held = found.select("query", "level", "fiche").distinct().join(named, ["query", "level"])
+    checked = held.where("level = 'answered' AND entities > 1").select("query", "fiche").join(others, "query").join(index, ["entity", "fiche"], "left_semi")
+    whole = checked.groupBy("query", "fiche").agg((F.count("*") + 1).alias("n"))
+    held = held.join(whole, ["query", "fiche"], "left").where((F.col("level") != "answered") | (F.coalesce("n", F.lit(1)) == F.col("entities")))
     depth = held.groupBy("query", "fiche").agg(F.array_sort(F.collect_list("k")).alias("ks")).select("query", "fiche", F.size(F.filter("ks", lambda k, i: k == i + 1)).alias("depth"))
     best = depth.withColumn("most", F.max("depth").over(w)).where("depth = most AND depth > 0")
     first = named.where("k = 1").select("query", F.col("level").isin(DESIGNATING).alias("designated"))
