@@ -182,17 +182,32 @@ def gate(records: DataFrame, base: str, routed: str, excluded: DataFrame, least:
 
 
 def split_recommendation(records: DataFrame, half: Column, most_wrong: float) -> DataFrame:
-    """The threshold that half A allows (the least score at which the share of wrong ones shown stays within the bound) and
-    what it shows on half B."""
-    rows = canonical(records).where(F.col("score").isNotNull() & shown().isNotNull()).withColumn("half", half).withColumn("right", exact())
-    a = rows.where("half = 'A'")
-    w = Window.partitionBy("engine").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = a.select("engine", "score", F.count("*").over(w).alias("k"), count_if(~F.col("right")).over(w).alias("bad")).distinct()
-    total = canonical(records).withColumn("half", half).where("half = 'A'").groupBy("engine").agg(F.count("*").alias("n"))
-    fits = swept.join(F.broadcast(total), "engine").where(stats.wilson(F.col("bad"), F.col("n"), True) <= most_wrong)
-    chosen = fits.groupBy("engine").agg(F.min("score").alias("threshold"))
-    b = rows.where("half = 'B'").join(F.broadcast(chosen), "engine")  # one row an engine
-    return b.groupBy("engine", "threshold").agg(count_if(F.col("score") >= F.col("threshold")).alias("shown"), count_if((F.col("score") >= F.col("threshold")) & F.col("right")).alias("right"))
+    """The floor that half A allows, held against half B: engine, tickets_a, tickets_b, threshold, exact_a, wrong_a, exact_b, wrong_b,
+    confirmed, reason.
+
+    The floor is recommend()'s on half A.  On half B what has no score is shown, whatever the floor; the floor is confirmed if
+    the wrong ones, at the top of their interval, stay under the ceiling there too.  reason: empty_half, nothing_scored, too_few
+    (half A has fewer tickets than no wrong one would need), over_ceiling, confirmed or not_confirmed.
+    """
+    split = records.withColumn("__half", half)
+    a, b = (split.where(F.col("__half") == h).drop("__half") for h in ("A", "B"))
+    scored = shown().isNotNull() & F.col("score").isNotNull()
+    sizes = canonical(a).groupBy("engine").agg(F.count("*").alias("tickets_a"), count_if(scored).alias("scored")).join(canonical(b).groupBy("engine").agg(F.count("*").alias("tickets_b")), "engine", "full_outer")
+    best = recommend(threshold_sweep(a), most_wrong).select("engine", "threshold", F.col("exact").alias("exact_a"), F.col("wrong_shown").alias("wrong_a"))
+    kept = shown().isNotNull() & (F.col("score").isNull() | (F.col("score") >= F.coalesce("threshold", F.lit(0.0))))
+    held = canonical(b).join(F.broadcast(best), "engine").groupBy("engine").agg(count_if(kept & exact()).alias("exact_b"), count_if(kept & ~exact()).alias("wrong_b"))  # one row an engine
+    row = sizes.na.fill(0, ["tickets_a", "tickets_b", "scored"]).join(best, "engine", "left").join(held, "engine", "left")
+    high = stats.wilson(F.col("wrong_b"), F.col("tickets_b"), True)
+    empty = (F.col("tickets_a") == 0) | (F.col("tickets_b") == 0)
+    reason = (
+        F.when(empty, "empty_half").when(F.col("scored") == 0, "nothing_scored")
+        .when(F.col("wrong_a").isNull(), F.when(F.col("tickets_a") < stats.tickets_needed(F.lit(most_wrong)), "too_few").otherwise("over_ceiling"))
+        .when(high <= most_wrong, "confirmed").otherwise("not_confirmed")
+    )
+    told = row.withColumn("reason", reason)
+    found = F.col("reason").isin("confirmed", "not_confirmed")
+    values = [F.when(found, F.col(c)).alias(c) for c in ("threshold", "exact_a", "wrong_a", "exact_b", "wrong_b")]
+    return told.select("engine", "tickets_a", "tickets_b", *values, (F.col("reason") == "confirmed").alias("confirmed"), "reason")
 
 
 def accepted_closure(expected: DataFrame, resolve: DataFrame) -> DataFrame:

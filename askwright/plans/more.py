@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from askwright.functions import entities, text as t
 from askwright.operators import corpus, decisions, decomposition as dec, extraction as x, itsm, measurement as m, reports, routing as r
 from askwright.plans.base import query, table
-from askwright.plans.measure import EXACT, R, records, wilson_sql
+from askwright.plans.measure import EXACT, R, SWEEP, records, wilson_sql
 from askwright.plans.rank import tokens
 from askwright.streaming import windows
 
@@ -274,11 +274,17 @@ def single_app_filter(spark, d):
     return decisions.single_app_filter(li.select(c("l_orderkey").alias("query"), tag("F", c("l_partkey") % 30).alias("fiche")).distinct(), apps, index)
 
 
-@query(f"""WITH {R}, f AS (SELECT *, ('0x' || substr(sha256(CAST(ticket_id AS VARCHAR)), 8, 1))::INTEGER % 2 AS h FROM c WHERE shown IS NOT NULL AND score IS NOT NULL), nn AS (SELECT engine, count(*) AS n FROM c WHERE ('0x' || substr(sha256(CAST(ticket_id AS VARCHAR)), 8, 1))::INTEGER % 2 = 0 GROUP BY engine),
-sw AS (SELECT DISTINCT engine, score, count(*) FILTER (WHERE NOT {EXACT}) OVER (PARTITION BY engine ORDER BY score DESC RANGE UNBOUNDED PRECEDING) AS bad FROM f WHERE h = 0), th AS (SELECT engine, min(score) AS threshold FROM sw JOIN nn USING (engine) WHERE {wilson_sql('bad', 'n', '+')} <= 0.2 GROUP BY engine)
-SELECT engine, threshold, count(*) FILTER (WHERE score >= threshold) AS shown, count(*) FILTER (WHERE score >= threshold AND {EXACT}) AS "right" FROM f JOIN th USING (engine) WHERE h = 1 GROUP BY ALL""")
+HALF = "('0x' || substr(sha256(CAST(ticket_id AS VARCHAR)), 8, 1))::INTEGER % 2"
+SWEEP_A = f"{R}, ca AS (SELECT * FROM c WHERE {HALF} = 0), cb AS (SELECT * FROM c WHERE {HALF} = 1){SWEEP.removeprefix(R).replace('FROM c WHERE', 'FROM ca WHERE').replace('FROM c GROUP', 'FROM ca GROUP')}"
+
+
+@query(f"""WITH {SWEEP_A}, h AS (SELECT engine, threshold, exact, wrong_shown FROM sw WHERE {wilson_sql('wrong_shown', 'n', '+')} <= 0.45 QUALIFY row_number() OVER (PARTITION BY engine ORDER BY threshold NULLS FIRST) = 1),
+nb AS (SELECT engine, count(*) AS tickets_b FROM cb GROUP BY engine), kb AS (SELECT engine, count(*) FILTER (WHERE {EXACT}) AS exact_b, count(*) FILTER (WHERE NOT {EXACT}) AS wrong_b FROM cb JOIN h USING (engine) WHERE shown IS NOT NULL AND (score IS NULL OR threshold IS NULL OR score >= threshold) GROUP BY engine)
+SELECT tot.engine, tot.n AS tickets_a, tickets_b, threshold, exact AS exact_a, wrong_shown AS wrong_a, exact_b, wrong_b, coalesce({wilson_sql('wrong_b', 'tickets_b', '+')} <= 0.45, false) AS confirmed,
+ CASE WHEN wrong_b IS NULL THEN 'over_ceiling' WHEN {wilson_sql('wrong_b', 'tickets_b', '+')} <= 0.45 THEN 'confirmed' ELSE 'not_confirmed' END AS reason
+ FROM tot JOIN nb USING (engine) LEFT JOIN h USING (engine) LEFT JOIN kb USING (engine)""")
 def split_recommendation(spark, d):
-    return m.split_recommendation(records(spark, d), t.split_half(c("ticket_id"), "scoreboard"), 0.2)
+    return m.split_recommendation(records(spark, d), t.split_half(c("ticket_id"), "scoreboard"), 0.45)
 
 
 @query("SELECT DISTINCT l_orderkey AS ticket_id, f AS fiche FROM (SELECT l_orderkey, 'F' || (l_partkey % 100) AS f FROM lineitem UNION ALL SELECT l_orderkey, 'F' || (l_partkey % 100 // 10) FROM lineitem WHERE l_partkey % 100 >= 50)")

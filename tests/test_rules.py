@@ -75,3 +75,16 @@ def test_the_ladder_below_its_thresholds(spark):
         1: ("question", "ask_application", None), 2: ("abstain", "text_only_weak", None), 3: ("abstain", "nothing_close", None), 4: ("fiche", "single", "a"),
         5: ("question", "close_entity", None), 6: ("question", "close_choice", None), 7: ("abstain", "no_candidate", None),
     }
+
+
+def test_a_floor_is_confirmed_on_the_other_half(spark):
+    def rows(engine, half, right, wrong, score, start):
+        return [(engine, 0, i, "c", f"{half}{engine}{start + i}", ["F"], "fiche", ["F" if i < right else "G"], score, None, None) for i in range(right + wrong)]
+
+    said = rows("e", "A", 60, 0, 0.9, 0) + rows("e", "A", 0, 20, 0.2, 100) + rows("e", "B", 60, 1, 0.95, 0)  # the floor of 0.9 holds
+    said += rows("u", "A", 60, 0, 0.9, 0) + rows("u", "B", 60, 0, 0.9, 0) + rows("u", "B", 0, 30, None, 100)  # wrong without a score: shown
+    said += rows("n", "A", 5, 5, None, 0) + rows("n", "B", 5, 0, 0.5, 0) + rows("o", "A", 9, 0, 0.9, 0) + rows("f", "A", 3, 0, 0.9, 0) + rows("f", "B", 3, 0, 0.9, 0)
+    found = {r.engine: r for r in measurement.split_recommendation(spark.createDataFrame(said, RECORD), F.substring("ticket_id", 1, 1), 0.1).collect()}
+    assert {e: r.reason for e, r in found.items()} == {"e": "confirmed", "u": "not_confirmed", "n": "nothing_scored", "o": "empty_half", "f": "too_few"}
+    e, u = found["e"], found["u"]
+    assert (e.threshold, e.exact_a, e.wrong_a, e.exact_b, e.wrong_b, e.confirmed) == (0.9, 60, 0, 60, 1, True) and (u.exact_b, u.wrong_b, u.confirmed) == (60, 30, False)
