@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from askwright.operators.graph import written
-from askwright.operators.ranking import rank_entries
+from askwright.operators.ranking import nearest_entries
 
 EXACT_UP_TO = 5_000  # entries; below, every entry is compared
 SAMPLE, ASKED = 20_000, 500  # entries that centres are fitted on; questions among them that settle the number of cells
@@ -141,11 +141,8 @@ def search(index: VectorIndex, queries: DataFrame, k: int = DEPTH, probes: int |
 
 
 def exact(queries: DataFrame, entries: DataFrame, k: int = DEPTH) -> DataFrame:
-    """The same by comparing every entry: queries in blocks, the best of each task first."""
-    asked = queries.select("query", F.lit(0).alias("own"), "vector")
-    single = rank_entries(asked, entries.select("entry", F.struct("fiche", "entry").alias("fiche"), "vector"))  # each entry stands for itself
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
-    return single.select("query", F.col("fiche.entry").alias("entry"), F.col("fiche.fiche").alias("fiche"), "score").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """The same by comparing every entry: blocks of questions meet parts of the entries, the best of each part first."""
+    return nearest_entries(queries, entries, k)
 
 
 def neighbours(queries: DataFrame, entries: DataFrame, k: int = DEPTH, exact_up_to: int = EXACT_UP_TO) -> DataFrame:
