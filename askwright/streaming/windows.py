@@ -53,7 +53,8 @@ def cached_answers(requests: DataFrame, ttl_seconds: int) -> DataFrame:
     """requests: key, ts.  Whether a request is answered from the cache: the last fresh answer is younger than the time to live.
 
     A hit does not renew an answer, so a key's requests are folded in order: aggregate over its own sorted times."""
-    times = requests.groupBy("key").agg(F.sort_array(F.collect_list(F.unix_timestamp("ts"))).alias("at"))
+    second = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("bigint")  # the nearest one
+    times = requests.groupBy("key").agg(F.sort_array(F.collect_list(second)).alias("at"))
     start = F.struct(F.lit(None).cast("bigint").alias("made"), F.lit(0).cast("bigint").alias("hits"))
     fold = F.aggregate(
         "at", start,
