@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from askwright.operators import decisions, retrieval
-from askwright.plans.base import planted, planted_sql, query, table, values
+from askwright.plans.base import planted, planted_sql, query, rounded, table, values
 
 # candidates of questions: scores from prices, names and applications from keys; twelve candidates a question at most
 RANKED = """li AS (SELECT l_orderkey AS query, 'F' || l_partkey AS doc, round((l_extendedprice % 1000) / 1000 * CASE WHEN l_orderkey % 4 = 0 THEN 0.3 ELSE 1 END, 3) AS score, l_partkey % 3 = 0 AS named, CASE WHEN l_suppkey % 4 = 0 THEN 'app:' || (l_suppkey % 12) END AS app FROM lineitem),
@@ -16,7 +16,7 @@ mo AS (SELECT o_orderkey AS query, o_orderkey % 3 <> 0 AS entities, o_orderkey %
 
 def ranked_candidates(spark, d):
     li = table(spark, d, "lineitem")
-    score = F.round(F.col("l_extendedprice") % 1000 / 1000 * F.when(F.col("l_orderkey") % 4 == 0, 0.3).otherwise(1), 3)
+    score = rounded(F.col("l_extendedprice") % 1000 / 1000 * F.when(F.col("l_orderkey") % 4 == 0, 0.3).otherwise(1), 3)
     rows = li.select(F.col("l_orderkey").alias("query"), F.concat(F.lit("F"), F.col("l_partkey")).alias("doc"), score.alias("score"), (F.col("l_partkey") % 3 == 0).alias("named"), F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("app:"), F.col("l_suppkey") % 12)).alias("app"))
     once = rows.groupBy("query", "doc").agg(F.max("score").alias("score"), F.first("named").alias("named"), F.min("app").alias("app"))
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc")))
