@@ -197,7 +197,8 @@ def number_table(spark, d):
     li = table(spark, d, "lineitem")
     holders = li.where("l_linenumber <= 2").select(c("l_orderkey").alias("number"), tag("F", c("l_partkey")).alias("fiche"))
     resolve = table(spark, d, "part").where("p_partkey % 4 = 0").select(tag("F", c("p_partkey")).alias("fiche"), tag("F", F.floor(c("p_partkey") / 8)).alias("target"))
-    status = spark.range(0, 300_000, 5).select(tag("F", c("id")).alias("fiche"), lit("rejected").alias("status"))
+    known = table(spark, d, "part").select(F.explode(F.array("p_partkey", F.floor(c("p_partkey") / 8))).alias("k")).where("k % 5 = 0").distinct()
+    status = known.select(tag("F", c("k")).alias("fiche"), lit("rejected").alias("status"))
     return r.number_table(holders, resolve, status).withColumn("fiches", F.array_join("fiches", "|"))
 
 
