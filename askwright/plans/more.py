@@ -295,10 +295,11 @@ def accepted_closure(spark, d):
 
 
 @query("""WITH p AS (SELECT 'e' || (o_custkey % 3) AS engine, o_orderkey AS threshold, row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey % 3) AS n, o_orderkey % 997 = 0 AS rec FROM orders)
-SELECT engine, threshold, rec AS recommended FROM p WHERE n <= 9 OR rec OR i = 0 OR i = n - 1 OR i IN (SELECT CAST(round_even(k * ((n - 1) / 7), 0) AS BIGINT) FROM range(1, 7) t(k))""")
+SELECT engine, threshold, rec AS recommended, n <= 9 OR rec OR i = 0 OR i = n - 1 OR i IN (SELECT CAST(round_even(k * ((n - 1) / 7), 0) AS BIGINT) FROM range(1, 7) t(k)) AS sampled FROM p""")
 def sampled_sweep(spark, d):
+    """Every threshold, and whether it is among the nine that a report shows."""
     sweep = table(spark, d, "orders").select(tag("e", c("o_custkey") % 3).alias("engine"), c("o_orderkey").alias("threshold"), (c("o_orderkey") % 997 == 0).alias("recommended"))
-    return m.sampled_sweep(sweep)
+    return m.marked_sweep(sweep)
 
 
 @query("SELECT what, value, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'status' AS what, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM orders GROUP BY 2) GROUP BY ALL")
