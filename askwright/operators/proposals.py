@@ -4,27 +4,32 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askwright.functions.entities import extract_udf
-from askwright.functions.quotes import Source
+from askwright.functions.quotes import Source, needles
 from askwright.functions.segment import FAILED, ITEM
 from askwright.functions.text import opens_with_verb, plain
 from askwright.operators.spans import matched, overlapping
 
+ROWS = 500  # documents whose proposals are held as Python values at once
 REACH = 300  # characters before a step within which its condition may stand
 VAGUE_ROLES = ["other", "unknown", "preamble"]
 TECHNICAL = ["err", "evt", "kb", "update", "path", "registry", "command", "url", "menu", "key"]  # kinds of entities
 PROPOSED = "doc long, ord int, start int, end int, cond_start int, cond_end int, fail_start int, fail_end int, rejected boolean"
 
 
-def _placed(text: str, items: list) -> list[tuple]:
+def _placed(text: str, quotes: list, conditions: list, failures: list) -> list[tuple]:
     """(start, end, condition span, failure span) or None of each item, in order: a quote is looked for after the one before."""
     source, cursor, taken, out = Source(text), 0, [(-1, -1)], []
-    for item in items:
-        span = source.find(item["quote"], cursor) if item["quote"] and item["quote"].strip() else None
+    made = needles([*quotes, *conditions, *failures])
+    n = len(quotes)
+    for i, (quote, condition, failure) in enumerate(zip(quotes, conditions, failures)):
+        span = source.find(quote, cursor, made[i]) if quote and quote.strip() else None
         k = bisect_left(taken, span) if span else 0
         if span is None or taken[k - 1][1] > span[0] or k < len(taken) and taken[k][0] < span[1]:
             out.append(None)
@@ -32,10 +37,11 @@ def _placed(text: str, items: list) -> list[tuple]:
         taken.insert(k, span)  # in order of place
         cursor = span[1]
         near = max(0, span[0] - REACH)
-        condition = source.find(item["condition"], near) if (item["condition"] or "").strip() else None
-        if condition and not (span[0] - REACH <= condition[0] and condition[1] <= span[1]):
-            condition = None
-        out.append((span, condition or (None, None), (source.find(item["failure"], span[1]) if (item["failure"] or "").strip() else None) or (None, None)))
+        before = source.find(condition, near, made[n + i]) if (condition or "").strip() else None
+        if before and not (span[0] - REACH <= before[0] and before[1] <= span[1]):
+            before = None
+        then = source.find(failure, span[1], made[2 * n + i]) if (failure or "").strip() else None
+        out.append((span, before or (None, None), then or (None, None)))
     return out
 
 
@@ -52,16 +58,23 @@ def locate(docs: DataFrame, proposals: DataFrame) -> DataFrame:
     asked = proposals.groupBy("doc").agg(F.array_sort(F.collect_list(item)).alias("items"))
     rows = asked.join(docs.select("doc", "text"), "doc", "left").select("doc", F.coalesce("text", F.lit("")).alias("text"), "items")
 
+    names = [c.split(" ")[0] for c in PROPOSED.split(", ")]
+
     def run(batches):
         for batch in batches:
-            for doc, text, items in zip(batch["doc"], batch["text"], batch["items"]):
-                out = []
-                for x, place in zip(items, _placed(text, items)):
-                    (start, end), condition, failure = place or ((None, None), (None, None), (None, None))
-                    out.append((doc, x["ord"], start, end, *condition, *failure, place is None))
-                yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in PROPOSED.split(", ")]).astype({c: "Int32" for c in ("start", "end", "cond_start", "cond_end", "fail_start", "fail_end")})
-
-    return rows.mapInPandas(run, PROPOSED)
+            for begin in range(0, batch.num_rows, ROWS):
+                some = batch.slice(begin, ROWS)
+                items, ends = some["items"].flatten(), np.cumsum(pc.list_value_length(some["items"]).to_numpy(zero_copy_only=False)).tolist()
+                ords, *asked = (items.field(name) for name in ("ord", "quote", "condition", "failure"))
+                asked = [x.to_pylist() for x in asked]
+                places, docs = [], np.repeat(np.arange(some.num_rows), np.diff([0, *ends]))
+                for text, a, b in zip(some["text"].to_pylist(), [0, *ends], ends):
+                    places += _placed(text, *(x[a:b] for x in asked))
+                spans = [x and (*x[0], *x[1], *x[2]) or (None,) * 6 for x in places]
+                columns = [pa.array(x, pa.int32()) for x in zip(*spans)]
+                yield pa.RecordBatch.from_arrays([some["doc"].take(pa.array(docs)), ords, *columns, pa.array([x is None for x in places])], names)
+
+    return rows.mapInArrow(run, PROPOSED)
 
 
 def kept_instructions(located: DataFrame, docs: DataFrame, rewordings: DataFrame) -> DataFrame:
