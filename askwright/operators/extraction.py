@@ -23,7 +23,8 @@ def vocabulary_entities(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     All terms are read, however many; a vocabulary that Spark knows to be small is broadcast, others meet the texts in parts."""
     terms = vocabulary.select("term", entity_form(F.col("term")).alias("k")).where(F.length("term") >= 2)
-    hit = texts.join(terms, F.contains(entity_form(F.col("t")), F.col("k")))
+    folded = texts.select("id", F.explode(F.array(entity_form(F.col("t")))).alias("t"))  # a generator: once a text, not once a pair
+    hit = folded.join(terms, F.contains(F.col("t"), F.col("k")))
     return hit.select("id", "term", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.length("term")), "term")).cast("long").alias("rank"))
 
 
