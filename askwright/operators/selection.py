@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from askwright.operators.graph import written
+
 MOST_CHARS = 60_000  # a longer text is not sent to a model
 SECTION_ROLES = ["symptom", "cause", "prerequisite", "resolution", "workaround", "escalation", "info", "other"]
 STEP_ROLES = ["prerequisite", "resolution", "workaround", "escalation", "other"]
@@ -96,6 +98,7 @@ def profile_scores(fields: DataFrame, tags: DataFrame, asked: DataFrame, top: in
     """
     weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
     base = fields.where(F.col("field").isin(list(weights))).groupBy("query", "doc").agg(F.sum(F.col("score") * F.try_element_at(weight, F.col("field"))).alias("base"))
+    base = written(base, "base")  # read twice
     asked = asked.select("query", "entity").distinct()
     wanted = asked.groupBy("query").agg(F.count("*").alias("wanted"))
     met = base.select("query", "doc").join(asked, "query").join(tags.select("doc", "entity").distinct(), ["doc", "entity"], "left_semi").groupBy("query", "doc").agg(F.count("*").alias("met"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from askwright.functions.text import tokenize
 from askwright.operators import selection as s
+from askwright.operators.ranking import field_postings
 from askwright.plans.base import query, table
 from askwright.plans.rank import tokens
 
@@ -88,10 +89,12 @@ def profile_scores(spark, d):
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     asked = items.select(c("item_id").alias("query"), F.array_distinct(tokenize(c("text"))).alias("l")).select("query", F.size("l").alias("n"), F.explode("l").alias("term"))
     line, third = F.get(F.split("text", "\n"), lit(0)), F.get(F.split("text", " "), lit(2))
-    named = F.array(*[F.struct(lit(n).alias("field"), F.array_distinct(tokenize(F.coalesce(x, lit("")))).alias("l")) for n, x in (("title", line), ("entities", third), ("chunk", c("text")))])
-    terms = docs.select(c("doc_id").alias("doc"), F.explode(named).alias("f")).select("doc", "f.field", F.explode("f.l").alias("term"))
-    fields = asked.join(terms, "term").groupBy("query", "doc", "field").agg((F.count("*") / F.max("n")).alias("score"))
+    names = ["title", "entities", "chunk"]
+    post = field_postings(docs.select(c("doc_id").alias("doc"), F.array(line, third, c("text")).alias("texts")))
+    hits = [F.count_if(F.get("tfs", lit(k)) > 0) / F.max("n") for k in range(len(names))]
+    met = asked.join(post, "term").groupBy("query", "doc").agg(F.array(*[F.struct(lit(x).alias("field"), h.alias("score")) for x, h in zip(names, hits)]).alias("f"))
+    fields = met.select("query", "doc", F.inline("f")).where("score > 0")
     tags = docs.select(c("doc_id").alias("doc"), F.explode(F.array(F.concat(lit("of:"), c("source")), F.concat(lit("in:"), c("lang")))).alias("entity"))
-    names = F.array(F.when(c("item_id") % 3 > 0, F.concat(lit("of:src"), (c("item_id") % 20).cast("string"))), F.when(c("item_id") % 3 == 2, lit("in:en")))
-    entities = items.select(c("item_id").alias("query"), F.explode(names).alias("entity")).where("entity is not null")
+    said = F.array(F.when(c("item_id") % 3 > 0, F.concat(lit("of:src"), (c("item_id") % 20).cast("string"))), F.when(c("item_id") % 3 == 2, lit("in:en")))
+    entities = items.select(c("item_id").alias("query"), F.explode(said).alias("entity")).where("entity is not null")
     return s.profile_scores(fields, tags, entities, 10)
