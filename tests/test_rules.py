@@ -57,6 +57,27 @@ def test_a_question_of_one_engine_is_unpaired_and_nothing_else(spark):
     assert "relabelled" in got.reasons and "unpaired" not in got.reasons
 
 
+def test_the_gate_combines_records_by_question_once(spark):
+    """Later records win, repeats count once, runs are held against what the base was asked, a question without a name is nobody's pair."""
+    row = lambda engine, run, order, ticket, fiche="F", level=None, error=None: (engine, run, order, "c", ticket, ["G", "F"], "fiche", [fiche], 0.9, level, error)
+    rows = [
+        row("base", 1, 1, "1", "X"), row("base", 1, 2, "1"), row("base", 1, 3, "2", "X"), row("base", 2, 4, "1"), row("base", 2, 5, "1"),  # run 2 lacks question 2
+        row("routed", 0, 6, "1"), row("routed", 0, 7, "2", "X", "L1"), row("routed", 0, 8, "2", "X", "L1"), row("routed", 1, 9, "2", "F", "L1"), row("routed", 1, 10, "1", "F", "L2"),
+        row("routed", 2, 11, "1", "F", "L3", "e"), row("routed", 2, 12, "3", "F", "L0"), row("base", 1, 13, None), row("routed", 0, 14, None), row("other", 0, 15, "9", "X", "L1", "e"),
+    ]
+    records = spark.createDataFrame(rows, RECORD)
+    seen = spark.createDataFrame([("c", "2"), ("c", "2"), (None, "1")], "client string, ticket_id string")
+    gate = measurement.gate(records, "base", "routed", seen, least=1)
+    got = gate.first()
+    assert (got.unpaired, got.relabelled, got.exact_decisions, got.wrong_exact, got.unseen_exact, got.errors, got.degraded) == (2, 0, 5, 1, 2, 1, 0)
+    assert (got.compared, got.base_first, got.route_first, got.uneven) == (1, 1, 1, 3) and (got.status, got.reasons) == ("invalid", ["unpaired", "uneven_runs", "errors", "wrong_exact"])
+    assert measurement.gate(records.limit(0), "base", "routed", seen).first().asDict() | {"reasons": None} == dict.fromkeys(gate.columns, 0) | {"reasons": None, "status": "insufficient"}
+    plan = gate._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("LogicalRDD") == 3  # the smallest runs, the records, what was seen
+    plan = measurement.canonical(records)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Join")  # other runs are left out below what sorts
+
+
 def test_the_ladder_below_its_thresholds(spark):
     rows = [
         (1, "a", 0.30, 1, False, "app:x"), (1, "b", 0.05, 2, False, None),  # words alone, an application: asked for
